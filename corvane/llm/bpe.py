@@ -23,9 +23,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000
+MEMO = 300_000
 MEMO_CHARS = 40
-STATES = 200_000
+STATES = 300_000
 PAIRS = 1_000_000
 DECODE_IDS = 4096
 
@@ -166,12 +166,15 @@ class Encoder:
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern.replace(r"\p{L}+", r"\p{L}++").replace(r"\p{N}+", r"\p{N}++").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]++")).findall
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.names = [str(i) for i in range(max(self.transducer.bytes_of) + 1)]
 
     def piece(self, piece: str) -> list[int]:
-        ids = self.transducer.encode(piece.encode("utf-8"))
+        """The ids of a piece that isn't in the memo. A full memo becomes the older one, so pieces in use stay."""
+        ids = self.older.get(piece) or self.transducer.encode(piece.encode("utf-8"))
         if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = ids
         return ids
 
@@ -182,6 +185,10 @@ class Encoder:
             out += memo.get(p) or piece(p)
         return out
 
+    def written(self, ids: list[int]) -> bytes:
+        """The decimal ids, joined by spaces."""
+        return " ".join(map(self.names.__getitem__, ids)).encode()
+
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of the ids, in parts: a part ends where a character does, bytes that form none become U+FFFD."""
         table, machine, part = self.transducer.bytes_of, Utf8(), []
@@ -257,7 +264,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False
                 back = hashlib.sha256()
                 for part in own.decode(ids):
                     back.update(part.encode("utf-8"))
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), back.hexdigest(), *([ids] * with_ids)))
+                rows.append((len(ids), hashlib.sha256(own.written(ids)).hexdigest(), back.hexdigest(), *([ids] * with_ids)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     texts = docs.select("doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 600_000
+MEMO = 400_000
 #: Pieces up to this length are kept in the memo.
 MEMO_CHARS = 40
 
@@ -47,6 +47,7 @@ class Counter:
         self.words = regex.compile(split.replace(r"[\p{L}]+", r"\p{L}++").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]++")).findall
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))))
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def merges(self, symbols: list[str]) -> int:
         """How many merges the symbols allow, lowest rank first and leftmost among equals."""
@@ -72,8 +73,8 @@ class Counter:
 
     def kept(self, piece: str, count: int) -> int:
         if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+            if len(self.memo) >= MEMO:  # the full memo becomes the older one, so pieces in use stay
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = count
         return count
 
@@ -86,6 +87,8 @@ class Counter:
         return count
 
     def chunk(self, chunk: str) -> int:
+        if (count := self.older.get(chunk)) is not None:
+            return self.kept(chunk, count)
         words = self.words(chunk)
         return self.word(chunk) if words == [chunk] else self.kept(chunk, sum(map(self.word, words)))
 
