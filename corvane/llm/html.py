@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: The slash of a tag that closes itself, and not the end of an unquoted value.
+CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe template textarea title svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,32 +45,33 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 
 
 class Element:
-    __slots__ = ("name", "path", "drop", "link", "section", "article")
+    __slots__ = ("name", "path", "drop", "link", "section", "article", "place")
 
-    def __init__(self, name: str, path: str, drop: bool, link: bool, section: str, article: bool):
-        self.name, self.path, self.drop, self.link, self.section, self.article = name, path, drop, link, section, article
+    def __init__(self, name: str, path: str, drop: bool, link: bool, section: str, article: bool, place: int):
+        self.name, self.path, self.drop, self.link, self.section, self.article, self.place = name, path, drop, link, section, article, place
 
 
-def opened(name: str, attributes: str, above: Element) -> Element:
+def opened(name: str, attributes: str, above: Element, place: int) -> Element:
     marks = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
     path = f"{above.path}>{name}.{marks}" if marks else f"{above.path}>{name}"
     article = above.article or name in ("article", "main") or bool(marks and ARTICLE.search(marks) and name in SECTIONS)
     drop = above.drop or name in NOT_CONTENT or (name == "header" and not article)
     if marks and not drop and name not in ("html", "body", "article", "main") and MARKED.search(marks):
         drop = True
-    return Element(name, path, drop, above.link or name == "a", path if name in SECTIONS else above.section, article)
+    section, place = (path, place) if name in SECTIONS else (above.section, above.place)
+    return Element(name, path, drop, above.link or name == "a", section, article, place)
 
 
 class Block:
-    __slots__ = ("parts", "path", "section", "article", "linked")
+    __slots__ = ("parts", "path", "section", "article", "place", "linked", "plain")
 
     def __init__(self, at: Element):
-        self.parts, self.path, self.section, self.article, self.linked = [], at.path, at.section, at.article, 0
+        self.parts, self.path, self.section, self.article, self.place, self.linked, self.plain = [], at.path, at.section, at.article, at.place, 0, False
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text outside elements that never count, in page order."""
-    stack = [Element("", "", False, False, "", False)]
+    stack = [Element("", "", False, False, "", False, 0)]
     blocks: list[Block] = []
     fresh, at, end = True, 0, len(page)
     while at < end:
@@ -83,6 +86,8 @@ def blocks_of(page: str) -> list[Block]:
             blocks[-1].parts.append(text)
             if top.link:
                 blocks[-1].linked += len(text)
+            elif not text.isspace():
+                blocks[-1].plain = True
         if not found:
             break
         at = found.end()
@@ -117,10 +122,8 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[i].name in ("ul", "ol", "dl", "table") or (stack[i].name in SECTIONS and name not in ENDED):
                     break
-        if name not in VOID and not found[3].endswith("/"):
-            stack.append(opened(name, found[3], stack[-1]))
-        elif name not in VOID and name not in INLINE:
-            stack.append(opened(name, found[3], stack[-1]))
+        if name not in VOID and not (name in INLINE and CLOSED.search(found[3])):
+            stack.append(opened(name, found[3], stack[-1], at))
     return blocks
 
 
@@ -129,6 +132,9 @@ def main_text(page: str, threshold: float = 0.15) -> str:
     blocks = [(b, text) for b in blocks_of(page) if (text := " ".join(html.unescape("".join(b.parts)).split()))]
     if any(b.article for b, _ in blocks):
         blocks = [(b, text) for b, text in blocks if b.article]
+    else:  # a section of links alone, such as a list of other pages, may have the same path as the article's sections
+        plain = {b.place for b, _ in blocks if b.plain}
+        blocks = [(b, text) for b, text in blocks if b.place in plain]
     if not blocks:
         return ""
     paths: dict[str, list[float]] = {}

@@ -40,15 +40,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column) -> Column:
+def keys_of(host: str, path: str) -> list[str]:
     """The url's keys, the longest first: each suffix of the host at a dot, with each prefix of the path that ends in a slash."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    keys = F.reverse(F.array_sort(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
-    return F.when((host == "") | (F.size(parts) < 2), F.array().cast("array<string>")).otherwise(F.transform(keys, lambda x: x["k"]))
+    if not host:
+        return []
+    labels, parts = host.split("."), path.split("/")
+    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
+    keys = [f"{s}{'/'.join(parts[:i])}/" for s in suffixes for i in range(1, len(parts))]
+    return sorted(keys, key=lambda k: (len(k), k), reverse=True)
+
+
+def url_keys(host: Column, path: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def keys(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([keys_of(h, p) for h, p in zip(hosts, paths, strict=True)], dtype=object)
+
+    return keys(host, path)
 
 
 def places(key: str, level: int, bits: int) -> list[int]:
@@ -128,17 +135,17 @@ def build(spark: SparkSession, listed: DataFrame, universe: DataFrame, most_bits
         return bits
 
     levels = [_level(listed, 0, size(n_listed, min(0.5, max(1e-9, n_listed / max(1, n_others)))))]
-    own, others = listed, universe.where("key is not null").join(listed, "key", "left_anti")
+    own, others = listed, universe.where("key is not null")
     while len(levels) < most_levels:
         source = others if len(levels) % 2 else own
-        cascade = spark.sparkContext.broadcast(levels[-1])
-        no = len(levels) - 1
-
-        false = written(source.where(_passes(cascade, no)("key")).distinct(), "false")
+        passed = source.where(_passes(spark.sparkContext.broadcast(levels[-1]), len(levels) - 1)("key")).distinct()
+        if len(levels) == 1:  # what passes is about twice the list, whatever the corpus
+            passed = passed.join(listed, "key", "left_anti")
+        false = written(passed, "false")
         n_false = false.count()
         if not n_false:
             return Cascade(levels)
-        levels.append(_level(false, no + 1, size(n_false, 0.1)))
+        levels.append(_level(false, len(levels), size(n_false, 0.1)))
         if source is others:
             others = false
         else:
@@ -146,6 +153,20 @@ def build(spark: SparkSession, listed: DataFrame, universe: DataFrame, most_bits
     raise RuntimeError(f"{most_levels} levels have not told the keys apart")
 
 
+def small(listed: set[str], universe: set[str]) -> Cascade:
+    """The cascade of two lists that are parameters themselves, made on the spot."""
+    levels: list[Level] = []
+    own, others = listed, universe - listed
+    while own:
+        no, bits = len(levels), max(64, 10 * len(own))
+        words = np.zeros(bits // 64 + 1, dtype=np.uint64)
+        for p in (p for key in own for p in places(key, no, bits)):
+            words[p >> 6] |= np.uint64(1 << (p & 63))
+        levels.append(Level(bits, words))
+        own, others = {k for k in others if levels[-1].has(k, no)}, own
+    return Cascade(levels)
+
+
 #: The contract's rules, by verdict.
 RULES = {"block": ["net/", "example.com/de/"], "allow": ["example.net/en/", "org/fr/"]}
 #: Hosts that are listed as unwanted, apart from the rules: each as a registered name that any domain may carry.
@@ -164,24 +185,24 @@ def judged(pages: DataFrame, rules: dict[str, list[str]] | None = None, unwanted
     rules = rules or RULES
     unwanted = [f"{name}.{zone}/" for name in UNWANTED for zone in ZONES] if unwanted is None else unwanted
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path")))
-    lists = [*rules.get("block", []), *rules.get("allow", []), *unwanted]
-    listed = spark.createDataFrame([(k,) for k in lists], "key string")
-    any_key = build(spark, listed, urls.select(F.explode("keys").alias("key")))
-    is_rule = build(spark, listed.where(F.col("key").isin([*rules.get("block", []), *rules.get("allow", [])])), listed)
-    blocks = build(spark, listed.where(F.col("key").isin(rules.get("block", []))), listed)
+    lists = {verdict: set(rules.get(verdict, [])) for verdict in ("block", "allow")}
+    every_rule = lists["block"] | lists["allow"]
+    listed = spark.createDataFrame([(k,) for k in sorted(every_rule | set(unwanted))], "key string")
+    any_key = build(spark, listed, urls.select(F.explode(url_keys(F.col("host"), F.col("path"))).alias("key")))
+    is_rule = small(every_rule, every_rule | set(unwanted))
+    blocks = small(lists["block"], every_rule)
     cascades = spark.sparkContext.broadcast((any_key, is_rule, blocks))
 
     @F.pandas_udf("struct<rule: string, verdict: string>")
-    def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def verdicts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         any_key, is_rule, blocks = cascades.value
-        for batch in batches:
+        for hosts, paths in batches:
             out = []
-            for keys in batch:
-                found = [k for k in keys if any_key.lists(k)]
+            for host, path in zip(hosts, paths, strict=True):
+                found = [k for k in keys_of(host, path) if any_key.lists(k)]
                 rule = next((k for k in found if is_rule.lists(k)), None)
                 block = blocks.lists(rule) if rule else bool(found)
                 out.append((rule, "block" if block else "allow"))
             yield pd.DataFrame(out, columns=["rule", "verdict"])
 
-    return urls.select("page_id", "host", "path", verdicts("keys").alias("v")).select("page_id", "host", "path", "v.rule", "v.verdict")
+    return urls.select("page_id", "host", "path", verdicts("host", "path").alias("v")).select("page_id", "host", "path", "v.rule", "v.verdict")
