@@ -18,16 +18,19 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 300_000
+MEMO = 150_000
 MEMO_CHARS = 40
-STATES = 300_000
-PAIRS = 1_000_000
+STATES = 60_000
+PAIRS = 200_000
 DECODE_IDS = 4096
+#: Results go back to the JVM in parts of about so many ids.
+HELD_IDS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,7 +65,7 @@ class Transducer:
                 node = self.trie[node][b]
             self.token_at[node] = i
         self.edges: dict[int, tuple | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -91,7 +94,7 @@ class Transducer:
 
     def follows(self, before: int, token: int) -> bool:
         """Whether token stands as it is, alone and after the token before it (-1: none)."""
-        known = self.pairs.get((before, token))
+        known = self.pairs.get(before << 32 | token)
         if known is None:
             after, ranks = self.edge(token), self.ranks
             known = after is not None
@@ -103,7 +106,7 @@ class Transducer:
                             known = False
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[before, token] = known
+            self.pairs[before << 32 | token] = known
         return known
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -119,7 +122,7 @@ class Transducer:
                 continue
             if end is None and (token := token_at[child]) >= 0:
                 before = path[-1] if path else last
-                fits = pairs.get((before, token))
+                fits = pairs.get(before << 32 | token)
                 if self.follows(before, token) if fits is None else fits:
                     end = (*path, token)
             if trie[child]:
@@ -252,20 +255,26 @@ def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False
 
     path: of the rank file on each machine. Null and empty texts have no ids. Ids are decoded again in the same task; the
     digests are of the decimal ids joined by spaces and of the decoded bytes. Other columns are not looked at."""
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kind = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>>" * with_ids + ">" * (not with_ids)
 
     @F.pandas_udf(kind)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path, pattern)
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for text in batch:
                 ids = own.encode(text)
                 back = hashlib.sha256()
                 for part in own.decode(ids):
                     back.update(part.encode("utf-8"))
-                rows.append((len(ids), hashlib.sha256(own.written(ids)).hexdigest(), back.hexdigest(), *([ids] * with_ids)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+                rows.append((len(ids), hashlib.sha256(own.written(ids)).hexdigest(), back.hexdigest(), *([np.array(ids, dtype=np.int32)] * with_ids)))
+                held += len(ids)
+                if held >= HELD_IDS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     texts = docs.select("doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
     return texts.select("doc_id", coded("text").alias("c")).select("doc_id", "c.*")
