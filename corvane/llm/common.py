@@ -62,24 +62,30 @@ def let(value: Column, body) -> Column:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (u, v: long) -> (node, component): the smallest node reachable from each node that has an edge.
 
-    Alternating large-star and small-star steps: a round is two joins on aggregated minima, each written to
+    Alternating small-star and large-star steps: a round is two joins on aggregated minima, each written to
     the shared folder, and the rounds are logarithmic in the component's size. No group of neighbours is ever gathered:
-    minima are combined map-side and a hub's rows are joined, which AQE splits. Loops and nulls in edges are ignored."""
+    minima are combined map-side and a hub's rows are joined, which AQE splits. A small-star step comes first: where many
+    edges run from a group's nodes to few others, it leaves about one a node. Loops and nulls in edges are ignored."""
 
     def oriented(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
-    def stars(df: DataFrame) -> DataFrame:
-        least = df.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        return df.join(least, F.col("u") == F.col("k"))
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
 
-    now, seen = written(oriented(edges.where("u is not null and v is not null")), "edges"), None
+    def large_star(df: DataFrame) -> DataFrame:
+        both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        joined = both.where("v > u").join(least(both), F.col("u") == F.col("k"))
+        return oriented(joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
+
+    def small_star(df: DataFrame) -> DataFrame:
+        first = least(df)
+        rest = df.join(first, (F.col("u") == F.col("k")) & (F.col("v") > F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return first.select(F.col("k").alias("u"), F.col("m").alias("v")).unionByName(rest).distinct()
+
+    now, seen = written(small_star(oriented(edges.where("u is not null and v is not null"))), "edges"), None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least("m", "u")
-        large = oriented(stars(both).where("v > u").select(F.col("v").alias("u"), m.alias("v")))
-        small = stars(large)
-        new = written(oriented(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))), "edges")
+        new = written(small_star(large_star(now)), "edges")
         dropped(now)
         now = new
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

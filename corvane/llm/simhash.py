@@ -3,7 +3,7 @@
 Every fingerprint class (equal fingerprints; a class is one row however many copies it has) goes to several shards so that
 any two within the radius meet in one, and shards of a single class end in the JVM. A task turns a shard into a
 BK-tree, whose children are keyed by their Hamming distance to the parent, and looks each fingerprint up in it, following
-only edges within the radius of its own distance. A shard yields a spanning forest of its links, never all pairs.
+only edges within the radius of its own distance. A shard yields a star for each of its groups, never all pairs.
 
 The trees aren't broadcast: all of them together grow with the corpus. Each shard's tree travels as the shard's row instead.
 
@@ -103,7 +103,9 @@ class Tree:
 
 
 def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links between positions that join exactly what is within the radius: a spanning forest, found in the values' BK-tree."""
+    """(position, first position it is connected to over links within the radius) of all but the firsts: stars, found in the values' BK-tree.
+
+    Stars of the same group in different shards share most of their links, which trees would not."""
     tree, root = Tree(values), list(range(len(values)))
 
     def find(i: int) -> int:
@@ -116,7 +118,9 @@ def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
         for j in tree.near(value, radius):
             if j < i and (a := find(i)) != (b := find(j)):
                 root[max(a, b)] = min(a, b)
-                yield i, j
+    for i in range(len(values)):
+        if (first := find(i)) != i:
+            yield i, first
 
 
 def shard_links(shards: DataFrame, radius: int) -> DataFrame:
@@ -127,6 +131,7 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
             u: list[int] = []
             v: list[int] = []
             for members in batch.column(0).to_pylist():
+                members.sort(key=lambda m: m["rep"])
                 reps = [m["rep"] for m in members]
                 values = [0] * len(members)
                 for lane in sorted(k for k in members[0] if k != "rep"):
