@@ -16,7 +16,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 150_000
+MEMO = 300_000
 MEMO_CHARS = 40
-STATES = 60_000
-PAIRS = 200_000
+STATES = 150_000
+PAIRS = 400_000
 DECODE_IDS = 4096
 #: Results go back to the JVM in parts of about so many ids.
 HELD_IDS = 1 << 18
@@ -161,6 +162,23 @@ class Transducer:
         return out
 
 
+class Memo(dict):
+    """Pieces' ids; those of a piece that is asked for first are found then. A full memo becomes the older one, so pieces in use stay."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.older.get(piece) or self.encode(piece.encode("utf-8"))
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids: pieces by the pattern, each through the transducer; common pieces are remembered, within bounds."""
 
@@ -168,25 +186,11 @@ class Encoder:
         gc.set_threshold(500_000, 20, 100)  # states and memos are many small tuples without cycles
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern.replace(r"\p{L}+", r"\p{L}++").replace(r"\p{N}+", r"\p{N}++").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]++")).findall
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.ids_of = Memo(self.transducer.encode).__getitem__
         self.names = [str(i) for i in range(max(self.transducer.bytes_of) + 1)]
 
-    def piece(self, piece: str) -> list[int]:
-        """The ids of a piece that isn't in the memo. A full memo becomes the older one, so pieces in use stay."""
-        ids = self.older.get(piece) or self.transducer.encode(piece.encode("utf-8"))
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo, self.older = {}, self.memo
-            self.memo[piece] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        memo, piece = self.memo, self.piece
-        for p in self.pieces(text):
-            out += memo.get(p) or piece(p)
-        return out
+        return list(chain.from_iterable(map(self.ids_of, self.pieces(text))))
 
     def written(self, ids: list[int]) -> bytes:
         """The decimal ids, joined by spaces."""
@@ -194,13 +198,10 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of the ids, in parts: a part ends where a character does, bytes that form none become U+FFFD."""
-        table, machine, part = self.transducer.bytes_of, Utf8(), []
-        for i in ids:
-            part.append(table[i])
-            if len(part) >= DECODE_IDS:
-                yield machine.feed(b"".join(part))
-                part = []
-        yield machine.feed(b"".join(part)) + machine.end()
+        bytes_of, machine = self.transducer.bytes_of.__getitem__, Utf8()
+        for part in batched(ids, DECODE_IDS):
+            yield machine.feed(b"".join(map(bytes_of, part)))
+        yield machine.end()
 
 
 class Utf8:
