@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MEMO = 300_000
 MEMO_CHARS = 40
-STATES = 150_000
+STATES = 300_000
 PAIRS = 400_000
 DECODE_IDS = 4096
 #: Results go back to the JVM in parts of about so many ids.
@@ -51,8 +51,8 @@ def merged(ranks: dict[bytes, int], piece: bytes, down_to: int = 1) -> list[byte
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int = STATES):
+        self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
@@ -149,7 +149,7 @@ class Transducer:
         """The piece's token ids. A piece that is a token is that token."""
         if (token := self.ranks.get(piece)) is not None:
             return [token]
-        if len(self.states) > STATES:
+        if len(self.states) > self.most_states:
             self.forget()
         out: list[int] = []
         state, moves = 0, self.moves
@@ -182,9 +182,9 @@ class Memo(dict):
 class Encoder:
     """Texts to ids: pieces by the pattern, each through the transducer; common pieces are remembered, within bounds."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most_states: int = STATES):
         gc.set_threshold(500_000, 20, 100)  # states and memos are many small tuples without cycles
-        self.transducer = Transducer(read_ranks(path))
+        self.transducer = Transducer(read_ranks(path), most_states)
         self.pieces = regex.compile(pattern.replace(r"\p{L}+", r"\p{L}++").replace(r"\p{N}+", r"\p{N}++").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]++")).findall
         self.ids_of = Memo(self.transducer.encode).__getitem__
         self.names = [str(i) for i in range(max(self.transducer.bytes_of) + 1)]
@@ -230,13 +230,14 @@ class Utf8:
         return rest.decode("utf-8", "replace")
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+def encoder(path: str, pattern: str, most_states: int = STATES) -> Encoder:
+    key = (path, pattern, most_states)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def token_ids(text: Column, path: str, pattern: str) -> Column:
@@ -251,17 +252,17 @@ def token_ids(text: Column, path: str, pattern: str) -> Column:
     return encoded(F.coalesce(F.make_valid_utf8(text), F.lit("")))
 
 
-def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, most_states: int = STATES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids: a row for each row.
 
     path: of the rank file on each machine. Null and empty texts have no ids. Ids are decoded again in the same task; the
-    digests are of the decimal ids joined by spaces and of the decoded bytes. Other columns are not looked at."""
+    digests are of the decimal ids joined by spaces and of the decoded bytes. most_states bounds the transducer's memory, not its results. Other columns are not looked at."""
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kind = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>>" * with_ids + ">" * (not with_ids)
 
     @F.pandas_udf(kind)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, most_states)
         for batch in batches:
             rows, held = [], 0
             for text in batch:
