@@ -36,3 +36,10 @@ def contradicting(measured: DataFrame) -> DataFrame:
 def missing(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of two small lists, processes and materials, that no row of found holds. Both lists are aggregated catalogs."""
     return left.crossJoin(right).join(found, [*left.columns, *right.columns], "left_anti")
+
+
+def induced(links: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """links (src, dst) -> the distinct links from a node of sources to one of targets (node). Links are made distinct before they are joined."""
+    kept = links.select("src", "dst").distinct()
+    kept = kept.join(sources.select(F.col("node").alias("src")), "src", "left_semi")
+    return kept.join(targets.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions import access, ids, text
+from corvane.functions import access, evidence, ids, text
 from corvane.operators import graph, measures, ranking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,71 @@ def t12_chat(spark, sf_dir):
 def j06_geography(spark, sf_dir):
     joined = claims(spark, sf_dir).join(read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("supplier")).join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     return joined.where(F.lower("n_name").contains("a")).groupBy(F.col("n_name").alias("geography")).agg(F.count("*").alias("claims"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity * (1 - l_discount) <= 30 AND l_quantity >= 20 AND l_returnflag = 'A' GROUP BY 1")
+def f07_interval(spark, sf_dir):
+    low = F.col("l_quantity") * (1 - F.col("l_discount"))
+    rows = read(spark, sf_dir, "lineitem").where(evidence.overlaps(low, F.col("l_quantity"), 20, 30) & (F.col("l_returnflag") == "A"))
+    return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1")
+def f10_relative_years(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where(evidence.within_years(F.col("o_orderdate"), 2, 1998)).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') ORDER BY p_name, p_partkey LIMIT 50")
+def f17_entity_search(spark, sf_dir):
+    found = read(spark, sf_dir, "part").where(evidence.named_like(F.col("p_name"), "1"))
+    return found.orderBy("p_name", "p_partkey").limit(50).select("p_partkey", "p_name")
+
+
+@query("SELECT l_partkey, coalesce(bool_or(l_quantity BETWEEN 1 AND 5), false) AND coalesce(bool_or(l_quantity BETWEEN 45 AND 50), false) AS covered FROM lineitem GROUP BY 1")
+def f18_numeric_coverage(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(evidence.covers_all(F.col("l_quantity"), [(1, 5), (45, 50)]).alias("covered"))
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'unit_mismatch' END,
+ CASE WHEN NOT regexp_matches(text, '(19|20)[0-9][0-9]') THEN 'outside_time_range' END) AS codes FROM documents""")
+def f21_reason_codes(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(evidence.reason_codes(F.col("text")), ",").alias("codes"))
+
+
+@query("SELECT CASE WHEN l_linestatus = 'F' AND 1 - l_discount < 0.95 THEN 'candidate' WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'disputed' END AS status, count(*) AS n FROM lineitem GROUP BY 1")
+def f23_demotion(spark, sf_dir):
+    status = F.when(F.col("status") == "F", "confirmed").otherwise("disputed")
+    return claims(spark, sf_dir).groupBy(evidence.demoted(status, F.col("confidence"), 0.95).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)
+ AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)""")
+def f28_induced_links(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("node"))
+    suppliers = read(spark, sf_dir, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("node"))
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graph.induced(links, parts, suppliers).select(F.col("src").alias("l_partkey"), F.col("dst").alias("l_suppkey"))
+
+
+@query("SELECT doc_id, substr(text, 6, 25) AS highlight FROM documents")
+def pr03_highlight(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", evidence.highlighted(F.col("text"), F.lit(10), F.lit(15), F.lit(40)).alias("highlight"))
+
+
+@query("""SELECT CASE WHEN l_linestatus = 'F' THEN CASE WHEN 1 - l_discount >= 0.9 THEN 'verified' ELSE 'auto_verified' END ELSE 'conflicting' END AS status, count(*) AS n
+ FROM lineitem GROUP BY 1""")
+def pr15_claim_status(spark, sf_dir):
+    status = F.when(F.col("status") == "F", "confirmed").otherwise("disputed")
+    return claims(spark, sf_dir).groupBy(evidence.claim_status(status, F.col("confidence")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, role, CAST(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+ - length(coalesce(text, '')) - 2 AS BIGINT) AS start_offset, length(coalesce(text, '')) AS size FROM conversations""")
+def sc12_offsets(spark, sf_dir):
+    start = evidence.running_start(F.col("text"), "conv_id", "turn", "role", "text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", start.alias("start_offset"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+
+
+@query("SELECT p_partkey, concat_ws(' | ', p_name, p_brand, p_type) AS row_text FROM part")
+def sc13_row_spans(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array("p_name", "p_brand", "p_type"), " | ").alias("row_text"))
