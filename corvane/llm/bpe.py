@@ -2,10 +2,11 @@
 
 The transducer reads bytes and writes token ids. A sequence of tokens is the BPE encoding of its bytes exactly if each adjacent
 pair of tokens is the encoding of its own bytes, so after each byte there is one token that ends there and is compatible with
-what stands before its start. A configuration holds what later bytes can still change: the last written token, and for every place
-where a token may have begun, the tokens up to that place and the vocabulary's trie node reached from it. What all of
+what stands before its start. A configuration holds what later bytes can still change: for every place where a token may have
+begun, the tokens up to that place and the vocabulary's trie node reached from it. What all of
 them share is written: lookahead never exceeds the longest token. Configurations become numbered states when they are
-first met, and their moves are kept; both are bounded and are built anew when full.
+first met, and their moves are kept; both are bounded and are built anew when full. The last written token isn't part of a state but
+a register: where a token may follow it, a move has two outcomes, by whether the two are compatible.
 
 Whether two tokens are compatible follows from how each is merged: the parts along their meeting edge live until the rank
 at which they are merged on, and no part on the left may form a token with one on the right at an earlier rank.
@@ -70,9 +71,9 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        self.states = [(-1, (((), 0),))]
+        self.states = [(((), 0),)]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, tuple[int, tuple | None, tuple | None]] = {}
 
     def edge(self, token: int) -> tuple | None:
         """The token's parts along its left and right edge, each with the rank that ends it; None if merging never makes the token.
@@ -110,40 +111,43 @@ class Transducer:
             self.pairs[before << 32 | token] = known
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and what is written, computed when first asked for.
+    def move(self, state: int, byte: int) -> tuple[int, tuple | None, tuple | None]:
+        """(token, move if it fits after the last written one, move if not or if token is -1), computed when first asked for.
 
-        Places where a token may have begun stand in rising order, and one token at most ends at this byte."""
-        last, begun = self.states[state]
-        trie, token_at, pairs = self.trie, self.token_at, self.pairs
-        now, end = [], None
-        for path, node in begun:
+        A move is the next state and what is written. Places where a token may have begun stand in rising order, and one token ends
+        at this byte. Only the first place can stand right after the last written token."""
+        trie, token_at = self.trie, self.token_at
+        now, end, first = [], None, -1
+        for path, node in self.states[state]:
             child = trie[node].get(byte)
             if child is None:
                 continue
-            if end is None and (token := token_at[child]) >= 0:
-                before = path[-1] if path else last
-                fits = pairs.get(before << 32 | token)
-                if self.follows(before, token) if fits is None else fits:
+            if (token := token_at[child]) >= 0:
+                if not path:
+                    first = token
+                elif end is None and self.follows(path[-1], token):
                     end = (*path, token)
             if trie[child]:
                 now.append((path, child))
-        now.append((end, 0))
+        found = self.moves[state << 8 | byte] = (first, self.settled(now, (first,)) if first >= 0 else None, self.settled(now, end) if end else None)
+        return found
+
+    def settled(self, now: list, end: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        """The number of the state with these places and the one after end, and the tokens that all of them share, which are written."""
+        now = [*now, (end, 0)]
         shared = now[0][0]
         if shared:
             for path, _ in now:
                 while path[: len(shared)] != shared:
                     shared = shared[:-1]
             if shared:
-                last = shared[-1]
                 now = [(path[len(shared) :], node) for path, node in now]
-        key = (last, tuple(now))
+        key = tuple(now)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        found = self.moves[state << 8 | byte] = (number, shared)
-        return found
+        return number, shared
 
     def encode(self, piece: bytes) -> list[int]:
         """The piece's token ids. A piece that is a token is that token."""
@@ -152,13 +156,18 @@ class Transducer:
         if len(self.states) > self.most_states:
             self.forget()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, last, moves, pairs = 0, -1, self.moves, self.pairs
         for byte in piece:
-            step = moves.get(state << 8 | byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.states[state][1][-1][0]
+            token, fit, other = moves.get(state << 8 | byte) or self.move(state, byte)
+            if token >= 0:
+                fits = pairs.get(last << 32 | token)
+                state, now = fit if (self.follows(last, token) if fits is None else fits) else other
+            else:
+                state, now = other
+            if now:
+                out += now
+                last = now[-1]
+        out += self.states[state][-1][0]
         return out
 
 
