@@ -1,0 +1,3 @@
+"""Importing the package registers the queries of all its modules."""
+
+from corvane.plans import queries, states  # noqa: F401
