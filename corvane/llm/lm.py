@@ -1,16 +1,20 @@
 """LM scoring by context-tree weighting over bytes, beside a smoothed unigram base.
 
-Training (`gram_counts`): one pass counts words and byte grams (the byte and the DEPTH bytes before it) of the training documents,
-combined map-side. The context tree holds the `contexts` most frequent contexts of 0 to DEPTH bytes, a set that is closed under
-shortening; occurrences in rarer contexts are pooled, at each node, in a leaf for all other longer contexts, so every byte of the
-corpus counts. Each next byte is decomposed into eight binary decisions. At every node and decision the Krichevsky-Trofimov
-estimate of the node is weighted half and half with the product of its children's weighted probabilities, which mixes
-all depths. Counts are frozen when scoring: the tree gives each decision one probability in each context, and a
-context one row of 256 log probabilities.
-
-Scoring (`scored`): the model's tables are broadcast; their size is contexts * 256 * 8 bytes at most whatever the corpus (32 MB at
-16,384). Words' counts are not bounded, so only the `frequent` most frequent ones are broadcast; the rest of each
-document's words are joined with their counts by key. A hot word is always among the frequent ones.
+Counting (`gram_counts`): one pass counts words and byte grams (the byte and the DEPTH bytes before it), combined map-side. Every
+context of 0 to DEPTH bytes is a node of the tree. Grams of documents that don't train are in the table too, with 0 for
+training, so a table of all grams serves every document. Each next byte is decomposed into eight binary decisions. At every node and
+decision the Krichevsky-Trofimov estimate of the node is weighted half and half with the product of its children's weighted
+probabilities, which mixes all depths. Counts are frozen when scoring: the tree gives each decision one probability
+in each context, and a gram one log probability.
+
+Weighting (`gram_logs`): a gram's key begins with the nearest byte, so sorted keys list the tree in depth-first order. Tasks take whole
+subtrees of the two nearest bytes. A first pass over them sums up what the nodes of no and one byte need, 256 * 255 rows at most whatever
+the corpus and all that reaches the driver; a second one carries the weights down and gives each gram its log probability. A subtree
+is held whole: 2 ** 24 grams at the very most, in texts well below a million.
+
+Scoring (`scored`): words and grams are not bounded, so only the `frequent` most frequent words and the grams of the highest counts (at
+most `frequent_grams`, 16 bytes each) are broadcast; the rest of each document's words and grams are joined by key,
+each document's equal ones as one row. A hot word or gram is always among the frequent ones.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from corvane.llm.common import written
 DEPTH = 4
 #: Bytes of text that are turned into grams at a time.
 PART = 1 << 22
+#: Grams, in whole subtrees, that are weighted at a time.
+CHUNK = 1 << 17
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -72,28 +78,39 @@ def word_key(word: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
 
 
-def gram_counts(training: DataFrame) -> DataFrame:
-    """training (text: binary) -> (gram: boolean, key: long, n): words by 64-bit hash, and grams of DEPTH + 1 bytes."""
+def gram_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gram at each place: the byte before it first, then the ones further back, then the byte itself."""
+    keys = np.zeros(len(at), dtype=np.int64)
+    for back in (*range(1, DEPTH + 1), 0):
+        keys = keys << 8 | data[at - back]
+    return keys
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """docs (held_out: boolean, text: binary) -> (gram: boolean, key: long, n, every): words of training documents by 64-bit hash, and all
+    grams of DEPTH + 1 bytes. n counts training documents only, every all of them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in parts_of(batches, 0):
+        for batch, rows, texts in parts_of(batches, 1):
+            held = batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
             words: Counter = Counter()
-            for t in texts:
-                words.update(t)
+            for t, out in zip(texts, held.tolist(), strict=True):
+                if not out:
+                    words.update(t)
             data, starts = coded(texts)
             at = own_places(data, starts)
-            keys = np.zeros(len(at), dtype=np.int64)
-            for back in range(DEPTH, -1, -1):
-                keys = keys << 8 | data[at - back]
-            grams, n = np.unique(keys, return_counts=True)
-            key = np.concatenate((np.fromiter(map(word_key, words), dtype=np.int64, count=len(words)), grams))
-            n = np.concatenate((np.fromiter(words.values(), dtype=np.int64, count=len(words)), n))
+            out = np.repeat(held, np.diff(starts) - DEPTH)
+            grams, every = np.unique(gram_keys(data, at) << 1 | out, return_counts=True)
+            key = np.concatenate((np.fromiter(map(word_key, words), dtype=np.int64, count=len(words)), grams >> 1))
+            own = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            n, every = np.concatenate((own, np.where(grams & 1, 0, every))), np.concatenate((own, every))
             kind = np.arange(len(key)) >= len(words)
             for i in range(0, len(key), 1 << 16):
                 j = i + (1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[i:j]), pa.array(key[i:j]), pa.array(n[i:j])], ["gram", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind[i:j]), pa.array(key[i:j]), pa.array(n[i:j]), pa.array(every[i:j])], ["gram", "key", "n", "every"])
 
-    return training.mapInArrow(counted, "gram boolean, key long, n long").groupBy("gram", "key").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(counted, "gram boolean, key long, n long, every long")
+    return rows.groupBy("gram", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -142,7 +159,7 @@ def decided(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> np.nda
 def weighted(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray, at_once: int = 8) -> np.ndarray:
     """counts (contexts x 256), each context's depth and its parent's row (the root's: 0) -> log10 probabilities of the same shape.
 
-    Row 0 is the root. Decisions are taken `at_once` at a time, which bounds the memory."""
+    The tree in memory, against which tests hold `gram_logs`; contexts that are left out are pooled. Row 0 is the root. Decisions are taken `at_once` at a time, which bounds the memory."""
     m = len(counts)
     table = np.zeros((m, 256), dtype=np.float32)
     for level in range(8):
@@ -155,48 +172,119 @@ def weighted(counts: np.ndarray, depth: np.ndarray, parent: np.ndarray, at_once:
     return table
 
 
-class Model:
-    """next: contexts x 256, the row of the context that is one byte longer, 0 if the tree has none; table: log10 probabilities."""
-
-    def __init__(self, longer: np.ndarray, table: np.ndarray):
-        self.longer, self.table = longer, table
-
-    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte at the places, after the bytes before it."""
-        row = np.zeros(len(at), dtype=np.int32)
-        more = np.arange(len(at))
-        flat = self.longer.ravel()
-        for back in range(1, DEPTH + 1):
-            found = flat[(row[more].astype(np.int64) << 8) | data[at[more] - back]]
-            kept = found > 0
-            more = more[kept]
-            row[more] = found[kept]
-        return self.table.ravel()[(row.astype(np.int64) << 8) | data[at]]
-
-
-def context_tree(counts: DataFrame, contexts: int) -> Model:
-    """counts (gram, key, n) -> the model over the most frequent contexts. Their next bytes' counts are all that reaches the driver."""
-    grams = counts.where("gram").select("key", "n")
-    at = grams.select(F.explode(F.array(*[F.lit(d) for d in range(1, DEPTH + 1)])).alias("d"), F.shiftright("key", 8).alias("before"), "n")
-    mask = F.expr("shiftleft(1L, 8 * d) - 1")
-    context = at.groupBy("d", F.col("before").bitwiseAND(mask).alias("c")).agg(F.sum("n").alias("n"))
-    kept = context.orderBy(F.desc("n"), "d", "c").limit(contexts - 1).select("d", "c").toPandas().sort_values(["d", "c"])
-    depth = np.concatenate(([0], kept["d"].to_numpy())).astype(np.int64)
-    code = np.concatenate(([0], kept["c"].to_numpy())).astype(np.int64)
-    row_of = {(d, c): i for i, (d, c) in enumerate(zip(depth.tolist(), code.tolist(), strict=True))}
-    parent = np.array([row_of[max(d - 1, 0), c & ((1 << 8 * max(d - 1, 0)) - 1)] for d, c in row_of], dtype=np.int64)
-    longer = np.zeros((len(depth), 256), dtype=np.int32)
-    longer[parent[1:], code[1:] >> 8 * (depth[1:] - 1)] = np.arange(1, len(depth))
-    rows = grams.sparkSession.createDataFrame(list(zip(depth.tolist(), code.tolist(), range(len(depth)), strict=True)), "d int, c long, row int")
-    every = grams.select(F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])).alias("d"), F.shiftright("key", 8).alias("before"), F.col("key").bitwiseAND(255).alias("byte"), "n")
-    every = every.select("d", F.col("before").bitwiseAND(mask).alias("c"), "byte", "n").join(F.broadcast(rows), ["d", "c"])
-    found = every.groupBy("row", "byte").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((len(depth), 256))
-    table[found["row"].to_numpy(dtype=np.int64), found["byte"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
-    return Model(longer, weighted(table, depth, parent))
-
-
-def scored(docs: DataFrame, contexts: int = 1 << 14, frequent: int = 1 << 16, folds: int = 5, held_out: int = 1) -> DataFrame:
+def mixture(n0: np.ndarray, n1: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes with these counts and their children's weighted log probabilities: their own, the weight of their estimate, and that estimate of a one."""
+    own = log_kt(n0, n1)
+    return np.logaddexp(own, longer) - np.log(2), 1 / (1 + np.exp(np.clip(longer - own, -700, 700))), (n1 + 0.5) / (n0 + n1 + 1)
+
+
+class Subtrees:
+    """Whole subtrees of the two nearest bytes at one of the eight decisions of a byte: nodes of DEPTH to 2 bytes, and whose child each is.
+
+    keys: sorted grams; n: their counts. A node's id is its context followed by the `level` bits decided before."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, level: int):
+        ids = keys >> (8 - level)
+        first = np.concatenate(([True], ids[1:] != ids[:-1]))
+        self.place = np.cumsum(first) - 1
+        self.bit = keys >> (7 - level) & 1
+        self.level = level
+        m = int(self.place[-1]) + 1
+        sums = np.bincount(self.place * 2 + self.bit, weights=n, minlength=2 * m).reshape(m, 2)
+        n0, n1 = sums[:, 0], sums[:, 1]
+        self.estimates, self.weights, self.parents = [(n1 + 0.5) / (n0 + n1 + 1)], [], []
+        whole, ids = log_kt(n0, n1), ids[first]
+        for _ in range(DEPTH - 2):
+            ids, parent = np.unique(self.above(ids), return_inverse=True)
+            n0, n1, longer = (np.bincount(parent, weights=x, minlength=len(ids)) for x in (n0, n1, whole))
+            whole, weight, estimate = mixture(n0, n1, longer)
+            self.parents.append(parent)
+            self.weights.append(weight)
+            self.estimates.append(estimate)
+        self.n0, self.n1, self.whole = n0, n1, whole
+        over = self.above(ids)
+        self.byte, self.decision = over >> level, (over & ((1 << level) - 1)) | 1 << level
+
+    def above(self, ids: np.ndarray) -> np.ndarray:
+        return ids >> (8 + self.level) << self.level | (ids & ((1 << self.level) - 1))
+
+    def logs(self, before: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's decision; before, share (byte x decision): what the shorter contexts give a one and leave to longer ones."""
+        one, left = before[self.byte, self.decision], share[self.byte, self.decision]
+        for weight, estimate, parent in zip(self.weights[::-1], self.estimates[:0:-1], self.parents[::-1], strict=True):
+            one, left = (one + left * weight * estimate)[parent], (left * (1 - weight))[parent]
+        one = one + left * self.estimates[0]
+        return np.log10(np.where(self.bit, one[self.place], 1 - one[self.place]))
+
+
+def whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches (key, n, every) in order of key -> the columns in parts of about CHUNK grams that end where a subtree of the two nearest bytes does."""
+    kept, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= CHUNK:
+            keys, n, every = (np.concatenate(x) for x in zip(*kept, strict=True))
+            end = int(np.searchsorted(keys, keys[-1] >> 24 << 24))
+            if end:
+                yield keys[:end], n[:end], every[:end]
+            kept, size = [[keys[end:], n[end:], every[end:]]], (len(keys) - end if end else 0)
+    if kept:
+        yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+
+def gram_logs(grams: DataFrame) -> DataFrame:
+    """grams (key, n, every) -> key, every, log: the log10 probability of the gram's byte after the bytes before it, by the tree of all contexts."""
+    trees = grams.select("key", "n", "every").repartition(F.shiftright("key", 24)).sortWithinPartitions("key")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, 1 << 16))
+        for keys, n, _ in whole_subtrees(batches):
+            for level in range(8):
+                part = Subtrees(keys, n, level)
+                node = part.byte << 8 | part.decision
+                for total, x in zip(sums, (part.n0, part.n1, part.whole), strict=True):
+                    total += np.bincount(node, weights=x, minlength=1 << 16)
+        at = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums[:, at])], ["node", "n0", "n1", "longer"])
+
+    rows = trees.mapInArrow(summed, "node long, n0 double, n1 double, longer double")
+    found = rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "longer")]).toPandas()
+    sums = np.zeros((3, 256, 256))
+    for total, c in zip(sums, ("n0", "n1", "longer"), strict=True):
+        total.ravel()[found["node"].to_numpy(dtype=np.int64)] = found[c].to_numpy()
+    n0, n1, longer = sums
+    whole, weight, estimate = mixture(n0, n1, longer)
+    _, top_weight, top_estimate = mixture(n0.sum(axis=0), n1.sum(axis=0), np.where(n0 + n1 > 0, whole, 0).sum(axis=0))
+    before = top_weight * top_estimate + (1 - top_weight) * weight * estimate
+    shared = grams.sparkSession.sparkContext.broadcast((before, (1 - top_weight) * (1 - weight)))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, every in whole_subtrees(batches):
+            logs = np.zeros(len(keys))
+            for level in range(8):
+                logs += Subtrees(keys, n, level).logs(*shared.value)
+            for i in range(0, len(keys), 1 << 16):
+                j = i + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j]), pa.array(every[i:j]), pa.array(logs[i:j])], ["key", "every", "log"])
+
+    return trees.mapInArrow(weighed, "key long, every long, log double")
+
+
+def most_frequent(logs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """logs (key, every, log) -> its rows of the highest counts, at most `most`, and the others: cut between powers of 2 ** (1 / 16), without a sort."""
+    bucket = F.floor(F.log2("every") * 16)
+    left, least = most, None
+    for b, n in sorted(((r.b, r.n) for r in logs.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, b
+    return (logs.limit(0), logs) if least is None else (logs.where(bucket >= least), logs.where(bucket < least))
+
+
+def scored(docs: DataFrame, frequent: int = 1 << 16, frequent_grams: int = 1 << 20, folds: int = 5, held_out: int = 1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row.
 
     Documents whose crc32(doc_id as text) mod folds is held_out are left out of training; a null doc_id counts as empty text and
@@ -206,33 +294,42 @@ def scored(docs: DataFrame, contexts: int = 1 << 14, frequent: int = 1 << 16, fo
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out
     base = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", fold.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    training = base.where(~F.col("held_out")).select("text")
-    counts = written(gram_counts(training), "counts")
-    ends = training.count()
+    counts = written(gram_counts(base.select("held_out", "text")), "counts")
+    ends = base.where(~F.col("held_out")).count()
     words = counts.where(~F.col("gram"))
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, kinds = n_words + ends, kinds + (ends > 0)
     top = words.orderBy(F.desc("n"), "key").limit(frequent).toPandas()
-    model = context_tree(counts, contexts)
-    shared = spark.sparkContext.broadcast((model, dict(zip(top["key"].tolist(), top["n"].tolist(), strict=True))))
+    often, seldom = most_frequent(written(gram_logs(counts.where("gram")), "grams"), frequent_grams)
+    grams = often.select("key", "log").toPandas().sort_values("key")
+    shared = spark.sparkContext.broadcast((grams["key"].to_numpy(dtype=np.int64), grams["log"].to_numpy(dtype=np.float64), dict(zip(top["key"].tolist(), top["n"].tolist(), strict=True))))
     least = int(top["n"].iloc[-1]) if len(top) == frequent else 0
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common = shared.value
+        often, often_logs, common = shared.value
         logs = {k: float(np.log10(n + 0.5)) for k, n in common.items()}
         end_log = float(np.log10(ends + 0.5))
         for batch, rows, texts in parts_of(batches, 3):
             data, starts = coded(texts)
             at = own_places(data, starts)
-            scores = np.add.reduceat(model.score(data, at).astype(np.float64), starts[:-1] - DEPTH * np.arange(len(texts)))
+            bounds = starts - DEPTH * np.arange(len(starts))
+            grams, place = np.unique(gram_keys(data, at), return_inverse=True)
+            where = np.searchsorted(often, grams)
+            found = np.append(often, -1)[where] == grams
+            values = np.where(found, np.append(often_logs, 0.0)[where], 0.0)
+            scores = np.add.reduceat(values[place], bounds[:-1])
+            late = np.flatnonzero(~found[place])
+            late_from = np.searchsorted(late, bounds)
+            late = grams[place[late]]
             n_tokens, n_known, sums, rare = [], [], [], []
-            for words in texts:
-                total, known, left = end_log, int(ends > 0), []
+            for t, words in enumerate(texts):
+                total, known = end_log, int(ends > 0)
+                left = [{"gram": True, "key": k, "n": n} for k, n in zip(*(x.tolist() for x in np.unique(late[late_from[t] : late_from[t + 1]], return_counts=True)), strict=True)]
                 for word, n in Counter(words).items():
                     key = word_key(word)
                     log = logs.get(key)
                     if log is None:
-                        left.append({"key": key, "n": n})
+                        left.append({"gram": False, "key": key, "n": n})
                     else:
                         total += n * log
                         known += n
@@ -241,16 +338,20 @@ def scored(docs: DataFrame, contexts: int = 1 << 14, frequent: int = 1 << 16, fo
                 sums.append(total)
                 rare.append(left)
             own = batch.take(pa.array(rows)).select([0, 1, 2])
-            more = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))]
+            more = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.struct([("gram", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*own.columns, *more], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    part = written(base.mapInArrow(partly, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, sums double, score double, rare array<struct<key: long, n: long>>"), "scores")
-    rare = part.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.key").alias("key"), F.col("r.n").alias("times"))
+    part = written(base.mapInArrow(partly, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, sums double, score double, rare array<struct<gram: boolean, key: long, n: long>>"), "scores")
+    rare = part.select("uid", F.explode("rare").alias("r")).select("uid", "r.gram", "r.key", F.col("r.n").alias("times"))
     known = words.where(F.col("n") <= least) if least else words.limit(0)
-    joined = rare.join(known.select("key", F.col("n").alias("c")), "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    late = joined.groupBy("uid").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("late"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("late_known"))
+    known = known.select("gram", "key", F.log10(F.col("n") + 0.5).alias("log")).unionByName(seldom.select(F.lit(True).alias("gram"), "key", "log"))
+    joined = rare.join(known, ["gram", "key"], "left")
+    value = F.col("times") * F.coalesce("log", F.log10(F.lit(0.5)))
+    word = ~F.col("gram")
+    late = joined.groupBy("uid").agg(
+        F.sum(F.when(word, value)).alias("late"), F.sum(F.when(word & F.col("log").isNotNull(), F.col("times"))).alias("late_known"), F.sum(F.when(F.col("gram"), value)).alias("late_score")
+    )
     all_parts = part.drop("rare").join(late, "uid", "left")
     base_score = F.col("sums") + F.coalesce("late", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(train_tokens + 0.5 * (kinds + 1)))
-    return all_parts.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("late_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
+    return all_parts.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("late_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), (F.col("score") + F.coalesce("late_score", F.lit(0.0))).alias("score"))

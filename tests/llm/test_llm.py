@@ -275,6 +275,26 @@ def test_context_rows_are_distributions():
     assert (10.0**table).sum(axis=1) == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_keeps_every_context(spark):
+    """More contexts than 16,384; the rare ones count like others, whatever is broadcast."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(500))) for i in range(40)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    body = {i: b"\n" * 4 + b" ".join(t.encode().lower().split()) + b"\n" for i, t in rows}
+    seen = collections.Counter((d, x[p - d : p], x[p]) for i, x in body.items() if not held(i) for p in range(4, len(x)) for d in range(5))
+    row = {c: k for k, c in enumerate(sorted({(d, c) for d, c, _ in seen}))}
+    assert len(row) > 1 << 14
+    counts = np.zeros((len(row), 256), dtype=np.float32)
+    for (d, c, b), n in seen.items():
+        counts[row[d, c], b] = n
+    table = lm.weighted(counts, np.array([d for d, _ in row]), np.array([row[d - 1, c[1:]] if d else 0 for d, c in row]), 32)
+    deepest = lambda c: next(row[d, c[4 - d :]] for d in range(4, -1, -1) if (d, c[4 - d :]) in row)
+    for most in (1 << 20, 500, 0):
+        for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), frequent_grams=most).collect():
+            x = body[r.doc_id]
+            assert r.score == pytest.approx(sum(float(table[deepest(x[p - 4 : p]), x[p]]) for p in range(4, len(x))), rel=1e-5)
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
     <div class="cookie-notice">We use cookies, really, all the time.</div><div class=ad>Buy, now!</div><!-- x <p>no</p> --><article><h1>Head &amp; line</h1><p>One  <b>bold</b>&nbsp;text,
