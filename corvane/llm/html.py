@@ -5,7 +5,7 @@ its text, the part in links, and its punctuation. Text per node and punctuation
 that come before and after in page order, fused into one score, and summed per section; paths of sections that reach a
 fraction of the best section's score are content, and within such a section nothing is left out for being
 short. Elements that by name, class, id or role hold menus, headers, footers, sidebars, notices, adverts, forms or
-comments never count. Where a page marks its article, only sections in it compete.
+comments never count. Where a page marks its article, all sections in it are content but those of links that don't reach the fraction.
 
 A page is a row of its own: no shuffle, and a page's cost follows its length.
 """
@@ -26,6 +26,8 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 #: The slash of a tag that closes itself, and not the end of an unquoted value.
 CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of other vocabularies, whose tags may close themselves.
+FOREIGN = frozenset(("svg", "math"))
 RAW = frozenset("script style noscript iframe template textarea title svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an opening tag ends where they are open.
@@ -107,6 +109,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "br" and blocks and not fresh:
             blocks[-1].parts.append(" ")
+        if name in FOREIGN and CLOSED.search(found[3]):
+            continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             if close is None:
@@ -130,7 +134,8 @@ def blocks_of(page: str) -> list[Block]:
 def main_text(page: str, threshold: float = 0.15) -> str:
     """The page's article: blocks in page order joined by two line ends, each with references decoded and white space made one space."""
     blocks = [(b, text) for b in blocks_of(page) if (text := " ".join(html.unescape("".join(b.parts)).split()))]
-    if any(b.article for b, _ in blocks):
+    marked = any(b.article for b, _ in blocks)
+    if marked:
         blocks = [(b, text) for b, text in blocks if b.article]
     else:  # a section of links alone, such as a list of other pages, may have the same path as the article's sections
         plain = {b.place for b, _ in blocks if b.plain}
@@ -148,13 +153,15 @@ def main_text(page: str, threshold: float = 0.15) -> str:
     smooth = lambda r: [sum(r[max(0, i - 1) : i + 2]) / len(r[max(0, i - 1) : i + 2]) for i in range(len(r))]
     fused = {p: math.sqrt(max(0.0, t) * (1 + m)) for p, t, m in zip(order, smooth(text_ratio), smooth(marks_ratio), strict=True)}
     sections: dict[str, float] = {}
+    spoken: dict[str, int] = {}
     for b, text in blocks:
         alone = max(0, len(text) - b.linked)
+        spoken[b.section] = spoken.get(b.section, 0) + 2 * alone - len(text)
         sections[b.section] = sections.get(b.section, 0.0) + alone * fused[b.path]
     best = max(sections, key=sections.__getitem__)
     level = threshold * sections[best]
     inside = lambda s: s == best or s.startswith(best + ">") or (best.startswith(s + ">") and s.count(">") > 2 and sections[s] > 0)
-    chosen = {s for s, score in sections.items() if score >= level or inside(s)}
+    chosen = {s for s, score in sections.items() if score >= level or inside(s) or (marked and spoken[s] >= 0)}
     return "\n\n".join(text for b, text in blocks if b.section in chosen)
 
 

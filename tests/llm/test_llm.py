@@ -309,6 +309,14 @@ def test_html(spark):
     assert html.main_text("<p>x</p>" * 20000).count("x") == 20000
 
 
+def test_html_keeps_short_sections_of_an_article():
+    long = "Long text, with points, and more of it. " * 40
+    page = f"<article><h1>Head</h1><div class=lead><p>Short lead</p></div><div class=text><p>{long}</p></div><div class=links><a href=/>Other pages</a></div><div class=end><p>The end.</p></div></article>"
+    assert html.main_text(page) == f"Head\n\nShort lead\n\n{long.strip()}\n\nThe end."
+    assert html.main_text("<p>One.</p><svg/><p>Two.</p><math display='block' /><p>Three.</p>") == "One.\n\nTwo.\n\nThree."
+    assert html.main_text("<p>One.</p><svg><text>no</text></svg><p>Two.</p>") == "One.\n\nTwo."
+
+
 def test_sharding(edge, docs):
     for df in (edge, docs, docs.limit(5)):
         texts = {r.doc_id: r.text or "" for r in df.collect()}
