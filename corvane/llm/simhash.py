@@ -11,8 +11,10 @@ Exact shards (`exact_links`): 64 bits in `blocks` blocks; two fingerprints that
 blocks but r, so a shard is one choice of the blocks that agree with their value. With 10 blocks and r = 2 a class has 45
 keys, and a shard at most 2 ** 14 classes whatever the corpus: no key is ever hot.
 
-Weak-bit shards (`wide_links`), for radii that no choice of blocks can serve: a bit differs between near-duplicates when its vote
-was close. Each 32-bit block is keyed with every setting of the `weak` bits of closest vote, on both sides.
+Weak-bit shards (`weak_shards`), for radii that no choice of blocks can serve: a bit differs between near-duplicates when its vote
+was close. Each 32-bit block is keyed with every setting of the `weak` bits of closest vote, on both sides. A key is not bounded: one
+with more than `block` classes is cut into blocks, and each pair of blocks is a shard. No pair is lost and no shard is larger
+than about two blocks, but the pairs of a key of n classes are still compared, in n / block as many rows.
 """
 
 from __future__ import annotations
@@ -130,7 +132,8 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             u: list[int] = []
             v: list[int] = []
-            for members in batch.column(0).to_pylist():
+            for shard in batch.column(0):
+                members = shard.as_py()
                 members.sort(key=lambda m: m["rep"])
                 reps = [m["rep"] for m in members]
                 values = [0] * len(members)
@@ -170,7 +173,7 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return marked.join(named, F.col("fp") == F.col("class")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, weak: int = 6, spread: float = 1.0) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, weak: int = 6, spread: float = 1.0, block: int = 1024) -> DataFrame:
     """docs (doc_id, text) -> doc_id, group_id: groups of documents whose shingle sets are similar by their 128-bit SimHash.
 
     Shingle sets of Jaccard similarity s have cosine 2s / (1 + s), and each bit differs with probability angle / pi. The radius
@@ -191,10 +194,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     found = written(texts.select("doc_id", marked("text").alias("m")).select("doc_id", "m.*"), "fingerprints")
     classes = found.where("doc_id is not null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "weak")).alias("first"))
     classes = classes.select(F.col("first.doc_id").alias("rep"), "hi", "lo", F.col("first.weak").alias("weak"))
-    met = classes.select("rep", F.explode(block_keys(weak)).alias("key")).groupBy("key").agg(F.collect_list("rep").alias("reps"))
-    met = met.where(F.size("reps") > 1).select("key", F.explode("reps").alias("rep"))
-    members = met.join(classes.select("rep", "hi", "lo"), "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "hi", "lo")).alias("members"))
-    roots = connected_components(shard_links(members, radius))
+    roots = connected_components(shard_links(weak_shards(classes, weak, block), radius))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "rep").alias("group_id"))
     return found.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select("doc_id", "group_id")
 
@@ -213,6 +213,21 @@ def block_keys(weak: int) -> Column:
     return F.flatten(F.transform(blocks, keys))
 
 
+def weak_shards(classes: DataFrame, weak: int, block: int) -> DataFrame:
+    """classes (rep, hi, lo, weak) -> (key, pair, members: array of struct(rep, hi, lo)): any two classes of a key meet in a shard.
+
+    Only keys with more than `block` classes are joined with their number of blocks; a class goes to the shards of its block and each other."""
+    met = classes.select("rep", F.explode(block_keys(weak)).alias("key"))
+    large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("large"), F.ceil(F.col("n") / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: o != own)
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own)))
+    placed = met.join(large, F.col("key") == F.col("large"), "left").select("rep", "key", F.explode(pairs).alias("pair"))
+    shards = placed.groupBy("key", "pair").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
+    members = shards.select("key", "pair", F.explode("reps").alias("rep")).join(classes.select("rep", "hi", "lo"), "rep")
+    return members.groupBy("key", "pair").agg(F.collect_list(F.struct("rep", "hi", "lo")).alias("members"))
+
+
 def near_deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs' rows and columns without near-duplicates: of each group the document of the smallest doc_id stays, once.
 
