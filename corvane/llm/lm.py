@@ -1,6 +1,7 @@
 """LM scoring by context-tree weighting over bytes, beside a smoothed unigram base.
 
-Counting (`gram_counts`): one pass counts words and byte grams (the byte and the DEPTH bytes before it), combined map-side. Every
+Counting (`gram_counts`): one pass counts words and byte grams (the byte and the DEPTH bytes before it), combined in the worker over `HELD` rows
+at most and then map-side. Texts are taken in parts of `PART` bytes, so a worker's memory does not follow its batches. Every
 context of 0 to DEPTH bytes is a node of the tree. Grams of documents that don't train are in the table too, with 0 for
 training, so a table of all grams serves every document. Each next byte is decomposed into eight binary decisions. At every node and
 decision the Krichevsky-Trofimov estimate of the node is weighted half and half with the product of its children's weighted
@@ -14,7 +15,8 @@ is held whole: 2 ** 24 grams at the very most, in texts well below a million.
 
 Scoring (`scored`): words and grams are not bounded, so only the `frequent` most frequent words and the grams of the highest counts (at
 most `frequent_grams`, 16 bytes each) are broadcast; the rest of each document's words and grams are joined by key,
-each document's equal ones as one row. A hot word or gram is always among the frequent ones.
+each document's equal ones as one row. Frequent is what all documents have most often, so that no hot word or gram is joined. They are
+held as sorted arrays and looked up by binary search, a part's words and grams at a time.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from corvane.llm.common import written
 
 DEPTH = 4
 #: Bytes of text that are turned into grams at a time.
-PART = 1 << 22
+PART = 1 << 19
+#: Words, and grams, that a worker counts before it gives them on.
+HELD = 1 << 20
 #: Grams, in whole subtrees, that are weighted at a time.
 CHUNK = 1 << 17
 
@@ -86,28 +90,72 @@ def gram_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return keys
 
 
+class Tally:
+    """Counts by 64-bit key, two a key, in sorted arrays that are merged when they have doubled."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.merged = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray, every: np.ndarray) -> None:
+        self.parts.append((keys, n, every))
+        self.size += len(keys)
+        if self.size > max(HELD // 2, 2 * self.merged):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n, every = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.parts = [(keys[first], np.add.reduceat(n[order], first), np.add.reduceat(every[order], first))]
+        self.size = self.merged = len(first)
+
+    def taken(self, gram: bool) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.merge()
+            keys, n, every = self.parts[0]
+            for i in range(0, len(keys), 1 << 16):
+                j = i + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[i:j]), gram)), pa.array(keys[i:j]), pa.array(n[i:j]), pa.array(every[i:j])], ["gram", "key", "n", "every"])
+        self.__init__()
+
+
+def counted_grams(texts: list[list[bytes]], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of the texts, in order: key, how often in texts that are not held out, and in all."""
+    data, starts = coded(texts)
+    marked = gram_keys(data, own_places(data, starts))
+    marked <<= 1
+    marked |= np.repeat(held, np.diff(starts) - DEPTH)
+    marked, every = np.unique(marked, return_counts=True)
+    return marked >> 1, np.where(marked & 1, 0, every), every
+
+
+def counted_words(texts: list[list[bytes]], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts: hash, how often in texts that are not held out, and in all."""
+    every, own = Counter(), Counter()
+    for words, out in zip(texts, held.tolist(), strict=True):
+        every.update(words)
+        if not out:
+            own.update(words)
+    n = len(every)
+    return tuple(np.fromiter(x, dtype=np.int64, count=n) for x in (map(word_key, every), (own[w] for w in every), every.values()))
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """docs (held_out: boolean, text: binary) -> (gram: boolean, key: long, n, every): words of training documents by 64-bit hash, and all
+    """docs (held_out: boolean, text: binary) -> (gram: boolean, key: long, n, every): all words by 64-bit hash, and all
     grams of DEPTH + 1 bytes. n counts training documents only, every all of them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = {False: Tally(), True: Tally()}
         for batch, rows, texts in parts_of(batches, 1):
             held = batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
-            words: Counter = Counter()
-            for t, out in zip(texts, held.tolist(), strict=True):
-                if not out:
-                    words.update(t)
-            data, starts = coded(texts)
-            at = own_places(data, starts)
-            out = np.repeat(held, np.diff(starts) - DEPTH)
-            grams, every = np.unique(gram_keys(data, at) << 1 | out, return_counts=True)
-            key = np.concatenate((np.fromiter(map(word_key, words), dtype=np.int64, count=len(words)), grams >> 1))
-            own = np.fromiter(words.values(), dtype=np.int64, count=len(words))
-            n, every = np.concatenate((own, np.where(grams & 1, 0, every))), np.concatenate((own, every))
-            kind = np.arange(len(key)) >= len(words)
-            for i in range(0, len(key), 1 << 16):
-                j = i + (1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[i:j]), pa.array(key[i:j]), pa.array(n[i:j]), pa.array(every[i:j])], ["gram", "key", "n", "every"])
+            for gram, tally in tallies.items():
+                tally.add(*(counted_grams if gram else counted_words)(texts, held))
+                if tally.size > HELD:
+                    yield from tally.taken(gram)
+        for gram, tally in tallies.items():
+            yield from tally.taken(gram)
 
     rows = docs.mapInArrow(counted, "gram boolean, key long, n long, every long")
     return rows.groupBy("gram", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
@@ -284,7 +332,24 @@ def most_frequent(logs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return (logs.limit(0), logs) if least is None else (logs.where(bucket >= least), logs.where(bucket < least))
 
 
-def scored(docs: DataFrame, frequent: int = 1 << 16, frequent_grams: int = 1 << 20, folds: int = 5, held_out: int = 1) -> DataFrame:
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the wanted are among the sorted keys, their values; 0 for the others)"""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[at] == wanted
+    return found, np.where(found, values[at], 0.0)
+
+
+def sorted_arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """df (key, log), of proven size, as arrays in order of the key."""
+    table = df.select("key", F.col("log").cast("double").alias("log")).toArrow()
+    keys, logs = table["key"].to_numpy(), table["log"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order].astype(np.int64), logs[order].astype(np.float64)
+
+
+def scored(docs: DataFrame, frequent: int = 1 << 16, frequent_grams: int = 1 << 19, folds: int = 5, held_out: int = 1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row.
 
     Documents whose crc32(doc_id as text) mod folds is held_out are left out of training; a null doc_id counts as empty text and
@@ -297,57 +362,63 @@ def scored(docs: DataFrame, frequent: int = 1 << 16, frequent_grams: int = 1 <<
     counts = written(gram_counts(base.select("held_out", "text")), "counts")
     ends = base.where(~F.col("held_out")).count()
     words = counts.where(~F.col("gram"))
-    n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     train_tokens, kinds = n_words + ends, kinds + (ends > 0)
-    top = words.orderBy(F.desc("n"), "key").limit(frequent).toPandas()
+    # a word that no training document has keeps a null log: it counts as unknown, like one that is not in the table
+    word_logs = words.select("key", "every", F.when(F.col("n") > 0, F.log10(F.col("n") + 0.5)).alias("log"))
+    common, uncommon = most_frequent(word_logs, frequent)
     often, seldom = most_frequent(written(gram_logs(counts.where("gram")), "grams"), frequent_grams)
-    grams = often.select("key", "log").toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((grams["key"].to_numpy(dtype=np.int64), grams["log"].to_numpy(dtype=np.float64), dict(zip(top["key"].tolist(), top["n"].tolist(), strict=True))))
-    least = int(top["n"].iloc[-1]) if len(top) == frequent else 0
+    unknown = float(np.log10(0.5))
+    shared = spark.sparkContext.broadcast((sorted_arrays(common.select("key", F.coalesce("log", F.lit(unknown)).alias("log"))), sorted_arrays(often)))
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, often_logs, common = shared.value
-        logs = {k: float(np.log10(n + 0.5)) for k, n in common.items()}
+        (common_keys, common_logs), (often_keys, often_logs) = shared.value
         end_log = float(np.log10(ends + 0.5))
         for batch, rows, texts in parts_of(batches, 3):
             data, starts = coded(texts)
-            at = own_places(data, starts)
             bounds = starts - DEPTH * np.arange(len(starts))
-            grams, place = np.unique(gram_keys(data, at), return_inverse=True)
-            where = np.searchsorted(often, grams)
-            found = np.append(often, -1)[where] == grams
-            values = np.where(found, np.append(often_logs, 0.0)[where], 0.0)
+            grams, place = np.unique(gram_keys(data, own_places(data, starts)), return_inverse=True)
+            found, values = looked_up(often_keys, often_logs, grams)
             scores = np.add.reduceat(values[place], bounds[:-1])
             late = np.flatnonzero(~found[place])
             late_from = np.searchsorted(late, bounds)
             late = grams[place[late]]
-            n_tokens, n_known, sums, rare = [], [], [], []
+            every = list({w for words in texts for w in words})
+            hashes = np.fromiter(map(word_key, every), dtype=np.int64, count=len(every))
+            seen, logs = looked_up(common_keys, common_logs, hashes)
+            known = dict(zip(every, zip(hashes.tolist(), seen.tolist(), logs.tolist(), strict=True), strict=True))
+            n_tokens, n_known, sums, kinds_of, keys_of, times_of, sizes = [], [], [], [], [], [], [0]
             for t, words in enumerate(texts):
-                total, known = end_log, int(ends > 0)
-                left = [{"gram": True, "key": k, "n": n} for k, n in zip(*(x.tolist() for x in np.unique(late[late_from[t] : late_from[t + 1]], return_counts=True)), strict=True)]
-                for word, n in Counter(words).items():
-                    key = word_key(word)
-                    log = logs.get(key)
-                    if log is None:
-                        left.append({"gram": False, "key": key, "n": n})
+                total, n = end_log, int(ends > 0)
+                keys, times = np.unique(late[late_from[t] : late_from[t + 1]], return_counts=True)
+                own_keys, own_times = [], []
+                for word, k in Counter(words).items():
+                    key, is_common, log = known[word]
+                    if is_common:
+                        total += k * log
+                        n += k if log != unknown else 0
                     else:
-                        total += n * log
-                        known += n
+                        own_keys.append(key)
+                        own_times.append(k)
+                kinds_of.append(np.arange(len(keys) + len(own_keys)) < len(keys))
+                keys_of += [keys, np.array(own_keys, dtype=np.int64)]
+                times_of += [times, np.array(own_times, dtype=np.int64)]
+                sizes.append(len(keys) + len(own_keys))
                 n_tokens.append(len(words) + 1)
-                n_known.append(known)
+                n_known.append(n)
                 sums.append(total)
-                rare.append(left)
             own = batch.take(pa.array(rows)).select([0, 1, 2])
-            more = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.struct([("gram", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])))]
+            rare = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (kinds_of, keys_of, times_of)], ["gram", "key", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rare)
+            more = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), rare]
             yield pa.RecordBatch.from_arrays([*own.columns, *more], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = written(base.mapInArrow(partly, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, sums double, score double, rare array<struct<gram: boolean, key: long, n: long>>"), "scores")
     rare = part.select("uid", F.explode("rare").alias("r")).select("uid", "r.gram", "r.key", F.col("r.n").alias("times"))
-    known = words.where(F.col("n") <= least) if least else words.limit(0)
-    known = known.select("gram", "key", F.log10(F.col("n") + 0.5).alias("log")).unionByName(seldom.select(F.lit(True).alias("gram"), "key", "log"))
+    known = uncommon.select(F.lit(False).alias("gram"), "key", "log").unionByName(seldom.select(F.lit(True).alias("gram"), "key", "log"))
     joined = rare.join(known, ["gram", "key"], "left")
-    value = F.col("times") * F.coalesce("log", F.log10(F.lit(0.5)))
+    value = F.col("times") * F.coalesce("log", F.lit(unknown))
     word = ~F.col("gram")
     late = joined.groupBy("uid").agg(
         F.sum(F.when(word, value)).alias("late"), F.sum(F.when(word & F.col("log").isNotNull(), F.col("times"))).alias("late_known"), F.sum(F.when(F.col("gram"), value)).alias("late_score")
