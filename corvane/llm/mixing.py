@@ -3,8 +3,9 @@
 A source's tokens are laid out in a seeded order of its documents and cut into blocks of equally many tokens. Blocks of
 the mix are seats: each goes to the source whose quotient target / (2k - 1) is highest, k counting the source's
 blocks. The seat order does not depend on the number of seats, so the seats up to a shard's end, less those up to its start, are
-the shard's integer quotas. A source given more blocks than it has starts again from its first block, three
-times over at most.
+the shard's integer quotas. Each shard then takes its quota of blocks of every source, where the shard before it stopped in the seeded
+order. A source given more blocks than it has starts again from its first block, three times over at most. A document's words are
+counted shard by shard.
 
 The seats need not be listed: a source of share p holds, among the first h of m sources' seats, between
 p(h - m/2) - 3/2 and p(h + m/2) + 3/2. Only the seats in that range, 4m or so in all, are ranked by quotient.
@@ -72,41 +73,55 @@ def shard_quotas(targets: DataFrame, shards: int, block_tokens: int | None, most
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, shards: int = 8, block_tokens: int | None = None, seed: int = 7) -> DataFrame:
-    """docs (doc_id, source, text) -> per document: doc_id, source, size, source_size, target, taken, start.
+    """docs (doc_id, source, text) -> per document: doc_id, source, size, source_size, target, taken, by_shard, start, order.
 
-    taken: words that the mix takes from the document, repeats counted; start: its first token in its source's stream. A null
-    text has size 0 and is taken 0 times; a null source is a source. Repeated rows are documents of their own; ties in
-    the seeded order fall between equal rows only. An empty table gives an empty one. Other columns are not looked at."""
+    by_shard: words that each shard takes from the document, repeats counted; taken: their sum; start: its first token in its source's
+    stream; order: its place in the seeded order. A null text has size 0 and is taken 0 times; a null source is a source. Repeated rows are
+    documents of their own; ties in the seeded order fall between equal rows only. An empty table gives an empty one. Other columns are not looked at."""
     base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")).cast("binary"))
     sized = written(base.withColumn("order", key).withColumn("bucket", F.substring("order", 1, 3)), "sizes")
     in_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     in_bucket = written(in_bucket, "buckets")
     targets = written(source_targets(in_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, limit), "targets")
-    quotas = shard_quotas(targets, shards, block_tokens).groupBy("rank").agg((F.max("last") * F.max("block")).alias("stream"))
-    plan = targets.join(quotas, "rank", "left").select(F.col("source").alias("s"), "source_size", "target", F.least(F.coalesce("stream", F.lit(0)), (F.lit(limit) * F.col("source_size")).cast("long")).alias("stream"))
+    # a source's shards follow one another in its stream: one row a source, with as many ends as there are shards
+    quotas = shard_quotas(targets, shards, block_tokens).groupBy("rank").agg(F.array_sort(F.collect_list(F.col("last") * F.col("block"))).alias("ends"))
+    most = (F.lit(limit) * F.col("source_size")).cast("long")
+    ends = F.transform(F.coalesce("ends", F.array_repeat(F.lit(0).cast("long"), shards)), lambda e: F.least(e, most))
+    plan = targets.join(quotas, "rank", "left").select(F.col("source").alias("s"), "source_size", "target", ends.alias("ends"))
     before = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = in_bucket.withColumn("before", before)
-    starts = starts.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "stream")
+    starts = starts.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "ends")
     within = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
     rows = sized.withColumn("within", F.coalesce(within, F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    start = F.col("before") + F.col("within")
-    turns = F.when(F.col("source_size") > 0, F.floor(F.col("stream") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("stream") - turns * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(start + F.col("size"), rest) - start)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (turns * F.col("size") + part).cast("long").alias("taken"), start.alias("start"), "order")
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("within"))
+
+    def up_to(end: Column) -> Column:
+        """Words of the document in the first `end` words of the source's stream, which starts again at its end."""
+        turns = F.floor(end / F.col("source_size")).cast("long")
+        return F.when(F.col("source_size") > 0, turns * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), end - turns * F.col("source_size") - F.col("start")))).otherwise(0).cast("long")
+
+    rows = rows.withColumn("sums", F.transform("ends", up_to))
+    by_shard = F.transform("sums", lambda x, i: x - F.coalesce(F.get("sums", i - 1), F.lit(0)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.element_at("sums", -1).alias("taken"), by_shard.alias("by_shard"), "start", "order")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs -> its rows and columns as the mix takes them: each as often as its words are taken, to the nearest whole document.
 
     Selection runs along the seeded order, so at most one document of a source is cut; it is taken where at least half of
-    it is. Documents without words are not taken. Documents are told apart by doc_id, source and number of words."""
+    it is. Documents without words are not taken. Rows that agree in doc_id, source and number of words share what the mix takes of them all,
+    as evenly as whole numbers allow: the first by a hash of their columns (maps excepted) take one more."""
     taken = mix(docs, **options).where("size > 0")
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    taken = taken.withColumn("times", times).where("times > 0").groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("same"))
-    picked = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.ceil(F.col("times") / F.col("same")).cast("int").alias("times"))
+    taken = taken.withColumn("times", times).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("same")).where("times > 0")
+    picked = written(taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("times").cast("int").alias("times"), "same"), "picked")
     rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.join(picked, F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (n_words(F.col("row.text")) == F.col("z")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn")).select("row.*")
+    joined = rows.join(picked, F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (n_words(F.col("row.text")) == F.col("z")))
+    order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    place = F.row_number().over(W.partitionBy("d", "s", "z").orderBy(order)) - 1
+    several = joined.where("same > 1").withColumn("place", place)
+    share = F.floor(F.col("times") / F.col("same")) + (F.col("place") < F.col("times") % F.col("same")).cast("int")
+    several = several.select("row", share.cast("int").alias("times")).where("times > 0")
+    every = joined.where("same = 1").select("row", "times").unionByName(several)
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn")).select("row.*")
