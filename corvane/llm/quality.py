@@ -15,30 +15,51 @@ from pyspark.sql import functions as F
 from corvane.llm.common import WORD, let
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Fixed phrases that mark a line as boilerplate, matched without case.
-BOILERPLATE = r"(?i)lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|click here|read more|sign up|log ?in to|subscribe to our|copyright ©|\(c\) \d{4}"
+#: Fixed phrases of legal and technical notices, by language, matched without case in lines of at most 30 words.
+NOTICES = {
+    "en": r"lorem ipsum|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|copyright ©|\(c\) [0-9]{4}",
+    "de": r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies",
+    "fr": r"tous droits réservés|mentions légales|politique de confidentialité|utilise des cookies",
+    "es": r"todos los derechos reservados|aviso legal|política de privacidad|utiliza cookies",
+}
+#: Fixed phrases that ask the reader to do something on the page, by language, matched without case in lines of at most 12 words.
+ACTIONS = {
+    "en": r"click here|read more|sign up|log ?in to|subscribe to our",
+    "de": r"hier klicken|weiterlesen|jetzt anmelden|newsletter abonnieren",
+    "fr": r"cliquez ici|lire la suite|abonnez-vous",
+    "es": r"haga clic aquí|leer más|suscríbase",
+}
 #: Separators of menus and breadcrumbs.
 NAVIGATION = r"\||»|›|→|·|•"
+MARKS = r"[#*$%&|<>{}~^=\\]|!"
+ADDRESS = r"https?://|www\."
+PUNCTUATION = r"[.,;:!?…。、，！？؟،]"
 
 
-def line_fails(line: Column) -> Column:
+def phrases(by_language: dict[str, str]) -> str:
+    return f"(?iu){'|'.join(by_language.values())}"
+
+
+def line_fails(line: Column, notices: dict[str, str] | None = None, actions: dict[str, str] | None = None) -> Column:
     """Whether a line (with at least one word) breaks a rule.
 
-    Punctuation: symbols, or exclamation marks, for a fifth of the words or more, or nearly all letters capital in five words or more.
-    Navigation: menu separators for a fifth of the words or more. Boilerplate: a listed phrase in a line of at most 30 words.
-    Repetition: ten words or more of which under a quarter are different."""
+    Punctuation: symbols, or exclamation marks, for a fifth of the words or more; nearly all letters capital in five words or more; 20 words
+    or more without any punctuation. Navigation: menu separators for a fifth of the words or more, or addresses for a third. Boilerplate: a
+    phrase of a notice in a line of at most 30 words, or one that asks for an action in at most 12. Repetition: ten words or more of
+    which under a quarter are different."""
+    notices, actions = phrases(NOTICES if notices is None else notices), phrases(ACTIONS if actions is None else actions)
 
     def rules(n: Column) -> Column:
-        marks = F.regexp_count(line, F.lit(r"[#*$%&|<>{}~^=\\]|!"))
-        separators = F.regexp_count(line, F.lit(NAVIGATION))
-        upper = F.regexp_count(line, F.lit(r"\p{Lu}{2}"))
-        lower = F.regexp_count(line, F.lit(r"\p{Ll}{2}"))
+        count = lambda pattern: F.regexp_count(line, F.lit(pattern))
         different = F.size(F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"))))
         return (
-            (5 * marks >= n)
-            | (5 * separators >= n)
-            | ((n >= 5) & (upper > 4 * lower))
-            | ((n <= 30) & line.rlike(BOILERPLATE))
+            (5 * count(MARKS) >= n)
+            | (5 * count(NAVIGATION) >= n)
+            | ((n >= 5) & (count(r"\p{Lu}{2}") > 4 * count(r"\p{Ll}{2}")))
+            | ((n >= 20) & ~line.rlike(PUNCTUATION))
+            | (3 * count(ADDRESS) >= n)
+            | ((n <= 30) & line.rlike(notices))
+            | ((n <= 12) & line.rlike(actions))
             | ((n >= 10) & (4 * different < n))
         )
 
@@ -90,8 +111,8 @@ def n_repeat_words(words: Column, window: int = 8) -> Column:
 def judged(docs: DataFrame, most_lost: float = 0.4, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost.
 
-    A null or empty text has no words and fails the base rules. n_lost: words in lines that are removed. Repeated rows are judged each;
-    other columns are not looked at."""
+    A null or empty text has no words and fails the base rules. n_lost: words in lines that are removed. Repeated rows and null ids are judged
+    each; other columns are not looked at. An empty table gives an empty one."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})")))
     long = lambda c: c.cast("long")
@@ -112,7 +133,8 @@ def judged(docs: DataFrame, most_lost: float = 0.4, least_words: int = 20, most_
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """docs' rows and columns: the documents that are kept, without the lines that fail or repeat.
 
-    A text that loses no words is left as it is; from others blank lines go too. n_chars, where docs has it, follows the text."""
+    A text that loses no words is left as it is; from others blank lines go too. n_chars, where docs has it, follows the text. Other
+    columns stay as they are, whatever their names. Repeated rows stay repeated."""
     packed = docs.select(F.struct("*").alias("doc_id"), "text")
     rows = judged(packed, **options).where("kept").select(F.col("doc_id").alias("row"), "n_lost")
     text = F.when(F.col("n_lost") > 0, F.array_join(lines_that_stay(F.col("row.text")), "\n")).otherwise(F.col("row.text"))
