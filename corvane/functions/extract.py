@@ -1,11 +1,15 @@
 """Numbers, years, snippets, chunks and file names out of texts."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed patterns: what counts as a number, a range of years and a year.
 NUMBER = r"([-+]?[0-9]+(?:[,.][0-9]+)?)"
-YEAR_RANGE = r"(20[0-9][0-9][–-]20[0-9][0-9])"
-YEAR = r"(20[0-9][0-9])"
+YEAR_RANGE = r"20[0-9][0-9]\s*[-–—]\s*20[0-9][0-9]"
+YEAR = r"(?U)\b20[0-9][0-9]\b"
 
 
 def numbers(text: Column) -> Column:
@@ -15,22 +19,63 @@ def numbers(text: Column) -> Column:
 
 
 def periods(text: Column) -> Column:
-    """array<string>: ranges of years if there are any, else single years."""
+    """array<struct<start_year, end_year>>, distinct and in order: ranges of years if there are any, else single years."""
     body = F.coalesce(text, F.lit(""))
-    ranges = F.regexp_extract_all(body, F.lit(YEAR_RANGE))
-    return F.when(F.size(ranges) > 0, ranges).otherwise(F.regexp_extract_all(body, F.lit(YEAR)))
+    year = lambda x, at: F.substring(x, at, 4).cast("int")
+    span = lambda x: F.struct(year(x, 1).alias("start_year"), year(x, -4).alias("end_year"))
+    ranges = F.regexp_extract_all(body, F.lit(YEAR_RANGE), F.lit(0))
+    return F.array_distinct(F.transform(F.when(F.size(ranges) > 0, ranges).otherwise(F.regexp_extract_all(body, F.lit(YEAR), F.lit(0))), span))
 
 
-def snippet(text: Column, most: int = 180) -> Column:
-    """White space collapsed; a text beyond `most` characters is cut and ends in three points."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\r\\n]+", " "))
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most - 3)), F.lit("...")))
+#: Characters that an answer grows by from one message to the next: a fixed value.
+CHUNK = 48
 
 
-def chunks(text: Column, size: int = 48) -> Column:
+def chunks(text: Column, size: int = CHUNK) -> Column:
     """array<string>: the text in pieces of `size` characters, in one linear pass."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(.{{1,{size}}})"))
 
 
+def messages(text: Column, size: int = CHUNK) -> Column:
+    """array<string>: what a reader has seen after each piece, the whole text last."""
+    body = F.coalesce(text, F.lit(""))
+    ends = F.sequence(F.lit(1), F.ceil(F.length(body) / size).cast("int"))
+    return F.when(F.length(body) == 0, F.array().cast("array<string>")).otherwise(F.transform(ends, lambda i: F.substring(body, F.lit(1), i * size)))
+
+
+def repaired(text: Column) -> Column:
+    """A text whose UTF-8 bytes were read as Windows-1251, read again; one that isn't is left as it is."""
+
+    @F.pandas_udf("string")
+    def again(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else _again(t))
+
+    return again(text)
+
+
+def _again(text: str) -> str:
+    try:
+        return text.encode("cp1251").decode("utf-8")
+    except UnicodeError:
+        return text
+
+
+def json_object(text: Column) -> Column:
+    """The outermost {...} in a text as a variant; null where there is none or it is no JSON."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0), F.lit("")))
+
+
+def cursor(at: Column, key: Column) -> Column:
+    """The place of a row in a feed as text: time, bar, key."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("|"), key.cast("string"))
+
+
+def cursor_parts(text: Column) -> Column:
+    """struct<at, key> of a cursor; null where it is none."""
+    at, key = F.substring_index(text, "|", 1), F.substring_index(text, "|", -1)
+    return F.when(text.contains("|"), F.struct(at.try_cast("timestamp_ntz").alias("at"), key.alias("key")))
+
+
 def safe_filename(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), "[^A-Za-z0-9._-]+", "_")

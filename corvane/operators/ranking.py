@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.text import overlap, tokens
+from corvane.functions.text import token_share
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,7 +23,7 @@ def dense(points: DataFrame, key: str, vector: str, query: list[float], k: int)
 
 
 def lexical(spans: DataFrame, key: str, text: str, query: list[str], k: int) -> DataFrame:
-    scored = spans.select(key, F.round(overlap(tokens(F.col(text)), query), 6).alias("score")).where("score > 0")
+    scored = spans.select(key, F.round(token_share(F.col(text), query), 6).alias("score")).where("score > 0")
     return top(scored, "score", key, k)
 
 

@@ -16,7 +16,8 @@ ORACLES: dict[str, str] = {}
 TERMS = ["the", "and", "tion", "license", "der"]
 TERM_SQL = "['the','and','tion','license','der']"
 LEVELS = "CASE doc_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'restricted' END"
-OVERLAP_SQL = f"len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), {TERM_SQL})) / 5.0"
+TOKENS_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_%/.-]+'), lambda t: trim(t, '.,;:()[]{}')), lambda t: length(t) >= 2))"
+OVERLAP_SQL = f"len(list_intersect({TOKENS_SQL}, {TERM_SQL})) / 5.0"
 
 
 def query(sql: str):
@@ -91,7 +92,7 @@ def w01_hybrid(spark, sf_dir):
  SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 25""")
 def t03_rerank(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    scored = docs.select("doc_id", text.overlap(text.tokens(F.col("text")), TERMS).alias("overlap"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("constraint"), (F.col("doc_id") % 7 / 7.0).alias("base"))
+    scored = docs.select("doc_id", text.token_share(F.col("text"), TERMS).alias("overlap"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("constraint"), (F.col("doc_id") % 7 / 7.0).alias("base"))
     return ranking.reranked(scored, "doc_id", 25)
 
 
@@ -149,12 +150,6 @@ def pr02_table_rows(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(". "), cells).alias("row_text"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS first_value, 'mg/l' AS first_unit, 2 AS found FROM lineitem""")
-def x_quantities(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").withColumn("q", text.quantities(F.concat(F.col("l_quantity").cast("string"), F.lit(" mg/l at "), F.col("l_linenumber").cast("string"), F.lit(" m/s"))))
-    return items.select("l_orderkey", "l_linenumber", F.col("q")[0]["value"].alias("first_value"), F.col("q")[0]["unit"].alias("first_unit"), F.size("q").alias("found"))
-
-
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE value BETWEEN 10 AND 60 GROUP BY 1")
 def f25_audit_filter(spark, sf_dir):
     return read(spark, sf_dir, "events").where(F.col("value").between(10, 60)).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions import extract
+from corvane.functions import extract, text
 from corvane.operators import evaluation, state
 from corvane.plans.queries import claims, query, read
 
@@ -15,16 +15,10 @@ def x04_numbers(spark, sf_dir):
     return found.select("doc_id", F.size("v").cast("long").alias("n"), F.array_max("v").alias("largest"))
 
 
-@query("""SELECT doc_id, array_to_string(CASE WHEN len(r) > 0 THEN r ELSE regexp_extract_all(coalesce(text, ''), '20[0-9][0-9]') END, ',') AS periods
- FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '20[0-9][0-9][–-]20[0-9][0-9]') AS r FROM documents)""")
-def x10_periods(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.periods(F.col("text")), ",").alias("periods"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE rtrim(substr(t, 1, 177)) || '...' END AS snippet
  FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents)""")
 def x32_snippets(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", extract.snippet(F.col("text")).alias("snippet"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
 @query("SELECT page_id, regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM pages")
