@@ -18,23 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
-    set_one = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset on one machine (tests), one of our own."""
+    set_one = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_one:
         return set_one.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(spark, "_corvane_folder"):
         spark._corvane_folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
     return spark._corvane_folder
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    """Removes a table that this session wrote, as far as the session still lives."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the context is gone: the cluster's own cleaning of the shared folder is left to do it
-        pass
+    """Removes a table that this session wrote. Where the session has ended, the cluster's cleaning of the shared folder is left to do it."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -83,7 +84,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         rest = df.join(first, (F.col("u") == F.col("k")) & (F.col("v") > F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
         return first.select(F.col("k").alias("u"), F.col("m").alias("v")).unionByName(rest).distinct()
 
-    now, seen = written(small_star(oriented(edges.where("u is not null and v is not null"))), "edges"), None
+    given = written(oriented(edges.where("u is not null and v is not null")), "edges")
+    now, seen = written(small_star(given), "edges"), None
+    dropped(given)
     for _ in range(rounds):
         new = written(small_star(large_star(now)), "edges")
         dropped(now)

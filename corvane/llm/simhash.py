@@ -3,7 +3,7 @@
 Every fingerprint class (equal fingerprints; a class is one row however many copies it has) goes to several shards so that
 any two within the radius meet in one, and shards of a single class end in the JVM. A task turns a shard into a
 BK-tree, whose children are keyed by their Hamming distance to the parent, and looks each fingerprint up in it, following
-only edges within the radius of its own distance. A shard yields a star for each of its groups, never all pairs.
+only edges within the radius of its own distance. A shard yields a link for each class it joins to a group, never all pairs.
 
 The trees aren't broadcast: all of them together grow with the corpus. Each shard's tree travels as the shard's row instead.
 
@@ -12,15 +12,20 @@ blocks but r, so a shard is one choice of the blocks that agree with their value
 keys, and a shard at most 2 ** 14 classes whatever the corpus: no key is ever hot.
 
 Weak-bit shards (`weak_shards`), for radii that no choice of blocks can serve: a bit differs between near-duplicates when its vote
-was close. Each 32-bit block is keyed with every setting of the `weak` bits of closest vote, on both sides. A key is not bounded: one
-with more than `block` classes is cut into blocks, and each pair of blocks is a shard. No pair is lost and no shard is larger
-than about two blocks, but the pairs of a key of n classes are still compared, in n / block as many rows.
+was close. Each block of a 384-bit fingerprint is keyed with every setting of its `weak` bits of closest vote, on both sides. `plan`
+takes blocks as wide as the number of documents asks, so that keys stay selective, and the weak bits and the radius that give the recall
+asked at the similarity asked. Keys and classes are sorted once, 16 bytes a row, and only classes that share a key go on. A class has a key
+once, so no key holds more than one in some 200 of all rows. One with more than `block` classes is cut into blocks, and each pair of blocks
+is a shard. No pair is lost and no shard is larger than about two blocks, but the pairs of a key of n classes are still compared, in n /
+block as many rows. Links are then verified on the documents' whole shingle sets (`verified`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -29,17 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, written
+from corvane.llm.common import connected_components, dropped, written
 
 CHUNK = 1 << 15
+#: Bits of the fingerprints that weak-bit shards compare.
+WIDE = 384
 
 
-def shingle_votes(text: str, words: int, lanes: int) -> tuple[np.ndarray, int]:
-    """Per bit, in how many shingles' hashes it is set; and the number of shingles. Lane j is XXH64 with seed 42 + j."""
+def shingles(text: str, words: int) -> Iterator[list[bytes]]:
+    """The text's shingles, CHUNK at a time: lower-cased words joined by spaces; the whole sequence where it is shorter."""
     tokens = text.encode("utf-8").lower().split()  # on bytes: A-Z only, ASCII white space only
-    votes = np.zeros(64 * lanes, dtype=np.int64)
     if not tokens:
-        return votes, 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -48,23 +54,76 @@ def shingle_votes(text: str, words: int, lanes: int) -> tuple[np.ndarray, int]:
     else:
         starts, ends = starts[:1], ends[-1:]
     for at in range(0, len(starts), CHUNK):
-        parts = [joined[s:e] for s, e in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)]
-        for lane in range(lanes):
-            digest, seed = xxhash.xxh64_digest, 42 + lane
-            hashes = np.frombuffer(b"".join([digest(p, seed) for p in parts]), dtype=np.uint8)
-            votes[64 * lane : 64 * lane + 64] += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return votes, len(starts)
-
-
-def lanes_of(votes: np.ndarray, n: int) -> list[int]:
-    """The fingerprint as signed 64-bit lanes, most significant bit first; a bit is set if over half the shingles set it."""
-    return np.packbits(2 * votes > n).view(">i8").astype(np.int64).tolist()
-
-
-def weak_bits(votes: np.ndarray, n: int, weak: int) -> list[int]:
-    """Of each 32-bit block, the places (from its lowest bit) of the `weak` bits whose votes were closest."""
-    margin = np.abs(2 * votes - n).reshape(-1, 32)
-    return (31 - np.argsort(margin, axis=1, kind="stable")[:, :weak]).ravel().tolist()
+        yield [joined[s:e] for s, e in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)]
+
+
+def shingle_votes(text: str, words: int) -> tuple[np.ndarray, int]:
+    """Per bit of 64, in how many shingles' XXH64 (seed 42) it is set; and the number of shingles."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for parts in shingles(text, words):
+        hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(p, 42) for p in parts]), dtype=np.uint8)
+        votes += bit_counts(hashes.reshape(-1, 8))
+        n += len(parts)
+    return votes, n
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """hashes (rows of bytes) -> per bit, in how many rows it is set: 128 rows at a time in single bytes."""
+    bits = np.unpackbits(hashes, axis=1)
+    whole = len(bits) // 128 * 128
+    sums = bits[:whole].reshape(-1, 128, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return sums + bits[whole:].sum(axis=0, dtype=np.int64)
+
+
+def wide_votes(text: str, words: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Per bit of WIDE, in how many shingles' hashes it is set; the number of shingles; and the set of shingles, as sorted 32-bit hashes."""
+    votes, n, seen = np.zeros(WIDE, dtype=np.int64), 0, []
+    digest, lanes = xxhash.xxh3_128_digest, range(42, 42 + WIDE // 128)
+    for parts in shingles(text, words):
+        hashes = np.frombuffer(b"".join([digest(p, lane) for p in parts for lane in lanes]), dtype=np.uint8).reshape(-1, WIDE // 8)
+        votes += bit_counts(hashes)
+        seen.append(np.ascontiguousarray(hashes[:, :4]).view(np.uint32).ravel())
+        n += len(parts)
+    return votes, n, np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.uint32)
+
+
+def fingerprint(votes: np.ndarray, n: int) -> int:
+    """The 64-bit fingerprint as a signed number, most significant bit first; a bit is set if over half the shingles set it."""
+    return int(np.packbits(2 * votes > n).view(">i8")[0])
+
+
+def blocks_of(votes: np.ndarray, n: int, width: int) -> list[int]:
+    """The values of the fingerprint's blocks of `width` bits; bits beyond the last whole block have none."""
+    bits = (2 * votes > n)[: WIDE // width * width].reshape(-1, width)
+    return (bits @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))).tolist()
+
+
+def weak_bits(votes: np.ndarray, n: int, width: int, weak: int) -> list[int]:
+    """Of each block, the places (from its lowest bit) of the `weak` bits whose votes were closest."""
+    margin = np.abs(2 * votes - n)[: WIDE // width * width].reshape(-1, width)
+    return (width - 1 - np.argsort(margin, axis=1, kind="stable")[:, :weak]).ravel().tolist()
+
+
+def plan(n: int, similarity: float, recall: float, trials: int = 4000) -> tuple[int, int, int]:
+    """(width of a block, weak bits in each, radius) for n documents: what finds the share `recall` of pairs whose shingle sets have this similarity.
+
+    Sets of Jaccard similarity s have cosine c = 2s / (1 + s); two votes are normal with that correlation, and differ in sign with probability
+    acos(c) / pi. Half of what may be lost is left to the radius, half to the keys, whose share is measured on simulated votes."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = math.acos(min(1.0, cosine)) / math.pi
+    lost = (1 - recall) / 2
+    radius = math.ceil(WIDE * p + NormalDist().inv_cdf(1 - lost) * math.sqrt(WIDE * p * (1 - p)))
+    width = min(32, max(28, math.ceil(math.log2(max(n, 2))) + 10))
+    rng = np.random.default_rng(5)
+    size = (trials, WIDE // width, width)
+    x = rng.standard_normal(size, dtype=np.float32)
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * rng.standard_normal(size, dtype=np.float32)
+    differ, near = (x > 0) != (y > 0), [np.argsort(np.argsort(np.abs(v), axis=2), axis=2) for v in (x, y)]
+    for weak in range(1, 8):
+        met = ~(differ & (near[0] >= weak) & (near[1] >= weak)).any(axis=2)
+        if met.any(axis=1).mean() >= 1 - lost:
+            break
+    return width, weak, radius
 
 
 def fingerprints(text: Column, words: int) -> Column:
@@ -73,7 +132,7 @@ def fingerprints(text: Column, words: int) -> Column:
     @F.pandas_udf("long")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([lanes_of(*shingle_votes(t, words, 1))[0] for t in batch], dtype="int64")
+            yield pd.Series([fingerprint(*shingle_votes(t, words)) for t in batch], dtype="int64")
 
     return marked(F.coalesce(F.make_valid_utf8(text), F.lit("")))
 
@@ -125,28 +184,51 @@ def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
             yield i, first
 
 
-def shard_links(shards: DataFrame, radius: int) -> DataFrame:
-    """shards (members: array of struct(rep, lanes...)) -> links (u, v) between representatives."""
+def nearest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """Links (position, earlier position) within the radius, found in the values' BK-tree: from each value to the closest one of each group it joins."""
+    tree, root = Tree(values), list(range(len(values)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, value in enumerate(values):
+        best: dict[int, tuple[int, int]] = {}
+        for j in tree.near(value, radius):
+            if j < i:
+                group, own = find(j), ((values[j] ^ value).bit_count(), j)
+                best[group] = min(own, best.get(group, own))
+        for group, (_, j) in best.items():
+            a, b = find(i), find(group)
+            root[max(a, b)] = min(a, b)
+            yield i, j
+
+
+def shard_links(shards: DataFrame, radius: int, among=forest) -> DataFrame:
+    """shards (members: array of struct(rep, fp)) -> links (u, v) between representatives. fp: a long, or the bytes of a wide fingerprint."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u: list[int] = []
             v: list[int] = []
             for shard in batch.column(0):
-                members = shard.as_py()
-                members.sort(key=lambda m: m["rep"])
-                reps = [m["rep"] for m in members]
-                values = [0] * len(members)
-                for lane in sorted(k for k in members[0] if k != "rep"):
-                    values = [(x << 64) | (m[lane] & 0xFFFFFFFFFFFFFFFF) for x, m in zip(values, members, strict=True)]
-                for i, j in forest(values, radius):
-                    u.append(reps[i])
-                    v.append(reps[j])
+                members = sorted((m["rep"], m["fp"]) for m in shard.as_py())
+                values = [fp & 0xFFFFFFFFFFFFFFFF if isinstance(fp, int) else int.from_bytes(fp, "big") for _, fp in members]
+                for i, j in among(values, radius):
+                    u.append(members[i][0])
+                    v.append(members[j][0])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return shards.select("members").mapInArrow(linked, "u long, v long").distinct()
 
 
+def dealt(classes: DataFrame, keys: int, rows: int = 1 << 19) -> DataFrame:
+    """classes, a written table, over as many partitions as leave each about so many rows when every class gets its keys."""
+    return classes.repartition(max(1, math.ceil(classes.count() * keys / rows), classes.sparkSession.sparkContext.defaultParallelism))
+
+
 def exact_links(classes: DataFrame, radius: int = 2, blocks: int = 10) -> DataFrame:
     """classes (fp: long, rep: long, fp distinct) -> links (u, v) of representatives that connect all within the radius."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -155,7 +237,7 @@ def exact_links(classes: DataFrame, radius: int = 2, blocks: int = 10) -> DataFr
         mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in range(blocks) if b not in gone)
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
     keys = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m, i: F.struct(i.cast("byte").alias("no"), m.bitwiseAND(F.col("fp")).alias("bits")))
-    spread = classes.select(F.explode(keys).alias("key"), F.struct("rep", "fp").alias("member"))
+    spread = dealt(classes, len(masks)).select(F.explode(keys).alias("key"), F.struct("rep", "fp").alias("member"))
     shards = spread.groupBy("key.no", "key.bits").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
     return shard_links(shards, radius)
 
@@ -167,73 +249,129 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     documents of their own. A null doc_id takes part in links but names no component (one of nulls only has id null). Other
     columns are not looked at. An empty table gives an empty one."""
     marked = written(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     roots = connected_components(exact_links(classes.where("rep is not null"), radius))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, F.col("fp") == F.col("class")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, weak: int = 6, spread: float = 1.0, block: int = 1024) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, group_id: groups of documents whose shingle sets are similar by their 128-bit SimHash.
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, block: int = 1024) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, group_id: the smallest doc_id of the documents linked by shingle sets of at least this similarity.
 
-    Shingle sets of Jaccard similarity s have cosine 2s / (1 + s), and each bit differs with probability angle / pi. The radius
-    is that expectation plus `spread` standard deviations; unrelated texts, at 64 +- 5.7 bits, are far beyond it."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(128 * p + spread * (128 * p * (1 - p)) ** 0.5)
+    A row for each row. Links are candidates by 256-bit SimHash, found with the planned recall at the similarity itself and a higher one
+    above it, and verified on the shingle sets. Texts without words are alike. A null doc_id is linked, but names no group: one of nulls only has id null."""
+    width, weak, radius = plan(docs.count(), similarity, recall)
 
-    @F.pandas_udf("struct<hi: long, lo: long, weak: array<int>>")
+    @F.pandas_udf("struct<fp: binary, blocks: array<long>, weak: array<int>, shingles: binary>")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch:
-                votes, n = shingle_votes(text, words, 2)
-                rows.append((*lanes_of(votes, n), weak_bits(votes, n, weak)))
-            yield pd.DataFrame(rows, columns=["hi", "lo", "weak"])
+                votes, n, seen = wide_votes(text, words)
+                rows.append((np.packbits(2 * votes > n).tobytes(), blocks_of(votes, n, width), weak_bits(votes, n, width, weak), seen.tobytes()))
+            yield pd.DataFrame(rows, columns=["fp", "blocks", "weak", "shingles"])
+
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
+    found = written(texts.select("uid", "doc_id", marked("text").alias("m")).select("uid", "doc_id", "m.*"), "fingerprints")
+    named = found.groupBy("fp").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
+    classes = written(named.join(found.select(F.col("uid").alias("rep"), "blocks", "weak"), "rep"), "classes")
+    met = written(shared_keys(classes, weak, width), "keys")
+    candidates = written(shard_links(weak_shards(classes, met, block), radius, nearest), "candidates")
+    links = written(verified(candidates, found, similarity), "verified")
+    roots = connected_components(links)
+    grouped = classes.select("fp", "rep", "least").join(roots, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
+    grouped = written(grouped, "named")
+    first = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
+    named = grouped.join(first, "group").select(F.col("fp").alias("own"), "group_id")
+    groups = written(found.join(named, F.col("fp") == F.col("own")).select("doc_id", "group_id"), "groups")
+    for table in (found, classes, met, candidates, links, grouped):
+        dropped(table)
+    return groups
+
+
+def verified(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """links (u, v) of found (uid, shingles: sorted 32-bit hashes as bytes) -> those whose sets have at least this Jaccard similarity."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+    sets = found.select("uid", "shingles").join(ends, "uid", "left_semi")
+    both = links.join(sets.select(F.col("uid").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("shingles").alias("b")), "v")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in (a, b))
+                at = np.searchsorted(b, a)
+                shared = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+                every = len(a) + len(b) - shared
+                good.append(shared >= similarity * every - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select("doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
-    found = written(texts.select("doc_id", marked("text").alias("m")).select("doc_id", "m.*"), "fingerprints")
-    classes = found.where("doc_id is not null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "weak")).alias("first"))
-    classes = classes.select(F.col("first.doc_id").alias("rep"), "hi", "lo", F.col("first.weak").alias("weak"))
-    roots = connected_components(shard_links(weak_shards(classes, weak, block), radius))
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "rep").alias("group_id"))
-    return found.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select("doc_id", "group_id")
+    return both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
 
 
-def block_keys(weak: int) -> Column:
-    """Of hi, lo and weak: the keys of the four 32-bit blocks under every setting of each block's weak bits."""
-    blocks = F.array(*[F.shiftrightunsigned(lane, by).bitwiseAND(0xFFFFFFFF) for lane in ("hi", "lo") for by in (32, 0)])
+def block_keys(weak: int, width: int) -> Column:
+    """Of blocks and weak: the keys of every block under every setting of its weak bits."""
 
-    def keys(block: Column, no: Column) -> Column:
-        places = F.slice("weak", no * weak + 1, weak)
-        bits = F.transform(places, lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at))
-        base = F.aggregate(bits, block, lambda value, bit: value.bitwiseAND(F.bitwise_not(bit)))
-        settings = F.aggregate(bits, F.array(base), lambda out, bit: F.concat(out, F.transform(out, lambda value: value.bitwiseOR(bit))))
-        return F.transform(settings, lambda value: value.bitwiseOR(F.call_function("shiftleft", no.cast("long"), F.lit(32))))
+    def keys(value: Column, no: Column) -> Column:
+        bits = F.transform(F.slice("weak", no * weak + 1, weak), lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at))
+        base = F.aggregate(bits, value, lambda v, bit: v.bitwiseAND(F.bitwise_not(bit)))
+        settings = F.aggregate(bits, F.array(base), lambda out, bit: F.concat(out, F.transform(out, lambda v: v.bitwiseOR(bit))))
+        return F.transform(settings, lambda v: v.bitwiseOR(F.call_function("shiftleft", no.cast("long"), F.lit(width))))
 
-    return F.flatten(F.transform(blocks, keys))
+    return F.flatten(F.transform("blocks", keys))
 
 
-def weak_shards(classes: DataFrame, weak: int, block: int) -> DataFrame:
-    """classes (rep, hi, lo, weak) -> (key, pair, members: array of struct(rep, hi, lo)): any two classes of a key meet in a shard.
+def shared_keys(classes: DataFrame, weak: int, width: int) -> DataFrame:
+    """classes (rep, blocks, weak) -> (key, rep) of the keys that more than one class has: one shuffle, sorted, read as a stream."""
+    met = dealt(classes, WIDE // width << weak).select(F.explode(block_keys(weak, width)).alias("key"), "rep")
+    partitions = max(1, math.ceil(classes.count() * (WIDE // width << weak) / (1 << 20)), classes.sparkSession.sparkContext.defaultParallelism)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met_before = None, False  # the row held back, and whether the one before it has its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, reps = (batch.column(i).to_numpy() for i in (0, 1))
+            if last is not None:
+                keys, reps = np.concatenate(([last[0]], keys)), np.concatenate(([last[1]], reps))
+            same, good = keys[1:] == keys[:-1], np.zeros(len(keys), dtype=bool)
+            good[1:] |= same
+            good[:-1] |= same
+            good[0] |= met_before
+            last, met_before = (keys[-1], reps[-1]), bool(good[-1])
+            out = np.flatnonzero(good[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(reps[out])], ["key", "rep"])
+        if met_before:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["key", "rep"])
+
+    return met.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(several, "key long, rep long")
+
+
+def weak_shards(classes: DataFrame, met: DataFrame, block: int) -> DataFrame:
+    """classes (rep, fp), met (key, rep) -> (key, pair, members: array of struct(rep, fp)): any two classes of a key meet in a shard.
 
     Only keys with more than `block` classes are joined with their number of blocks; a class goes to the shards of its block and each other."""
-    met = classes.select("rep", F.explode(block_keys(weak)).alias("key"))
     large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("large"), F.ceil(F.col("n") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: o != own)
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own)))
     placed = met.join(large, F.col("key") == F.col("large"), "left").select("rep", "key", F.explode(pairs).alias("pair"))
-    shards = placed.groupBy("key", "pair").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
-    members = shards.select("key", "pair", F.explode("reps").alias("rep")).join(classes.select("rep", "hi", "lo"), "rep")
-    return members.groupBy("key", "pair").agg(F.collect_list(F.struct("rep", "hi", "lo")).alias("members"))
+    members = placed.join(classes.select("rep", "fp"), "rep")
+    return members.groupBy("key", "pair").agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
 
 
 def near_deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs' rows and columns without near-duplicates: of each group the document of the smallest doc_id stays, once.
 
-    Rows of equal doc_id count as one document; of these, one row stays. Documents whose doc_id is null all stay."""
-    groups = near_duplicate_groups(docs, **options).where("doc_id = group_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    named = rows.where("row.doc_id is not null").join(groups, F.col("row.doc_id") == F.col("kept_id"), "left_semi")
-    one = named.groupBy(F.col("row.doc_id").alias("id")).agg(F.min("row").alias("row")).select("row.*")
-    return one.unionByName(rows.where("row.doc_id is null").select("row.*"))
+    Rows of equal doc_id count as one document, which stays if one of them does; of these rows the first by a hash of their columns
+    (maps excepted) stays. Documents whose doc_id is null all stay."""
+    groups = near_duplicate_groups(docs, **options)
+    by_id = groups.where("doc_id is not null").groupBy("doc_id")
+    judged = written(by_id.agg(F.bool_or(F.col("doc_id") == F.col("group_id")).alias("stays"), F.count("*").alias("same")), "judged")
+    gone = judged.where(~F.col("stays")).select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(judged.where("stays and same > 1").select("doc_id"), "again")
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    several = left.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order.alias("order"))
+    one = several.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
