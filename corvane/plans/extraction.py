@@ -160,10 +160,10 @@ def x18_alike_aliases(spark, sf_dir):
 @query("""WITH h AS (SELECT doc_id, string_agg(sha256(i || ':' || coalesce(text, '')), '' ORDER BY i) AS digits FROM documents, (SELECT unnest(range(2)) AS i) GROUP BY doc_id),
  v AS (SELECT doc_id, d, CAST('0x' || substr(digits, 2 * d + 1, 2) AS INTEGER) / 127.5 - 1.0 AS x FROM h, (SELECT unnest(range(64)) AS d)),
  n AS (SELECT doc_id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS norm FROM v GROUP BY 1)
- SELECT doc_id, min(round(x / norm, 6)) AS low, max(round(x / norm, 6)) AS high, round(sum(round(x / norm, 6)), 4) AS total FROM v JOIN n USING (doc_id) GROUP BY 1""")
+ SELECT doc_id, min(round(x / norm, 6)) AS low, max(round(x / norm, 6)) AS high, round(sum(round(x / norm, 6)), 6) AS total FROM v JOIN n USING (doc_id) GROUP BY 1""")
 def x20_hash_vectors(spark, sf_dir):
     found = read(spark, sf_dir, "documents").select("doc_id", aliases.hash_vector(F.col("text"), 64).alias("v"))
-    return found.select("doc_id", F.array_min("v").alias("low"), F.array_max("v").alias("high"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    return found.select("doc_id", F.array_min("v").alias("low"), F.array_max("v").alias("high"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 #: RE2 has no lookbehind: a mark is put after the ends of sentences, and the text is cut there.
