@@ -1,3 +1,3 @@
 """Importing the package registers the queries of all its modules."""
 
-from corvane.plans import extraction, graphs, queries, states  # noqa: F401
+from corvane.plans import extraction, graphs, queries, search, states  # noqa: F401
