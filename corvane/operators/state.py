@@ -27,3 +27,77 @@ def versioned(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def first_wins(ranked: DataFrame, keys: list[str], rank: str, *values: str) -> DataFrame:
     """Of the rows of a key the one of least rank."""
     return ranked.groupBy(*keys).agg(F.min_by(F.struct(*values), F.col(rank)).alias("_row")).select(*keys, "_row.*")
+
+
+def latest(events: DataFrame, keys: list[str], order: list[str], *values: str) -> DataFrame:
+    """An event log -> the values of each key's last event: state that is derived, never rewritten."""
+    return events.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
+
+
+def upserted_claims(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """old (claim_id, version, status), new (claim_id, status, span_ids, entity_ids) -> (claims, edges (src, rel_type, dst)).
+
+    A claim that was there gets the next version and an edge to the one it supersedes; arrays of ids become edges."""
+    joined = new.join(old.select("claim_id", F.col("version").alias("before")), "claim_id", "left")
+    written = joined.select("claim_id", (F.coalesce("before", F.lit(0)) + 1).alias("version"), "status")
+    claims = old.join(new, "claim_id", "left_anti").select("claim_id", "version", "status").unionByName(written)
+    versioned = joined.where("before is not null").select(F.concat_ws(":", "claim_id", (F.col("before") + 1).cast("string")).alias("src"), F.lit("SUPERSEDES").alias("rel_type"), F.concat_ws(":", "claim_id", F.col("before").cast("string")).alias("dst"))
+    fan = lambda ids, rel: new.select(F.col("claim_id").cast("string").alias("src"), F.lit(rel).alias("rel_type"), F.explode(ids).alias("dst"))
+    return claims, versioned.unionByName(fan("span_ids", "DESCRIBED_IN")).unionByName(fan("entity_ids", "VALIDATED_BY")).distinct()
+
+
+#: Types of relations that have an edge of their own; others are RELATED_TO with their type beside it. Fixed values.
+RELATION_TYPES = ["USES_MATERIAL", "OPERATES_AT_CONDITION", "PRODUCES_OUTPUT", "USES_EQUIPMENT", "VALIDATED_BY", "APPLIED_IN_GEOGRAPHY", "EXPERT_IN"]
+
+
+def relations(raw: DataFrame, targets: DataFrame) -> DataFrame:
+    """raw (src, type, dst), targets (id) -> edges (src, rel_type, semantic_type, dst) to targets that exist, each once."""
+    kind = F.upper(F.coalesce("type", F.lit("")))
+    known = raw.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return known.select("src", F.when(kind.isin(*RELATION_TYPES), kind).otherwise("RELATED_TO").alias("rel_type"), F.when(~kind.isin(*RELATION_TYPES), F.col("type")).alias("semantic_type"), "dst").distinct()
+
+
+def activated(versions: DataFrame, key: str, target) -> DataFrame:
+    """versions (key, status) with the target active and the one that was active inactive; without the target nothing changes."""
+    there = versions.where(F.col(key) == target).limit(1).select(F.lit(True).alias("_there"))
+    joined = versions.crossJoin(F.broadcast(there.agg((F.count("*") > 0).alias("_there"))))  # one row
+    status = F.when(F.col("_there") & (F.col(key) == target), "active").when(F.col("_there") & (F.col("status") == "active"), "inactive").otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("_there")
+
+
+def replaced_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
+    """Rows by parent: those of parents that new has are replaced whole."""
+    return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
+def cascade(documents: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deletes documents (document_id in gone): (ids (id, kind) that go, edges that stay).
+
+    Their spans go, and claims that no other span describes; and what hangs on such claims alone."""
+    spans = edges.where("rel_type = 'PART_OF'").join(gone.select(F.col("document_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
+    described = edges.where("rel_type = 'DESCRIBED_IN'")
+    touched = described.join(spans.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    kept = described.join(spans.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id"))
+    claims = touched.join(kept, "id", "left_anti")
+    hanging = edges.where("rel_type in ('QUANTIFIED_BY', 'DEGRADED_TO')")
+    on_gone = hanging.join(claims.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    others = hanging.join(claims.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("dst").alias("id"))
+    parts = {"document": gone.select(F.col("document_id").alias("id")), "span": spans, "claim": claims, "node": on_gone.join(others, "id", "left_anti")}
+    ids = None
+    for kind, df in parts.items():
+        own = df.select("id", F.lit(kind).alias("kind")).distinct()
+        ids = own if ids is None else ids.unionByName(own)
+    stay = edges.join(ids.select(F.col("id").alias("src")), "src", "left_anti").join(ids.select(F.col("id").alias("dst")), "dst", "left_anti").select(*edges.columns)
+    return ids, stay
+
+
+def lifecycle(events: DataFrame, run: str, at: str, state: str) -> DataFrame:
+    """events of runs -> run, state (the last), started, ended, latency in milliseconds; open runs have no end."""
+    done = F.col(state).isin("completed", "failed")
+    out = events.groupBy(run).agg(F.max_by(state, F.struct(at, state)).alias("state"), F.min(F.when(F.col(state) == "processing", F.col(at))).alias("started"), F.max(F.when(done, F.col(at))).alias("ended"))
+    return out.withColumn("latency_ms", F.timestamp_diff("MILLISECOND", F.col("started").cast("timestamp"), F.col("ended").cast("timestamp")))
+
+
+def missing_from(cache: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Keys that are wanted and not in the cache, each once."""
+    return wanted.select(key).distinct().join(cache, key, "left_anti")

@@ -188,3 +188,13 @@ def graph_stats(g: Graph) -> DataFrame:
     by = {"verified": ("verified", "auto_verified"), "candidates": ("candidate", "extracted"), "conflicts": ("conflicting",)}
     claims = g.claims.agg(F.count("*").alias("claims"), *[F.count_if(F.col("status").isin(*s)).alias(name) for name, s in by.items()])
     return claims.crossJoin(F.broadcast(g.documents.agg(F.count("*").alias("documents")))).select("documents", "claims", *by)  # one row each
+
+
+def cascade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part and the last digits of its orders are a claim that several orders' spans may describe, with a measurement of its own."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("o"), (F.col("l_partkey") * 100 + F.col("l_orderkey") % 100).cast("string").alias("p")).distinct()
+    edge = lambda df, a, rel, b: df.select(a.alias("src"), F.lit(rel).alias("rel_type"), b.alias("dst")).distinct()
+    node = lambda letter, c: F.concat(F.lit(letter), F.col(c))
+    spans = edge(lines, node("s", "o"), "PART_OF", node("d", "o"))
+    claims = edge(lines, node("c", "p"), "DESCRIBED_IN", node("s", "o"))
+    return spans.unionByName(claims).unionByName(edge(lines, node("c", "p"), "QUANTIFIED_BY", node("q", "p")))
