@@ -117,7 +117,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = taken.withColumn("times", times).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("same")).where("times > 0")
     picked = written(taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("times").cast("int").alias("times"), "same"), "picked")
     rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(picked, F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (n_words(F.col("row.text")) == F.col("z")))
+    # picked grows with the documents: it is merged, never broadcast
+    joined = rows.join(picked.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (n_words(F.col("row.text")) == F.col("z")))
     order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
     place = F.row_number().over(W.partitionBy("d", "s", "z").orderBy(order)) - 1
     several = joined.where("same > 1").withColumn("place", place)

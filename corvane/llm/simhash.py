@@ -17,7 +17,10 @@ takes blocks as wide as the number of documents asks, so that keys stay selectiv
 asked at the similarity asked. Keys and classes are sorted once, 16 bytes a row, and only classes that share a key go on. A class has a key
 once, so no key holds more than one in some 200 of all rows. One with more than `block` classes is cut into blocks, and each pair of blocks
 is a shard. No pair is lost and no shard is larger than about two blocks, but the pairs of a key of n classes are still compared, in n /
-block as many rows. Links are then verified on the documents' whole shingle sets (`verified`).
+block as many rows. Links are then verified on the documents' whole shingle sets (`verified`): first the closest link of each class, then those
+links whose ends are not connected yet, so that a large group costs a few sets a class and not its pairs.
+
+Tables that grow with the documents are merged, never broadcast, whatever their size.
 """
 
 from __future__ import annotations
@@ -207,21 +210,23 @@ def nearest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
 
 
 def shard_links(shards: DataFrame, radius: int, among=forest) -> DataFrame:
-    """shards (members: array of struct(rep, fp)) -> links (u, v) between representatives. fp: a long, or the bytes of a wide fingerprint."""
+    """shards (members: array of struct(rep, fp)) -> links (u, v, d) between representatives, d their distance. fp: a long, or the bytes of a wide fingerprint."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u: list[int] = []
             v: list[int] = []
+            d: list[int] = []
             for shard in batch.column(0):
                 members = sorted((m["rep"], m["fp"]) for m in shard.as_py())
                 values = [fp & 0xFFFFFFFFFFFFFFFF if isinstance(fp, int) else int.from_bytes(fp, "big") for _, fp in members]
                 for i, j in among(values, radius):
                     u.append(members[i][0])
                     v.append(members[j][0])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    d.append((values[i] ^ values[j]).bit_count())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.int32())], ["u", "v", "d"])
 
-    return shards.select("members").mapInArrow(linked, "u long, v long").distinct()
+    return shards.select("members").mapInArrow(linked, "u long, v long, d int").distinct()
 
 
 def dealt(classes: DataFrame, keys: int, rows: int = 1 << 19) -> DataFrame:
@@ -274,17 +279,24 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
     found = written(texts.select("uid", "doc_id", marked("text").alias("m")).select("uid", "doc_id", "m.*"), "fingerprints")
     named = found.groupBy("fp").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
-    classes = written(named.join(found.select(F.col("uid").alias("rep"), "blocks", "weak"), "rep"), "classes")
+    classes = written(named.join(found.select(F.col("uid").alias("rep"), "blocks", "weak").hint("merge"), "rep"), "classes")
     met = written(shared_keys(classes, weak, width), "keys")
     candidates = written(shard_links(weak_shards(classes, met, block), radius, nearest), "candidates")
-    links = written(verified(candidates, found, similarity), "verified")
-    roots = connected_components(links)
-    grouped = classes.select("fp", "rep", "least").join(roots, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
+    closest = candidates.groupBy("u").agg(F.min(F.struct("d", "v")).alias("c")).select("u", "c.v")
+    first = written(verified(closest, found, similarity), "verified")
+    roots = written(connected_components(first), "roots")
+    others = candidates.select("u", "v").join(closest.hint("merge"), ["u", "v"], "left_anti")
+    for end in ("u", "v"):
+        others = others.join(roots.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")).hint("merge"), end, "left")
+    others = others.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    second = written(verified(written(others, "others"), found, similarity), "verified")
+    roots = connected_components(first.unionByName(second))
+    grouped = classes.select("fp", "rep", "least").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
     grouped = written(grouped, "named")
-    first = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
-    named = grouped.join(first, "group").select(F.col("fp").alias("own"), "group_id")
-    groups = written(found.join(named, F.col("fp") == F.col("own")).select("doc_id", "group_id"), "groups")
-    for table in (found, classes, met, candidates, links, grouped):
+    least = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
+    named = grouped.join(least.hint("merge"), "group").select(F.col("fp").alias("own"), "group_id")
+    groups = written(found.select("doc_id", "fp").join(named.hint("merge"), F.col("fp") == F.col("own")).select("doc_id", "group_id"), "groups")
+    for table in (found, classes, met, candidates, first, second, grouped):
         dropped(table)
     return groups
 
@@ -292,8 +304,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 def verified(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """links (u, v) of found (uid, shingles: sorted 32-bit hashes as bytes) -> those whose sets have at least this Jaccard similarity."""
     ends = links.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-    sets = found.select("uid", "shingles").join(ends, "uid", "left_semi")
-    both = links.join(sets.select(F.col("uid").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("shingles").alias("b")), "v")
+    sets = written(found.select("uid", "shingles").join(ends.hint("merge"), "uid", "left_semi"), "sets")
+    both = links.join(sets.select(F.col("uid").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("uid").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +368,7 @@ def weak_shards(classes: DataFrame, met: DataFrame, block: int) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: o != own)
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own)))
     placed = met.join(large, F.col("key") == F.col("large"), "left").select("rep", "key", F.explode(pairs).alias("pair"))
-    members = placed.join(classes.select("rep", "fp"), "rep")
+    members = placed.join(classes.select("rep", "fp").hint("merge"), "rep")
     return members.groupBy("key", "pair").agg(F.collect_list(F.struct("rep", "fp")).alias("members"))
 
 
@@ -367,11 +379,10 @@ def near_deduplicated(docs: DataFrame, **options) -> DataFrame:
     (maps excepted) stays. Documents whose doc_id is null all stay."""
     groups = near_duplicate_groups(docs, **options)
     by_id = groups.where("doc_id is not null").groupBy("doc_id")
-    judged = written(by_id.agg(F.bool_or(F.col("doc_id") == F.col("group_id")).alias("stays"), F.count("*").alias("same")), "judged")
-    gone = judged.where(~F.col("stays")).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = written(judged.where("stays and same > 1").select("doc_id"), "again")
-    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    several = left.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order.alias("order"))
-    one = several.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    judged = by_id.agg(F.bool_or(F.col("doc_id") == F.col("group_id")).alias("stays"), F.count("*").alias("same"))
+    special = written(judged.where("not stays or same > 1").select(F.col("doc_id").alias("id"), "stays"), "special")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(special.hint("merge"), F.col("row.doc_id") == F.col("id"), "left")
+    order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = joined.where("stays").groupBy("id").agg(F.min_by("row", order).alias("row")).select("row")
+    return joined.where("id is null").select("row").unionByName(one).select("row.*")
