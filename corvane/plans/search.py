@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import entities, ids, quantities, terms, text, verify
@@ -145,7 +145,7 @@ def j22_matched_interests(spark, sf_dir):
     return retrieval.matched_interests(own, artifacts)
 
 
-def asks() -> F.Column:
+def asks() -> Column:
     """What the question of a document asks for, by its number."""
     numeric = lambda v, u, o, a, b: F.array(F.struct(F.lit(v).cast("double").alias("value"), F.lit(u).alias("unit"), F.lit(o).alias("operator"), F.lit(a).cast("double").alias("range_min"), F.lit(b).cast("double").alias("range_max")))
     q = F.col("doc_id") % 3

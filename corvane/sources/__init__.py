@@ -1,0 +1 @@
+"""Files of many formats as documents with spans and tables."""

@@ -1,9 +1,23 @@
-"""Streams of envelopes: decode and dispatch by kind, and drop repeats within a watermark."""
+"""Streams of envelopes and events: decode and dispatch by kind, drop repeats within a watermark, match interests, limit rates.
 
-from pyspark.sql import DataFrame
+Each function takes a stream or a table and returns one; `finished` runs a stream over what there is, with a checkpoint."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from corvane.operators.retrieval import matched_interests
 
 ENVELOPE = "kind string, user_id long, reference_id string, created timestamp, payload string"
+#: From this score on an artifact is news to a user: a fixed value.
+MATCH = 0.4
 
 
 def decoded(lines: DataFrame, kinds: tuple[str, ...] = ("event", "match")) -> DataFrame:
@@ -11,6 +25,112 @@ def decoded(lines: DataFrame, kinds: tuple[str, ...] = ("event", "match")) -> Da
     return lines.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*").where(F.col("kind").isin(*kinds))
 
 
+def dispatched(envelopes: DataFrame, kind: str) -> DataFrame:
+    return envelopes.where(F.col("kind") == kind)
+
+
 def notified_once(envelopes: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One envelope of each user, kind and reference within the watermark, whose state Spark drops after `delay`."""
-    return envelopes.withWatermark("created", delay).dropDuplicatesWithinWatermark(["user_id", "kind", "reference_id"])
+    return once(envelopes, "created", ["user_id", "kind", "reference_id"], delay)
+
+
+def once(rows: DataFrame, at: str, keys: list[str], delay: str) -> DataFrame:
+    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def news(artifacts: DataFrame, interests: DataFrame, threshold: float = MATCH) -> DataFrame:
+    """A stream of artifacts joined with the table of interests: user_id, label, id, score from the threshold on."""
+    return matched_interests(interests, artifacts, threshold)
+
+
+def limited(events: DataFrame, keys: list[str], at: str, ident: str, limit: int, seconds: int) -> DataFrame:
+    """events -> keys, ident, allowed, left. A key's window starts at its first hit and ends `seconds` later, whatever the clock; then the
+    next hit starts another. State is a start and a count for each key, and goes when its window is over."""
+    kinds = dict(events.dtypes)
+    out = ", ".join(f"{c} {kinds[c]}" for c in [*keys, ident]) + ", allowed boolean, remaining int"
+    span = seconds * 1_000_000
+
+    def judged(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, count = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(parts)).sort_values(["_at", ident])
+        allowed, left = [], []
+        for hit in rows["_at"].tolist():
+            if start is None or hit >= start + span:
+                start, count = hit, 0
+            count += 1
+            allowed.append(count <= limit)
+            left.append(max(0, limit - count))
+        state.update((start, count))
+        over = (start + span) // 1000
+        if over > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(over)
+        yield pd.DataFrame({**{k: [v] * len(rows) for k, v in zip(keys, key, strict=True)}, ident: rows[ident].tolist(), "allowed": allowed, "remaining": left})
+
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, "1 hour").withColumn("_at", F.unix_micros(at))
+    return timed.groupBy(*keys).applyInPandasWithState(judged, out, "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset on one machine (tests), one of our own."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(spark, "_corvane_streams"):
+        spark._corvane_streams = "file://" + tempfile.mkdtemp(prefix="corvane-streams-")
+    return spark._corvane_streams
+
+
+def stored(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Starts the stream into a table of files: each input counts once, and after a failure it goes on where it was."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def published(stream: DataFrame, checkpoint: str, publish: Callable[[DataFrame, int], None]):
+    """Starts the stream with a function that gets each batch and its number, which is the same when a batch is repeated."""
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finished(stream: DataFrame, name: str, seconds: int = 600) -> DataFrame:
+    """The rows of a stream over all input that there is now."""
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    run = stored(stream, f"{path}/rows", f"{path}/checkpoint")
+    if not run.awaitTermination(seconds):
+        run.stop()
+        raise TimeoutError(f"the stream {name} has not ended in {seconds} seconds")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream, be it a folder or a single file."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table.schema)
+    if any(f.rsplit("/", 1)[-1] == f"{name}.parquet" for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def phases(rows: DataFrame, chunk: int = 48) -> Iterator[dict]:
+    """An answer's messages in order: a phase each, then its text growing by `chunk`, then how it ended. rows (phase, text): one answer's few rows."""
+    from corvane.functions.extract import messages
+
+    for row in rows.select("phase", messages(F.col("text"), chunk).alias("texts")).toLocalIterator():
+        yield {"type": "phase", "phase": row.phase}
+        for text in row.texts:
+            yield {"type": "text", "phase": row.phase, "text": text}
+    yield {"type": "end"}
+
+
+def terminal_phase(error: Column, evidence: Column) -> Column:
+    """How a stream of answers ends: failed, no_evidence or completed."""
+    return F.when(error.isNotNull(), "failed").when(evidence == 0, "no_evidence").otherwise("completed")
+
+
+def live(rows: DataFrame, at: str, now, seconds: int) -> DataFrame:
+    """Rows that are not older than their time to live at `now`, a parameter so that reruns agree."""
+    return rows.where(F.col(at) >= F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))
