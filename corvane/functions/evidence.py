@@ -1,7 +1,5 @@
 """Predicates and projections of evidence: intervals, years, coverage, reason codes, status, highlights, offsets."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,18 +19,6 @@ def named_like(name: Column, part: str) -> Column:
     return F.lower(name).contains(part.lower())
 
 
-def covers_all(value: Column, ranges: list[tuple[float, float]]) -> Column:
-    """An aggregate: whether each range holds some value of the group. One flag a range is combined map-side; no values are gathered."""
-    flags = [F.coalesce(F.bool_or(value.between(low, high)), F.lit(False)) for low, high in ranges]
-    return reduce(lambda a, b: a & b, flags, F.lit(True))
-
-
-def reason_codes(text: Column) -> Column:
-    """array<string>: unit_mismatch where the text has no number, outside_time_range where it has no year from 1900 to 2099."""
-    number, year = text.rlike("[0-9]"), text.rlike("(19|20)[0-9][0-9]")
-    return F.array_compact(F.array(F.when(~number, "unit_mismatch"), F.when(~year, "outside_time_range")))
-
-
 def demoted(status: Column, confidence: Column, threshold: float) -> Column:
     """Confirmed artifacts below the larger of threshold and 0.72 become candidates."""
     return F.when((status == "confirmed") & (confidence < max(0.72, threshold)), "candidate").otherwise(status)

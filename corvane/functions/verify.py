@@ -153,6 +153,31 @@ def gaps(n_evidence: Column, text: Column, ask: Column, n_candidates: Column, ha
     return F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(kind).alias("gap_type"), F.lit(level).alias("priority"))) for holds, kind, level in rules]))
 
 
-def outcome(status_code: Column, evidence: Column, error: Column) -> Column:
-    """What became of a call: failed, no_evidence or answered."""
-    return F.when(error.isNotNull() | (status_code != 200), "failed").when(evidence == 0, "no_evidence").otherwise("answered")
+def warned(warnings: Column, *words: str) -> Column:
+    return F.exists(F.coalesce(warnings, F.array().cast(NONE)), lambda w: reduce(lambda a, b: a | b, [F.contains(w, F.lit(x)) for x in words]))
+
+
+def outcome(status_code: Column, mode: Column, warnings: Column, phase: Column) -> Column:
+    """What became of a call, the first that holds."""
+    degraded = phase.eqNullSafe("degraded") | warned(warnings, "insufficient", "unsupported", "conflict")
+    kinds = F.when(status_code >= 500, "failed").when(phase == "error", "stream_error").when(warned(warnings, "fallback"), "degraded_fallback").when(degraded, "degraded")
+    return kinds.when(mode == "legacy", "legacy_ok").when(mode == "top1_scientific", "scientific_ok").otherwise("ok")
+
+
+def terminal_phase(confidence: Column, warnings: Column, has_conflicts: Column) -> Column:
+    """How an answer ends: degraded by conflicts, confidence below 0.6 or too little evidence; else done."""
+    low = has_conflicts | warned(warnings, "conflict", "insufficient") | (confidence < 0.6)
+    return F.when(low, "degraded").otherwise("done")
+
+
+#: Weights of a claim's status: fixed values; any other counts 0.4.
+STATUS_WEIGHTS = {"verified": 1.0, "auto_verified": 0.9, "extracted": 0.7, "candidate": 0.5, "conflicting": 0.3, "deprecated": 0.1, "rejected": 0.0}
+
+
+def status_weight(status: Column) -> Column:
+    pairs = F.create_map(*[F.lit(x) for pair in STATUS_WEIGHTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, status), F.lit(0.4))
+
+
+def claim_score(confidence: Column, status: Column, recent: Column) -> Column:
+    return F.round(F.least(F.lit(1.0), confidence * status_weight(status) + F.when(recent, 0.05).otherwise(0.0)), 6)

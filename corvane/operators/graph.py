@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.patterns import pairs
+
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """edges (src, dst), seeds (node) -> (node, hop) within 1 to 3 undirected hops, each node at its least distance."""
@@ -28,14 +30,14 @@ def contradictions(measured: DataFrame) -> DataFrame:
 def contradicting(measured: DataFrame) -> DataFrame:
     """measured -> (claim, entity, unit, others): how many claims of the group have another value, without listing pairs."""
     each = measured.where("unit <> ''").groupBy("entity", "unit", "value").agg(F.count("*").alias("same"))
-    all_ = measured.where("unit <> ''").groupBy("entity", "unit").agg(F.count("*").alias("every"))
-    others = each.join(all_, ["entity", "unit"]).select("entity", "unit", "value", (F.col("every") - F.col("same")).alias("others"))
+    every = each.groupBy("entity", "unit").agg(F.sum("same").alias("every"))
+    others = each.join(every, ["entity", "unit"]).select("entity", "unit", "value", (F.col("every") - F.col("same")).alias("others"))
     return measured.join(others.where("others > 0"), ["entity", "unit", "value"]).select("claim", "entity", "unit", "others")
 
 
-def missing(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of two small lists, processes and materials, that no row of found holds. Both lists are aggregated catalogs."""
-    return left.crossJoin(right).join(found, [*left.columns, *right.columns], "left_anti")
+def missing(left: DataFrame, right: DataFrame, found: DataFrame, most_pairs: int = 10_000_000) -> DataFrame:
+    """Pairs of two lists, processes and materials, that no row of found holds. The lists are counted; beyond most_pairs it is refused."""
+    return pairs(left, right, most_pairs).join(found, [*left.columns, *right.columns], "left_anti")
 
 
 def induced(links: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Aggregates over claims and measurements, and evaluation metrics."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -16,18 +15,25 @@ def compared(measured: DataFrame, key: str, value: str, a: str, b: str) -> DataF
     return measured.agg(F.round(mean(a), 6).alias("mean_a"), F.round(mean(b), 6).alias("mean_b"), F.round(mean(b) - mean(a), 6).alias("delta"))
 
 
-def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at index round((n - 1) * share), half to even, of the sorted values, by counts of equal values and no sort of all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    coarse = counts.withColumn("bucket", F.floor(F.col(value)))
-    buckets = coarse.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
-    offsets = buckets.withColumn("before", F.sum("in_bucket").over(W.orderBy("bucket")) - F.col("in_bucket"))
-    place = F.bround((F.col("total") - 1) * share).cast("long")
-    one = offsets.crossJoin(F.broadcast(total)).where((F.col("before") <= place) & (place < F.col("before") + F.col("in_bucket"))).select("bucket", "before", place.alias("place"))
-    rows = coarse.join(F.broadcast(one), "bucket")
-    upto = F.sum("n").over(W.partitionBy("bucket").orderBy(value)) + F.col("before")
-    return rows.withColumn("upto", upto).where(F.col("upto") > F.col("place")).agg(F.min(value).alias("value"))
+def nearest_rank(df: DataFrame, value: str, share: float, buckets: int = 1024) -> DataFrame:
+    """The value at index round((n - 1) * share), half to even, of the sorted values; no row where there are none.
+
+    No sort and no single task for all values: the range is cut into buckets, whose counts say which of them holds the place, and
+    that one is cut again, until it has one value. A round is a scan with at most `buckets` rows for the driver; a few do. Nulls, NaN and
+    infinities are left out."""
+    rows = df.select(F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    n, low, high = rows.agg(F.count("*"), F.min("value"), F.max("value")).first()
+    place = round((n - 1) * share)
+    while n and low < high:
+        width = (high - low) / buckets
+        bucket = F.least(F.lit(buckets - 1), F.floor((F.col("value") - low) / width)).cast("int") if width > 0 else (F.col("value") > low).cast("int")
+        found = rows.where(F.col("value").between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        for row in sorted(found.collect(), key=lambda r: r.b):
+            if place < row.n:
+                low, high = row.low, row.high
+                break
+            place -= row.n
+    return df.sparkSession.createDataFrame([(low,)] if n else [], "value double")
 
 
 def histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Channels of a hybrid search, their fusion and reranking."""
+"""Channels of a hybrid search and reranking; `retrieval.fused` joins them."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,17 +27,6 @@ def lexical(spans: DataFrame, key: str, text: str, query: list[str], k: int) ->
     return top(scored, "score", key, k)
 
 
-def fused(channels: dict[str, DataFrame], key: str, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion: sum over channels of 1 / (constant + rank). Channels are cut already, so ranks span few rows."""
-    rows = None
-    for name, df in channels.items():
-        own = df.select(F.lit(name).alias("channel"), key, "score")
-        rows = own if rows is None else rows.unionByName(own)
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("channel").orderBy(F.desc("score"), F.asc(key))))
-    sums = ranked.groupBy(key).agg(F.round(F.sum(1 / (F.lit(constant) + F.col("rank"))), 9).alias("rrf"), F.count("*").alias("channels"))
-    return top(sums, "rrf", key, k)
-
-
 def reranked(df: DataFrame, key: str, k: int) -> DataFrame:
     """df (key, overlap, constraint, base) -> its best k by min(1, .45 overlap + .35 constraint + .2 base), with rank."""
     score = F.round(F.least(F.lit(1.0), 0.45 * F.col("overlap") + 0.35 * F.col("constraint") + 0.2 * F.col("base")), 6)

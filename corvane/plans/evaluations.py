@@ -122,13 +122,27 @@ def u05_blockers(spark, sf_dir):
     return metrics.blockers(errors.where("event_id < 2000").select("user_id"), errors.where("event_id between 2000 and 3999").select("user_id"), "user_id")
 
 
-@query("SELECT CASE WHEN event_type = 'error' THEN 'failed' WHEN value < 5 THEN 'no_evidence' ELSE 'answered' END AS outcome, count(*) AS calls, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
+OUTCOME = """CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 11 = 0 THEN 'stream_error' WHEN event_id % 7 = 0 THEN 'degraded_fallback' WHEN event_id % 5 = 0 OR event_id % 13 = 0 THEN 'degraded' WHEN event_type = 'view' THEN 'legacy_ok' WHEN event_type = 'click' THEN 'scientific_ok' ELSE 'ok' END"""
+
+
+@query(f"SELECT {OUTCOME} AS outcome, count(*) AS calls, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
 def a20_v21_reliability(spark, sf_dir):
     from corvane.functions.verify import outcome
 
-    events = read(spark, sf_dir, "events")
-    kind = outcome(F.lit(200), F.when(F.col("value") < 5, 0).otherwise(1), F.when(F.col("event_type") == "error", "error"))
-    return metrics.reliability(events.select(kind.alias("outcome")))
+    e, kind = F.col("event_id"), F.col("event_type")
+    warnings = F.array_compact(F.array(F.when(e % 7 == 0, "a fallback"), F.when(e % 13 == 0, "in conflict")))
+    mode = F.when(kind == "view", "legacy").when(kind == "click", "top1_scientific")
+    phase = F.when(e % 11 == 0, "error").when(e % 5 == 0, "degraded")
+    return metrics.reliability(read(spark, sf_dir, "events").select(outcome(F.when(kind == "error", 500).otherwise(200), mode, warnings, phase).alias("outcome")))
+
+
+@query("SELECT CASE WHEN event_id % 9 = 0 OR event_id % 7 = 0 OR value < 60 THEN 'degraded' ELSE 'done' END AS phase, count(*) AS n FROM events GROUP BY 1")
+def v20_terminal_phases(spark, sf_dir):
+    from corvane.functions.verify import terminal_phase
+
+    e = F.col("event_id")
+    phase = terminal_phase(F.col("value") / 100, F.array_compact(F.array(F.when(e % 7 == 0, "insufficient evidence"))), e % 9 == 0)
+    return read(spark, sf_dir, "events").groupBy(phase.alias("phase")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS rows, 'pass' AS status UNION ALL SELECT 'region', (SELECT count(*) FROM region), 'fail' UNION ALL SELECT 'part', (SELECT count(*) FROM part), 'unchecked'""")

@@ -151,9 +151,3 @@ def st8_live(spark, sf_dir):
 def st7_x39_messages(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").where(F.length("text") > 96).withColumn("m", extract.messages(F.col("text")))
     return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.col("m")[1].alias("second"))
-
-
-@query("SELECT CASE WHEN event_type = 'error' THEN 'failed' WHEN value < 5 THEN 'no_evidence' ELSE 'completed' END AS phase, count(*) AS n FROM events GROUP BY 1")
-def v20_terminal_phases(spark, sf_dir):
-    phase = feeds.terminal_phase(F.when(F.col("event_type") == "error", "x"), F.when(F.col("value") < 5, 0).otherwise(1))
-    return read(spark, sf_dir, "events").groupBy(phase.alias("phase")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import access, evidence, ids, text
-from corvane.operators import graph, measures, ranking
+from corvane.operators import graph, measures, ranking, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,15 +77,32 @@ def t01_dense(spark, sf_dir):
     return ranking.dense(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 50)
 
 
-@query(f"""WITH lex AS (SELECT doc_id AS id, round({OVERLAP_SQL}, 6) AS score FROM documents WHERE doc_id % 3 < 2 AND {OVERLAP_SQL} > 0 ORDER BY score DESC, id LIMIT 60),
- den AS (SELECT vec_id AS id, round({COSINE_SQL}, 6) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 < 2) ORDER BY score DESC, id LIMIT 60),
- r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM lex UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM den)
- SELECT id, round(sum(1 / (60 + rank)), 9) AS rrf, count(*) AS channels FROM r GROUP BY id ORDER BY rrf DESC, id LIMIT 20""")
+ROW_TEXT = "p_brand || '. name: ' || p_name || '; type: ' || p_type"
+ROW_TERMS = ["red", "small", "ring", "large"]
+
+
+@query(f"""WITH v AS (SELECT doc_id FROM documents WHERE doc_id % 3 < 2),
+ lex AS (SELECT 'd' || doc_id AS id, round({OVERLAP_SQL}, 6) AS score, 0 AS o, [] AS ids FROM documents WHERE doc_id % 3 < 2 AND {OVERLAP_SQL} > 0 ORDER BY score DESC, id LIMIT 60),
+ den AS (SELECT 'd' || vec_id AS id, round({COSINE_SQL}, 6) AS score, 1 AS o, ['e' || label] AS ids FROM embeddings WHERE vec_id IN (SELECT doc_id FROM v) ORDER BY score DESC, id LIMIT 60),
+ tab AS (SELECT 't' || p_partkey AS id, round(len(list_intersect({TOKENS_SQL.replace("coalesce(text, '')", ROW_TEXT)}, {ROW_TERMS})) / 4.0, 6) AS score, 2 AS o, [] AS ids FROM part WHERE score > 0 ORDER BY score DESC, id LIMIT 60),
+ gra AS (SELECT 'd' || doc_id AS id, 1.0 AS score, 3 AS o, ['c' || doc_id] AS ids FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM v) ORDER BY score DESC, id LIMIT 60),
+ r AS (SELECT id, o, ids, row_number() OVER (PARTITION BY o ORDER BY score DESC, id) AS rank FROM (SELECT * FROM lex UNION ALL SELECT * FROM den UNION ALL SELECT * FROM tab UNION ALL SELECT * FROM gra))
+ SELECT id, round(sum(1 / (60 + rank)), 9) AS rrf, count(*) AS channels, array_to_string(flatten(list(ids ORDER BY o)), '|') AS ids FROM r GROUP BY id ORDER BY rrf DESC, id LIMIT 20""")
 def w01_hybrid(spark, sf_dir):
-    docs = visible(spark, sf_dir, ["researcher"]).withColumn("id", F.col("doc_id"))
-    points = read(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id")).join(docs.select("id"), "id", "left_semi")
-    channels = {"lexical": ranking.lexical(docs, "id", "text", TERMS, 60), "dense": ranking.dense(points, "id", "embedding", QUERY_VECTOR, 60)}
-    return ranking.fused(channels, "id", 20)
+    """Four channels, each under access before it is ranked: words, vectors, table rows and the graph's claims."""
+    docs = visible(spark, sf_dir, ["researcher"])
+    ident = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    points = read(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").withColumn("id", ident("d", "vec_id"))
+    dense = ranking.dense(points, "id", "embedding", QUERY_VECTOR, 60).join(points.select("id", F.array(ident("e", "label")).alias("claim_ids")), "id")
+    rows = read(spark, sf_dir, "part").select(ident("t", "p_partkey").alias("id"), F.concat("p_brand", F.lit(". name: "), "p_name", F.lit("; type: "), "p_type").alias("row"))
+    claims = read(spark, sf_dir, "labels").where("quality = 1").join(docs.select("doc_id"), "doc_id", "left_semi").select(ident("d", "doc_id").alias("id"), F.lit(1.0).alias("score"), F.array(ident("c", "doc_id")).alias("claim_ids"))
+    channels = {
+        "lexical": ranking.lexical(docs.withColumn("id", ident("d", "doc_id")), "id", "text", TERMS, 60),
+        "dense": dense,
+        "table": ranking.lexical(rows, "id", "row", ROW_TERMS, 60),
+        "graph": ranking.top(claims, "score", "id", 60),
+    }
+    return retrieval.fused(channels, "id", 20).select("id", "rrf", "channels", F.array_join("claim_ids", "|").alias("ids"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, round(least(1.0, 0.45 * ({OVERLAP_SQL}) + 0.35 * (CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) + 0.2 * ((doc_id % 7) / 7.0)), 6) AS score FROM documents)
@@ -113,8 +130,10 @@ def a03_graph_stats(spark, sf_dir):
 
 @query("SELECT s_suppkey AS process, count(DISTINCT l_partkey) AS entities, count(DISTINCT l_orderkey) AS documents FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def a04_directions(spark, sf_dir):
-    joined = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return joined.groupBy(F.col("s_suppkey").alias("process")).agg(F.countDistinct("l_partkey").alias("entities"), F.countDistinct("l_orderkey").alias("documents"))
+    items = read(spark, sf_dir, "lineitem")
+    kinds = lambda c, name: items.select("l_suppkey", c).distinct().groupBy("l_suppkey").agg(F.count(c).alias(name))
+    joined = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey")).join(kinds("l_partkey", "entities"), "l_suppkey", "left").join(kinds("l_orderkey", "documents"), "l_suppkey", "left")
+    return joined.select(F.col("l_suppkey").alias("process"), F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 @query("""SELECT l_partkey AS entity, l_returnflag AS unit, count(*) AS claims, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem WHERE l_returnflag <> '' GROUP BY 1, 2 HAVING min(l_quantity) < max(l_quantity)""")
@@ -141,7 +160,7 @@ def j10_missing(spark, sf_dir):
  SELECT node, min(hop) AS hop FROM (SELECT 'p1' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node""")
 def j03_neighbours(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
-    return graph.neighbours(edges, spark.range(1).select(F.lit("p1").alias("node")), 2)
+    return graph.neighbours(edges, spark.createDataFrame([("p1",)], "node string"), 2)
 
 
 @query("SELECT p_partkey, p_brand || '. size: ' || p_size || '; type: ' || p_type AS row_text FROM part")
@@ -187,10 +206,11 @@ def j27_unlabelled(spark, sf_dir):
     return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-@query("SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS place FROM conversations")
 def t12_chat(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(ordered, lambda x: x["role"]), ",").alias("roles"))
+    """Messages in order, a row each: a long conversation is sorted, never gathered."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", place.cast("long").alias("place"))
 
 
 @query("SELECT n_name AS geography, count(*) AS claims, round(avg(l_quantity), 6) AS mean FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE contains(lower(n_name), 'a') GROUP BY 1")
@@ -217,17 +237,6 @@ def f17_entity_search(spark, sf_dir):
     return found.orderBy("p_name", "p_partkey").limit(50).select("p_partkey", "p_name")
 
 
-@query("SELECT l_partkey, coalesce(bool_or(l_quantity BETWEEN 1 AND 5), false) AND coalesce(bool_or(l_quantity BETWEEN 45 AND 50), false) AS covered FROM lineitem GROUP BY 1")
-def f18_numeric_coverage(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(evidence.covers_all(F.col("l_quantity"), [(1, 5), (45, 50)]).alias("covered"))
-
-
-@query("""SELECT doc_id, concat_ws(',', CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'unit_mismatch' END,
- CASE WHEN NOT regexp_matches(text, '(19|20)[0-9][0-9]') THEN 'outside_time_range' END) AS codes FROM documents""")
-def f21_reason_codes(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(evidence.reason_codes(F.col("text")), ",").alias("codes"))
-
-
 @query("SELECT CASE WHEN l_linestatus = 'F' AND 1 - l_discount < 0.95 THEN 'candidate' WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'disputed' END AS status, count(*) AS n FROM lineitem GROUP BY 1")
 def f23_demotion(spark, sf_dir):
     status = F.when(F.col("status") == "F", "confirmed").otherwise("disputed")
