@@ -18,6 +18,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import batched, chain
 
 import numpy as np
@@ -192,7 +193,6 @@ class Encoder:
     """Texts to ids: pieces by the pattern, each through the transducer; common pieces are remembered, within bounds."""
 
     def __init__(self, path: str, pattern: str, most_states: int = STATES):
-        gc.set_threshold(500_000, 20, 100)  # states and memos are many small tuples without cycles
         self.transducer = Transducer(read_ranks(path), most_states)
         self.pieces = regex.compile(pattern.replace(r"\p{L}+", r"\p{L}++").replace(r"\p{N}+", r"\p{N}++").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]++")).findall
         self.ids_of = Memo(self.transducer.encode).__getitem__
@@ -239,6 +239,17 @@ class Utf8:
         return rest.decode("utf-8", "replace")
 
 
+@contextmanager
+def rare_collection() -> Iterator[None]:
+    """States and memos are many small tuples without cycles: the collector looks for cycles rarely while texts are encoded, and as before afterwards."""
+    before = gc.get_threshold()
+    gc.set_threshold(500_000, 20, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)
+
+
 _encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
@@ -255,8 +266,9 @@ def token_ids(text: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(path, pattern).encode
-        for batch in batches:
-            yield batch.map(encode)
+        with rare_collection():
+            for batch in batches:
+                yield batch.map(encode)
 
     return encoded(F.coalesce(F.make_valid_utf8(text), F.lit("")))
 
@@ -272,20 +284,21 @@ def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False
     @F.pandas_udf(kind)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path, pattern, most_states)
-        for batch in batches:
-            rows, held = [], 0
-            for text in batch:
-                ids = own.encode(text)
-                back = hashlib.sha256()
-                for part in own.decode(ids):
-                    back.update(part.encode("utf-8"))
-                rows.append((len(ids), hashlib.sha256(own.written(ids)).hexdigest(), back.hexdigest(), *([np.array(ids, dtype=np.int32)] * with_ids)))
-                held += len(ids)
-                if held >= HELD_IDS:
+        with rare_collection():
+            for batch in batches:
+                rows, held = [], 0
+                for text in batch:
+                    ids = own.encode(text)
+                    back = hashlib.sha256()
+                    for part in own.decode(ids):
+                        back.update(part.encode("utf-8"))
+                    rows.append((len(ids), hashlib.sha256(own.written(ids)).hexdigest(), back.hexdigest(), *([np.array(ids, dtype=np.int32)] * with_ids)))
+                    held += len(ids)
+                    if held >= HELD_IDS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                if rows:
                     yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
 
     texts = docs.select("doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
     return texts.select("doc_id", coded("text").alias("c")).select("doc_id", "c.*")
