@@ -11,7 +11,7 @@ from corvane.plans.queries import query, read
 #: A closing sentence by the document's number, in the words that the extractors know; the same expression in both engines.
 NOTE = """concat(coalesce(text, ''), '. Solution (PG', CAST(doc_id % 3 AS STRING), ') holds 10-', CAST(20 + doc_id % 5 AS STRING), ' mg/l, скорость не более 1,', CAST(doc_id % 10 AS STRING), ' м/с. ',
  CASE doc_id % 4 WHEN 0 THEN 'Flotation affects Ni and Cu in Norilsk, шлак Россия shows 5 % in 2019–2021.' WHEN 1 THEN 'Выщелачивание влияет на никель в России; показано >= 3 Г/Л в 2020 году.'
- WHEN 2 THEN 'Results conflict: slag (SL) and slag melt (SL) used between Au and Ag; see journal of 2020.' ELSE 'Патент за рубежом: штейн рекомендуется, 4 kg/t, Иванов И. И. 12.05.2018, nikel.' END)"""
+ WHEN 2 THEN 'Results conflict: slag (SL) and slag melt (SL) used between Au and Ag; see journal of 2020.' ELSE 'Патент за рубежом: штейн рекомендуется, 4 kg/t, Иванов И. И. 12.05.2018, nickl ok.' END)"""
 
 
 def quoted(word: str) -> str:
@@ -146,17 +146,27 @@ def x21_alias_form(spark, sf_dir):
     return notes(spark, sf_dir).select("doc_id", text.alias_form(F.col("note")).alias("form"))
 
 
+@query(None)
 def x17_fuzzy_aliases(spark, sf_dir):
     """Names that a text nearly spells; difflib's ratio is beyond SQL, a test holds it against a plain loop."""
     found = notes(spark, sf_dir).select("doc_id", F.explode(aliases.fuzzy(aliases.tokens_of(F.col("note"), 4))).alias("a"))
     return found.select("doc_id", "a.*")
 
 
+@query(None)
 def x18_alike_aliases(spark, sf_dir):
+    """Names whose spelling vector is near a token's; a test holds the vectors against their definition."""
     found = notes(spark, sf_dir).select("doc_id", F.explode(aliases.alike(aliases.tokens_of(F.col("note"), 3))).alias("a"))
     return found.select("doc_id", "a.*")
 
 
+@query(None)
+def x14_all_aliases(spark, sf_dir):
+    """Every kind of alias of a text, each once; its parts have twins or tests of their own."""
+    found = aliases.every_alias(notes(spark, sf_dir), "note", "doc_id")
+    return found.select("doc_id", "value", "confidence", F.array_join("reason_codes", ",").alias("codes"))
+
+
 @query("""WITH h AS (SELECT doc_id, string_agg(sha256(i || ':' || coalesce(text, '')), '' ORDER BY i) AS digits FROM documents, (SELECT unnest(range(2)) AS i) GROUP BY doc_id),
  v AS (SELECT doc_id, d, CAST('0x' || substr(digits, 2 * d + 1, 2) AS INTEGER) / 127.5 - 1.0 AS x FROM h, (SELECT unnest(range(64)) AS d)),
  n AS (SELECT doc_id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS norm FROM v GROUP BY 1)

@@ -51,3 +51,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_a_twin(spark):
+    rest = set(QUERIES) - set(ORACLES)
+    assert rest == {"x14_all_aliases", "x17_fuzzy_aliases", "x18_alike_aliases"}
+    rows = {name: QUERIES[name](spark, SF).collect() for name in rest}
+    every = {(r.doc_id, r.value.lower()) for r in rows["x14_all_aliases"]}
+    assert len(every) == len(rows["x14_all_aliases"]) and rows["x17_fuzzy_aliases"]
+    for name in ("x17_fuzzy_aliases", "x18_alike_aliases"):
+        assert {(r.doc_id, r.value.lower()) for r in rows[name]} <= every
