@@ -1,3 +1,3 @@
 """Importing the package registers the queries of all its modules."""
 
-from corvane.plans import evaluations, extraction, feeds, graphs, planning, queries, search, states  # noqa: F401
+from corvane.plans import documents, evaluations, extraction, feeds, graphs, planning, queries, search, states  # noqa: F401
