@@ -9,25 +9,27 @@ Everything about a document is computed within its own row, so there is no shuff
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD, let
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Fixed phrases of legal and technical notices, by language, matched without case in lines of at most 30 words.
+#: Fixed phrases of legal and technical notices, by language, looked for without case in lines of at most 30 words.
 NOTICES = {
-    "en": r"lorem ipsum|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|copyright ©|\(c\) [0-9]{4}",
-    "de": r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies",
-    "fr": r"tous droits réservés|mentions légales|politique de confidentialité|utilise des cookies",
-    "es": r"todos los derechos reservados|aviso legal|política de privacidad|utiliza cookies",
+    "en": ["lorem ipsum", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "uses cookies", "enable javascript", "copyright ©", "(c) 19", "(c) 20"],
+    "de": ["alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies"],
+    "fr": ["tous droits réservés", "mentions légales", "politique de confidentialité", "utilise des cookies"],
+    "es": ["todos los derechos reservados", "aviso legal", "política de privacidad", "utiliza cookies"],
 }
-#: Fixed phrases that ask the reader to do something on the page, by language, matched without case in lines of at most 12 words.
+#: Fixed phrases that ask the reader to do something on the page, by language, looked for without case in lines of at most 12 words.
 ACTIONS = {
-    "en": r"click here|read more|sign up|log ?in to|subscribe to our",
-    "de": r"hier klicken|weiterlesen|jetzt anmelden|newsletter abonnieren",
-    "fr": r"cliquez ici|lire la suite|abonnez-vous",
-    "es": r"haga clic aquí|leer más|suscríbase",
+    "en": ["click here", "read more", "sign up", "log in to", "login to", "subscribe to our"],
+    "de": ["hier klicken", "weiterlesen", "jetzt anmelden", "newsletter abonnieren"],
+    "fr": ["cliquez ici", "lire la suite", "abonnez-vous"],
+    "es": ["haga clic aquí", "leer más", "suscríbase"],
 }
 #: Separators of menus and breadcrumbs.
 NAVIGATION = r"\||»|›|→|·|•"
@@ -36,34 +38,35 @@ ADDRESS = r"https?://|www\."
 PUNCTUATION = r"[.,;:!?…。、，！？؟،]"
 
 
-def phrases(by_language: dict[str, str]) -> str:
-    return f"(?iu){'|'.join(by_language.values())}"
+def has_phrase(low: Column, by_language: dict[str, list[str]]) -> Column:
+    """Whether a lower-case line has one of the phrases."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for words in by_language.values() for p in words], F.lit(False))
 
 
-def line_fails(line: Column, notices: dict[str, str] | None = None, actions: dict[str, str] | None = None) -> Column:
+def line_fails(line: Column, notices: dict[str, list[str]] | None = None, actions: dict[str, list[str]] | None = None) -> Column:
     """Whether a line (with at least one word) breaks a rule.
 
     Punctuation: symbols, or exclamation marks, for a fifth of the words or more; nearly all letters capital in five words or more; 20 words
     or more without any punctuation. Navigation: menu separators for a fifth of the words or more, or addresses for a third. Boilerplate: a
     phrase of a notice in a line of at most 30 words, or one that asks for an action in at most 12. Repetition: ten words or more of
     which under a quarter are different."""
-    notices, actions = phrases(NOTICES if notices is None else notices), phrases(ACTIONS if actions is None else actions)
+    notices, actions = NOTICES if notices is None else notices, ACTIONS if actions is None else actions
 
-    def rules(n: Column) -> Column:
+    def rules(n: Column, low: Column) -> Column:
         count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-        different = F.size(F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"))))
+        different = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({WORD})"))))
         return (
             (5 * count(MARKS) >= n)
             | (5 * count(NAVIGATION) >= n)
             | ((n >= 5) & (count(r"\p{Lu}{2}") > 4 * count(r"\p{Ll}{2}")))
             | ((n >= 20) & ~line.rlike(PUNCTUATION))
-            | (3 * count(ADDRESS) >= n)
-            | ((n <= 30) & line.rlike(notices))
-            | ((n <= 12) & line.rlike(actions))
+            | (line.contains("http") | line.contains("www.")) & (3 * count(ADDRESS) >= n)
+            | ((n <= 30) & has_phrase(low, notices))
+            | ((n <= 12) & has_phrase(low, actions))
             | ((n >= 10) & (4 * different < n))
         )
 
-    return let(F.regexp_count(line, F.lit(WORD)), rules)
+    return let(F.regexp_count(line, F.lit(WORD)), lambda n: let(F.lower(line), lambda low: rules(n, low)))
 
 
 def lines_of(text: Column) -> Column:
