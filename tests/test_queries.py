@@ -7,7 +7,7 @@ import pytest
 
 from corvane.plans.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CORVANE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def same(v):
