@@ -44,8 +44,11 @@ def places_covered(text: Column, places: Column) -> Column:
 
 
 def reason_codes(span_id: Column, text: Column, ask: Column) -> Column:
-    """array<string>: why a span is no evidence for what is asked; empty where it is."""
-    found = quantities.quantities(text)
+    """array<string>: why a span is no evidence for what is asked; empty where it is. The text's quantities are read once."""
+    return F.get(F.transform(F.array(quantities.quantities(text)), lambda found: _reason_codes(span_id, text, ask, found)), F.lit(0))
+
+
+def _reason_codes(span_id: Column, text: Column, ask: Column, found: Column) -> Column:
     units = F.transform(F.filter(ask["numeric"], lambda a: F.coalesce(a["unit"], F.lit("")) != ""), lambda a: quantities.unit_name(a["unit"]))
     own = F.array_distinct(F.transform(found, lambda q: q["unit"]))
     other = (F.size(units) > 0) & (F.size(own) > 0) & ~F.arrays_overlap(units, own)
