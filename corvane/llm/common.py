@@ -38,15 +38,20 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet. What is written there goes when the session's Python process ends."""
+    path = f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation.
 
     The table goes when the session's Python process ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

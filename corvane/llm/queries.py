@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, embeddings, html, lm, mixing, quality, sharding, simhash, tokens, urlfilter
+from corvane.llm import bpe, centroids, embeddings, html, lm, mixing, quality, sharding, simhash, spelling, tokens, urlfilter, warc
 from corvane.llm.common import table
 from corvane.llm.sql import ORACLES
 
@@ -55,8 +55,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), slips=199)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_in_archives(table(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_simhash, op4_quality, op5_embeddings, op6_urls, op7_bpe, op8_lm, op9_html, op10_sharding)}
+    ten = (op1_mixing, op2_token_counts, op3_simhash, op4_quality, op5_embeddings, op6_urls, op7_bpe, op8_lm, op9_html, op10_sharding)
+    return {f.__name__: f for f in (*ten, op11_spelling, op12_warc, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -109,4 +109,59 @@ s AS (SELECT *, CAST(rank * {shards} // n AS INTEGER) AS shard FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, CAST(rank - (shard * n + {shards - 1}) // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, cell FROM s"""
 
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing(), "op4_quality": quality_rules(), "op6_urls": url_rules(), "op10_sharding": curve_shards()}
+def spelling(slips: int = 199, least_length: int = 6, least_count: int = 5, times: int = 5) -> str:
+    """Near words are pairs that agree with a place masked or left out; roots by recursion."""
+    return f"""
+WITH RECURSIVE runs AS (SELECT doc, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+ unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) GROUP BY doc, run),
+hashed AS (SELECT *, {crc32("doc || ':' || run")} AS h, length(run) AS l FROM runs),
+slipped AS (SELECT CASE WHEN h % {slips} = 0 THEN substr(run, 1, CAST(h % l AS BIGINT)) || substr(run, CAST(h % l AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped GROUP BY word HAVING length(word) >= {least_length} AND sum(n) >= {least_count}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+less AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS key FROM places),
+masked AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) AS key FROM places),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM masked a JOIN masked b ON a.key = b.key AND a.word <> b.word
+ UNION ALL SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.key = b.word UNION ALL SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.key = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -n, near := near)) AS b FROM pairs GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= {times} * w.n THEN b.near END AS form, CASE WHEN -b.m >= {times} * w.n THEN -b.m END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN ends USING (word)"""
+
+
+def archives(least_bytes: int = 0) -> str:
+    """Digests in base 32 by their hexadecimal digits, five of which make four; the smallest page of equal payloads by a window."""
+    value = lambda i: f"CAST('0x' || substr(x, {5 * i + 1}, 5) AS BIGINT)"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(({value(i)} >> {s}) & 31 AS BIGINT), 1)" for i in range(8) for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+r AS (SELECT *, {letters} AS payload_digest, row_number() OVER (PARTITION BY x ORDER BY page_id NULLS LAST) AS k, first_value(page_id) OVER (PARTITION BY x ORDER BY page_id NULLS LAST) AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 OR payload_bytes < {least_bytes} THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN k > 1 AND payload_bytes >= {least_bytes} THEN original END AS refers_to FROM r"""
+
+
+def clusters(clusters: int = 8, rounds: int = 10, seed: int = 3, dimensions: int = 64, scale: int = 1024) -> str:
+    """A round after the other: every vector against every centroid, sums of components, floors of means."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT rid, min(struct_pack(d := d, c := c)) AS b FROM (SELECT rid, c,
+ list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i} m) GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN (SELECT c, list({floor} ORDER BY i) AS x FROM
+ (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.b.c AS c, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS i FROM a{i} a JOIN v USING (rid)) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    body = ",\n".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dimensions}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT x, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v) QUALIFY c < {clusters}),
+{body},
+r AS (SELECT v.vec_id, a.b.c AS c, CAST(a.b.d AS BIGINT) AS d FROM a{rounds} a JOIN v USING (rid))
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+ FROM r JOIN c{rounds} m USING (c)"""
+
+
+ORACLES: dict[str, str] = {
+    "op11_spelling": spelling(), "op12_warc": archives(), "op13_centroids": clusters(),
+    "op1_mixing": mixing(), "op4_quality": quality_rules(), "op6_urls": url_rules(), "op10_sharding": curve_shards(),
+}
