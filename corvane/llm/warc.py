@@ -56,13 +56,13 @@ def record(kind: str, payload: Column | None) -> Column:
     return F.concat(head, http, *([payload] if payload is not None else []))
 
 
-def store(records: DataFrame, path: str) -> str:
-    """Writes a column of records as gzip archives, one a task."""
-    records.select(records.columns[0]).write.option("lineSep", END).option("compression", "gzip").text(path)
+def store(records: DataFrame, path: str, level: str = "DEFAULT_COMPRESSION") -> str:
+    """Writes a column of records as gzip archives, one a task. level: Hadoop's name of the effort of compression."""
+    records.select(records.columns[0]).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", level).text(path)
     return path
 
 
-def archived(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", seed: int = 0) -> str:
+def archived(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", seed: int = 0, level: str = "DEFAULT_COMPRESSION") -> str:
     """Writes a response record per page: payload is the html in UTF-8, empty where it's null. No shuffle.
 
     A null page_id or url has no header. Record ids follow from the rows' place in the table, so equal rows have different ones and a repeated task writes the same."""
@@ -73,7 +73,7 @@ def archived(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", se
         F.concat(F.lit("urn:uuid:"), uuid).alias("record_id"), "page_id", F.col("url").alias("uri"), F.lit(date).alias("date"),
         base32(F.sha1(payload)).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"), payload.alias("payload"),
     )
-    return store(rows.select(record("response", F.col("payload")).alias("value")), path)
+    return store(rows.select(record("response", F.col("payload")).alias("value")), path, level)
 
 
 class Damaged(ValueError):
@@ -213,6 +213,6 @@ def pages_in_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Null html is an empty payload; empty payloads equal each other; repeated rows are records of their own, one of which is the response. refers_to is null where the response has no page_id."""
     spark = pages.sparkSession
-    raw = archived(pages.select("page_id", "url", "html"), new_path(spark, "archives"))
+    raw = archived(pages.select("page_id", "url", "html"), new_path(spark, "archives"), level="BEST_SPEED")  # these are read and gone soon
     final = deduplicated(spark, raw, new_path(spark, "archives"), least_bytes)
     return records(spark, final).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
