@@ -1,6 +1,6 @@
 """Aliases: short forms in brackets, known and transliterated names, and names that are nearly spelt alike."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -9,41 +9,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import terms
-from corvane.functions.text import QUERY_TOKEN, alias_form
+from corvane.functions.text import QUERY_TOKEN, alias_form, let
 
 #: A long name with a short form in brackets: a fixed pattern.
 BRACKETED = r"([A-Za-zА-Яа-яЁё0-9][A-Za-zА-Яа-яЁё0-9\s-]{2,80}?)\s*\(([A-Za-zА-Яа-яЁё0-9-]{2,16})\)"
+#: Everything before a short form that its long name may be part of, read in one pass: the pattern above is then tried on this piece alone.
+LETTERS = r"A-Za-zА-Яа-яЁё0-9\s-"
+BEFORE = rf"(?<![{LETTERS}])[{LETTERS}]{{3,}}+\([A-Za-zА-Яа-яЁё0-9-]{{2,16}}\)"
 CODES = {**terms.SEED_ALIASES, **terms.TRANSLATED_ALIASES}
 
 
 def refs(text: Column) -> Column:
     """array<struct<alias, canonical_hint>> of `long name (SHORT)`; the hint is the last 80 characters of the long name."""
-    body = F.coalesce(text, F.lit(""))
-    longs, shorts = (F.regexp_extract_all(body, F.lit(BRACKETED), F.lit(i)) for i in (1, 2))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BEFORE), F.lit(0))
+    found = F.filter(pieces, lambda p: p.rlike(BRACKETED))
     hint = lambda x: F.btrim(F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), -80, 80), F.lit(" -"))
-    return F.zip_with(longs, shorts, lambda x, s: F.struct(s.alias("alias"), hint(x).alias("canonical_hint")))
+    return F.transform(found, lambda p: F.struct(F.regexp_extract(p, BRACKETED, 2).alias("alias"), hint(F.regexp_extract(p, BRACKETED, 1)).alias("canonical_hint")))
 
 
 def judged(found: Column) -> Column:
-    """refs -> array<struct<value, reason_codes, confidence>>: forms of two letters are ambiguous; one with another expansion just before conflicts."""
+    """refs -> array<struct<value, reason_codes, confidence>>: forms of two letters are ambiguous; one with another expansion just before conflicts.
+
+    The forms are sorted, so that equal ones are neighbours, and put in order again."""
 
-    def one(r: Column, i: Column) -> Column:
-        earlier = F.filter(F.slice(found, 1, i), lambda e: F.lower(e["alias"]) == F.lower(r["alias"]))
-        last = F.get(earlier, F.size(earlier) - 1)
-        conflict = F.coalesce(F.lower(last["canonical_hint"]) != F.lower(r["canonical_hint"]), F.lit(False))
+    def one(r: Column, last: Column) -> Column:
+        conflict = F.coalesce((last["low"] == r["low"]) & (last["means"] != r["means"]), F.lit(False))
         brief = F.length(r["alias"]) <= 2
         codes = F.array_compact(F.array(F.when(brief, "ambiguous_alias"), F.when(conflict, "conflicting_values")))
         confidence = F.when(conflict, 0.56).when(brief, 0.58).otherwise(0.76)
-        return F.struct(F.concat(r["alias"], F.lit(" -> "), r["canonical_hint"]).alias("value"), codes.alias("reason_codes"), confidence.alias("confidence"))
+        return F.struct(r["at"].alias("at"), F.concat(r["alias"], F.lit(" -> "), r["hint"]).alias("value"), codes.alias("reason_codes"), confidence.alias("confidence"))
 
-    return F.transform(found, one)
+    keyed = lambda r, i: F.struct(F.lower(r["alias"]).alias("low"), i.alias("at"), F.lower(r["canonical_hint"]).alias("means"), r["alias"].alias("alias"), r["canonical_hint"].alias("hint"))
+    compared = let(F.array_sort(F.transform(found, keyed)), lambda rows: F.transform(rows, lambda r, i: one(r, F.get(rows, i - 1))))
+    return F.transform(F.array_sort(compared), lambda r: F.struct(r["value"].alias("value"), r["reason_codes"].alias("reason_codes"), r["confidence"].alias("confidence")))
 
 
 def listed(text: Column, names: dict[str, str], confidence: float) -> Column:
     """The names that the text contains, as candidates."""
-    low = alias_form(text)
-    rows = [F.when(F.contains(low, F.lit(a)), F.struct(F.lit(f"{a} -> {c}").alias("value"), F.array(F.lit("schema_candidate")).alias("reason_codes"), F.lit(confidence).alias("confidence"))) for a, c in names.items()]
-    return F.array_compact(F.array(*rows))
+    row = lambda a, c: F.struct(F.lit(f"{a} -> {c}").alias("value"), F.array(F.lit("schema_candidate")).alias("reason_codes"), F.lit(confidence).alias("confidence"))
+    return F.array_compact(let(alias_form(text), lambda low: F.array(*[F.when(F.contains(low, F.lit(a)), row(a, c)) for a, c in names.items()])))
 
 
 def transliterated(text: Column) -> Column:
@@ -100,12 +104,18 @@ def fuzzy(tokens: Column, threshold: int = 88) -> Column:
 
 def vector(text: Column, dimensions: int = 64) -> Column:
     """array<double> of length 1: counts of the text's two- and three-letter parts, between two blanks at each end, by their hash."""
-    padded = F.concat(F.lit("  "), alias_form(text), F.lit("  "))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
-    buckets = F.transform(F.concat(grams(2), grams(3)), lambda g: F.conv(F.substring(F.sha1(g), 1, 8), 16, 10).cast("long") % dimensions)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: x / norm)
+    grams = lambda padded, n: F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
+    both = let(F.concat(F.lit("  "), alias_form(text), F.lit("  ")), lambda padded: F.concat(grams(padded, 2), grams(padded, 3)))
+    buckets = F.transform(both, lambda g: F.conv(F.substring(F.sha1(g), 1, 8), 16, 10).cast("long") % dimensions)
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    counts = let(buckets, lambda own: F.transform(places, lambda d: F.size(F.filter(own, lambda b: b == d)).cast("double")))
+    return unit(counts, lambda x: x)
+
+
+def unit(values: Column, shown: Callable[[Column], Column]) -> Column:
+    """A vector scaled to length 1."""
+    norm = lambda own: F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x))
+    return let(values, lambda own: let(norm(own), lambda n: F.transform(own, lambda x: shown(x / n))))
 
 
 def hash_vector(text: Column, dimensions: int) -> Column:
@@ -115,9 +125,9 @@ def hash_vector(text: Column, dimensions: int) -> Column:
     rounds = -(-dimensions // 32)
     body = F.coalesce(text, F.lit(""))
     digits = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), body), 256) for i in range(rounds)])
-    values = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(values, lambda x: F.round(x / norm, 6))
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    values = let(digits, lambda d: F.transform(places, lambda i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0))
+    return unit(values, lambda x: F.round(x, 6))
 
 
 def spelling_vectors(names: list[str], dimensions: int = 64) -> np.ndarray:

@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions import terms
-from corvane.functions.quantities import QUANTITY
-from corvane.functions.text import distinct_in_order, sentences, snippet
+from corvane.functions.quantities import ANY_QUANTITY
+from corvane.functions.text import distinct_in_order, let, sentences, snippet
 
-#: Chemical symbols as words of their own, dates and names with initials: fixed patterns.
-SUBSTANCE = rf"(?U)\b(?:{'|'.join(terms.SUBSTANCES)})\b"
-DATE = r"(?U)\b(?:19|20)[0-9]{2}\b|\b[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2}\b"
-EXPERT = r"(?U)\b[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ]\.){1,2}|\b[A-Z][a-z]+(?:\s+[A-Z]\.){1,2}"
-YEAR = r"(?U)\b(?:19|20)[0-9]{2}\b"
+#: Chemical symbols as words of their own, dates and names with initials: fixed patterns, each after a look at the character that it can begin with.
+SUBSTANCE = rf"(?=[A-Z[^\x00-\x7F]])(?=[{''.join(sorted({s[0] for s in terms.SUBSTANCES}))}])(?U)\b(?:{'|'.join(terms.SUBSTANCES)})\b"
+DATE = r"(?=[0-9])(?U)\b(?:19|20)[0-9]{2}\b|\b[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2}\b"
+EXPERT = r"(?=[A-Z[^\x00-\x7F]])(?=[А-ЯЁA-Z])(?U)\b[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ]\.){1,2}|\b[A-Z][a-z]+(?:\s+[A-Z]\.){1,2}"
+YEAR = r"(?=[12])(?U)\b(?:19|20)[0-9]{2}\b"
 
 
 def body(text: Column) -> Column:
@@ -22,20 +22,17 @@ def body(text: Column) -> Column:
 
 def among(text: Column, words: list[str]) -> Column:
     """array<string>: the words that the text contains, without case, in the order of the list."""
-    low = F.lower(body(text))
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    return let(F.lower(body(text)), lambda low: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    low = F.lower(body(text))
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words], F.lit(False))
+    return let(F.lower(body(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words], F.lit(False)))
 
 
 def named(text: Column, names: dict[str, str]) -> Column:
     """array<string>: the distinct names whose words the text contains."""
-    low = F.lower(body(text))
-    found = F.array(*[F.when(F.contains(low, F.lit(word)), name) for word, name in names.items()])
-    return F.array_distinct(F.array_compact(found))
+    found = lambda low: F.array(*[F.when(F.contains(low, F.lit(word)), name) for word, name in names.items()])
+    return F.array_distinct(F.array_compact(let(F.lower(body(text)), found)))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -68,7 +65,8 @@ def years(text: Column) -> Column:
 def entities(text: Column) -> Column:
     """array<string>: chemical symbols, then processes, then places that the text names as they are spelt; distinct without case."""
     names = [*dict.fromkeys(terms.PLACES.values())]
-    return distinct_in_order(F.concat(matches(text, SUBSTANCE), among(text, terms.PROCESSES), F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(body(text)), F.lower(n)))))
+    spelt = let(F.lower(body(text)), lambda low: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(low, F.lower(n))))
+    return distinct_in_order(F.concat(matches(text, SUBSTANCE), among(text, terms.PROCESSES), spelt))
 
 
 def domain_values(text: Column) -> dict[str, Column]:
@@ -90,8 +88,8 @@ def domain_values(text: Column) -> dict[str, Column]:
 
 def relation(text: Column) -> Column:
     """`first related_to second` of the first two entities, where the text has a word for a relation; else null."""
-    found = entities(text)
-    return F.when((F.size(found) >= 2) & any_of(text, terms.RELATIONS), F.concat(F.get(found, F.lit(0)), F.lit(" related_to "), F.get(found, F.lit(1))))
+    first = lambda found: F.concat(F.get(found, F.lit(0)), F.lit(" related_to "), F.get(found, F.lit(1)))
+    return let(entities(text), lambda found: F.when((F.size(found) >= 2) & any_of(text, terms.RELATIONS), first(found)))
 
 
 def has_conflict(text: Column) -> Column:
@@ -103,7 +101,7 @@ def needs_unit_check(text: Column) -> Column:
 
 
 def has_quantity(text: Column) -> Column:
-    return body(text).rlike(f"(?iu){QUANTITY}")
+    return body(text).rlike(ANY_QUANTITY)
 
 
 def is_claim(sentence: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: Fixed patterns: what counts as a number, a range of years and a year.
 NUMBER = r"([-+]?[0-9]+(?:[,.][0-9]+)?)"
 YEAR_RANGE = r"20[0-9][0-9]\s*[-–—]\s*20[0-9][0-9]"
-YEAR = r"(?U)\b20[0-9][0-9]\b"
+YEAR = r"(?=2)(?U)\b20[0-9][0-9]\b"
 
 
 def numbers(text: Column) -> Column:
@@ -37,10 +37,8 @@ def chunks(text: Column, size: int = CHUNK) -> Column:
 
 
 def messages(text: Column, size: int = CHUNK) -> Column:
-    """array<string>: what a reader has seen after each piece, the whole text last."""
-    body = F.coalesce(text, F.lit(""))
-    ends = F.sequence(F.lit(1), F.ceil(F.length(body) / size).cast("int"))
-    return F.when(F.length(body) == 0, F.array().cast("array<string>")).otherwise(F.transform(ends, lambda i: F.substring(body, F.lit(1), i * size)))
+    """array<struct<at, piece>>: the pieces of an answer with the place of each; a reader that joins them has seen the text up to there. Linear in the text."""
+    return F.transform(chunks(text, size), lambda c, i: F.struct((i * size).alias("at"), c.alias("piece")))
 
 
 def repaired(text: Column) -> Column:

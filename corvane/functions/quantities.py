@@ -6,9 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.terms import OPERATORS, TOLERANCES, UNITS
+from corvane.functions.text import let
 
 #: Comparison, first number, second number and unit: a fixed pattern, the same strings as elsewhere count as quantities.
 QUANTITY = r"(<=|>=|≤|≥|<|>|до|не более|не менее|более|менее)?\s*([0-9]+(?:[,.][0-9]+)?)(?:\s*[-–—]\s*([0-9]+(?:[,.][0-9]+)?))?\s*(%|мг/л|mg/l|мг/дм3|мг/дм³|г/л|g/l|м/с|m/s|л/с|l/s|°c|кг/т|kg/t)"
+#: The same matches, found in one quick pass: a place is tried only where a comparison or a number can begin (\u1C81 is another small д; most places are ruled
+#: out by the first look alone), and white space before a number is no part of the match. Its parts are looked for again in the short match alone.
+COMPARISON, MEASURED = QUANTITY.split(r"?\s*", 1)
+SCANNED = rf"(?=[0-9<>[^\x00-\x7F]])(?=[0-9<>≤≥дДнНбБмМ\u1C81])(?iu)(?:{COMPARISON}\s*)?{MEASURED}"
+#: A quantity whatever stands before its number: where one of these is found, there is one of those.
+ANY_QUANTITY = rf"(?=[0-9])(?iu){MEASURED}"
 #: The units of search payloads: fewer than those of quantities.
 UNIT = r"(%|мг/л|mg/l|мг/дм3|мг/дм³|м/с|m/s|кг/т|kg/t)"
 ANY_CASE = "(?iu)"
@@ -36,27 +43,27 @@ def operator_code(word: Column) -> Column:
 
 def units(text: Column) -> Column:
     """array<string>: the distinct names of units in the text, sorted."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_CASE + UNIT))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?=[%MmKk[^\\x00-\\x7F]])(?=[%мМmMкКkK\u212A]){ANY_CASE}{UNIT}"))  # \u212A: another k
     return F.sort_array(F.array_distinct(F.transform(found, unit_name)))
 
 
 def quantities(text: Column) -> Column:
-    """array<struct<value, unit, operator, range_min, range_max>> in order of appearance. A range has operator `range` and its lesser bound first."""
-    body = F.coalesce(text, F.lit(""))
-    words, firsts, seconds, names = (F.regexp_extract_all(body, F.lit(ANY_CASE + QUANTITY), F.lit(i)) for i in (1, 2, 3, 4))
-    rows = F.arrays_zip(words.alias("word"), firsts.alias("first"), seconds.alias("second"), names.alias("unit"))
+    """array<struct<value, unit, operator, range_min, range_max>> in order of appearance. A range has operator `range` and its lesser bound first.
 
-    def one(x: Column) -> Column:
-        first, second = number(x["first"]), number(x["second"])
+    The text is read once; the parts of a quantity are taken from its own few characters."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SCANNED), F.lit(0))
+    part = lambda m, i: F.regexp_extract(m, SCANNED, i)
+
+    def one(word: Column, first: Column, second: Column, unit: Column) -> Column:
         return F.struct(
             first.alias("value"),
-            unit_name(x["unit"]).alias("unit"),
-            F.when(second.isNotNull(), "range").otherwise(operator_code(x["word"])).alias("operator"),
+            unit_name(unit).alias("unit"),
+            F.when(second.isNotNull(), "range").otherwise(operator_code(word)).alias("operator"),
             F.when(second.isNotNull(), F.least(first, second)).alias("range_min"),
             F.when(second.isNotNull(), F.greatest(first, second)).alias("range_max"),
         )
 
-    return F.transform(rows, one)
+    return F.transform(found, lambda m: let(number(part(m, 2)), lambda first: let(number(part(m, 3)), lambda second: one(part(m, 1), first, second, part(m, 4)))))
 
 
 def short(value: Column) -> Column:
@@ -88,12 +95,11 @@ def resolved(quantity: Column, several: Column, value: Column) -> Column:
     """struct<unit, value> of an artifact: its own quantity, else the first of several, else what its text says; null without a number.
 
     quantity: struct<unit, value>, or null; several: an array of them."""
-    first = F.get(several, F.lit(0))
     unit = lambda q: F.when(F.coalesce(q["unit"], F.lit("")) == "", "").otherwise(unit_name(q["unit"]))
     own = lambda q: F.struct(unit(q).alias("unit"), q["value"].cast("double").alias("value"))
     written = reduce(lambda out, u: F.when(F.contains(F.lower(value), F.lit(u)), UNITS[u]).otherwise(out), reversed(UNITS), F.lit(""))
-    text = F.when(first_number(value).isNotNull(), F.struct(written.alias("unit"), first_number(value).alias("value")))
-    return F.when(quantity.isNotNull(), own(quantity)).when(first.isNotNull(), own(first)).otherwise(text)
+    text = let(first_number(value), lambda n: F.when(n.isNotNull(), F.struct(written.alias("unit"), n.alias("value"))))
+    return let(F.get(several, F.lit(0)), lambda first: F.when(quantity.isNotNull(), own(quantity)).when(first.isNotNull(), own(first)).otherwise(text))
 
 
 def tolerance(unit: Column) -> Column:

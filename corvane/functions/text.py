@@ -1,9 +1,10 @@
 """Tokens, sentences, snippets and overlaps of texts."""
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a token of search payloads, and of one of questions and evidence: fixed patterns. Letters and digits of any script.
@@ -12,6 +13,16 @@ QUERY_TOKEN = r"([A-Za-zА-Яа-яЁё0-9%/.,-]+)"
 STRIPPED = ".,;:()[]{}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: as the variable of a lambda it isn't written out wherever it's used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, whatever reads it: the optimiser doesn't write a generator's values out again in filters and later columns."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def tokens(text: Column, pattern: str = SEARCH_TOKEN) -> Column:
     """array<string>: distinct lower-case tokens of two characters or more, points, commas and brackets stripped from their ends."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern))
@@ -38,8 +49,10 @@ def token_share(text: Column, query: list[str]) -> Column:
 
 def distinct_in_order(values: Column) -> Column:
     """array<string> without values that equal an earlier one but for case."""
-    low = F.transform(values, lambda v: F.lower(v))
-    return F.when(F.size(F.array_distinct(low)) == F.size(values), values).otherwise(F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1))
+    def kept(own: Column, low: Column) -> Column:
+        return F.when(F.size(F.array_distinct(low)) == F.size(own), own).otherwise(F.filter(own, lambda v, i: F.array_position(low, F.lower(v)) == i + 1))
+
+    return let(values, lambda own: let(F.transform(own, lambda v: F.lower(v)), lambda low: kept(own, low)))
 
 
 def union_in_order(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions import entities, quantities, terms
-from corvane.functions.text import alias_form, distinct_in_order
+from corvane.functions.text import alias_form, distinct_in_order, let
 
 NONE = "array<string>"
 #: Artifacts below this confidence are never confirmed, and a candidate has this confidence at most: fixed values.
@@ -25,33 +25,30 @@ def asked(numeric: Column | None = None, places: Column | None = None, start_yea
 
 
 def contains_any(text: Column, words: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(words, lambda w: (w != "") & F.contains(low, F.lower(w)))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.exists(words, lambda w: (w != "") & F.contains(low, F.lower(w))))
 
 
 def time_covered(text: Column, start: Column, end: Column) -> Column:
     """Whether the text has a year within the range, or any year where the range is open."""
-    found = entities.years(text)
     closed = start.isNotNull() & end.isNotNull()
-    return F.when(F.size(found) == 0, False).when(closed, F.exists(found, lambda y: y.between(start, end))).otherwise(True)
+    return let(entities.years(text), lambda found: F.when(F.size(found) == 0, False).when(closed, F.exists(found, lambda y: y.between(start, end))).otherwise(True))
 
 
 def places_covered(text: Column, places: Column) -> Column:
     """Whether the text has every place, as it is written or by a name that it goes by."""
-    form = alias_form(text)
-    extracted = F.transform(entities.places(text), alias_form)
-    return F.forall(places, lambda p: F.contains(form, alias_form(p)) | F.array_contains(extracted, alias_form(p)))
+    covered = lambda form, extracted: F.forall(places, lambda p: F.contains(form, alias_form(p)) | F.array_contains(extracted, alias_form(p)))
+    return let(alias_form(text), lambda form: let(F.transform(entities.places(text), alias_form), lambda extracted: covered(form, extracted)))
 
 
 def reason_codes(span_id: Column, text: Column, ask: Column) -> Column:
     """array<string>: why a span is no evidence for what is asked; empty where it is. The text's quantities are read once."""
-    return F.get(F.transform(F.array(quantities.quantities(text)), lambda found: _reason_codes(span_id, text, ask, found)), F.lit(0))
+    return let(quantities.quantities(text), lambda found: _reason_codes(span_id, text, ask, found))
 
 
 def _reason_codes(span_id: Column, text: Column, ask: Column, found: Column) -> Column:
-    units = F.transform(F.filter(ask["numeric"], lambda a: F.coalesce(a["unit"], F.lit("")) != ""), lambda a: quantities.unit_name(a["unit"]))
+    asked_units = F.transform(F.filter(ask["numeric"], lambda a: F.coalesce(a["unit"], F.lit("")) != ""), lambda a: quantities.unit_name(a["unit"]))
     own = F.array_distinct(F.transform(found, lambda q: q["unit"]))
-    other = (F.size(units) > 0) & (F.size(own) > 0) & ~F.arrays_overlap(units, own)
+    other = let(asked_units, lambda units: let(own, lambda has: (F.size(units) > 0) & (F.size(has) > 0) & ~F.arrays_overlap(units, has)))
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     codes = [
         F.when(F.coalesce(span_id, F.lit("")).eqNullSafe("") | blank, "missing_source_span"),
@@ -141,7 +138,10 @@ def follow_up(gaps: Column, conflicts: Column, candidates: Column, unsupported:
 
 def gaps(n_evidence: Column, text: Column, ask: Column, n_candidates: Column, has_conflicts: Column) -> Column:
     """array<struct<gap_type, priority>>: what the evidence, its texts joined by blanks, leaves open."""
-    found = quantities.quantities(text)
+    return let(quantities.quantities(text), lambda found: _gaps(n_evidence, text, ask, n_candidates, has_conflicts, found))
+
+
+def _gaps(n_evidence: Column, text: Column, ask: Column, n_candidates: Column, has_conflicts: Column, found: Column) -> Column:
     missing = (F.size(ask["named"]) > 0) & (n_evidence > 0) & ~contains_any(text, ask["named"])
     rules = [
         (n_evidence == 0, "missing_evidence", "high"),

@@ -147,7 +147,7 @@ def st8_live(spark, sf_dir):
     return feeds.live(read(spark, sf_dir, "events"), "ts", datetime.datetime(2024, 1, 20), 5 * 86400).select("event_id")
 
 
-@query("SELECT conv_id, turn, CAST(ceil(length(text) / 48.0) AS BIGINT) AS n, substr(text, 1, 96) AS second FROM conversations WHERE length(text) > 96")
+@query("SELECT conv_id, turn, CAST(ceil(length(text) / 48.0) AS BIGINT) AS n, substr(text, 49, 48) AS second, CAST(48 * ceil(length(text) / 48.0) - 48 AS INTEGER) AS last_at FROM conversations WHERE length(text) > 96")
 def st7_x39_messages(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").where(F.length("text") > 96).withColumn("m", extract.messages(F.col("text")))
-    return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.col("m")[1].alias("second"))
+    return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.col("m")[1]["piece"].alias("second"), F.element_at("m", -1)["at"].alias("last_at"))

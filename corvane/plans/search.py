@@ -168,7 +168,8 @@ CODES = f"""{NOTES}, {FOUND}, cover AS (SELECT doc_id, count(*) AS n, bool_or(un
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = asks()
-    return notes(spark, sf_dir).withColumn("codes", verify.reason_codes(F.col("doc_id").cast("string"), F.col("note"), ask)).withColumn("layer", verify.layer(F.col("codes")))
+    rows = text.once(notes(spark, sf_dir), "codes", verify.reason_codes(F.col("doc_id").cast("string"), F.col("note"), ask))
+    return rows.withColumn("layer", verify.layer(F.col("codes")))
 
 
 @query(f"WITH {CODES} SELECT doc_id, codes FROM codes")

@@ -116,13 +116,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def phases(rows: DataFrame, chunk: int = 48) -> Iterator[dict]:
-    """An answer's messages in order: a phase each, then its text growing by `chunk`, then how it ended. rows (phase, text): one answer's few rows."""
+    """An answer's messages in order: a phase each, then the pieces of its text, then how it ended. rows (phase, text): one answer's few rows."""
     from corvane.functions.extract import messages
 
-    for row in rows.select("phase", messages(F.col("text"), chunk).alias("texts")).toLocalIterator():
+    for row in rows.select("phase", messages(F.col("text"), chunk).alias("pieces")).toLocalIterator():
         yield {"type": "phase", "phase": row.phase}
-        for text in row.texts:
-            yield {"type": "text", "phase": row.phase, "text": text}
+        for message in row.pieces:
+            yield {"type": "text", "phase": row.phase, "at": message["at"], "text": message["piece"]}
     yield {"type": "end"}
 
 
