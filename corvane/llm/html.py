@@ -35,7 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript iframe template textarea title".split())
 #: Elements that authors close in the tag itself.
 SELF_CLOSED = frozenset("svg math object iframe template noscript textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag ends where they are open.
 ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,16 +45,20 @@ SECTIONS = frozenset("html body main article section div td blockquote center he
 WHOLE = frozenset("html body main article".split())
 NEVER = frozenset("head nav footer aside button select input dialog menu object svg legend optgroup option datalist".split())
 NEVER_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
-#: Whole class or id names that mark an element as no part of the article, whatever its text.
-NEVER_NAMES = re.compile(
-    r"ads?|adv|adsense|advert.*|(?:ad|ads)[-_].+|.+[-_]ads?|(?:.+[-_])?sponsor(?:s|ed)?(?:[-_].+)?|promo(?:tion)?s?|promo[-_].+|.+[-_]promo|"
-    r"(?:.+[-_])?cookies?(?:[-_].+)?|(?:.+[-_])?consent(?:[-_].+)?|gdpr.*|popup|modal|overlay|newsletter(?:[-_].+)?|(?:.+[-_])newsletter|subscribe(?:[-_].+)?|paywall|"
-    r"nav|navs|navbar|navigation|(?:.+[-_])nav(?:igation|bar)?|nav[-_].+|menus?|(?:.+[-_])menu|menu[-_].+|breadcrumbs?(?:[-_].+)?|pagination|pager|skip-link|"
-    r"(?:.+[-_])?side-?bar(?:[-_].+)?|(?:.+[-_])?footer|footer[-_].+|comments?|comment[-_]?(?:list|section|area|body|text|form|box|thread|content|item)s?|comments[-_].+|.+[-_]comments?|disqus.*|respond|replies|"
-    r"share|sharing|share[-_].+|.+[-_]share|social|social[-_].+|addthis.*|related|related[-_]?(?:posts?|articles?|stories|links|content|news|items|reading)|recommended|recommended[-_].+|recommendations|"
-    r"log-?in(?:[-_].+)?|sign-?up(?:[-_].+)?|search(?:[-_](?:form|box|bar))?",
-    re.I,
+#: Words of class and id names. A name of such words alone, at least one of them a tell-tale, marks an element as no part of the article, whatever its
+#: text; one that has any other word (social-history, comments-on-methods) says nothing. A menu within an article is judged by its links.
+TELLTALE = frozenset(
+    """ad ads adv adsense advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr popup modal overlay
+    newsletter newsletters subscribe nav navs navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar footer comment comments disqus respond replies share sharing social
+    addthis related recommended recommendations login signup search skip""".split()
 )
+OF_WIDGETS = frozenset(
+    """site page global top main bottom left right header head body box boxes section area list thread item items text form wrapper wrap container content block bar banner notice popup policy link
+    links button buttons icon icons widget widgets slot unit space placeholder post posts article articles story stories news reading media tools toolbar toolbox count title inner outer primary secondary
+    mobile desktop fixed sticky dialog panel card cards group row col column input field small large this follow us""".split()
+)
+PARTED = re.compile(r"(?<![a-z])(sign|log|side|nav)[-_]?(up|in|bar)(?![a-z])", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+(?:x[0-9]+)?|[^\W\d_a-zA-Z]+")
 #: Whole names of page headers: no part of the article unless they lie in it.
 HEADERS = re.compile(r"(?:(?:site|page|global|top|main)[-_])?(?:header|masthead|banner|topbar)|top-?bar", re.I)
 #: Whole names that lower a container's score.
@@ -64,6 +68,13 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 DOUBT = 0.2
 
 
+def unmistakable(name: str, in_article: bool) -> bool:
+    """Whether a class or id name marks a widget, advert, notice or comment. A plain `menu` in an article may be what the article is about."""
+    words = [w.lower() for w in WORDS.findall(PARTED.sub(lambda m: (m[1] + m[2]).lower(), name))]
+    known = all(w in TELLTALE or w in OF_WIDGETS or w[0].isdigit() for w in words)
+    return known and any(w in TELLTALE for w in words) and not (in_article and words in (["menu"], ["menus"]))
+
+
 class Element:
     """An open element. block: the nearest one that is not inline; container: the number of the nearest section."""
 
@@ -101,6 +112,7 @@ class Page:
         self.stack = [Element("", 0, None)]
         self.open: Counter = Counter()
         self.blocks: list[Block] = []
+        self.unclosed: set[str] = set()
         self.read(page)
         for b in self.blocks:
             b.text = " ".join(html.unescape("".join(b.parts)).split())
@@ -123,7 +135,7 @@ class Page:
         if name not in HEADINGS and not e.never:
             e.never = name in NEVER or any(r in NEVER_ROLES for r in roles)
             if name not in WHOLE:
-                e.never = e.never or any(NEVER_NAMES.fullmatch(n) for n in names)
+                e.never = e.never or any(unmistakable(n, above.article) for n in names)
                 page_header = name == "header" or "banner" in roles or any(HEADERS.fullmatch(n) for n in names)
                 e.never = e.never or (page_header and not above.article)
         e.article = above.article or marked
@@ -180,7 +192,10 @@ class Page:
             if closed and (name in SELF_CLOSED or top.foreign or self.open["math"]):
                 continue
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                # one that has no end has none further on either: the rest of the page is searched once for each name
+                close = None if name in self.unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                if close is None:
+                    self.unclosed.add(name)
                 if close is not None:
                     at = page.find(">", close.end())
                     at = end if at < 0 else at + 1
@@ -238,6 +253,17 @@ def inherited(containers: list[Container], own: list[bool]) -> list[bool]:
     return found
 
 
+def heading_before(blocks: list[Block], chosen: list[bool]) -> set[int]:
+    """Where the part that is read has no h1, the last one before it, with what follows it in its own container and isn't links: a headline and its introduction."""
+    inside = [i for i, b in enumerate(blocks) if chosen[b.container]]
+    if not inside or any(blocks[i].name == "h1" for i in inside):
+        return set()
+    at = next((i for i in range(inside[0] - 1, -1, -1) if blocks[i].name == "h1"), None)
+    if at is None:
+        return set()
+    return {i for i in range(at, inside[0]) if blocks[i].container == blocks[at].container and 2 * blocks[i].linked <= len(blocks[i].text)}
+
+
 def main_text(page: str, threshold: float = 0.2) -> str:
     """The page's article: blocks in page order joined by two line ends, each with references decoded and white space made one space."""
     read = Page(page)
@@ -276,7 +302,8 @@ def main_text(page: str, threshold: float = 0.2) -> str:
         while kids[root] and weight[kids[root]] >= 0.9 * weight[root] > 0:
             root = kids[root]
         chosen = inherited(boxes, [i == root for i in range(len(boxes))])
-    kept = [(b, good) for b, good in zip(blocks, content, strict=True) if chosen[b.container]]
+    lead = set() if trusted else heading_before(blocks, chosen)
+    kept = [(b, good or i in lead) for i, (b, good) in enumerate(zip(blocks, content, strict=True)) if chosen[b.container] or i in lead]
     speaks, links, holds = ([0.0] * len(boxes) for _ in range(3))
     for b, good in kept:
         speaks[b.container] += max(0, len(b.text) - b.linked)

@@ -24,7 +24,7 @@ NOTICES = {
     "fr": ["tous droits réservés", "mentions légales", "politique de confidentialité", "utilise des cookies"],
     "es": ["todos los derechos reservados", "aviso legal", "política de privacidad", "utiliza cookies"],
 }
-#: Fixed phrases that ask the reader to do something on the page, by language, looked for without case in lines of at most 12 words.
+#: Fixed phrases that ask the reader to do something on the page, by language: without case, at the beginning of a line of at most 6 words.
 ACTIONS = {
     "en": ["click here", "read more", "sign up", "log in to", "login to", "subscribe to our"],
     "de": ["hier klicken", "weiterlesen", "jetzt anmelden", "newsletter abonnieren"],
@@ -35,7 +35,13 @@ ACTIONS = {
 NAVIGATION = r"\||»|›|→|·|•"
 MARKS = r"[#*$%&|<>{}~^=\\]|!"
 ADDRESS = r"https?://|www\."
-PUNCTUATION = r"[.,;:!?…。、，！？؟،]"
+PUNCTUATION = r"\p{P}"
+
+
+def begins_with(low: Column, by_language: dict[str, list[str]]) -> Column:
+    """Whether a lower-case line begins with one of the phrases, marks and white space aside."""
+    bare = F.regexp_replace(low, r"^[\P{L}]+", "")
+    return let(bare, lambda own: reduce(lambda a, b: a | b, [F.startswith(own, F.lit(p)) for words in by_language.values() for p in words], F.lit(False)))
 
 
 def has_phrase(low: Column, by_language: dict[str, list[str]]) -> Column:
@@ -47,8 +53,8 @@ def line_fails(line: Column, notices: dict[str, list[str]] | None = None, action
     """Whether a line (with at least one word) breaks a rule.
 
     Punctuation: symbols, or exclamation marks, for a fifth of the words or more; nearly all letters capital in five words or more; 20 words
-    or more without any punctuation. Navigation: menu separators for a fifth of the words or more, or addresses for a third. Boilerplate: a
-    phrase of a notice in a line of at most 30 words, or one that asks for an action in at most 12. Repetition: ten words or more of
+    or more without any punctuation mark of any script. Navigation: menu separators for a fifth of the words or more, or addresses for a third. Boilerplate: a
+    phrase of a notice in a line of at most 30 words, or a line of at most 6 that begins by asking for an action. Repetition: ten words or more of
     which under a quarter are different."""
     notices, actions = NOTICES if notices is None else notices, ACTIONS if actions is None else actions
 
@@ -62,7 +68,7 @@ def line_fails(line: Column, notices: dict[str, list[str]] | None = None, action
             | ((n >= 20) & ~line.rlike(PUNCTUATION))
             | (line.contains("http") | line.contains("www.")) & (3 * count(ADDRESS) >= n)
             | ((n <= 30) & has_phrase(low, notices))
-            | ((n <= 12) & has_phrase(low, actions))
+            | ((n <= 6) & begins_with(low, actions))
             | ((n >= 10) & (4 * different < n))
         )
 

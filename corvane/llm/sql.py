@@ -39,10 +39,11 @@ SELECT doc_id, size, source_size, target, CAST(max(n) AS BIGINT) AS taken FROM c
 def quality_rules(most_lost: float = 0.4, least_words: int = 20, most_repeated: int = 30, window: int = 8) -> str:
     """Windows of words are compared as words; lines are judged one by one."""
     n = lambda pattern, of="line": f"len(regexp_extract_all({of}, {quoted(pattern)}))"
-    notices, actions = (" OR ".join(f"contains(lower(line), {quoted(p)})" for words in x.values() for p in words) for x in (quality.NOTICES, quality.ACTIONS))
+    notices = " OR ".join(f"contains(lower(line), {quoted(p)})" for words in quality.NOTICES.values() for p in words)
+    actions = " OR ".join(f"starts_with(regexp_replace(lower(line), '^\\P{{L}}+', ''), {quoted(p)})" for words in quality.ACTIONS.values() for p in words)
     fails = f"""5 * {n(quality.MARKS)} >= n OR 5 * {n(quality.NAVIGATION)} >= n OR (n >= 5 AND {n(r'\p{Lu}{2}')} > 4 * {n(r'\p{Ll}{2}')})
  OR (n >= 20 AND NOT regexp_matches(line, {quoted(quality.PUNCTUATION)})) OR 3 * {n(quality.ADDRESS)} >= n OR (n <= 30 AND ({notices}))
- OR (n <= 12 AND ({actions})) OR (n >= 10 AND 4 * len(list_distinct(regexp_extract_all(lower(line), '{WORD}'))) < n)"""
+ OR (n <= 6 AND ({actions})) OR (n >= 10 AND 4 * len(list_distinct(regexp_extract_all(lower(line), '{WORD}'))) < n)"""
     repeat = f"""SELECT uid, count(DISTINCT i + k) AS repeated FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, shingle) AS times
   FROM (SELECT uid, i, n, string_agg(word, ' ') OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS shingle
    FROM (SELECT uid, len(words) AS n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d)) WHERE i <= n - {window - 1}),

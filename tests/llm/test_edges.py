@@ -124,3 +124,15 @@ def test_curve_files_prune(spark):
 
     asked = {(r.source or "", r.lang or "") for r in rows}
     assert sum(read(by_curve, *a) for a in asked) < 0.4 * sum(read(by_arrival, *a) for a in asked)
+
+
+PROSE = ["She would read more at night.", "They had to log in to the old mill.", "Sign up sheets were kept by the clerk of the town for years.", " ".join(f"शब्द{i}" for i in range(25)) + " ।"]
+NOT_PROSE = ["READ MORE", "» Click here", "Subscribe to our newsletter", "Home | News | About", " ".join(f"word{i}" for i in range(25))]
+
+
+def test_lines(spark):
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([(x,) for x in PROSE + NOT_PROSE], "line string")
+    fails = {r.line: r.f for r in lines.select("line", quality.line_fails(F.col("line")).alias("f")).collect()}
+    assert [x for x in PROSE if fails[x]] == [] and [x for x in NOT_PROSE if not fails[x]] == []

@@ -100,3 +100,40 @@ def test_edges(spark):
     found = [tuple(r) for r in html.extracted(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(found, key=repr) == sorted([(1, "u", "", 0), (2, None, "a", 1), (2, None, "a", 1), (None, "u", "", 0), (3, "u", "", 0)], key=repr)
     assert html.extracted(spark.createDataFrame([], schema)).collect() == []
+
+
+SAID = "A first paragraph, long enough, stands here."
+
+
+@pytest.mark.parametrize("name", ["comments-on-methods", "social-history", "share-prices", "search-results-analysis", "menu", "promo-analysis", "paywall", "related-work", "cookie-recipes", "nav-theory"])
+def test_names_with_other_words_drop_nothing(name):
+    for tag in ("div", "section"):
+        assert html.main_text(f"<article><p>{SAID}</p><{tag} class='{name}'><p>Some words, kept.</p></{tag}></article>") == f"{SAID}\n\nSome words, kept."
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "social-links", "share-buttons", "ad-slot", "related-posts", "cookie-banner", "newsletter-signup", "nav-menu", "sign-up", "log-in-form", "sideBar", "ad-300x250", "advert"])
+def test_names_of_widgets_alone(name):
+    assert html.main_text(f"<article><p>{SAID}</p><div class='{name}'><p>Some words, gone.</p></div></article>") == SAID
+
+
+def test_headline_before_an_unmarked_text():
+    body = "".join(f"<p>Paragraph {i}, with commas, which is long, stands here.</p>" for i in range(6))
+    page = "<body><div class=top><a href=x>Home</a> <a href=y>News</a></div><div class=hero><h1>Headline</h1><p>Standfirst words.</p></div><div class=x>" + body + "</div></body>"
+    found = html.main_text(page).split("\n\n")
+    assert found[:2] == ["Headline", "Standfirst words."] and len(found) == 8
+
+
+def test_controls_do_not_cut_a_paragraph():
+    assert html.main_text("<article><p>Press <button>now</button>, please.</p></article>") == "Press , please."
+
+
+def test_unclosed_elements_are_linear():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html.main_text("<article><p>x</p>" + "<iframe src=x>" * n + "</article>")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 3
