@@ -4,18 +4,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.patterns import pairs
+from corvane.operators.storage import written
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """edges (src, dst), seeds (node) -> (node, hop) within 1 to 3 undirected hops, each node at its least distance."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = seeds.select("node", F.lit(0).alias("hop"))
+def adjacency(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) -> the same in both directions, each once, for `neighbours`: to be written once and read at every hop."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def stored_adjacency(edges: DataFrame, path: str) -> None:
+    """Writes the adjacency sorted by node: a hop that starts from few nodes reads the row groups that may hold them."""
+    adjacency(edges).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").write.parquet(path)
+
+
+def neighbours(both: DataFrame, seeds: DataFrame, hops: int, limit: int | None = None) -> DataFrame:
+    """both (src, dst: an adjacency), seeds (node) -> (node, hop) within 1 to 3 undirected hops, each node at its least distance; the first `limit` by hop and node.
+
+    What a hop has reached is written: the next one begins there, and the adjacency is read once a hop."""
+    reached = seeds.select("node", F.lit(0).alias("hop")).distinct()
     front = reached
-    for hop in range(1, max(1, min(3, hops)) + 1):
+    last = max(1, min(3, hops))
+    for hop in range(1, last + 1):
         step = both.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         front = step.join(reached, "node", "left_anti").select("node", F.lit(hop).alias("hop"))
+        front = written(front, "front") if hop < last else front
         reached = reached.unionByName(front)
-    return reached
+    return reached if limit is None else reached.orderBy("hop", "node").limit(limit)
 
 
 def contradictions(measured: DataFrame) -> DataFrame:

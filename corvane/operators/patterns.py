@@ -9,9 +9,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.storage import written
+
 ABOUT = ("VALIDATED_BY", "RELATED_TO")
 CONFLICTING = (*ABOUT, "OPERATES_AT_CONDITION", "USES_MATERIAL")
 PROCESS = (*CONFLICTING, "PRODUCES_OUTPUT")
@@ -32,22 +34,47 @@ class Graph:
     geographies: DataFrame
     observations: DataFrame
     edges: DataFrame
+    #: Whether no edge is there twice, as in a graph that `stored` wrote.
+    once: bool = False
 
-    def linked(self, types: tuple[str, ...] | str, src: str, dst: str) -> DataFrame:
-        """The distinct edges of these types as (src, dst) under other names."""
+    def linked(self, types: tuple[str, ...] | str, src: str, dst: str, to: DataFrame | None = None) -> DataFrame:
+        """The distinct edges of these types as (src, dst) under other names; with `to`, a table of dst, only those that lead there."""
         types = (types,) if isinstance(types, str) else types
-        return self.edges.where(F.col("rel_type").isin(*types)).select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct()
+        found = self.edges.where(F.col("rel_type").isin(*types)).select(F.col("src").alias(src), F.col("dst").alias(dst))
+        if to is not None:
+            found = found.join(to, dst, "left_semi")
+        return found if self.once and len(types) == 1 else found.distinct()
+
+    def described(self, claims: DataFrame, levels: list[str]) -> DataFrame:
+        """claims (claim_id, ...) with span_id and document_id: a row for each span that describes one, in documents of these access levels.
 
-    def evidence(self, levels: list[str]) -> DataFrame:
-        """(claim_id, span_id, document_id) of the claims described in spans of documents of these access levels."""
+        The joins begin with the claims, which are few, and not with all that any document describes."""
         documents = self.documents.where(F.col("access_level").isin(*levels)).select("document_id")
-        return self.linked("DESCRIBED_IN", "claim_id", "span_id").join(self.linked("PART_OF", "span_id", "document_id"), "span_id").join(documents, "document_id", "left_semi")
+        spans = claims.join(self.linked("DESCRIBED_IN", "claim_id", "span_id"), "claim_id")
+        return spans.join(self.linked("PART_OF", "span_id", "document_id"), "span_id").join(documents, "document_id", "left_semi")
 
     def measured(self) -> DataFrame:
         """(claim_id, measurement_id, unit, value) of claims that are quantified."""
         return self.linked("QUANTIFIED_BY", "claim_id", "measurement_id").join(self.measurements, "measurement_id")
 
 
+TABLES = ("claims", "spans", "documents", "entities", "measurements", "geographies", "observations")
+
+
+def stored(g: Graph, path: str) -> None:
+    """Writes the graph: its tables, and each edge once, in a folder for each type and sorted by src, so that a pattern reads the types that it follows."""
+    for name in TABLES:
+        getattr(g, name).write.parquet(f"{path}/{name}")
+    edges = g.edges.select("src", "rel_type", "dst").distinct()
+    edges.repartitionByRange("rel_type", "src").sortWithinPartitions("rel_type", "src", "dst").write.partitionBy("rel_type").parquet(f"{path}/edges")
+
+
+def opened(spark: SparkSession, path: str) -> Graph:
+    """The graph that `stored` wrote."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    return Graph(**tables, edges=spark.read.schema("src string, dst string, rel_type string").parquet(f"{path}/edges").select("src", "rel_type", "dst"), once=True)
+
+
 @dataclass
 class Spec:
     """What a search asks for. None and empty lists ask for nothing."""
@@ -92,10 +119,13 @@ def in_place(g: Graph, claims: DataFrame, place: str | None) -> DataFrame:
 
 
 def with_measures(g: Graph, claims: DataFrame, low: float | None, high: float | None) -> DataFrame:
-    """Claims with some measurement from low on and some up to high: each bound by itself, as an existence."""
-    for bound in ([(low, None)] if low is not None else []) + ([(None, high)] if high is not None else []):
-        claims = claims.join(g.measured().where(within("value", *bound)), "claim_id", "left_semi")
-    return claims
+    """Claims with some measurement from low on and some up to high: each bound by itself, as an existence. The joins begin with the claims."""
+    bounds = [F.bool_or(F.col("_value") >= low)] * (low is not None) + [F.bool_or(F.col("_value") <= high)] * (high is not None)
+    if not bounds:
+        return claims
+    values = g.measurements.select("measurement_id", F.col("value").alias("_value"))
+    measured = claims.join(g.linked("QUANTIFIED_BY", "claim_id", "measurement_id"), "claim_id").join(values, "measurement_id")
+    return measured.groupBy(*claims.columns).agg(every(bounds).alias("_holds")).where("_holds").select(*claims.columns)
 
 
 def dated(claims: DataFrame, spec: Spec) -> DataFrame:
@@ -108,8 +138,8 @@ def cut(df: DataFrame, spec: Spec, *first: Column) -> DataFrame:
 
 def subgraph_by_entity(g: Graph, spec: Spec) -> DataFrame:
     """(entity_id, claim_id, span_id, document_id) of claims on the entities named."""
-    about = g.linked(ABOUT, "claim_id", "entity_id").join(F.broadcast(seeds(g, spec)), "entity_id", "left_semi")
-    return cut(about.join(g.evidence(spec.levels), "claim_id").select("entity_id", "claim_id", "span_id", "document_id").distinct(), spec)
+    about = g.linked(ABOUT, "claim_id", "entity_id", seeds(g, spec))
+    return cut(g.described(about, spec.levels).select("entity_id", "claim_id", "span_id", "document_id").distinct(), spec)
 
 
 def subgraph_by_evidence(g: Graph, claim_ids: DataFrame, span_ids: DataFrame, levels: list[str]) -> DataFrame:
@@ -129,27 +159,28 @@ def filtered_claims(g: Graph, spec: Spec) -> DataFrame:
     """(claim_id, span_id, document_id) by confidence, status, place, measure and date; what is None filters nothing."""
     claims = g.claims.where(every([F.col("confidence") >= spec.min_confidence] * (spec.min_confidence is not None) + [F.col("status") == spec.status] * (spec.status is not None)))
     claims = with_measures(g, in_place(g, dated(claims, spec), spec.place), spec.low, spec.high)
-    return cut(g.evidence(spec.levels).join(claims.select("claim_id"), "claim_id", "left_semi").select("claim_id", "span_id", "document_id").distinct(), spec)
+    return cut(g.described(claims.select("claim_id").distinct(), spec.levels).select("claim_id", "span_id", "document_id").distinct(), spec)
 
 
 def evidence(g: Graph, spec: Spec) -> DataFrame:
     """(claim_id, span_id, document_id, confidence, updated), the surest and latest first, of claims on the entities named, if any are."""
-    claims = with_measures(g, in_place(g, dated(g.claims, spec), spec.place), spec.low, spec.high)
+    claims = g.claims.select("claim_id", "confidence", "updated", "published")
     if spec.entity_ids or spec.hints:
-        claims = claims.join(g.linked(ABOUT, "claim_id", "entity_id").join(F.broadcast(seeds(g, spec)), "entity_id", "left_semi"), "claim_id", "left_semi")
-    rows = claims.select("claim_id", "confidence", "updated").join(g.evidence(spec.levels), "claim_id").select("claim_id", "span_id", "document_id", "confidence", "updated")
+        claims = claims.join(g.linked(ABOUT, "claim_id", "entity_id", seeds(g, spec)), "claim_id", "left_semi")
+    claims = with_measures(g, in_place(g, dated(claims, spec), spec.place), spec.low, spec.high)
+    rows = g.described(claims, spec.levels).select("claim_id", "span_id", "document_id", "confidence", "updated")
     return cut(rows, spec, F.desc_nulls_first("confidence"), F.desc_nulls_first("updated"))
 
 
 def entity_property(g: Graph, spec: Spec) -> DataFrame:
-    about = g.linked((*ABOUT, "EXPERT_IN"), "claim_id", "entity_id").join(F.broadcast(seeds(g, spec)), "entity_id", "left_semi")
+    about = g.linked((*ABOUT, "EXPERT_IN"), "claim_id", "entity_id", seeds(g, spec))
     claims = g.claims.select("claim_id", "confidence", "published").join(about.select("claim_id").distinct(), "claim_id", "left_semi")
     claims = with_measures(g, in_place(g, dated(claims, spec), spec.place), spec.low, spec.high)
     return found(g, claims, spec, about, g.measured())
 
 
 def entity_process_measurement(g: Graph, spec: Spec) -> DataFrame:
-    about = g.linked(PROCESS, "claim_id", "entity_id").join(F.broadcast(seeds(g, spec, "Process")), "entity_id", "left_semi")
+    about = g.linked(PROCESS, "claim_id", "entity_id", seeds(g, spec, "Process"))
     claims = g.claims.select("claim_id", "confidence").join(about.select("claim_id").distinct(), "claim_id", "left_semi")
     return found(g, claims, spec, about, g.measured().where(within("value", spec.low, spec.high)))
 
@@ -180,7 +211,7 @@ def found(g: Graph, claims: DataFrame, spec: Spec, about: DataFrame, measured: D
     """claims with their spans and documents, and with entities and measurements where there are any; the surest first.
 
     Claims are cut to the limit before they meet their optional parts: each keeps at least one row."""
-    rows = claims.select("claim_id", "confidence", *(extra or [])).distinct().join(g.evidence(spec.levels), "claim_id")
+    rows = g.described(claims.select("claim_id", "confidence", *(extra or [])).distinct(), spec.levels)
     order = (*first, F.desc_nulls_first("confidence"))
     rows = cut(rows.select("claim_id", "span_id", "document_id", "confidence", *(extra or [])), spec, *order)
     rows = rows.join(about.select("claim_id", "entity_id"), "claim_id", "left").join(measured.select("claim_id", "measurement_id", "unit", "value"), "claim_id", "left")
@@ -192,8 +223,9 @@ def conflicts(g: Graph, spec: Spec) -> DataFrame:
 
     At most `limit` pairs are asked for, so only the first `limit` claims that have a partner at all are joined with their group:
     a hot entity costs its claims so many times, not their pairs."""
-    about = g.linked(CONFLICTING, "claim_id", "entity_id").join(F.broadcast(seeds(g, spec)), "entity_id", "left_semi").join(g.evidence(spec.levels).select("claim_id").distinct(), "claim_id", "left_semi")
+    about = g.described(g.linked(CONFLICTING, "claim_id", "entity_id", seeds(g, spec)), spec.levels).select("entity_id", "claim_id").distinct()
     values = about.join(g.measured().where("unit <> '' and value is not null"), "claim_id").select("entity_id", "claim_id", "unit", "value").distinct()
+    values = written(values, "values")  # read four times
     latest = values.groupBy("entity_id", "unit", "value").agg(F.max("claim_id").alias("latest"))
     best = latest.groupBy("entity_id", "unit").agg(F.max(F.struct("latest", "value")).alias("a")).select("entity_id", "unit", F.col("a.latest").alias("best"), F.col("a.value").alias("best_value"))
     second = latest.join(best, ["entity_id", "unit"]).groupBy("entity_id", "unit", "best", "best_value").agg(F.max(F.when(F.col("value") != F.col("best_value"), F.col("latest"))).alias("next"))
@@ -205,13 +237,20 @@ def conflicts(g: Graph, spec: Spec) -> DataFrame:
     return cut(by_value.select("entity_id", "claim_id", "other_id").union(edges.select("entity_id", "claim_id", "other_id")).distinct(), spec)
 
 
-def missing_data(g: Graph, spec: Spec, most_pairs: int = 10_000_000) -> DataFrame:
-    """(process_id, material_id) without a quantified claim on both. Refused where the two catalogs have more than `most_pairs` pairs."""
+def missing_data(g: Graph, spec: Spec) -> DataFrame:
+    """(process_id, material_id) without a quantified claim on both, the first `limit` of them.
+
+    Each process that lacks a material at all gives one pair or more, so the first `limit` such processes are enough: they alone meet the materials."""
     processes = g.entities.where("domain_type = 'Process'").select(F.col("entity_id").alias("process_id"))
     materials = g.entities.where(F.col("domain_type").isin(*MATERIALS)).select(F.col("entity_id").alias("material_id"))
     measured = g.measured().select("claim_id").distinct()
-    used = g.linked(ABOUT, "claim_id", "process_id").join(g.linked((*ABOUT, "USES_MATERIAL", "PRODUCES_OUTPUT"), "claim_id", "material_id"), "claim_id").join(measured, "claim_id", "left_semi")
-    return cut(pairs(processes, materials, most_pairs).join(used.select("process_id", "material_id").distinct(), ["process_id", "material_id"], "left_anti"), spec)
+    used = g.linked(ABOUT, "claim_id", "process_id", processes).join(g.linked((*ABOUT, "USES_MATERIAL", "PRODUCES_OUTPUT"), "claim_id", "material_id", materials), "claim_id").join(measured, "claim_id", "left_semi")
+    used = written(used.select("process_id", "material_id").distinct(), "used")
+    every_material = F.broadcast(materials.agg(F.count("*").alias("_every")))  # one row
+    counts = processes.join(used.groupBy("process_id").agg(F.count("*").alias("_used")), "process_id", "left").crossJoin(every_material)
+    lacking = counts.where(F.coalesce("_used", F.lit(0)) < F.col("_every")).select("process_id").orderBy("process_id").limit(spec.limit)
+    pairs_of = materials.crossJoin(F.broadcast(lacking)).select("process_id", "material_id")  # at most `limit` processes
+    return cut(pairs_of.join(used, ["process_id", "material_id"], "left_anti"), spec)
 
 
 def pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
@@ -269,39 +308,30 @@ PATTERNS: dict[str, Callable[[Graph, Spec], DataFrame]] = {
     "conflicts": conflicts,
     "missing_data": missing_data,
 }
-#: Words of a question that ask for a pattern.
-HINTS = {"process": ["process", "процесс", "flotation", "флотац", "leaching", "выщелач"], "material": ["material", "материал", "никель", "медь", "штейн"], "conflict": ["conflict", "противореч"], "missing": ["missing", "пробел", "нет данных"], "compare": ["compare", "versus", "сравн"]}
-
-
-def selected(question: str, spec: Spec) -> list[str]:
-    """The patterns that a question asks for, in the order of PATTERNS; entity_property where it asks for none."""
-    low, named = question.lower(), bool(spec.hints or spec.entity_ids)
-    asks = {k: any(w in low for w in words) for k, words in HINTS.items()}
-    numeric = spec.low is not None or spec.high is not None
-    wanted = {
-        "geo_indicator": spec.place is not None,
-        "period_observation": spec.after is not None or spec.before is not None,
-        "comparison": spec.groups is not None and (asks["compare"] or len(spec.hints) >= 2),
-        "entity_process_measurement": named and (asks["process"] or asks["material"] or numeric),
-        "entity_property": named,
-        "conflicts": named and (asks["conflict"] or numeric),
-        "missing_data": asks["missing"] or asks["process"],
-    }
-    return [p for p in PATTERNS if wanted[p]] or ["entity_property"]
+def asked_for(spec: Spec) -> list[str]:
+    """The spec's patterns without those that lack what they need: names for missing_data, groups for comparison."""
+    lacks = {"missing_data": not (spec.hints or spec.entity_ids), "comparison": not spec.groups}
+    return [name for name in spec.patterns if not lacks.get(name, False)]
 
 
 def exact_search(g: Graph, spec: Spec) -> DataFrame:
-    """(pattern, claim_id, span_id): what the spec's patterns find, each claim and span once under the first pattern that finds it."""
-    rows = []
-    for rank, name in enumerate(spec.patterns):
-        if (name == "missing_data" and not (spec.hints or spec.entity_ids)) or (name == "comparison" and not spec.groups):
-            continue
-        own = PATTERNS[name](g, spec)
-        if "claim_id" in own.columns:
-            span = F.col("span_id") if "span_id" in own.columns else F.lit(None).cast("string")
-            rows.append(own.select(F.lit(rank).alias("rank"), F.lit(name).alias("pattern"), "claim_id", span.alias("span_id")))
-    every_row = reduce(DataFrame.unionByName, rows)
-    return every_row.groupBy("claim_id", "span_id").agg(F.min_by("pattern", "rank").alias("pattern"))
+    """(pattern, claim_id, span_id, measurement_id): what the spec's patterns find, each claim and span once under the first pattern that finds it, with
+    the least of its measurements. Patterns that find no claims are in `gaps`; without any pattern there are no rows."""
+    rows = g.claims.sparkSession.createDataFrame([], "rank int, pattern string, claim_id string, span_id string, measurement_id string")
+    for rank, name in enumerate(asked_for(spec)):
+        if name != "missing_data":
+            own = PATTERNS[name](g, spec)
+            given = lambda c: F.col(c) if c in own.columns else F.lit(None).cast("string")  # noqa: B023, E731
+            rows = rows.unionByName(own.select(F.lit(rank).alias("rank"), F.lit(name).alias("pattern"), "claim_id", given("span_id").alias("span_id"), given("measurement_id").alias("measurement_id")))
+    found = rows.groupBy("claim_id", "span_id").agg(F.min(F.struct("rank", "pattern")).alias("r"), F.min("measurement_id").alias("measurement_id"))
+    return found.select("claim_id", "span_id", "r.pattern", "measurement_id")
+
+
+def gaps(g: Graph, spec: Spec) -> DataFrame:
+    """(process_id, material_id) that exact_search's missing_data finds without a measurement: the gaps of its answer, beside its rows. No rows where it isn't asked."""
+    if "missing_data" not in asked_for(spec):
+        return g.claims.sparkSession.createDataFrame([], "process_id string, material_id string")
+    return missing_data(g, spec)
 
 
 def search_state(found_rows: DataFrame, fallback: bool = False) -> DataFrame:

@@ -135,9 +135,20 @@ def token_index(spans: DataFrame, key: str, text: str, path: str) -> None:
     each.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(path)
 
 
+def index_after(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:
+    """The index (token, key) after spans have come, changed or gone (a null text): postings of these keys are replaced, the others stay."""
+    own = changed.where(F.col(text).isNotNull()).select(F.explode(tokens(F.col(text))).alias("token"), key)
+    return index.join(changed.select(key), key, "left_anti").select("token", key).unionByName(own)
+
+
+def token_counts(index: DataFrame, key: str, question: list[str]) -> DataFrame:
+    """(key, n): how many of the question's tokens each key has. Only the row groups that may hold them are read, and no text."""
+    return index.where(F.col("token").isin(*question)).groupBy(key).agg(F.count("*").alias("n"))
+
+
 def lexical_from_index(index: DataFrame, key: str, question: list[str], k: int) -> DataFrame:
     """index (token, key) -> the k keys with the highest share of the question's tokens."""
-    own = index.where(F.col("token").isin(*question)).groupBy(key).agg(F.count("*").alias("n"))
+    own = token_counts(index, key, question)
     return own.select(key, F.round(F.col("n") / float(len(question)), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -1,16 +1,19 @@
-"""Keyed state as tables: upserts, versions, first-wins merges. Each is one aggregation by key, combined map-side."""
+"""Keyed state as tables: upserts, versions, first-wins merges, each one aggregation by key, combined map-side; and state machines over event logs."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], created: str | None = None) -> DataFrame:
-    """Rows of both by key, new ones first; `created` keeps its least value over both."""
+    """Rows of both by key, new ones first; `created` keeps its least value over both. Of several new rows of a key the least by its values counts."""
     others = [c for c in old.columns if c not in keys and c != created]
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))
     kept = [F.min(created).alias(created)] if created else []
-    return both.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col("_age")).alias("_row"), *kept).select(*keys, *([created] if created else []), "_row.*")
+    return both.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct("_age", *others)).alias("_row"), *kept).select(*keys, *([created] if created else []), "_row.*")
 
 
 def filled(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -34,6 +37,65 @@ def latest(events: DataFrame, keys: list[str], order: list[str], *values: str) -
     return events.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
+#: From a state by an event to a state. An event that leads where its subject is already is a repeat: it changes nothing. All others are refused.
+DELETION = {
+    ("", "begin"): "pending", ("failed", "begin"): "pending", ("pending", "step"): "in_progress", ("pending", "step_failed"): "failed", ("in_progress", "step_failed"): "failed",
+    ("pending", "finalize"): "completed", ("in_progress", "finalize"): "completed", ("pending", "abort"): "failed", ("in_progress", "abort"): "failed", ("completed", "purge"): "purged",
+}
+REVIEW = {("", "request"): "pending", **{(s, d): e for s in ("pending", "approved", "rejected") for d, e in (("approve", "approved"), ("reject", "rejected")) if s != e}}
+#: Events that leave a subject where it is and still count: a further step of a deletion that is under way.
+ONGOING = {("in_progress", "step")}
+
+
+def folded(events: DataFrame, key: str, order: list[str], event: str, transitions: dict[tuple[str, str], str], ongoing: frozenset | set = frozenset(ONGOING)) -> DataFrame:
+    """events -> key, *order, event, before, after, verdict (accepted, repeated or refused), run: the state machine of each key over its events in a total order.
+
+    run counts how often a key has left the first state or failed. Events are dealt by key and sorted; a task reads them as a stream and holds one
+    state, however many events a key has. A null event is refused."""
+    reached = {(after, name) for (_, name), after in transitions.items()}
+    cols = [key, *order, event]
+    rows = events.select(*cols).repartition(key).sortWithinPartitions(key, *order, event)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", before string, after string, verdict string, run int"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now, run = object(), "", 0
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for own, name in zip(batch.column(0).to_pylist(), batch.column(len(cols) - 1).to_pylist(), strict=True):
+                if own != last:
+                    last, now, run = own, "", 0
+                before, after = now, transitions.get((now, name))
+                if after is None:
+                    verdict = "accepted" if (now, name) in ongoing else "repeated" if (now, name) in reached else "refused"
+                else:
+                    verdict, now, run = "accepted", after, run + (now in ("", "failed"))
+                for column, value in zip(out, (before, now, verdict, run), strict=True):
+                    column.append(value)
+            types = (pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=[*cols, "before", "after", "verdict", "run"])
+
+    return rows.mapInArrow(fold, schema)
+
+
+def present(log: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """folded rows -> key, state, accepted, repeated, refused: where each key stands and what became of its events."""
+    counts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("accepted", "repeated", "refused")]
+    return log.groupBy(key).agg(F.max_by("after", F.struct(*order)).alias("state"), *counts)
+
+
+def steps_done(log: DataFrame, events: DataFrame, key: str, order: list[str], step: str) -> DataFrame:
+    """folded rows, the events with the step that each is about -> (key, run, step, times): the steps of a key's last run that were accepted, each once."""
+    last = log.groupBy(key).agg(F.max("run").alias("run"))
+    own = log.where("verdict = 'accepted'").join(last, [key, "run"], "left_semi").join(events.select(key, *order, step), [key, *order])
+    return own.where(F.col(step).isNotNull()).groupBy(key, "run", step).agg(F.count("*").alias("times"))
+
+
+def patched(patches: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """patches -> a row a key: each column's last value that isn't null, the patch of an order that gives none keeps what was there."""
+    place = F.struct(*order)
+    return patches.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns], F.count("*").alias("patches"))
+
+
 def upserted_claims(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """old (claim_id, version, status), new (claim_id, status, span_ids, entity_ids) -> (claims, edges (src, rel_type, dst)).
 

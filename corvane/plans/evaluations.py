@@ -269,3 +269,49 @@ def j30_flagged(spark, sf_dir):
 def j21_last_span_wins(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_partkey").alias("span"), "l_linenumber", "l_partkey", "l_suppkey")
     return state.latest(rows, ["block"], ["l_linenumber", "l_partkey", "l_suppkey"], "span")
+
+
+def machine(transitions: dict[tuple[str, str], str], ongoing: set[tuple[str, str]], action: str) -> str:
+    """The same machine as a recursive query: an event after the other of each user."""
+    rule = " ".join(f"WHEN {{s}} = '{s}' AND {{e}} = '{e}' THEN '{after}'" for (s, e), after in transitions.items())
+    stays = " OR ".join(f"({{s}} = '{s}' AND {{e}} = '{e}')" for s, e in ongoing) or "false"
+    repeats = " OR ".join(f"({{s}} = '{after}' AND {{e}} = '{e}')" for (_, e), after in dict.fromkeys(transitions.items()))
+    step = lambda s, run: f"""{s} AS before, coalesce({f'CASE {rule} END'.format(s=s, e='e.action')}, {s}) AS after, CASE WHEN {f'CASE {rule} END'.format(s=s, e='e.action')} IS NOT NULL OR {stays.format(s=s, e='e.action')} THEN 'accepted'
+ WHEN {repeats.format(s=s, e='e.action')} THEN 'repeated' ELSE 'refused' END AS verdict, {run} + CASE WHEN {f'CASE {rule} END'.format(s=s, e='e.action')} IS NOT NULL AND {s} IN ('', 'failed') THEN 1 ELSE 0 END AS run"""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, {action} AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ m AS (SELECT e.user_id, e.event_id, e.action, e.i, {step("''", '0')} FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.action, e.i, {step('m.after', 'm.run')} FROM m JOIN e ON e.user_id = m.user_id AND e.i = m.i + 1)"""
+
+
+DELETE_ACTION = "CASE event_id % 8 WHEN 0 THEN 'begin' WHEN 1 THEN 'step' WHEN 2 THEN 'step' WHEN 3 THEN 'finalize' WHEN 4 THEN 'begin' WHEN 5 THEN 'step_failed' WHEN 6 THEN 'abort' ELSE 'purge' END"
+REVIEW_ACTION = "CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'odd' END"
+
+
+def events_as(spark, sf_dir, action: str):
+    return read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(action).alias("action"))
+
+
+@query(f"{machine(state.DELETION, state.ONGOING, DELETE_ACTION)} SELECT user_id, event_id, action, before, after, verdict, run FROM m")
+def m10_deletion_sagas(spark, sf_dir):
+    """Interleaved and repeated steps of many deletions: each event with what it did, refused ones too."""
+    log = state.folded(events_as(spark, sf_dir, DELETE_ACTION), "user_id", ["ts", "event_id"], "action", state.DELETION)
+    return log.select("user_id", "event_id", "action", "before", "after", "verdict", "run")
+
+
+@query(f"""{machine(state.DELETION, state.ONGOING, DELETE_ACTION)}, l AS (SELECT user_id, max(run) AS run FROM m GROUP BY 1)
+ SELECT user_id, run, event_type AS step, count(*) AS times FROM m JOIN l USING (user_id, run) JOIN (SELECT event_id, event_type FROM events) USING (event_id) WHERE verdict = 'accepted' GROUP BY 1, 2, 3""")
+def m10_steps_done(spark, sf_dir):
+    log = state.folded(events_as(spark, sf_dir, DELETE_ACTION), "user_id", ["ts", "event_id"], "action", state.DELETION)
+    return state.steps_done(log, read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").withColumnRenamed("event_type", "step")
+
+
+@query(f"""{machine(state.REVIEW, set(), REVIEW_ACTION)} SELECT user_id, arg_max(after, i) AS state, count(*) FILTER (verdict = 'accepted') AS accepted, count(*) FILTER (verdict = 'repeated') AS repeated, count(*) FILTER (verdict = 'refused') AS refused FROM m GROUP BY 1""")
+def m09_reviews(spark, sf_dir):
+    """A second request of what is pending is a repeat, a decision replaces the one before, and one on nothing is refused."""
+    log = state.folded(events_as(spark, sf_dir, REVIEW_ACTION), "user_id", ["ts", "event_id"], "action", state.REVIEW, set())
+    return state.present(log, "user_id", ["ts", "event_id"])
+
+
+@query("SELECT user_id, arg_max(CASE WHEN event_id % 3 = 0 THEN event_type END, ts) FILTER (event_id % 3 = 0) AS level, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL AND event_id % 2 = 0) AS threshold, count(*) AS patches FROM (SELECT user_id, event_id, event_type, value, (ts, event_id) AS ts FROM events) GROUP BY 1")
+def m11_patched_policies(spark, sf_dir):
+    patches = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("level"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("threshold"))
+    return state.patched(patches, "user_id", ["ts", "event_id"], ["level", "threshold"])

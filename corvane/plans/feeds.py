@@ -67,7 +67,7 @@ def sc15_intact(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE f AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, row_number() OVER (ORDER BY '/in/' || doc_id || '.txt') AS i FROM documents),
- b AS (SELECT i, doc_id, n AS size, 0 AS batch FROM f WHERE i = 1 UNION ALL SELECT f.i, f.doc_id, CASE WHEN b.size > 0 AND b.size + f.n > 20000 THEN f.n ELSE b.size + f.n END, CASE WHEN b.size > 0 AND b.size + f.n > 20000 THEN b.batch + 1 ELSE b.batch END FROM b JOIN f ON f.i = b.i + 1)
+ b AS (SELECT i, doc_id, n AS size, 0 AS batch FROM f WHERE i = 1 UNION ALL SELECT f.i, f.doc_id, CASE WHEN b.size + f.n > 20000 THEN f.n ELSE b.size + f.n END, CASE WHEN b.size + f.n > 20000 THEN b.batch + 1 ELSE b.batch END FROM b JOIN f ON f.i = b.i + 1)
  SELECT '/in/' || doc_id || '.txt' AS path, CAST(batch AS BIGINT) AS batch FROM b""")
 def sc22_batches(spark, sf_dir):
     return files.batches(texts(spark, sf_dir).select("path", "length"), 20000).select("path", "batch")

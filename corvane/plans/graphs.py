@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import patterns
+from corvane.operators import patterns, storage
 from corvane.operators.patterns import Graph, Spec
 from corvane.plans.queries import query, read
 
@@ -19,6 +19,11 @@ LEVELS = ["public", "internal"]
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the tables, written at a session's first use."""
+    return patterns.opened(spark, storage.kept(spark, f"graph {sf_dir}", lambda path: patterns.stored(made(spark, sf_dir), path)))
+
+
+def made(spark: SparkSession, sf_dir: str) -> Graph:
     lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(
         F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.max("l_quantity").alias("value"), F.min("l_returnflag").alias("unit"), F.min("l_linestatus").alias("st"),
         F.round(1 - F.min("l_discount"), 4).alias("confidence"), F.min("l_shipdate").alias("shipped"),
@@ -149,6 +154,17 @@ def v08_exact_search(spark, sf_dir):
     return both.groupBy("claim_id", "span_id").agg(F.min(order).alias("pattern"))
 
 
+@query(f"""{BASE}, used AS (SELECT DISTINCT process, material FROM c), p AS (SELECT 'p' || s_suppkey AS process_id FROM supplier), m AS (SELECT 'm' || p_partkey AS material_id FROM part),
+ f AS (SELECT claim_id, span_id, measurement_id FROM v WHERE {SEED} ORDER BY confidence DESC NULLS FIRST, claim_id LIMIT 20)
+ SELECT 'claim' AS kind, claim_id AS a, measurement_id AS b FROM f UNION ALL SELECT 'gap', process_id, material_id FROM (SELECT process_id, material_id FROM p, m WHERE NOT EXISTS (SELECT 1 FROM used WHERE process = process_id AND material = material_id) ORDER BY 1, 2 LIMIT 20)""")
+def v08_gaps_beside_claims(spark, sf_dir):
+    """missing_data finds gaps, which stand beside the claims and measurements of the other patterns."""
+    g = graph(spark, sf_dir)
+    spec = Spec(**(vars(named()) | {"patterns": ["entity_property", "missing_data", "comparison"]}))
+    claims = patterns.exact_search(g, spec).select(F.lit("claim").alias("kind"), F.col("claim_id").alias("a"), F.col("measurement_id").alias("b"))
+    return claims.unionByName(patterns.gaps(g, spec).select(F.lit("gap").alias("kind"), F.col("process_id").alias("a"), F.col("material_id").alias("b")))
+
+
 @query(f"""{BASE}, a AS (SELECT claim_id, span_id, document_id, process AS entity_id FROM v WHERE {SEED} ORDER BY process, claim_id, span_id LIMIT 20)
  SELECT rel AS edge_type, count(*) AS n FROM (SELECT DISTINCT claim_id, 'VALIDATED_BY' AS rel FROM a UNION ALL SELECT DISTINCT claim_id, 'DESCRIBED_IN' FROM a UNION ALL SELECT DISTINCT span_id, 'PART_OF' FROM a) GROUP BY 1""")
 def v11_subgraph_edges(spark, sf_dir):

@@ -7,10 +7,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators import storage
 from corvane.sources import formats
 
 SPAN = "struct<page: int, start_offset: int, end_offset: int, text: string, table_block_id: string, source_type: string>"
@@ -30,24 +31,35 @@ def listed(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (".tmp"
     return kept.select("path", "length", *(["content"] if content else []))
 
 
-def batches(files: DataFrame, most_bytes: int, group: Column | None = None) -> DataFrame:
-    """files (path, length) -> path, length, batch: files in order of their path fill batches up to most_bytes; a larger file is a batch of its own.
-
-    Packing is a fold over the order, so it runs within groups: the folder of each file unless another column is given."""
-    group = F.regexp_replace("path", "/[^/]*$", "") if group is None else group
-    keyed = files.select("path", "length", group.alias("folder"))
-
-    def packed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("path")
-        numbers, number, size = [], 0, 0
-        for length in part["length"].tolist():
-            if size and size + length > most_bytes:
-                number, size = number + 1, 0
-            size += length
-            numbers.append(number)
-        return part.assign(batch=numbers)
-
-    return keyed.groupBy("folder").applyInPandas(packed, "path string, length long, folder string, batch long")
+def batches(files: DataFrame, most_bytes: int) -> DataFrame:
+    """files (path, length) -> path, length, batch: all files in order of their path fill batches up to most_bytes; a larger file is a batch of its own.
+
+    Where a batch that began at each file would end is found for all files at once by running sums; the batches that there are follow from
+    the first file by pointer doubling, whose rounds are the logarithm of their number. No fold, no group, nothing at the driver."""
+    numbered = storage.running(files.select("path", F.coalesce("length", F.lit(0)).cast("long").alias("length")), ["path", "length"], pos=F.lit(1), upto=F.col("length"))
+    rows = storage.written(numbered, "sizes")
+    ends = storage.first_beyond(rows.select(F.col("upto").alias("value"), "pos"), rows.select((F.col("upto") - F.col("length") + most_bytes).alias("target"), F.col("pos").alias("key")))
+    # a file beyond the size ends its own batch: the next begins after it at the earliest
+    leads = ends.where("pos is not null").select("key", F.greatest("pos", F.col("key") + 1).alias("pos"))
+    last = rows.agg(F.max("pos")).first()[0] or 0
+    leads = storage.written(leads.where(F.col("pos") <= last), "leads")
+    starts = storage.written(rows.where("pos = 1").select(F.col("pos").alias("key")), "starts")
+    while True:
+        new = starts.join(leads, "key").select(F.col("pos").alias("key")).join(starts, "key", "left_anti").distinct()
+        grown = storage.written(starts.unionByName(new), "starts")
+        if grown.count() == starts.count():
+            break
+        starts = grown
+        twice = leads.select(F.col("key").alias("pos"), F.col("pos").alias("next"))
+        leads = storage.written(leads.join(twice, "pos").select("key", F.col("next").alias("pos")), "leads")
+    marked = rows.join(starts.select(F.col("key").alias("pos"), F.lit(1).alias("begins")), "pos", "left").select("path", "length", "pos", F.coalesce("begins", F.lit(0)).alias("begins"))
+    return storage.running(marked, ["pos"], batch=F.col("begins")).select("path", "length", (F.col("batch") - 1).alias("batch"))
+
+
+def still_to_do(packed: DataFrame, done: DataFrame) -> DataFrame:
+    """The batches of which done (path) lacks a file, whole: what a run that was cut off has to do when it goes on."""
+    undone = packed.join(done.select("path").distinct(), "path", "left_anti").select("batch").distinct()
+    return packed.join(undone, "batch", "left_semi").select(*packed.columns)
 
 
 def with_checksums(files: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ Each function takes a stream or a table and returns one; `finished` runs a strea
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corvane.operators import storage
 from corvane.operators.retrieval import matched_interests
 
 ENVELOPE = "kind string, user_id long, reference_id string, created timestamp, payload string"
@@ -73,18 +73,6 @@ def limited(events: DataFrame, keys: list[str], at: str, ident: str, limit: int,
     return timed.groupBy(*keys).applyInPandasWithState(judged, out, "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset on one machine (tests), one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not hasattr(spark, "_corvane_streams"):
-        spark._corvane_streams = "file://" + tempfile.mkdtemp(prefix="corvane-streams-")
-    return spark._corvane_streams
-
-
 def stored(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Starts the stream into a table of files: each input counts once, and after a failure it goes on where it was."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
@@ -98,7 +86,7 @@ def published(stream: DataFrame, checkpoint: str, publish: Callable[[DataFrame,
 def finished(stream: DataFrame, name: str, seconds: int = 600) -> DataFrame:
     """The rows of a stream over all input that there is now."""
     spark = stream.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{storage.folder(spark)}/{name}-{uuid.uuid4().hex}"
     run = stored(stream, f"{path}/rows", f"{path}/checkpoint")
     if not run.awaitTermination(seconds):
         run.stop()

@@ -156,8 +156,6 @@ def test_refusals(spark):
         patterns.pairs(one, one.withColumnRenamed("a", "b"), 50)
     with pytest.raises(ValueError, match="more than 50"):
         retrieval.enriched(one, one.select(F.col("a").alias("alias"), F.col("a").alias("canonical")), "a", "a", 50)
-    assert patterns.selected("сравни флотацию", patterns.Spec(hints=["a", "b"], groups=("x", "y"), place="z")) == ["geo_indicator", "comparison", "entity_process_measurement", "entity_property", "missing_data"]
-    assert patterns.selected("what", patterns.Spec()) == ["entity_property"]
 
 
 def test_foreach_sink(spark, tmp_path):
