@@ -27,6 +27,8 @@ EDGE = re.compile(rb"[^a-z\x80-\xff]")
 SLICE, MOST_HELD = 1 << 20, 200_000
 #: Words a shard, and owners of one half beyond which its words are compared by their masked rests and not one by one.
 SHARD, MOST_OWNERS = 2000, 512
+#: Owners of a half and length up to which each is compared; of more, those that can be near are looked up.
+FEW = 16
 
 
 def slices(low: bytes) -> Iterator[bytes]:
@@ -82,11 +84,49 @@ def one_edit(a: str, b: str) -> bool:
     return len(b) - len(a) <= 1 and a != b and a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
+def left_out(rest: str) -> set[str]:
+    return {rest[:i] + rest[i + 1 :] for i in range(len(rest))}
+
+
+class Owners:
+    """The words of one length that have a half at one end, found by what is left of them: an edit outside the half is an edit of the rest."""
+
+    __slots__ = ("side", "size", "words", "found")
+
+    def __init__(self, side: int, size: int):
+        self.side, self.size, self.words, self.found = side, size, [], None
+
+    def rest(self, word: str) -> str:
+        return word[: len(word) - self.size] if self.side else word[self.size :]
+
+    def index(self) -> dict[str, list[tuple[str, int]]]:
+        """Rests as they are, with a place masked and (after a mark) with a place left out."""
+        found: dict[str, list[tuple[str, int]]] = {}
+        for own in self.words:
+            rest = self.rest(own[0])
+            keys = [rest, *(rest[:i] + "\0" + rest[i + 1 :] for i in range(len(rest))), *("\1" + x for x in left_out(rest))]
+            for key in keys:
+                found.setdefault(key, []).append(own)
+        return found
+
+    def candidates(self, word: str) -> Iterator[tuple[str, int]]:
+        if len(self.words) <= FEW:
+            yield from self.words
+            return
+        if self.found is None:
+            self.found = self.index()
+        rest, longer = self.rest(word), len(word) - len(self.words[0][0])
+        keys = left_out(rest) if longer > 0 else ["\1" + rest] if longer < 0 else [rest[:i] + "\0" + rest[i + 1 :] for i in range(len(rest))]
+        for key in keys:
+            yield from self.found.get(key, ())
+
+
 def automaton(owners: list[tuple[int, str, str, int]]) -> ahocorasick.Automaton:
     """owners: (side, half, word, n). Each half's value: for either side, its owners by their length."""
     values: dict[str, tuple[dict, dict]] = {}
     for side, half, word, n in owners:
-        values.setdefault(half, ({}, {}))[side].setdefault(len(word), []).append((word, n))
+        sides = values.setdefault(half, ({}, {}))
+        sides[side].setdefault(len(word), Owners(side, len(half))).words.append((word, n))
     found = ahocorasick.Automaton()
     for half, value in values.items():
         found.add_word(half, (half, value))
@@ -102,7 +142,7 @@ def near_in(machine: ahocorasick.Automaton, word: str) -> Iterator[tuple[str, in
                 continue
             for length in range(len(word) - 1, len(word) + 2):
                 if len(half) == (length - length // 2 if side else length // 2):
-                    for own, n in sides[side].get(length, ()):
+                    for own, n in sides[side][length].candidates(word) if length in sides[side] else ():
                         if not (side and word.startswith(own[: length // 2])) and one_edit(word, own):
                             yield own, n
 

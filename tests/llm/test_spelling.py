@@ -58,10 +58,12 @@ def test_one_edit(a, b):
     assert spelling.one_edit(a, b) == distance_one(a, b)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text("ab", min_size=6, max_size=9), unique=True, max_size=40))
-def test_one_shard(words):
-    """Every word meets each near word once, whichever halves they share."""
+@pytest.mark.parametrize("few", [0, 2, 16])
+@settings(max_examples=60, deadline=None)
+@given(words=st.lists(st.text("ab", min_size=6, max_size=9), unique=True, max_size=60))
+def test_one_shard(few, words):
+    """Every word meets each near word once, whichever halves they share, compared one by one or looked up."""
+    spelling.FEW = few
     owners = [(side, w[len(w) // 2 :] if side else w[: len(w) // 2], w, 1) for w in words for side in (0, 1)]
     machine = spelling.automaton(owners) if owners else None
     for w in words:
