@@ -155,11 +155,14 @@ def requests(calls: DataFrame, keys: list[str], value: str, bounds: list[float])
     return calls.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col(value) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)])
 
 
-def joined_texts(evidence: DataFrame, key: str, rank: str, text: str, most: int = 100) -> DataFrame:
-    """Evidence of a question as one text, joined by blanks in order of rank: at most `most` items, which a question's evidence is cut to anyway."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(rank))
-    rows = evidence.withColumn("place", place).where(F.col("place") <= most)
-    parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce(text, F.lit("")).alias("t"))))
+def joined_texts(evidence: DataFrame, key: str, rank: str, text: str, most: int | None = None) -> DataFrame:
+    """Evidence of a question as one text, joined by blanks in order of rank (ties: of text); the first `most` items where the caller names a number.
+
+    The result is one text a question, as long as its evidence: name a number where evidence is not bounded otherwise."""
+    rows = evidence.select(key, F.col(rank).alias("place"), F.coalesce(text, F.lit("")).alias("t"))
+    if most is not None:
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("place", "t"))).where(F.col("_n") <= most)
+    parts = F.array_sort(F.collect_list(F.struct("place", "t")))
     return rows.groupBy(key).agg(parts.alias("p")).select(key, F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import access, entities, extract, ids, quantities
 from corvane.functions.text import token_share, tokens
+from corvane.operators.dictionaries import contained
+from corvane.operators.storage import written
 
 #: Kinds of artifacts that a span's claims and entities come from, and the types that a span may have: fixed values.
 CLAIM_KINDS = ["claim", "measurement", "recommendation", "conclusion"]
@@ -206,30 +208,47 @@ def canonical(artifacts: DataFrame, dictionary: DataFrame, value: str = "value")
     return joined.drop("_alias").withColumn("canonical", F.coalesce("canonical", value))
 
 
-def enriched(questions: DataFrame, dictionary: DataFrame, key: str, text: str, most: int = 100_000) -> DataFrame:
-    """questions -> (key, canonical): dictionary names whose alias a question contains. The dictionary is counted, broadcast, and refused beyond `most`."""
-    if (n := dictionary.count()) > most:
-        raise ValueError(f"a dictionary of {n} names is more than {most}")
-    names = F.broadcast(dictionary.select(F.lower("alias").alias("_alias"), "canonical").where("_alias <> ''"))
-    return questions.join(names, F.contains(F.lower(text), F.col("_alias"))).select(key, "canonical").distinct()
+def enriched(questions: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
+    """questions -> (key, canonical): dictionary names whose alias a question contains. Aliases are found by automata, in dictionaries of any size."""
+    names = dictionary.select(F.lower("alias").alias("name"), "canonical")
+    return contained(questions, key, text, names, "name").join(names, "name").select(key, "canonical").distinct()
+
+
+def interest_words() -> Column:
+    words = F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("source_terms", F.array().cast(NONE))), F.lower))
+    return F.filter(words, lambda w: w != "")
+
+
+def interest_score(hits: Column, more: Column) -> Column:
+    """By the terms that an artifact contains, those of them in its metadata, its status, confidence and reason codes."""
+    boost = F.least(F.lit(0.25), 0.08 * more)
+    penalty = F.when(F.col("status") == "confirmed", 1.0).otherwise(0.55) * F.greatest(F.lit(0.5), 1.0 - 0.12 * F.size(F.coalesce("reason_codes", F.array().cast(NONE))))
+    return F.round(F.least(F.lit(1.0), F.col("weight") * (0.45 + 0.12 * hits + boost) * F.greatest("confidence", F.lit(0.1)) * penalty), 6)
 
 
 def matched_interests(interests: DataFrame, artifacts: DataFrame, threshold: float = 0.0, most: int = 100_000) -> DataFrame:
     """interests (user_id, label, weight, source_terms), artifacts (id, kind, value, status, confidence, reason_codes, metadata: text) -> user_id, label, id, score.
 
-    The score grows with the terms that an artifact contains. Interests are counted, broadcast, and refused beyond `most`; works on streams of artifacts."""
-    if (n := interests.count()) > most:
-        raise ValueError(f"{n} interests are more than {most}")
-    words = F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("source_terms", F.array().cast(NONE))), F.lower))
-    own = F.broadcast(interests.select("user_id", "label", "weight", F.filter(words, lambda w: w != "").alias("words")))
+    Terms are found by automata, whatever the number of interests, and hits are counted for each artifact and interest; ids of artifacts are unique.
+    A stream of artifacts, which can't be counted by groups, is joined with the table of interests: that is counted, broadcast, and refused beyond `most`."""
     metadata = F.lower(F.coalesce("metadata", F.lit("{}")))
     text = F.lower(F.concat_ws(" ", "kind", "value", metadata))
+    if not artifacts.isStreaming:
+        numbered = interests.select(F.monotonically_increasing_id().alias("_interest"), "user_id", "label", "weight", interest_words().alias("_words"))
+        own = written(numbered.select("_interest", "user_id", "label", "weight", F.explode("_words").alias("name")), "interests")
+        terms = own.select("name").distinct()
+        found = contained(artifacts.select("id", text.alias("_text")), "id", "_text", terms, "name")
+        inside = contained(artifacts.select("id", metadata.alias("_text")), "id", "_text", terms, "name").withColumn("_inside", F.lit(1))
+        counted = found.join(inside, ["id", "name"], "left").join(own, "name").groupBy("id", "_interest", "user_id", "label", "weight").agg(F.count("*").alias("_hits"), F.count("_inside").alias("_more"))
+        rows = counted.join(artifacts.select("id", "status", "confidence", "reason_codes"), "id")
+        return rows.select("user_id", "label", "id", interest_score(F.col("_hits"), F.col("_more")).alias("score")).where(F.col("score") >= threshold)
+    if (n := interests.count()) > most:
+        raise ValueError(f"{n} interests are more than {most}")
+    own = F.broadcast(interests.select("user_id", "label", "weight", interest_words().alias("words")))
     joined = artifacts.withColumn("_text", text).withColumn("_metadata", metadata).join(own, F.exists("words", lambda w: F.contains(F.col("_text"), w)))
     hits = F.size(F.filter("words", lambda w: F.contains(F.col("_text"), w)))
-    boost = F.least(F.lit(0.25), 0.08 * F.size(F.filter("words", lambda w: F.contains(F.col("_metadata"), w))))
-    penalty = F.when(F.col("status") == "confirmed", 1.0).otherwise(0.55) * F.greatest(F.lit(0.5), 1.0 - 0.12 * F.size(F.coalesce("reason_codes", F.array().cast(NONE))))
-    score = F.round(F.least(F.lit(1.0), F.col("weight") * (0.45 + 0.12 * hits + boost) * F.greatest("confidence", F.lit(0.1)) * penalty), 6)
-    return joined.select("user_id", "label", "id", score.alias("score")).where(F.col("score") >= threshold)
+    more = F.size(F.filter("words", lambda w: F.contains(F.col("_metadata"), w)))
+    return joined.select("user_id", "label", "id", interest_score(hits, more).alias("score")).where(F.col("score") >= threshold)
 
 
 def page_after(rows: DataFrame, at: str, key: str, after: tuple | None, limit: int, newest_first: bool = True) -> DataFrame:

@@ -154,8 +154,6 @@ def test_refusals(spark):
     one = spark.range(100).select(F.col("id").cast("string").alias("a"))
     with pytest.raises(ValueError, match="more than 50"):
         patterns.pairs(one, one.withColumnRenamed("a", "b"), 50)
-    with pytest.raises(ValueError, match="more than 50"):
-        retrieval.enriched(one, one.select(F.col("a").alias("alias"), F.col("a").alias("canonical")), "a", "a", 50)
 
 
 def test_foreach_sink(spark, tmp_path):

@@ -166,3 +166,28 @@ def test_bracketed_in_one_pass(spark):
     got = {r.i: [tuple(x) for x in r.a] for r in df.select("i", aliases.refs(F.col("t")).alias("a")).collect()}
     want = {i: [(m[2], " ".join(m[1].split())[-80:].strip(" -")) for m in plain.finditer(t)] for i, t in enumerate(texts)}
     assert [(texts[i], got[i], want[i]) for i in got if got[i] != want[i]][:3] == []
+
+
+def test_a_million_names(spark):
+    """Names anywhere in a text, in one reading; a dictionary that is split gives the same."""
+    from corvane.operators import dictionaries
+
+    names = spark.range(1_000_000).select(F.concat(F.lit("Name "), F.col("id").cast("string"), F.lit(";")).alias("name")).union(spark.createDataFrame([(None,), ("",), ("überall",)], "name string"))
+    rows = [(1, "a name 17; and NAME 999999;, ÜBERALL"), (2, None), (3, ""), (4, "name 17"), (5, "xname 17;name 18;name 17;")]
+    texts = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = {(1, "name 17;"), (1, "name 999999;"), (1, "überall"), (5, "name 17;"), (5, "name 18;")}
+    found = dictionaries.contained(texts, "id", "text", names, "name", most_bytes=1 << 30).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    few = names.where("name rlike ' 1[78];$' or name = 'überall'")
+    parts = dictionaries.contained(texts, "id", "text", few, "name", most_bytes=100).collect()
+    assert len(parts) == 4 and {tuple(r) for r in parts} == {w for w in want if "999999" not in w[1]}
+    assert dictionaries.contained(texts, "id", "text", names.limit(0), "name").collect() == []
+
+
+def test_joined_texts(spark):
+    """No text is dropped unless the caller names a number."""
+    from corvane.operators import catalog
+
+    rows = spark.createDataFrame([("q", i, f"t{i}") for i in range(150)] + [("q", 150, None)], "q string, rank int, t string")
+    assert catalog.joined_texts(rows, "q", "rank", "t").first().text == " ".join([*(f"t{i}" for i in range(150)), ""])
+    assert catalog.joined_texts(rows, "q", "rank", "t", 2).first().text == "t0 t1"
