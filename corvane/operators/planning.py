@@ -136,8 +136,8 @@ def steps(ir: Column) -> Column:
 
 
 #: Kinds of artifacts that become entities, the type of each, and the edge that a claim has to it: fixed values.
-ENTITY_TYPES = {"entity": "Entity", "material": "Material", "substance": "Material", "process": "Process", "equipment": "Equipment", "property": "Property", "expert": "Expert"}
-ENTITY_EDGES = {"material": "USES_MATERIAL", "substance": "USES_MATERIAL", "process": "OPERATES_AT_CONDITION", "equipment": "USES_EQUIPMENT", "property": "VALIDATED_BY", "expert": "EXPERT_IN"}
+ENTITY_TYPES = {"entity": "Entity", "material": "Material", "substance": "Material", "process": "Process", "equipment": "Equipment", "property": "Property", "expert": "Expert", "source": "Source"}
+ENTITY_EDGES = {"material": "USES_MATERIAL", "substance": "USES_MATERIAL", "process": "OPERATES_AT_CONDITION", "equipment": "USES_EQUIPMENT", "property": "PRODUCES_OUTPUT", "expert": "EXPERT_IN"}
 
 
 def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: float = 0.0, most: int = 120) -> DataFrame:
@@ -206,7 +206,7 @@ def bundle(artifacts: DataFrame) -> dict[str, DataFrame]:
     claims = a.where(F.col("kind").isin("claim", "conclusion", "recommendation") | (F.col("kind").isin("measurement", "geography") & sourced) | (type_.isNotNull() & sourced & (F.col("status") == "confirmed")))
     claims = claims.withColumn("claim_status", status)
     fan = claims.select(F.col("short").alias("src"), F.lit("DESCRIBED_IN").alias("rel_type"), F.explode("source_span_ids").alias("dst"))
-    to_entity = named.where("sourced and status = 'confirmed'").select(F.col("short").alias("src"), F.coalesce(F.try_element_at(edges_of, F.col("kind")), F.lit("RELATED_TO")).alias("rel_type"), F.col("entity_id").alias("dst"))
+    to_entity = named.where("sourced and status = 'confirmed'").select(F.col("short").alias("src"), F.coalesce(F.try_element_at(edges_of, F.col("kind")), F.lit("USES_MATERIAL")).alias("rel_type"), F.col("entity_id").alias("dst"))
     measured = a.where("kind = 'measurement'")
     to_measure = measured.where(sourced).select(F.col("short").alias("src"), F.lit("QUANTIFIED_BY").alias("rel_type"), F.concat(F.lit("q"), "short").alias("dst"))
     placed = a.where("kind = 'geography'")

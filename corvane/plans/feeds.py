@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import extract
+from corvane.operators import storage
 from corvane.plans.extraction import NOTE
 from corvane.plans.queries import query, read
 from corvane.sinks import exports
@@ -59,6 +60,18 @@ def sc14_stored_once(spark, sf_dir):
     return files.stored_once(texts(spark, sf_dir)).select("path", "sha256")
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id // 10 AS request, strlen(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS sha FROM documents), t AS (SELECT request, sum(n) AS total, min(n) AS least FROM d GROUP BY request)
+ SELECT request, 'uploads/' || request || '/' || substr(sha, 1, 32) || '-' || doc_id || '.txt' AS object_key, n AS length, 'stored' AS outcome FROM d JOIN t USING (request) WHERE least > 0 AND total <= 20000
+ UNION ALL SELECT request, NULL, total::BIGINT, CASE WHEN least = 0 THEN 'empty_file' ELSE 'upload_too_large' END FROM t WHERE least = 0 OR total > 20000""")
+def sc14_stored_requests(spark, sf_dir):
+    """Ten documents a request, those beyond 20,000 bytes refused whole; what is stored is read back and checked."""
+    requests = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("request"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    folder = storage.new_path(spark, "objects")
+    refused = files.stored(requests, folder, 20_000)
+    found = files.read_back(spark, folder).select("request", "object_key", "length", F.when(F.col("intact"), "stored").otherwise("damaged").alias("outcome"))
+    return found.unionByName(refused.select("request", F.lit(None).cast("string").alias("object_key"), F.col("total").alias("length"), F.col("reason").alias("outcome")))
+
+
 @query("SELECT '/in/' || doc_id || '.txt' AS path, doc_id % 3 <> 0 AS intact FROM documents")
 def sc15_intact(spark, sf_dir):
     own = texts(spark, sf_dir)

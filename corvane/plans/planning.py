@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import terms, text, verify
-from corvane.operators import catalog, evaluation, planning, state
+from corvane.operators import bundles, catalog, evaluation, planning, snapshots, state, storage
 from corvane.plans.extraction import ENTITIES, FOUND, KINDS, NOTES, PATTERN, REFS, SENTENCES, SHORT, any_of, among, joined, ladder, named, notes, quoted
 from corvane.plans.queries import query, read
 
@@ -123,6 +123,42 @@ def pr14_sc19_bundle(spark, sf_dir):
     return out
 
 
+ROUTES = ["claim", "measurement", "material", "process", "alias", "relation", "geography", "conclusion", "review_decision", "gadget"]
+
+
+def artifacts_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as artifacts of ten kinds: confirmed if their size is even, with a span unless it is divisible by three, about their brand."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ROUTES]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    value = F.when(kind == "measurement", F.concat(F.col("p_size").cast("string"), F.lit(" mg/l"))).otherwise(F.col("p_name"))
+    spans = F.when(F.col("p_size") % 3 != 0, F.array(F.concat(F.lit("s"), (F.col("p_partkey") % 50).cast("string")))).otherwise(F.array().cast("array<string>"))
+    meta = F.create_map(F.lit("canonical"), F.col("p_type"), F.lit("relation_type"), F.col("p_brand"))
+    status = F.when(F.col("p_size") % 2 == 0, "confirmed").otherwise("candidate")
+    return read(spark, sf_dir, "part").select(F.sha1(F.col("p_partkey").cast("string").cast("binary")).alias("id"), kind.alias("kind"), value.alias("value"), status.alias("status"), F.lit(0.8).alias("confidence"), spans.alias("source_span_ids"), meta.alias("metadata"), F.array("p_brand").alias("entity_names"), "p_size")
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS k, ({ROUTES})[p_partkey % 10 + 1] AS kind, lower(trim(p_name)) AS name, lower(trim(p_type)) AS type, p_brand AS brand, p_size AS size, p_size % 2 = 0 AS sure, p_size % 3 <> 0 AS sourced FROM part),
+ c AS (SELECT * FROM a WHERE kind IN ('claim', 'conclusion') OR kind IN ('measurement', 'geography') AND sourced OR kind IN ('material', 'process') AND sourced AND sure),
+ measured AS (SELECT brand, size, count(*) AS n FROM c WHERE kind = 'measurement' GROUP BY ALL), other AS (SELECT m.n FROM measured m WHERE EXISTS (SELECT 1 FROM measured o WHERE o.brand = m.brand AND o.size <> m.size)),
+ edges AS (SELECT count(*) FILTER (sourced) + count(*) + count(*) FILTER (sure) * 2 + count(*) FILTER (kind IN ('material', 'process')) + count(*) FILTER (kind IN ('measurement', 'geography')) + count(*) FILTER (kind IN ('claim', 'measurement')) AS n FROM c)
+ SELECT 'documents' AS name, count(*) AS n_rows, 2 AS version FROM documents UNION ALL SELECT 'spans', count(*), 2 FROM documents
+ UNION ALL SELECT 'entities', count(DISTINCT x), 2 FROM (SELECT 'Material:' || name AS x FROM a WHERE kind = 'material' UNION ALL SELECT 'Process:' || name FROM a WHERE kind = 'process' UNION ALL SELECT 'Material:' || type FROM a WHERE kind = 'alias' UNION ALL SELECT 'Entity:' || brand FROM a WHERE kind IN ('claim', 'measurement'))
+ UNION ALL SELECT 'aliases', count(*), 2 FROM a WHERE kind = 'alias' UNION ALL SELECT 'measurements', count(*), 2 FROM a WHERE kind = 'measurement' UNION ALL SELECT 'geographies', count(DISTINCT name), 2 FROM a WHERE kind = 'geography'
+ UNION ALL SELECT 'observations', count(*), 2 FROM a WHERE kind = 'conclusion' AND NOT sure UNION ALL SELECT 'experiments', 0, 2 UNION ALL SELECT 'classes', 0, 2
+ UNION ALL SELECT 'candidates', count(*), 2 FROM a WHERE kind IN ('material', 'process', 'gadget') AND NOT sure UNION ALL SELECT 'relations', count(*), 2 FROM a WHERE kind = 'relation' UNION ALL SELECT 'review_decisions', count(*), 2 FROM a WHERE kind = 'review_decision'
+ UNION ALL SELECT 'claims', count(*), 2 FROM c UNION ALL SELECT 'fact_versions', count(*) + count(*) FILTER (sure), 2 FROM c UNION ALL SELECT 'contradictions', coalesce(sum(n), 0)::BIGINT, 2 FROM other
+ UNION ALL SELECT 'edges', (SELECT n FROM edges) + (SELECT count(*) FROM a WHERE kind = 'alias') + (SELECT count(*) FROM a WHERE kind = 'conclusion' AND NOT sure) + (SELECT count(*) FROM documents), 2""")
+def pr14_sc19_committed_bundle(spark, sf_dir):
+    """Two bundles, the second of the confirmed artifacts again, merged into a graph and committed: the tables of the last snapshot."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"))
+    spans = docs.select(F.concat(F.lit("s"), "document_id").alias("span_id"), "document_id")
+    artifacts, path = artifacts_of_parts(spark, sf_dir), storage.new_path(spark, "graph")
+    bundles.written(spark, path, bundles.families(artifacts, docs, spans, "2024-01-01"))
+    before = snapshots.opened(spark, path)["claims"]
+    bundles.written(spark, path, bundles.families(artifacts.where("p_size % 2 = 0"), docs, spans, "2024-02-01", before))
+    last = snapshots.commits(spark, path)
+    return last.join(last.agg(F.max("version").alias("version")), "version").select("name", "n_rows", F.col("version").cast("int").alias("version"))
+
+
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return read(spark, sf_dir, "documents").select(d.alias("document_id"), F.col("source").alias("title"), (F.col("n_chars") % 3).alias("source_spans_count"), (d % 2).alias("indexed_points_count"), F.when(d % 11 == 0, "pending").alias("deletion_status"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.operators import storage
+from corvane.functions.extract import safe_filename
+from corvane.operators import snapshots, storage
 from corvane.sources import formats
 
 SPAN = "struct<page: int, start_offset: int, end_offset: int, text: string, table_block_id: string, source_type: string>"
@@ -72,6 +73,35 @@ def stored_once(files: DataFrame) -> DataFrame:
     return with_checksums(files).withColumn("_rank", first).where("_rank = 1").drop("_rank")
 
 
+def received(files: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """files (request, path, content) -> (objects (object_key, request, path, length, sha256, content), refused (request, reason, total)).
+
+    A request is taken whole or not at all: refused if its files together exceed most_bytes, or if one is empty or has no name. Keys are made
+    from request, content and name, so a repeated request writes the same objects."""
+    name = F.substring_index("path", "/", -1)
+    sized = files.select("request", "path", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("length"), (F.coalesce(name, F.lit("")) == "").alias("unnamed"))
+    totals = sized.groupBy("request").agg(F.sum("length").alias("total"), F.min("length").alias("least"), F.max("unnamed").alias("unnamed"))
+    reason = F.when(F.col("unnamed"), "invalid_file").when(F.col("least") == 0, "empty_file").when(F.col("total") > most_bytes, "upload_too_large")
+    refused = totals.select("request", reason.alias("reason"), "total").where("reason is not null")
+    taken = with_checksums(files.join(refused, "request", "left_anti"))
+    key = F.concat_ws("/", F.lit("uploads"), F.col("request").cast("string"), F.concat_ws("-", F.substring("sha256", 1, 32), safe_filename(F.col("path"))))
+    return taken.select(key.alias("object_key"), "request", "path", F.length("content").cast("long").alias("length"), "sha256", "content").dropDuplicates(["object_key"]), refused
+
+
+def stored(files: DataFrame, folder: str, most_bytes: int) -> DataFrame:
+    """Writes the objects and refusals of requests as one snapshot in folder (see snapshots.committed) and gives the refused; a failure leaves nothing visible."""
+    objects, refused = received(files, most_bytes)
+    snapshots.committed({"objects": objects, "refused": refused}, folder)
+    return snapshots.opened(files.sparkSession, folder)["refused"]
+
+
+def read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored objects, each with whether its content is still what was received: object_key, request, length, intact."""
+    objects = snapshots.opened(spark, folder)["objects"]
+    same = (F.length("content") == F.col("length")) & (F.sha2("content", 256) == F.col("sha256"))
+    return objects.select("object_key", "request", "length", same.alias("intact"))
+
+
 def intact(files: DataFrame, expected: DataFrame) -> DataFrame:
     """files (path, content), expected (path, sha256, length) -> path, intact: whether the content is what was stored."""
     own = files.select("path", F.sha2("content", 256).alias("own"), F.length("content").alias("size"))
