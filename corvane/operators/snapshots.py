@@ -7,12 +7,15 @@ at a time: two that commit the same version are told apart and refused by reader
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "version long, commit string, name string, place string, n_rows long, checksum string"
+#: Tables that are staged at the same time.
+AT_ONCE = 8
 
 
 class Conflict(RuntimeError):
@@ -51,11 +54,14 @@ def committed(tables: dict[str, DataFrame], path: str) -> int:
     before = manifest(spark, path)
     version, commit = (before[0]["version"] + 1 if before else 1), uuid.uuid4().hex
     rows = [(version, commit, r["name"], r["place"], r["n_rows"], r["checksum"]) for r in before if r["name"] not in tables]
-    for name, df in tables.items():
+
+    def staged(name: str) -> tuple:
         place = f"data/{name}-{commit}"
-        df.write.parquet(f"{path}/{place}")
-        count, total = checksum(spark.read.schema(df.schema).parquet(f"{path}/{place}"))
-        rows.append((version, commit, name, place, count, total))
+        tables[name].write.parquet(f"{path}/{place}")
+        return (version, commit, name, place, *checksum(spark.read.schema(tables[name].schema).parquet(f"{path}/{place}")))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # small tables don't wait for one another; the first failure ends the commit
+        rows += pool.map(staged, tables)
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     manifest(spark, path, version)  # refuses a version that another writer has committed meanwhile
     return version

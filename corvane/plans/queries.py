@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import access, evidence, ids
-from corvane.operators import graph, measures, ranking, retrieval, storage
+from corvane.operators import graph, measures, ranking, retrieval, storage, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,26 @@ def t01_dense(spark, sf_dir):
     return ranking.dense(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 50)
 
 
+def cells(spark: SparkSession, sf_dir: str) -> str:
+    """The vectors' index, written at a session's first use."""
+    return storage.kept(spark, f"cells {sf_dir}", lambda path: vectors.stored(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", path))
+
+
+@query(None)
+def t01_cells(spark, sf_dir):
+    """The search of t01_dense, from the index: the cells in which 0.98 of the neighbours of its sample lay."""
+    path = cells(spark, sf_dir)
+    return vectors.nearest(spark, path, "vec_id", QUERY_VECTOR, 50, vectors.probes_for(spark, path, 0.98))
+
+
+@query(None)
+def t01_cells_of_each(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 50, against all vectors, from the index."""
+    path = cells(spark, sf_dir)
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return vectors.nearest_of_each(spark, path, "vec_id", asked, "embedding", 10, vectors.probes_for(spark, path, 0.95))
+
+
 ROW_TEXT = "p_brand || '. name: ' || p_name || '; type: ' || p_type"
 ROW_TERMS = ["red", "small", "ring", "large"]
 
