@@ -78,20 +78,35 @@ def sc09_archives(spark, sf_dir):
     return files.documents(normal).select(key, F.col("content").alias("found")).unionByName(files.warnings(normal).select(key, F.col("warning").alias("found")))
 
 
-@query("SELECT doc_id, 'Привет, мир' AS content FROM documents")
+#: Texts in Cyrillic are made from those of the test tables letter by letter; the rest of a text that isn't ASCII becomes a question mark.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+#: The characters from 128 on of the two codings of a byte that are told apart; the one byte that Windows-1251 lacks stands for itself.
+HIGH = bytes(range(128, 256)).decode("latin-1")
+HIGH_1251 = "".join(bytes([i]).decode("cp1251", "ignore") or chr(i) for i in range(128, 256))
+CYRILLIC_SQL = f"translate(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', '?', 'g'), '{LATIN}', '{CYRILLIC}')"
+
+
+def as_cyrillic(letters: str):
+    return F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7f]", "?"), LATIN, letters)
+
+
+@query(f"SELECT doc_id, content FROM (SELECT doc_id, regexp_replace(regexp_replace({CYRILLIC_SQL}, '^\\s+', ''), '\\s+$', '') AS content FROM documents) WHERE content <> ''")
 def sc10_encodings(spark, sf_dir):
-    """The same words in UTF-8, with a mark before them, and in Windows-1251."""
-    word, d = "Привет, мир", F.col("doc_id") % 3
-    as_hex = lambda coding: F.unhex(F.lit(word.encode(coding).hex()))
-    content = F.when(d == 0, as_hex("utf-8")).when(d == 1, as_hex("utf-8-sig")).otherwise(as_hex("cp1251"))
+    """Whole texts in UTF-8, with a mark before them, and in Windows-1251, whose bytes are written as those of the Latin letters that share them."""
+    d = F.col("doc_id") % 3
+    plain = F.encode(as_cyrillic(CYRILLIC), "UTF-8")
+    narrow = F.encode(as_cyrillic(CYRILLIC.encode("cp1251").decode("latin-1")), "ISO-8859-1")
+    content = F.when(d == 0, plain).when(d == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).otherwise(narrow)
     rows = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
     return files.documents(files.normalised(rows)).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content")
 
 
-@query("SELECT doc_id, 'Норильск' AS text FROM documents")
+@query(f"SELECT doc_id, {CYRILLIC_SQL} AS text FROM documents")
 def x38_repaired(spark, sf_dir):
-    broken = F.lit("Норильск".encode().decode("cp1251"))
-    said = F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.lit("Норильск"))
+    """Every second text is broken: its bytes in UTF-8 read as Windows-1251."""
+    whole = as_cyrillic(CYRILLIC)
+    broken = F.translate(F.decode(F.encode(whole, "UTF-8"), "ISO-8859-1"), HIGH, HIGH_1251)
+    said = F.when(F.col("doc_id") % 2 == 0, broken).otherwise(whole)
     return read(spark, sf_dir, "documents").select("doc_id", said.alias("t")).select("doc_id", extract.repaired(F.col("t")).alias("text"))
 
 

@@ -278,10 +278,11 @@ def x44_cursors(spark, sf_dir):
     return found.withColumn("key", extract.cursor_parts(F.col("cursor"))["key"].cast("long"))
 
 
-@query("SELECT event_id, CAST(event_id AS VARCHAR) AS id FROM events")
+@query("SELECT event_id, props ->> '$.k' AS k FROM events")
 def x43_json_objects(spark, sf_dir):
-    noisy = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit('Sure: ```{"id": '), F.col("event_id").cast("string"), F.lit(', "x": {"y": [1]}}``` done')).alias("said"))
-    return noisy.select("event_id", F.try_variant_get(extract.json_object(F.col("said")), "$.id", "string").alias("id"))
+    """The events' properties, found in what is said around them."""
+    noisy = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Sure, a "), "event_type", F.lit(": ```json "), "props", F.lit(" ``` done")).alias("said"))
+    return noisy.select("event_id", F.try_variant_get(extract.json_object(F.col("said")), "$.k", "string").alias("k"))
 
 
 @query(f"""WITH {NOTES} SELECT doc_id, len({among(terms.MATERIALS)}) AS materials, round(CAST(least(1.0, 0.35 + 0.1 * len({among(list(terms.PLACES))})) AS DOUBLE), 6) AS geography FROM notes WHERE len({among(terms.MATERIALS)}) > 0 AND len({among(list(terms.PLACES))}) > 0""")

@@ -164,3 +164,16 @@ def st8_live(spark, sf_dir):
 def st7_x39_messages(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").where(F.length("text") > 96).withColumn("m", extract.messages(F.col("text")))
     return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.col("m")[1]["piece"].alias("second"), F.element_at("m", -1)["at"].alias("last_at"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), starts AS (SELECT user_id, min(ts) AS start FROM e GROUP BY 1
+ UNION ALL SELECT s.user_id, (SELECT min(ts) FROM e WHERE e.user_id = s.user_id AND e.ts >= s.start + INTERVAL 6 HOUR) FROM starts s WHERE s.start IS NOT NULL),
+ entries AS (SELECT user_id, start, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS next FROM starts WHERE start IS NOT NULL),
+ firsts AS (SELECT user_id, ts AS start, min(event_id) AS event_id FROM e GROUP BY ALL)
+ SELECT e.user_id, e.event_id, e.ts AS ts, CASE WHEN f.event_id IS NOT NULL AND n.start IS NOT NULL THEN 'miss' ELSE 'hit' END AS outcome FROM e LEFT JOIN firsts f ON f.user_id = e.user_id AND f.start = e.ts AND f.event_id = e.event_id LEFT JOIN entries n ON n.user_id = e.user_id AND n.start = e.ts
+ UNION ALL SELECT user_id, NULL, start + INTERVAL 6 HOUR, 'expired' FROM entries WHERE next IS NOT NULL OR start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR""")
+def m19_st8_cache(spark, sf_dir):
+    """A user's entry is written at the first event and lives for six hours: what each event finds, and when entries end."""
+    requests = feeds.table_stream(spark, sf_dir, "events").select("event_id", "user_id", "ts").where("user_id is not null and ts is not null")
+    found = feeds.finished(feeds.cached(requests, ["user_id"], "ts", "event_id", 6 * 3600, "1 hour"), "cache")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -366,15 +366,17 @@ def u02_union_distinct(spark, sf_dir):
     return pick("p_name", "ring").union(pick("p_brand", "1")).distinct()
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a|b|c' WHEN doc_id % 3 = 1 THEN 'a|b' ELSE 'c|b' END AS ids, doc_id % 3 = 2 AS disjoint, CASE doc_id % 3 WHEN 1 THEN 0 ELSE 1 END AS common FROM documents")
+@query("""WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, CASE WHEN p_size % 5 <> 0 THEN string_split(lower(p_type), ' ') END AS b, string_split(lower(p_brand), '#') AS c FROM part),
+ u AS (SELECT *, list_concat(a, coalesce(b, []), a) AS every FROM p) SELECT p_partkey, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), '|') AS ids,
+ len(list_intersect(list_concat(a, c), list_concat(coalesce(b, []), c, a[1:1]))) AS common, NOT list_has_any(a, coalesce(b, [])) AS disjoint FROM u""")
 def u03_u04_u06_sets(spark, sf_dir):
-    d = F.col("doc_id") % 3
-    words = lambda *w: F.array(*[F.lit(x) for x in w])
-    a = F.when(d == 2, F.lit(None).cast("array<string>")).otherwise(words("a", "b", "a"))
-    b = F.when(d == 1, F.lit(None).cast("array<string>")).otherwise(words("c", "b"))
-    none = F.array().cast("array<string>")
-    common = F.when(d == 2, 1).otherwise(F.size(F.array_intersect(F.coalesce(a, none), F.coalesce(b, none))))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.union_in_order(a, b), "|").alias("ids"), (~F.arrays_overlap(F.coalesce(a, none), words("a"))).alias("disjoint"), common.alias("common"))
+    """The words of a part's name and type: united in order, shared, and whether none is; every fifth part has no type."""
+    words = lambda c, by=" ": F.split(F.lower(c), by)
+    a, c, none = words("p_name"), words("p_brand", "#"), F.array().cast("array<string>")
+    b = F.when(F.col("p_size") % 5 != 0, words("p_type"))
+    known = F.coalesce(b, none)
+    common = F.size(F.array_intersect(F.concat(a, c), F.concat(known, c, F.slice(a, 1, 1))))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.union_in_order(text.union_in_order(a, b), a), "|").alias("ids"), common.alias("common"), (~F.arrays_overlap(a, known)).alias("disjoint"))
 
 
 @query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS claim, round(least(1.0, (1 - l_discount) * CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.3 ELSE 0.4 END + CASE WHEN l_shipdate >= TIMESTAMP '2000-01-01' THEN 0.05 ELSE 0 END), 6) AS score FROM lineitem ORDER BY score DESC, claim LIMIT 40""")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corvane.operators import storage
 from corvane.operators.retrieval import matched_interests
@@ -73,6 +74,78 @@ def limited(events: DataFrame, keys: list[str], at: str, ident: str, limit: int,
     return timed.groupBy(*keys).applyInPandasWithState(judged, out, "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: The state store that timers need; a session's setting, set where a stream with timers is made.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OUTCOME = "micros long, outcome string"
+
+
+class Entries(StatefulProcessor):
+    """A cache entry for each key: when it was written, and a timer that ends it."""
+
+    def __init__(self, keys: list[str], ident: str, ttl: int):
+        self.keys, self.ident, self.ttl = keys, ident, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.entry = handle, handle.getValueState("entry", "start long")
+
+    def rows(self, key: tuple, idents: list, at: list, outcomes: list) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] * len(at) for k, v in zip(self.keys, key, strict=True)}, self.ident: pd.array(idents, dtype="Int64"), "micros": at, "outcome": outcomes})
+
+    def end(self, start: int) -> int:
+        return -(-(start + self.ttl) // 1000)  # timers are in milliseconds
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        asked = pd.concat([part[["micros", self.ident]] for part in rows]).sort_values(["micros", self.ident])
+        held = start = self.entry.get()[0] if self.entry.exists() else None
+        idents, at, outcomes = [], [], []
+        for hit, ident in zip(asked["micros"].tolist(), asked[self.ident].tolist(), strict=True):
+            if start is not None and hit < start:
+                outcome = "late"
+            elif start is not None and hit < start + self.ttl:
+                outcome = "hit"
+            else:
+                if start is not None:
+                    idents, at, outcomes = [*idents, None], [*at, start + self.ttl], [*outcomes, "expired"]
+                start, outcome = hit, "miss"
+            idents.append(ident)
+            at.append(hit)
+            outcomes.append(outcome)
+        if start != held:
+            if held is not None:
+                self.handle.deleteTimer(self.end(held))
+            self.entry.update((start,))
+            self.handle.registerTimer(self.end(start))
+        yield self.rows(key, idents, at, outcomes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.entry.exists():
+            start = self.entry.get()[0]
+            self.entry.clear()
+            yield self.rows(key, [None], [start + self.ttl], ["expired"])
+
+    def close(self) -> None:
+        pass
+
+
+def cached(requests: DataFrame, keys: list[str], at: str, ident: str, seconds: int, lateness: str) -> DataFrame:
+    """A stream of requests (keys, at, ident: long) -> keys, ident, at, outcome: what a cache whose entries live so many seconds answers.
+
+    miss: there was no entry, and one is written; hit: there was; late: the request is older than the entry there is, which stays; expired (no
+    ident): an entry's end, told by the next request or, without one, by a timer once the watermark has passed it. Requests within `lateness`
+    of the newest are all answered; Spark drops older ones and counts them (`dropped`). State goes with its entry."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    timed = requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).withColumn("micros", F.unix_micros(at))
+    kinds = dict(requests.dtypes)
+    out = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {ident} long, {OUTCOME}"
+    found = timed.groupBy(*keys).transformWithStateInPandas(Entries(keys, ident, seconds * 1_000_000), out, "append", "EventTime")
+    return found.select(*keys, ident, F.timestamp_micros("micros").alias(at), "outcome")
+
+
+def dropped(run) -> int:
+    """The rows that a stream's operators dropped as older than their watermark, over the progress that is kept of it."""
+    return sum(o["numRowsDroppedByWatermark"] for p in run.recentProgress for o in p["stateOperators"])
+
+
 def stored(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Starts the stream into a table of files: each input counts once, and after a failure it goes on where it was."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
