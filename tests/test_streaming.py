@@ -19,8 +19,8 @@ def test_envelopes(spark, tmp_path):
 
 
 def test_cache_with_time_to_live(spark, tmp_path):
-    """Over three batches with a moving watermark: entries end by the next request or by a timer, late requests are told, older ones counted."""
-    batches = [[("a", 0, 1), ("a", 10, 2)], [("a", 100, 3), ("b", 100, 4), ("b", 100, 5)], [("a", 95, 6), ("a", 5, 7), ("c", 300, 8)]]
+    """Over four batches with a moving watermark: entries end by the next request or by a timer, late requests are told, older ones counted."""
+    batches = [[("a", 0, 1), ("a", 10, 2)], [("a", 100, 3), ("b", 100, 4), ("b", 100, 5)], [("a", 95, 6), ("a", 5, 7), ("c", 300, 8)], [("a", 6, 9)]]
     (tmp_path / "in").mkdir()
     for i, rows in enumerate(batches):
         path = tmp_path / "in" / f"{i}.json"
@@ -31,6 +31,6 @@ def test_cache_with_time_to_live(spark, tmp_path):
     assert run.awaitTermination(200)
     found = spark.read.parquet(str(tmp_path / "out")).selectExpr("k", "id", "int(minute(at) * 60 + second(at))", "outcome").collect()
     want = [("a", 1, 0, "miss"), ("a", 2, 10, "hit"), ("a", None, 30, "expired"), ("a", 3, 100, "miss"), ("b", 4, 100, "miss"), ("b", 5, 100, "hit")]
-    want += [("a", 6, 95, "late"), ("c", 8, 300, "miss"), ("a", None, 130, "expired"), ("b", None, 130, "expired")]
+    want += [("a", 6, 95, "late"), ("a", 7, 5, "late"), ("c", 8, 300, "miss"), ("a", None, 130, "expired"), ("b", None, 130, "expired")]
     assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
     assert feeds.dropped(run) == 1
