@@ -1,13 +1,15 @@
-"""Names of a dictionary within texts, found by Aho-Corasick automata: a text is read once, whatever the number of names."""
+"""Names of a dictionary within texts, found by Aho-Corasick automata: a text is read once, whatever the number of names; names that words nearly spell."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of names that one automaton holds: a broadcast of at most this size. Larger dictionaries are split by the names' hash.
@@ -61,3 +63,38 @@ def contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     if found is None:
         return texts.select(key, F.lit("").alias("name")).limit(0)
     return found
+
+
+def most_edits(a: Column, b: Column, score: int) -> Column:
+    """How many characters two words of these lengths may have left over, deleted or inserted, if their ratio of 2 * matches / lengths rounds to score or more."""
+    return F.floor((a + b) * (1 - (score - 0.5) / 100) + 1e-9).cast("int")
+
+
+def nearly(tokens: DataFrame, token: str, names: DataFrame, name: str, place: str, score: int = 88) -> DataFrame:
+    """(token, name, score): for each distinct token the name of highest spelling ratio (difflib's, in percent, rounded), ties by the smaller place;
+    tokens whose best name is below `score`, or is the token itself, have no row. Dictionaries of any size; null and empty words are near nothing.
+
+    Two words with at most d characters left over share one of d + 1 pieces that either is cut into, at most d places apart. Names are joined
+    by length and piece with the tokens' substrings at those places, pairs are tried by their edit distance, and what is left by the ratio itself."""
+    own = tokens.select(F.col(token).alias("token")).where("token <> ''").distinct().withColumn("la", F.length("token"))
+    held = names.select(F.col(name).alias("name"), F.col(place).alias("place")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place")).withColumn("lb", F.length("name"))
+    share = 1 - (score - 0.5) / 100  # lengths differ by at most this share of their sum
+    least, most = lambda n: F.ceil(n * (1 - share) / (1 + share) - 1e-9).cast("int"), lambda n: F.floor(n * (1 + share) / (1 - share) + 1e-9).cast("int")
+    every = lambda n: F.explode(F.sequence(F.greatest(least(n), F.lit(1)), most(n)))
+    cut = lambda n, i, parts: F.floor(n * i / parts).cast("int")
+    pieces = held.withColumn("la", every(F.col("lb"))).withColumn("d", most_edits(F.col("la"), F.col("lb"), score))
+    pieces = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", cut(F.col("lb"), F.col("i"), F.col("d") + 1)).withColumn("size", cut(F.col("lb"), F.col("i") + 1, F.col("d") + 1) - F.col("at"))
+    pieces = pieces.select("la", "lb", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece"), "name", "place", "d")
+    asked = own.withColumn("lb", every(F.col("la"))).withColumn("d", most_edits(F.col("la"), F.col("lb"), score))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", cut(F.col("lb"), F.col("i"), F.col("d") + 1)).withColumn("size", cut(F.col("lb"), F.col("i") + 1, F.col("d") + 1) - F.col("at"))
+    asked = asked.withColumn("from", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.greatest(F.lit(0), F.least(F.col("la") - F.col("size"), F.col("at") + F.col("d"))))))
+    asked = asked.select("la", "lb", "i", F.substring("token", F.col("from") + 1, F.col("size")).alias("piece"), "token").distinct()
+    pairs = asked.join(pieces, ["la", "lb", "i", "piece"]).where(F.expr("levenshtein(token, name, d) >= 0")).select("token", "name", "place").distinct()
+
+    @F.pandas_udf("int")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(SequenceMatcher(None, x, y).ratio() * 100) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    scored = pairs.withColumn("score", ratio("token", "name")).where(F.col("score") >= score)
+    best = scored.groupBy("token").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), "place")).alias("best"))
+    return best.select("token", "best.*").where("token <> name")

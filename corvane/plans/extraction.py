@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import aliases, entities, extract, quantities, terms, text
+from corvane.operators import dictionaries, storage
 from corvane.plans.queries import query, read
 
 #: A closing sentence by the document's number, in the words that the extractors know; the same expression in both engines.
@@ -153,6 +154,15 @@ def x17_fuzzy_aliases(spark, sf_dir):
     return found.select("doc_id", "a.*")
 
 
+@query(None)
+def x17_near_names(spark, sf_dir):
+    """Each rare word of the documents with the frequent word (of 20 documents or more, by rank) that it nearly spells."""
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]{4,}"), F.lit(0))).alias("word"))
+    counts = storage.written(words.groupBy("word").agg(F.count_distinct("doc_id").alias("docs")), "words")
+    names = counts.where("docs >= 20").select("word", (-F.col("docs")).alias("rank"), F.xxhash64("word").alias("h"))
+    return dictionaries.nearly(counts.where("docs < 20"), "word", names.select("word", F.struct("rank", "h").alias("place")), "word", "place")
+
+
 @query(None)
 def x18_alike_aliases(spark, sf_dir):
     """Names whose spelling vector is near a token's; a test holds the vectors against their definition."""
