@@ -66,15 +66,18 @@ def contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
 
 
 def most_edits(a: Column, b: Column, score: int) -> Column:
-    """How many characters two words of these lengths may have left over, deleted or inserted, if their ratio of 2 * matches / lengths rounds to score or more."""
-    return F.floor((a + b) * (1 - (score - 0.5) / 100) + 1e-9).cast("int")
+    """How many characters two words of these lengths may have left over, deleted or inserted, if their ratio of 2 * matches / lengths rounds to score or more.
+
+    It is odd if the sum of the lengths is, as matches come in pairs."""
+    most = F.floor((a + b) * (1 - (score - 0.5) / 100) + 1e-9).cast("int")
+    return most - F.pmod(most - a - b, F.lit(2))
 
 
 def nearly(tokens: DataFrame, token: str, names: DataFrame, name: str, place: str, score: int = 88) -> DataFrame:
     """(token, name, score): for each distinct token the name of highest spelling ratio (difflib's, in percent, rounded), ties by the smaller place;
     tokens whose best name is below `score`, or is the token itself, have no row. Dictionaries of any size; null and empty words are near nothing.
 
-    Two words with at most d characters left over share one of d + 1 pieces that either is cut into, at most d places apart. Names are joined
+    Two words with at most d characters left over share one of d + 1 pieces that either is cut into; how far apart follows from d and the lengths. Names are joined
     by length and piece with the tokens' substrings at those places, pairs are tried by their edit distance, and what is left by the ratio itself."""
     own = tokens.select(F.col(token).alias("token")).where("token <> ''").distinct().withColumn("la", F.length("token"))
     held = names.select(F.col(name).alias("name"), F.col(place).alias("place")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place")).withColumn("lb", F.length("name"))
@@ -87,7 +90,10 @@ def nearly(tokens: DataFrame, token: str, names: DataFrame, name: str, place: st
     pieces = pieces.select("la", "lb", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece"), "name", "place", "d")
     asked = own.withColumn("lb", every(F.col("la"))).withColumn("d", most_edits(F.col("la"), F.col("lb"), score))
     asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", cut(F.col("lb"), F.col("i"), F.col("d") + 1)).withColumn("size", cut(F.col("lb"), F.col("i") + 1, F.col("d") + 1) - F.col("at"))
-    asked = asked.withColumn("from", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.greatest(F.lit(0), F.least(F.col("la") - F.col("size"), F.col("at") + F.col("d"))))))
+    left_out, put_in = [F.floor((F.col("d") + more) / 2).cast("int") for more in (F.col("lb") - F.col("la"), F.col("la") - F.col("lb"))]
+    first = F.greatest(F.lit(0), F.col("at") - left_out)
+    shifted = first, F.greatest(first, F.least(F.col("la") - F.col("size"), F.col("at") + put_in))
+    asked = asked.withColumn("from", F.explode(F.sequence(*shifted)))
     asked = asked.select("la", "lb", "i", F.substring("token", F.col("from") + 1, F.col("size")).alias("piece"), "token").distinct()
     pairs = asked.join(pieces, ["la", "lb", "i", "piece"]).where(F.expr("levenshtein(token, name, d) >= 0")).select("token", "name", "place").distinct()
 

@@ -157,8 +157,8 @@ def x17_fuzzy_aliases(spark, sf_dir):
 @query(None)
 def x17_near_names(spark, sf_dir):
     """Each rare word of the documents with the frequent word (of 20 documents or more, by rank) that it nearly spells."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]{4,}"), F.lit(0))).alias("word"))
-    counts = storage.written(words.groupBy("word").agg(F.count_distinct("doc_id").alias("docs")), "words")
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{4,}"), F.lit(0)))
+    counts = storage.written(read(spark, sf_dir, "documents").select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("docs")), "words")
     names = counts.where("docs >= 20").select("word", (-F.col("docs")).alias("rank"), F.xxhash64("word").alias("h"))
     return dictionaries.nearly(counts.where("docs < 20"), "word", names.select("word", F.struct("rank", "h").alias("place")), "word", "place")
 
