@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.functions import access, entities, extract, ids, quantities
 from corvane.functions.text import token_share, tokens
+from corvane.operators import snapshots
 from corvane.operators.dictionaries import contained
 from corvane.operators.storage import written
 
@@ -201,6 +203,37 @@ def status(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("points"), F.countDistinct("document_id").alias("documents"), F.count_if(F.col("item_type") == "table_row").alias("table_rows"))
 
 
+def bootstrapped(spark: SparkSession, folder: str, schema: StructType | str) -> bool:
+    """Makes an empty index in folder where there is none, and says whether it did. One that is there stays, whatever it holds."""
+    if "index" in snapshots.opened(spark, folder):
+        return False
+    snapshots.committed({"index": spark.createDataFrame([], schema)}, folder)
+    return True
+
+
+def index_status(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: state (missing or green), points, documents, table_rows."""
+    index = snapshots.opened(spark, folder).get("index")
+    if index is None:
+        return spark.createDataFrame([("missing", 0, 0, 0)], "state string, points long, documents long, table_rows long")
+    return status(index).select(F.lit("green").alias("state"), "points", "documents", "table_rows")
+
+
+def reset(spark: SparkSession, folder: str) -> bool:
+    """Empties the index, or makes one where there is none; says whether there was one. Readers of the snapshot before are not disturbed."""
+    index = snapshots.opened(spark, folder).get("index")
+    if index is None:
+        return not bootstrapped(spark, folder, "source_span_id string, document_id string, item_type string")
+    snapshots.committed({"index": spark.createDataFrame([], index.schema)}, folder)
+    return True
+
+
+def upserted_points(index_folder: str, new: DataFrame) -> int:
+    """Commits the index with new points in the place of those of the same span; the columns are those of the index."""
+    index = snapshots.opened(new.sparkSession, index_folder)["index"]
+    return snapshots.committed({"index": replaced(index, new.select(*index.columns))}, index_folder)
+
+
 def canonical(artifacts: DataFrame, dictionary: DataFrame, value: str = "value") -> DataFrame:
     """artifacts with canonical: the dictionary's name (alias, canonical) for the value without case, else the value itself."""
     names = dictionary.select(F.lower("alias").alias("_alias"), "canonical").dropDuplicates(["_alias"])

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import evidence, extract, quantities, text, verify
-from corvane.operators import patterns, ranking, retrieval, state
+from corvane.operators import patterns, ranking, retrieval, state, storage
 from corvane.plans.extraction import FOUND, NOTE, NOTES, notes
 from corvane.plans.graphs import BASE, LEVELS, graph
 from corvane.plans.queries import COSINE_SQL, QUERY_VECTOR, TOKENS_SQL, query, read
 from corvane.plans.search import CODES, asks
-from corvane.sources import files
+from corvane.sources import files, packages
 
 WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 SLIDE = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -78,6 +80,81 @@ def sc09_archives(spark, sf_dir):
     return files.documents(normal).select(key, F.col("content").alias("found")).unionByName(files.warnings(normal).select(key, F.col("warning").alias("found")))
 
 
+#: The objects of a file of two pages whose font's codes are UTF-16; a page of text and one with a ruled table of two rows follow as 8 and 7.
+TO_UNICODE = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+PDF_OBJECTS = [
+    "<</Type/Catalog/Pages 2 0 R>>",
+    "<</Type/Pages/Count 2/Kids[3 0 R 4 0 R]/Resources<</Font<</F1 5 0 R>>>>>>",
+    "<</Type/Page/Parent 2 0 R/Contents 8 0 R>>",
+    "<</Type/Page/Parent 2 0 R/Contents 7 0 R>>",
+    "<</Type/Font/Subtype/Type0/Encoding/Identity-H/DescendantFonts[<</Type/Font/Subtype/CIDFontType2/DW 500>>]/ToUnicode 6 0 R>>",
+    f"<</Length {len(TO_UNICODE)}>>\nstream\n{TO_UNICODE}\nendstream",
+]
+RULES = " ".join([f"50 {y} m 1250 {y} l" for y in (100, 120, 140)] + [f"{x} 100 m {x} 140 l" for x in (50, 650, 1250)])
+
+
+def pdf_of(text: Column, cells: list[Column], damaged: Column) -> Column:
+    """A PDF of a text, a line of the page for each of its lines, and of a table's cells; without its cross references if it is to be damaged."""
+    coded = lambda c: F.concat(F.lit("<"), F.hex(F.encode(c, "UTF-16BE")), F.lit(">"))
+    stream = lambda number, body: F.concat(F.lit(f"{number} 0 obj <</Length "), F.length(body).cast("string"), F.lit(">>\nstream\n"), body, F.lit("\nendstream endobj\n"))
+    head, places = "%PDF-1.4\n", []
+    for number, body in enumerate(PDF_OBJECTS, start=1):
+        places.append(len(head))
+        head += f"{number} 0 obj {body} endobj\n"
+    places.append(len(head))
+    at = [(55, 126), (655, 126), (55, 106), (655, 106)]
+    table = F.concat(F.lit(f"{RULES} S BT /F1 10 Tf"), *[F.concat(F.lit(f" 1 0 0 1 {x} {y} Tm "), coded(c), F.lit(" Tj")) for (x, y), c in zip(at, cells, strict=True)], F.lit(" ET"))
+    lines = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.concat(coded(line), F.lit(" Tj T*"))), "\n")
+    page = F.concat(F.lit("BT /F1 10 Tf 14 TL 50 800 Td\n"), lines, F.lit("\nET"))
+    before = F.concat(F.lit(head), stream(7, table))
+    body = F.concat(before, stream(8, page))
+    entries = F.concat(F.lit("xref\n0 9\n0000000000 65535 f \n" + "".join(f"{p:010} 00000 n \n" for p in places)), F.lpad(F.length(before).cast("string"), 10, "0"), F.lit(" 00000 n \n"))
+    trailer = F.lit("trailer <</Size 9/Root 1 0 R>>\n")
+    return F.when(damaged, F.concat(body, trailer)).otherwise(F.concat(body, entries, trailer, F.lit("startxref\n"), F.length(body).cast("string"), F.lit("\n%%EOF"))).cast("binary")
+
+
+LAID_OUT = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\v]*\n[ \t\r\f\v]*', chr(10), 'g'), '\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN b <> '' THEN b || nn ELSE '' END || 'source' || n || 'lang' || nn || s || n || l || nn || 'source | lang' || nn || s || ' | ' || l AS content, s || ' | ' || l AS row
+ FROM (SELECT doc_id, {LAID_OUT} AS b, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l, chr(10) AS n, chr(10) || chr(10) AS nn FROM documents)""")
+def sc02_pdf(spark, sf_dir):
+    """Whole texts and tables laid out as PDF, every second file without its cross references, and read again."""
+    source, lang = (F.coalesce(c, F.lit("none")) for c in ("source", "lang"))
+    content = pdf_of(F.coalesce("text", F.lit("")), [F.lit("source"), F.lit("lang"), source, lang], F.col("doc_id") % 2 == 1)
+    made = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"))
+    docs = files.documents(files.normalised(made))
+    return docs.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content", F.array_join(F.col("tables")[0]["rows"][0], " | ").alias("row"))
+
+
+def package_parts(name: str, size: int) -> dict[str, str]:
+    """A package of one entry; some have another checksum, no version or no manifest."""
+    entries = json.dumps([{"canonical": name, "aliases": [f" size {size} ", ""]}])
+    digest = hashlib.sha256((entries + "?" * (size % 4 == 1)).encode()).hexdigest()
+    manifest = {"schema_version": packages.SCHEMA, "version": "" if size % 4 == 2 else f"v{size}", "files": [{"path": "e/own.json", "kind": "entities", "sha256": digest}]}
+    return {"e/own.json": entries} | ({"manifest.json": json.dumps(manifest)} if size % 4 < 3 else {})
+
+
+@query("""SELECT p_partkey, NULL AS version, CASE p_size % 4 WHEN 1 THEN 'dictionary_checksum_mismatch' WHEN 2 THEN 'dictionary_version_missing' ELSE 'dictionary_manifest_missing' END AS found FROM part WHERE p_size % 4 > 0
+ UNION ALL SELECT p_partkey, 'v' || p_size, p_name || ' = ' || unnest([p_name, 'size ' || p_size]) FROM part WHERE p_size % 4 = 0""")
+def sc16_packages(spark, sf_dir):
+    found = storage.written(packages.read(packed(spark, sf_dir, ".zip", package_parts)), "packages")
+    key = F.substring_index("path", ".", 1).cast("long").alias("p_partkey")
+    sound = found.where("code is null").select(key, "package_sha256").distinct()
+    names = packages.names(found).join(sound, "package_sha256").select("p_partkey", "version", F.concat_ws(" = ", "canonical", "alias").alias("found"))
+    return names.unionByName(packages.refused(found).select(key, F.lit(None).cast("string").alias("version"), F.col("code").alias("found")))
+
+
+@query("""SELECT conv_id, turn, unnest(CASE WHEN turn % 2 = 0 THEN [0, 1] ELSE [0] END) AS pos, 'official-' || conv_id AS id, text FROM conversations""")
+def sc23_gold_questions(spark, sf_dir):
+    """Gold objects of whole turns: two official questions, or an official one and another."""
+    ask = lambda prefix: F.struct(F.concat(F.lit(prefix), F.col("conv_id").cast("string")).alias("id"), F.col("text").alias("question"))
+    more = F.when(F.col("turn") % 2 == 0, F.array(ask("official-"))).otherwise(F.array(ask("other-")))
+    body = F.to_json(F.struct(F.array(ask("official-")).alias("questions"), more.alias("corpus_regression_questions")))
+    objects = read(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("whole"))
+    return files.questions(objects, "whole", official_only=True).select("conv_id", "turn", "pos", "id", F.get_json_object("question", "$.question").alias("text"))
+
+
 #: Texts in Cyrillic are made from those of the test tables letter by letter; the rest of a text that isn't ASCII becomes a question mark.
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
 #: The characters from 128 on of the two codings of a byte that are told apart; the one byte that Windows-1251 lacks stands for itself.

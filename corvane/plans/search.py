@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import entities, ids, quantities, terms, text, verify
-from corvane.operators import retrieval
+from corvane.operators import retrieval, storage
 from corvane.plans.extraction import FOUND, NOTE, NOTES, PATTERN, any_of, joined, named, notes, quoted
 from corvane.plans.queries import LEVELS, TOKENS_SQL, query, read
 
@@ -73,6 +75,20 @@ def f14_sc18_delete_status(spark, sf_dir):
     return retrieval.status(retrieval.without_documents(points, points.where(F.col("document_id").cast("long") % 3 == 1)))
 
 
+@query("""WITH p AS (SELECT count(DISTINCT doc_id) AS n FROM documents), t(step, state, times) AS (VALUES (0, 'missing', 0), (1, 'green', 0), (2, 'green', 1), (3, 'green', 1), (4, 'green', 0))
+ SELECT step, state, times * n AS points, times * n AS documents, times * (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id % 3 = 0) AS table_rows FROM t, p""")
+def sc18_index_lifecycle(spark, sf_dir):
+    """An index made, filled, filled again with the same points, and emptied; its state after each step."""
+    folder, row = storage.new_path(spark, "index"), F.col("doc_id") % 3 == 0
+    points = read(spark, sf_dir, "documents").select(F.concat(F.lit("s"), "doc_id").alias("source_span_id"), F.col("doc_id").cast("string").alias("document_id"), F.when(row, "table_row").otherwise("source_span").alias("item_type")).distinct()
+    steps = [lambda: None, lambda: retrieval.bootstrapped(spark, folder, points.schema), lambda: retrieval.upserted_points(folder, points), lambda: retrieval.upserted_points(folder, points), lambda: retrieval.reset(spark, folder)]
+    states = []
+    for number, step in enumerate(steps):
+        step()
+        states.append(retrieval.index_status(spark, folder).select(F.lit(number).alias("step"), "*"))
+    return functools.reduce(DataFrame.unionByName, states)
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS state FROM documents")
 def sc17_upserted_points(spark, sf_dir):
     points = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_span_id"), F.lit("old").alias("state"))

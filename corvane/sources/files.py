@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +19,8 @@ TABLE = "struct<id: string, page: int, headers: array<string>, rows: array<array
 DOCUMENT = f"struct<document_id: string, source_type: string, title: string, content: string, spans: array<{SPAN}>, tables: array<{TABLE}>, parser: string>"
 #: Limits of an archive: fixed values of a deployment, here as defaults.
 MOST_ENTRIES, MOST_BYTES = 1000, 500_000_000
+#: Texts that are handed on together.
+BATCH_CHARACTERS = 8_000_000
 
 
 def listed(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (".tmp", ".part"), content: bool = True) -> DataFrame:
@@ -111,23 +112,30 @@ def intact(files: DataFrame, expected: DataFrame) -> DataFrame:
 def normalised(files: DataFrame, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """files (path, content) -> path, document (null on a row of warnings), warnings. A file is a row, an archive as many as it has documents.
 
-    Each file is parsed where it is; batches hold a few files at a time, whose size the reader bounds."""
-
-    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for path, content in zip(part["path"], part["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
-                data = bytes(content) if content is not None else b""
-                checksum = hashlib.sha256(data).hexdigest()
-                try:
-                    documents, warnings = formats.expanded(checksum, data, most_entries, most_bytes) if formats.suffix(name) == ".zip" else formats.normalised(checksum, name, data)
-                except formats.Unreadable as error:
-                    documents, warnings = [], [f"{error.code}:{name}"]
-                rows += [(path, d, []) for d in documents]
-                if warnings:
-                    rows.append((path, None, warnings))
-            yield pd.DataFrame(rows, columns=["path", "document", "warnings"])
+    Each file is parsed where it is; batches hold a few files at a time, whose size the reader bounds. An archive's files leave one by one."""
+
+    def parts_of(name: str, data: bytes) -> Iterator[tuple[list[dict], list[str]]]:
+        checksum = hashlib.sha256(data).hexdigest()
+        try:
+            if formats.suffix(name) == ".zip":
+                yield from formats.unpacked(checksum, data, most_entries, most_bytes)
+            else:
+                yield formats.normalised(checksum, name, data)
+        except formats.Unreadable as error:
+            yield [], [f"{error.code}:{name}"]
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "document", "warnings"]
+        for batch in batches:
+            rows, size = [], 0
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                for documents, warnings in parts_of(path.rsplit("/", 1)[-1], bytes(content) if content is not None else b""):
+                    rows += [(path, d, []) for d in documents] + ([(path, None, warnings)] if warnings else [])
+                    size += sum(len(d["content"]) for d in documents)
+                    if size > BATCH_CHARACTERS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(parsed, f"path string, document {DOCUMENT}, warnings array<string>")
 
@@ -144,20 +152,6 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.inline("spans"))
 
 
-def dictionary_package(content: bytes) -> dict[str, list[dict]]:
-    """A dictionary package, a small archive with manifest.json (entries: path, kind, sha256): entries by kind, each checked against its sha256."""
-    archive = formats._opened(content, "invalid_zip")
-    manifest = json.loads(archive.read("manifest.json"))
-    found: dict[str, list[dict]] = {}
-    for entry in manifest.get("files", []):
-        data = archive.read(entry["path"])
-        if hashlib.sha256(data).hexdigest() != entry.get("sha256"):
-            raise formats.Unreadable(f"checksum_mismatch:{entry['path']}")
-        rows = json.loads(data)
-        found.setdefault(str(entry["kind"]), []).extend(r for r in rows if isinstance(r, dict))
-    return found
-
-
 def invalid_entries(entries: DataFrame, key: str = "path") -> DataFrame:
     """entries (path, kind, sha256, canonical, aliases) -> (key, problem) for each rule that an entry breaks."""
     rules = {
@@ -169,3 +163,17 @@ def invalid_entries(entries: DataFrame, key: str = "path") -> DataFrame:
     }
     broken = F.array_compact(F.array(*[F.when(~holds, name) for name, holds in rules.items()]))
     return entries.select(key, F.explode(broken).alias("problem"))
+
+
+def questions(objects: DataFrame, whole: str, official_only: bool = False) -> DataFrame:
+    """Gold objects (JSON in column whole, with lists questions and corpus_regression_questions) -> their other columns, pos, id, question (its JSON), in the order given."""
+    lists = [F.coalesce(F.from_json(F.get_json_object(whole, f"$.{k}"), "array<string>"), F.array().cast("array<string>")) for k in ("questions", "corpus_regression_questions")]
+    others = [c for c in objects.columns if c != whole]
+    rows = objects.select(*others, F.posexplode(F.concat(*lists)).alias("pos", "question")).withColumn("id", F.get_json_object("question", "$.id"))
+    return rows.where(F.startswith("id", F.lit("official-"))) if official_only else rows
+
+
+def gold_questions(spark: SparkSession, path: str, official_only: bool = False) -> DataFrame:
+    """The questions of gold files, each file one object: path, pos, question, id."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return questions(raw.select(F.col("_metadata.file_path").alias("path"), "value"), "value", official_only)

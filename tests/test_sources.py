@@ -54,15 +54,19 @@ def test_formats():
     assert read("a.txt", "привет".encode("cp1251"))[0][0]["content"] == "привет" and formats.decoded(b"\x98\xff") == "��"
     assert read("a.md", b"  \n")[1] == ["empty_document:a.md"]
     assert read("a.json", b'{"content": "x"}')[0][0]["title"] == "a.json" and read("a.json", b"[1]")[1] == ["unsupported_json_shape:a.json"]
-    for name, code in (("a.pdf", "pdf_parser_unavailable"), ("a.doc", "doc_converter_unavailable"), ("a.exe", "unsupported_source_format"), ("a.docx", "docx_parse_failed"), ("a.json", "invalid_json")):
+    for name, code in (("a.pdf", "pdf_parse_failed"), ("a.doc", "doc_converter_unavailable"), ("a.exe", "unsupported_source_format"), ("a.docx", "docx_parse_failed"), ("a.json", "invalid_json")):
         assert read(name, b"bad")[1] == [f"{code}:{name}"]
     bomb = archive({"word/document.xml": f'<!DOCTYPE x [<!ENTITY a "b">]><w:document {W}/>'})
     assert read("a.docx", bomb)[1] == ["docx_parse_failed:a.docx"]
 
 
 def test_archives():
+    def unpacked(data, most_entries, most_bytes):
+        parts = list(formats.unpacked("c", data, most_entries, most_bytes))
+        return [d for documents, _ in parts for d in documents], [w for _, warnings in parts for w in warnings]
+
     good = archive({"in/a.txt": "text", "b.zip": b"PK", "c.exe": b"", "d.docx": b"bad", "e/": "", "f.txt": " "})
-    documents, warnings = formats.expanded("c", good, 10, 1000)
+    documents, warnings = unpacked(good, 10, 1000)
     assert [d["title"] for d in documents] == ["a.txt", "f.txt"] and documents[0]["document_id"] == formats.document_id("c", "in/a.txt")
     assert warnings == ["nested_zip_unsupported:b.zip", "unsupported_source_format:c.exe", "docx_parse_failed:d.docx", "empty_document:f.txt"]
     link = zipfile.ZipInfo("l.txt")
@@ -73,7 +77,11 @@ def test_archives():
     cases = [(good, (3, 1000), "zip_entry_limit_exceeded"), (good, (10, 5), "zip_size_limit_exceeded"), (b"no", (10, 10), "invalid_zip"), (archive({"../a.txt": "x"}), (9, 99), "zip_path_rejected"), (archive({"/a.txt": "x"}), (9, 99), "zip_path_rejected"), (out.getvalue(), (9, 99), "zip_symlink_rejected")]
     for data, limits, code in cases:
         with pytest.raises(formats.Unreadable, match=code):
-            formats.expanded("c", data, *limits)
+            unpacked(data, *limits)
+    broken = bytearray(archive({"a.txt": "some text", "b.txt": "more"}))
+    broken[broken.index(b"some")] ^= 1  # its checksum no longer holds: that file is a warning, the other stays
+    documents, warnings = unpacked(bytes(broken), 9, 99)
+    assert [d["title"] for d in documents] == ["b.txt"] and warnings == ["archive_entry_read_failed:a.txt"]
 
 
 def test_folder(spark, tmp_path):
@@ -91,14 +99,6 @@ def test_folder(spark, tmp_path):
     assert packed["a.txt"] == 0 and packed["e.txt"] == 1
 
 
-def test_dictionary_package():
-    rows = json.dumps([{"canonical": "a"}, "odd"])
-    manifest = {"files": [{"path": "e.json", "kind": "entities", "sha256": hashlib.sha256(rows.encode()).hexdigest()}]}
-    assert files.dictionary_package(archive({"manifest.json": json.dumps(manifest), "e.json": rows})) == {"entities": [{"canonical": "a"}]}
-    with pytest.raises(formats.Unreadable, match="checksum_mismatch"):
-        files.dictionary_package(archive({"manifest.json": json.dumps(manifest), "e.json": rows + " "}))
-
-
 def test_report_and_csv(spark, tmp_path):
     report = spark.createDataFrame([("b", 0.5, "pass"), ("a", None, "blocked")], "metric string, value double, status string")
     exports.write_report(report, str(tmp_path / "r"), "v1")
