@@ -164,14 +164,23 @@ def alike(tokens: Column, threshold: float = 0.72) -> Column:
     return near(tokens)
 
 
+def known(text: Column) -> Column:
+    """array<struct<value, reason_codes, confidence>>: bracketed, known and transliterated names."""
+    latin_names = {latin(c): c for c in terms.TRANSLATED_ALIASES.values()}
+    return F.concat(judged(refs(text)), listed(text, CODES, 0.66), listed(text, latin_names, 0.62))
+
+
+def spelt(found: Column) -> Column:
+    """What `fuzzy` and `alike` find, as candidates in the shape of `known`."""
+    return F.transform(found, lambda a: F.struct(a["value"].alias("value"), F.array(F.lit("schema_candidate")).alias("reason_codes"), a["confidence"].alias("confidence")))
+
+
 def every_alias(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, value, reason_codes, confidence): bracketed, known, transliterated, nearly spelt and alike names, each value once a row of df, the first of them."""
     t = F.col(text)
-    latin_names = {latin(c): c for c in terms.TRANSLATED_ALIASES.values()}
-    known = F.concat(judged(refs(t)), listed(t, CODES, 0.66), listed(t, latin_names, 0.62))
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), key, known.alias("_known"), fuzzy(tokens_of(t, 4)).alias("_near"), alike(tokens_of(t, 3)).alias("_alike"))
-    kinds = (("_known", F.col("a.reason_codes")), ("_near", F.array(F.lit("schema_candidate"))), ("_alike", F.array(F.lit("schema_candidate"))))
-    parts = [rows.select("_row", key, F.lit(i).alias("_kind"), F.posexplode(c).alias("_pos", "a")).select("_row", key, "_kind", "_pos", "a.value", codes.alias("reason_codes"), "a.confidence") for i, (c, codes) in enumerate(kinds)]
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), key, known(t).alias("_known"), fuzzy(tokens_of(t, 4)).alias("_near"), alike(tokens_of(t, 3)).alias("_alike"))
+    kinds = (F.col("_known"), spelt(F.col("_near")), spelt(F.col("_alike")))
+    parts = [rows.select("_row", key, F.lit(i).alias("_kind"), F.posexplode(c).alias("_pos", "a")).select("_row", key, "_kind", "_pos", "a.*") for i, c in enumerate(kinds)]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     first = every.groupBy("_row", key, F.lower("value").alias("_low")).agg(F.min_by(F.struct("value", "reason_codes", "confidence"), F.struct("_kind", "_pos")).alias("a"))
     return first.select(key, "a.*")

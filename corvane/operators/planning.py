@@ -140,10 +140,11 @@ ENTITY_TYPES = {"entity": "Entity", "material": "Material", "substance": "Materi
 ENTITY_EDGES = {"material": "USES_MATERIAL", "substance": "USES_MATERIAL", "process": "OPERATES_AT_CONDITION", "equipment": "USES_EQUIPMENT", "property": "PRODUCES_OUTPUT", "expert": "EXPERT_IN"}
 
 
-def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: float = 0.0, most: int = 120) -> DataFrame:
+def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: float = 0.0, most: int = 120, nearly_spelt: bool = False) -> DataFrame:
     """spans -> artifacts (document, span, pos, kind, value, status, confidence, reason_codes) by rules, each (kind, value without case, status) once a document.
 
-    Artifacts of a document are ranked by span and place, and cut at `most` for each status as the reports are."""
+    Artifacts of a document are ranked by span and place, and cut at `most` for each status as the reports are. nearly_spelt: aliases are also
+    transliterated names and those that a word nearly spells or is alike to (`aliases.every_alias`), each value once a span, the first of them."""
     from pyspark.sql import Window as W
 
     from corvane.functions.text import sentences
@@ -162,14 +163,22 @@ def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: f
         conflict = entities.has_conflict(s)
         return F.struct(F.lit("claim").alias("kind"), s.alias("value"), F.when(conflict, "candidate").otherwise("confirmed").alias("status"), F.when(conflict, 0.64).otherwise(0.82).alias("confidence"), F.when(conflict, F.array(F.lit("conflicting_values"))).otherwise(none).alias("reason_codes"))
 
+    named = F.concat(aliases.judged(aliases.refs(t)), aliases.listed(t, aliases.CODES, 0.66))
+    if nearly_spelt:
+        spans = spans.withColumns({"_near": aliases.fuzzy(aliases.tokens_of(t, 4)), "_alike": aliases.alike(aliases.tokens_of(t, 3))})
+        named = F.concat(aliases.known(t), aliases.spelt(F.col("_near")), aliases.spelt(F.col("_alike")))
     claims = F.filter(sentences(t), entities.is_claim)
     related = entities.relation(t)
     parts = [rows("entity", entities.entities(t), 0.78, 8)]
     parts += [rows(kind, values, 0.79, 10) for kind, values in entities.domain_values(t).items()]
-    parts += [F.transform(F.concat(aliases.judged(aliases.refs(t)), aliases.listed(t, aliases.CODES, 0.66)), alias_row)]
+    parts += [F.transform(named, alias_row)]
     parts += [rows("measurement", F.transform(quantities.quantities(t), quantities.formatted), 0.88), F.transform(claims, claim_row)]
     parts += [rows("recommendation", F.filter(claims, lambda s: any_of(s, terms.RECOMMENDATIONS)), 0.8), rows("relation", F.when(related.isNotNull(), F.array(related)).otherwise(none), 0.74)]
     each = spans.select(F.col(document).alias("document"), F.col(key).alias("span"), F.posexplode(F.concat(*parts)).alias("pos", "a")).select("document", "span", "pos", "a.*")
+    if nearly_spelt:  # an alias counts once a span, whatever its status
+        once = ["document", "span", "kind", F.lower("value").alias("_low"), F.when(F.col("kind") != "alias", F.col("status")).alias("_status")]
+        own = F.struct("pos", "value", "status", "confidence", "reason_codes")
+        each = each.groupBy(*once).agg(F.min_by(own, "pos").alias("a")).select("document", "span", "a.pos", "kind", "a.value", "a.status", "a.confidence", "a.reason_codes")
     limit = max(0.72, threshold)
     low = (F.col("status") == "confirmed") & (F.col("confidence") < limit)
     each = each.withColumn("reason_codes", F.when(low, F.array(F.lit("low_confidence"))).otherwise(F.col("reason_codes"))).withColumn("status", F.when(low, "candidate").otherwise(F.col("status")))

@@ -42,17 +42,21 @@ def sc07_sc11_csv(spark, sf_dir):
     return docs.select(key, F.size("spans").alias("spans"), F.array_join(F.col("tables")[0]["headers"], " | ").alias("header"), F.array_join(F.col("tables")[0]["rows"][0], " | ").alias("row"), F.col("spans")[1]["start_offset"].alias("start_offset"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'given' ELSE 'many' END AS title, CASE doc_id % 3 WHEN 0 THEN 'json' ELSE 'normalized' END AS parser FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, 'invalid_json:' || doc_id || '.json', 'warning' FROM documents WHERE doc_id % 4 = 3""")
+@query(f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'given' ELSE 'many' END AS title, CASE doc_id % 3 WHEN 0 THEN 'json' ELSE 'normalized' END AS parser, CASE doc_id % 3 WHEN 0 THEN {STRIPPED} ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 4 <> 3
+ UNION ALL SELECT doc_id, 'empty_document:' || doc_id || '.json', 'warning', NULL FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 3 = 0 AND {STRIPPED} = '' UNION ALL SELECT doc_id, 'invalid_json:' || doc_id || '.json', 'warning', NULL FROM documents WHERE doc_id % 4 = 3""")
 def sc08_json(spark, sf_dir):
-    d = F.col("doc_id").cast("string")
-    one = F.concat(F.lit('{"title": "T'), d, F.lit('", "content": "some text"}'))
-    given = F.lit('{"id": "x", "title": "given", "source_spans": [{"text": "a", "start_offset": 3, "end_offset": 9}]}')
-    many = F.lit('{"normalized_documents": [{"id": "y", "title": "many", "source_spans": [{"text": "b"}]}]}')
-    content = F.when(F.col("doc_id") % 4 == 3, "{broken").when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, given).otherwise(many)
+    """Whole texts as JSON of each shape; some files are cut off."""
+    d, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    said = lambda title: F.struct(d.alias("id"), F.lit(title).alias("title"), F.array(F.struct(text.alias("text"), F.lit(3).alias("start_offset"))).alias("source_spans"))
+    one = F.to_json(F.struct(F.concat(F.lit("T"), d).alias("title"), text.alias("content")))
+    given, many = F.to_json(said("given")), F.to_json(F.struct(F.array(said("many")).alias("normalized_documents")))
+    content = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, given).otherwise(many)
+    content = F.when(F.col("doc_id") % 4 == 3, F.substring(content, 1, F.length(content) - 1)).otherwise(content)
     normal = files.normalised(as_files(read(spark, sf_dir, "documents"), F.concat(d, F.lit(".json")), content))
     key = F.substring_index("path", ".", 1).cast("long").alias("doc_id")
-    good = files.documents(normal).select(key, "title", "parser")
-    return good.unionByName(files.warnings(normal).select(key, F.col("warning").alias("title"), F.lit("warning").alias("parser")))
+    own = F.when(F.col("parser") == "json", F.col("content")).otherwise(F.col("spans")[0]["text"])
+    good = files.documents(normal).select(key, "title", "parser", own.alias("text"))
+    return good.unionByName(files.warnings(normal).select(key, F.col("warning").alias("title"), F.lit("warning").alias("parser"), F.lit(None).cast("string").alias("text")))
 
 
 @query("SELECT min('/in/' || doc_id || '.txt') AS path, sha256(coalesce(text, '')) AS sha256 FROM documents GROUP BY 2")
@@ -93,21 +97,21 @@ def f27_dictionary_entries(spark, sf_dir):
     return files.invalid_entries(entries, "p_partkey")
 
 
-@query("""SELECT doc_id, '# Title ' || doc_id || chr(10) || chr(10) || 'Answer.' || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || '- s1' || chr(10) || '- s' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '## Gaps' || chr(10) || chr(10) || '- none yet' ELSE '' END || chr(10) AS text FROM documents""")
+@query("""SELECT doc_id, '# Title ' || doc_id || chr(10) || chr(10) || coalesce(text || chr(10) || chr(10), '') || '## Sources' || chr(10) || chr(10) || '- s1' || chr(10) || '- s' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '## Gaps' || chr(10) || chr(10) || '- none yet' ELSE '' END || chr(10) AS text FROM documents""")
 def sk01_markdown(spark, sf_dir):
     d = F.col("doc_id").cast("string")
     none = F.array().cast("array<string>")
     gaps = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("none yet"))).otherwise(none)
-    text = exports.markdown(F.concat(F.lit("Title "), d), F.lit("Answer."), F.array(F.lit("s1"), F.concat(F.lit("s"), d)), gaps, none)
+    text = exports.markdown(F.concat(F.lit("Title "), d), F.col("text"), F.array(F.lit("s1"), F.concat(F.lit("s"), d)), gaps, none)
     return read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-@query("""SELECT doc_id, 'ex:answer:' || doc_id AS id, 'a ' || doc_id || ' "q"' AS text, 'ex:source-span:s' || doc_id AS span, CAST(doc_id % 5 AS INTEGER) AS page, 2 AS keys FROM documents""")
+@query("""SELECT doc_id, 'ex:answer:' || doc_id AS id, '"a" ' || text AS text, 'ex:source-span:s' || doc_id AS span, CAST(doc_id % 5 AS INTEGER) AS page, 2 AS keys FROM documents""")
 def sk02_jsonld(spark, sf_dir):
     d = F.col("doc_id").cast("string")
     words = lambda *w: F.array(*[F.lit(x) for x in w])
     item = F.struct(F.concat(F.lit("s"), d).alias("id"), d.alias("document_id"), (F.col("doc_id") % 5).cast("int").alias("page"), F.lit(0).alias("start_offset"), F.lit(9).alias("end_offset"), F.lit("text").alias("source_type"), words("c").alias("claim_ids"), words("e").alias("entity_ids"), F.lit(0.5).alias("score"), F.lit("semantic").alias("method"), F.lit("t").alias("text"))
-    body = exports.jsonld(d, F.lit("2024-01-01T00:00:00Z"), F.concat(F.lit("a "), d, F.lit(' "q"')), F.lit(0.5), F.lit("q?"), F.lit("compare"), words("e"), words(), words(), F.array(item), "https://example.org/ontology#").alias("j")
+    body = exports.jsonld(d, F.lit("2024-01-01T00:00:00Z"), F.concat(F.lit('"a" '), "text"), F.lit(0.5), F.lit("q?"), F.lit("compare"), words("e"), words(), words(), F.array(item), "https://example.org/ontology#").alias("j")
     rows = read(spark, sf_dir, "documents").select("doc_id", body).withColumn("v", F.parse_json("j"))
     get = lambda path, kind="string": F.variant_get("v", path, kind)
     return rows.select("doc_id", get("$['@id']").alias("id"), get("$['schema:text']").alias("text"), get("$['ex:evidence'][0]['@id']").alias("span"), get("$['ex:evidence'][0]['ex:page']", "int").alias("page"), F.size(F.json_object_keys(F.get_json_object("j", "$['@context']"))).alias("keys"))

@@ -92,6 +92,13 @@ def v17_extracted(spark, sf_dir):
     return found.groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
+@query(None)
+def v17_every_alias(spark, sf_dir):
+    """Extraction with every kind of alias; a test holds it against the aliases of each text and the extraction without them."""
+    found = planning.extracted(notes(spark, sf_dir), "doc_id", "note", "doc_id", nearly_spelt=True)
+    return found.select("document", "kind", "value", "status", "confidence", F.array_join("reason_codes", ",").alias("codes"))
+
+
 @query(f"""WITH {NOTES}, s AS (SELECT doc_id, unnest({SENTENCES}[1:30]) AS s FROM notes) SELECT doc_id, s AS value FROM s WHERE {any_of('lower(s)', terms.CLAIMS)} OR regexp_matches(s, {PATTERN})""")
 def v18_unsourced(spark, sf_dir):
     return planning.unsourced(notes(spark, sf_dir), "doc_id", "note").select("doc_id", "value")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 from corvane.sources.pdf_objects import DAMAGE, END, Damaged, Document, Name, Reader, Stream, Word
 
@@ -107,11 +109,10 @@ def glyph(name: str) -> str:
     return "�"
 
 
-class Unicode:
-    """A font's own table from codes to text: single codes, and ranges that are looked up when a code is met."""
+class Unicode(dict):
+    """A font's own table from codes to text in UTF-16: single codes, and ranges that are looked up when a code is first met."""
 
     def __init__(self, data: bytes):
-        self.known: dict[int, bytes] = {}
         self.ranges: list[tuple[int, int, bytes]] = []
         reader, held = Reader(data), []
         while (v := reader.value()) is not END:
@@ -119,25 +120,23 @@ class Unicode:
                 held.append(v)
                 continue
             if v == b"endbfchar":
-                self.known |= {int.from_bytes(c, "big"): t for c, t in zip(held[::2], held[1::2], strict=False) if isinstance(c, bytes) and isinstance(t, bytes)}
+                self.update({int.from_bytes(c, "big"): t for c, t in zip(held[::2], held[1::2], strict=False) if isinstance(c, bytes) and isinstance(t, bytes)})
             elif v == b"endbfrange":
                 for low, high, to in zip(held[::3], held[1::3], held[2::3], strict=False):
                     low, high = int.from_bytes(low, "big"), int.from_bytes(high, "big")
                     if isinstance(to, list):
-                        self.known |= dict(zip(range(low, high + 1), to, strict=False))
+                        self.update(zip(range(low, high + 1), to, strict=False))
                     elif isinstance(to, bytes):
                         self.ranges.append((low, high, to))
             held = []
         self.ranges.sort()
         self.lows = [r[0] for r in self.ranges]
 
-    def __call__(self, code: int) -> bytes:
-        """Its text in UTF-16."""
-        if code not in self.known:
-            i = bisect_right(self.lows, code) - 1
-            low, high, to = self.ranges[i] if i >= 0 else (0, -1, b"")
-            self.known[code] = to[:-2] + (int.from_bytes(to[-2:], "big") + code - low & 0xFFFF).to_bytes(2, "big") if code <= high else b"\xff\xfd"
-        return self.known[code]
+    def __missing__(self, code: int) -> bytes:
+        i = bisect_right(self.lows, code) - 1
+        low, high, to = self.ranges[i] if i >= 0 else (0, -1, b"")
+        self[code] = to[:-2] + (int.from_bytes(to[-2:], "big") + code - low & 0xFFFF).to_bytes(2, "big") if code <= high else b"\xff\xfd"
+        return self[code]
 
 
 class Font:
@@ -192,15 +191,14 @@ class Font:
 
     def read(self, s: bytes) -> tuple[str, float, int, int]:
         """The text of a string, its width in units of the letters' height, its codes and those of them that are a blank byte."""
-        codes = [s[i] << 8 | s[i + 1] for i in range(0, len(s) - 1, 2)] if self.wide else s
-        width, default = self.widths, self.default
-        total = sum(width.get(c, default) for c in codes) * self.scale
-        if self.unicode:
-            text = b"".join(map(self.unicode, codes)).decode("utf-16-be", "replace")
+        codes = struct.unpack(f">{len(s) // 2}H", s[: len(s) // 2 * 2]) if self.wide else s
+        total = (sum(map(self.widths.get, codes, repeat(self.default))) if self.widths else len(codes) * self.default) * self.scale
+        if self.unicode is not None:
+            text = b"".join(map(self.unicode.__getitem__, codes)).decode("utf-16-be", "replace")
         elif self.wide:
             text = s.decode("utf-16-be", "replace") if self.raw else "�" * len(codes)
         else:
-            text = "".join([self.letters[c] for c in codes])
+            text = "".join(map(self.letters.__getitem__, codes))
         return text, total, len(codes), 0 if self.wide else s.count(b" ")
 
 
