@@ -69,8 +69,9 @@ def entities(text: Column) -> Column:
     return distinct_in_order(F.concat(matches(text, SUBSTANCE), among(text, terms.PROCESSES), spelt))
 
 
-def domain_values(text: Column) -> dict[str, Column]:
-    """Ten kinds of values, each array<string>, distinct without case."""
+def domain_values(text: Column, parts: Column | None = None) -> dict[str, Column]:
+    """Ten kinds of values, each array<string>, distinct without case. parts: the text's sentences where they are known already."""
+    parts = sentences(text) if parts is None else parts
     found = {
         "material": among(text, terms.MATERIALS),
         "substance": matches(text, SUBSTANCE),
@@ -81,15 +82,15 @@ def domain_values(text: Column) -> dict[str, Column]:
         "geography": places(text),
         "expert": matches(text, EXPERT),
         "source": F.when(any_of(text, terms.SOURCES), F.array(snippet(text))).otherwise(F.array().cast("array<string>")),
-        "conclusion": F.filter(sentences(text), lambda s: any_of(s, terms.CONCLUSIONS)),
+        "conclusion": F.filter(parts, lambda s: any_of(s, terms.CONCLUSIONS)),
     }
     return {kind: distinct_in_order(values) for kind, values in found.items()}
 
 
-def relation(text: Column) -> Column:
-    """`first related_to second` of the first two entities, where the text has a word for a relation; else null."""
+def relation(text: Column, named: Column | None = None) -> Column:
+    """`first related_to second` of the first two entities (named, where they are known already), where the text has a word for a relation; else null."""
     first = lambda found: F.concat(F.get(found, F.lit(0)), F.lit(" related_to "), F.get(found, F.lit(1)))
-    return let(entities(text), lambda found: F.when((F.size(found) >= 2) & any_of(text, terms.RELATIONS), first(found)))
+    return let(entities(text) if named is None else named, lambda found: F.when((F.size(found) >= 2) & any_of(text, terms.RELATIONS), first(found)))
 
 
 def has_conflict(text: Column) -> Column:

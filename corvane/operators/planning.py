@@ -147,7 +147,7 @@ def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: f
     transliterated names and those that a word nearly spells or is alike to (`aliases.every_alias`), each value once a span, the first of them."""
     from pyspark.sql import Window as W
 
-    from corvane.functions.text import sentences
+    from corvane.functions.text import once, sentences
 
     t, none = F.col(text), F.array().cast(NONE)
 
@@ -167,10 +167,11 @@ def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: f
     if nearly_spelt:
         spans = spans.withColumns({"_near": aliases.fuzzy(aliases.tokens_of(t, 4)), "_alike": aliases.alike(aliases.tokens_of(t, 3))})
         named = F.concat(aliases.known(t), aliases.spelt(F.col("_near")), aliases.spelt(F.col("_alike")))
-    claims = F.filter(sentences(t), entities.is_claim)
-    related = entities.relation(t)
-    parts = [rows("entity", entities.entities(t), 0.78, 8)]
-    parts += [rows(kind, values, 0.79, 10) for kind, values in entities.domain_values(t).items()]
+    spans = once(spans, "_read", F.struct(sentences(t).alias("sentences"), entities.entities(t).alias("entities")))
+    spans = once(spans, "_claims", F.filter("_read.sentences", entities.is_claim))
+    claims, related = F.col("_claims"), entities.relation(t, F.col("_read.entities"))
+    parts = [rows("entity", F.col("_read.entities"), 0.78, 8)]
+    parts += [rows(kind, values, 0.79, 10) for kind, values in entities.domain_values(t, F.col("_read.sentences")).items()]
     parts += [F.transform(named, alias_row)]
     parts += [rows("measurement", F.transform(quantities.quantities(t), quantities.formatted), 0.88), F.transform(claims, claim_row)]
     parts += [rows("recommendation", F.filter(claims, lambda s: any_of(s, terms.RECOMMENDATIONS)), 0.8), rows("relation", F.when(related.isNotNull(), F.array(related)).otherwise(none), 0.74)]
