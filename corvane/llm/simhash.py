@@ -18,7 +18,8 @@ asked at the similarity asked. Keys and classes are sorted once, 16 bytes a row,
 once, so no key holds more than one in some 200 of all rows. One with more than `block` classes is cut into blocks, and each pair of blocks
 is a shard. No pair is lost and no shard is larger than about two blocks, but the pairs of a key of n classes are still compared, in n /
 block as many rows. Links are then verified on the documents' whole shingle sets (`verified`): first the closest link of each class, then those
-links whose ends are not connected yet, so that a large group costs a few sets a class and not its pairs.
+links whose ends are not connected yet, so that a large group costs a few sets a class and not its pairs. What keys or radius miss is found
+by an exact pass (`unmet`) over the rarest shingles of each set, whose pairs are only those of classes in different groups: no link is lost.
 
 Tables that grow with the documents are merged, never broadcast, whatever their size.
 """
@@ -35,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.common import connected_components, dropped, written
@@ -79,15 +81,15 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_votes(text: str, words: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Per bit of WIDE, in how many shingles' hashes it is set; the number of shingles; and the set of shingles, as sorted 32-bit hashes."""
+    """Per bit of WIDE, in how many shingles' hashes it is set; the number of shingles; and the set of shingles, as sorted 64-bit hashes."""
     votes, n, seen = np.zeros(WIDE, dtype=np.int64), 0, []
     digest, lanes = xxhash.xxh3_128_digest, range(42, 42 + WIDE // 128)
     for parts in shingles(text, words):
         hashes = np.frombuffer(b"".join([digest(p, lane) for p in parts for lane in lanes]), dtype=np.uint8).reshape(-1, WIDE // 8)
         votes += bit_counts(hashes)
-        seen.append(np.ascontiguousarray(hashes[:, :4]).view(np.uint32).ravel())
+        seen.append(np.ascontiguousarray(hashes[:, :8]).view(np.int64).ravel())
         n += len(parts)
-    return votes, n, np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.uint32)
+    return votes, n, np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.int64)
 
 
 def fingerprint(votes: np.ndarray, n: int) -> int:
@@ -263,23 +265,24 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, block: int = 1024) -> DataFrame:
     """docs (doc_id, text) -> doc_id, group_id: the smallest doc_id of the documents linked by shingle sets of at least this similarity.
 
-    A row for each row. Links are candidates by 256-bit SimHash, found with the planned recall at the similarity itself and a higher one
-    above it, and verified on the shingle sets. Texts without words are alike. A null doc_id is linked, but names no group: one of nulls only has id null."""
+    A row for each row. Texts of equal shingle sets are one class. Most links are candidates by wide SimHash, found with the planned recall, and verified
+    on the shingle sets; `unmet` finds every other link between the groups that these make. Texts without words are alike. A null doc_id is linked, but names no group: one of nulls only has id null."""
     width, weak, radius = plan(docs.count(), similarity, recall)
 
-    @F.pandas_udf("struct<fp: binary, blocks: array<long>, weak: array<int>, shingles: binary>")
+    @F.pandas_udf("struct<fp: binary, own: binary, blocks: array<long>, weak: array<int>, shingles: binary>")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch:
                 votes, n, seen = wide_votes(text, words)
-                rows.append((np.packbits(2 * votes > n).tobytes(), blocks_of(votes, n, width), weak_bits(votes, n, width, weak), seen.tobytes()))
-            yield pd.DataFrame(rows, columns=["fp", "blocks", "weak", "shingles"])
+                held = seen.tobytes()
+                rows.append((np.packbits(2 * votes > n).tobytes(), xxhash.xxh3_128_digest(held), blocks_of(votes, n, width), weak_bits(votes, n, width, weak), held))
+            yield pd.DataFrame(rows, columns=["fp", "own", "blocks", "weak", "shingles"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
     found = written(texts.select("uid", "doc_id", marked("text").alias("m")).select("uid", "doc_id", "m.*"), "fingerprints")
-    named = found.groupBy("fp").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
-    classes = written(named.join(found.select(F.col("uid").alias("rep"), "blocks", "weak").hint("merge"), "rep"), "classes")
+    named = found.groupBy("own").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
+    classes = written(named.join(found.select(F.col("uid").alias("rep"), "fp", "blocks", "weak").hint("merge"), "rep"), "classes")
     met = written(shared_keys(classes, weak, width), "keys")
     candidates = written(shard_links(weak_shards(classes, met, block), radius, nearest), "candidates")
     closest = candidates.groupBy("u").agg(F.min(F.struct("d", "v")).alias("c")).select("u", "c.v")
@@ -290,19 +293,76 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         others = others.join(roots.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")).hint("merge"), end, "left")
     others = others.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
     second = written(verified(written(others, "others"), found, similarity), "verified")
+    dropped(met)
     roots = connected_components(first.unionByName(second))
-    grouped = classes.select("fp", "rep", "least").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
+    placed = written(classes.select("rep").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "placed")
+    third = written(verified(unmet(placed, found, similarity), found, similarity), "verified")
+    roots = connected_components(first.unionByName(second).unionByName(third))
+    grouped = classes.select("own", "rep", "least").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("own", "least", F.coalesce("component", "rep").alias("group"))
     grouped = written(grouped, "named")
     least = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
-    named = grouped.join(least.hint("merge"), "group").select(F.col("fp").alias("own"), "group_id")
-    groups = written(found.select("doc_id", "fp").join(named.hint("merge"), F.col("fp") == F.col("own")).select("doc_id", "group_id"), "groups")
-    for table in (found, classes, met, candidates, first, second, grouped):
+    named = grouped.join(least.hint("merge"), "group").select("own", "group_id")
+    groups = written(found.select("doc_id", "own").join(named.hint("merge"), "own").select("doc_id", "group_id"), "groups")
+    for table in (found, classes, candidates, first, second, placed, third, grouped):
         dropped(table)
     return groups
 
 
+def frequent(found: DataFrame, documents: int = 10_000, most: int = 1 << 17) -> np.ndarray:
+    """Shingles that several of about so many documents hold, the rarest first. They only order the shingles of a set: whichever are listed, no link is lost."""
+    share = min(1.0, documents / max(1, found.count()))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(held.as_buffer(), dtype=np.int64))], ["key"])
+
+    some = found.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < round(share * (1 << 20))).select("shingles")
+    counts = some.mapInArrow(each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    return np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(most).collect()][::-1], dtype=np.int64)  # 1 MB at most
+
+
+def unmet(placed: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """placed (rep, component), found (uid, shingles) -> candidates (u, v) of different components: every pair of at least this similarity is among them.
+
+    Two sets of n shingles or more in common order, similar enough, share one of their first n - similarity * n + 1 (prefix filtering): the order is from rare to
+    frequent. Pairs whose sizes, or what is left of them after the shared shingle, are too small for the similarity go before they are written."""
+    listed = frequent(found)
+    order = np.argsort(listed)
+    known = listed[order]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for held in batch.column(2):
+                own = np.frombuffer(held.as_buffer(), dtype=np.int64)
+                sizes.append(len(own))
+                first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, order[at] + 1, 0)
+                    own = own[np.argsort(rank, kind="stable")]
+                keys.append(own[:first])
+            lengths = np.array([len(k) for k in keys], dtype=np.int64)
+            rows = np.repeat(np.arange(len(keys)), lengths)
+            places = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            columns = [np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), *[batch.column(i).to_numpy()[rows] for i in (0, 1)], np.array(sizes, dtype=np.int32)[rows], places.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "rep", "component", "n", "place"])
+
+    sets = placed.join(found.select(F.col("uid").alias("rep"), "shingles").hint("merge"), "rep").select("rep", "component", "shingles")
+    spread = sets.mapInArrow(prefixes, "key long, rep long, component long, n int, place int")
+    every = W.partitionBy("key")
+    met = spread.withColumns({"low": F.min("component").over(every), "high": F.max("component").over(every)}).where("low < high").drop("low", "high")
+    met = written(met, "met")
+    side = lambda end: met.select("key", *[F.col(c).alias(f"{end}_{c}") for c in ("rep", "component", "n", "place")])
+    left = lambda end: F.col(f"{end}_n") - F.col(f"{end}_place")
+    enough = F.least(left("u"), left("v")) >= (F.col("u_n") + F.col("v_n")) * similarity / (1 + similarity) - 1e-6
+    both = side("u").hint("merge").join(side("v"), "key").where((F.col("u_rep") > F.col("v_rep")) & (F.col("u_component") != F.col("v_component")) & enough)
+    return written(both.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).distinct(), "unmet")
+
+
 def verified(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """links (u, v) of found (uid, shingles: sorted 32-bit hashes as bytes) -> those whose sets have at least this Jaccard similarity."""
+    """links (u, v) of found (uid, shingles: sorted 64-bit hashes as bytes) -> those whose sets have at least this Jaccard similarity."""
     ends = links.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
     sets = written(found.select("uid", "shingles").join(ends.hint("merge"), "uid", "left_semi"), "sets")
     both = links.join(sets.select(F.col("uid").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("uid").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
@@ -311,7 +371,7 @@ def verified(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in (a, b))
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (a, b))
                 at = np.searchsorted(b, a)
                 shared = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
                 every = len(a) + len(b) - shared

@@ -116,3 +116,16 @@ def test_edges(spark, column):
     assert simhash.near_deduplicated(docs.limit(0)).collect() == []
     groups = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs).collect() if r.doc_id}
     assert groups == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8, 9: 9}
+
+
+def test_no_link_is_lost(spark):
+    """Pairs just above the threshold, which keys and radius miss in part."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(20000)}" for _ in range(rng.choice((12, 40, 150)))]
+        texts += [" ".join(words), " ".join(changed(words, rng.uniform(0.78, 0.84), rng))]
+    want, links = brute_groups(texts)
+    assert len(links) > 50
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == want
