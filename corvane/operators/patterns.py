@@ -36,26 +36,39 @@ class Graph:
     edges: DataFrame
     #: Whether no edge is there twice, as in a graph that `stored` wrote.
     once: bool = False
+    #: The edges (src, dst) of each type, where they are at hand as tables of their own; `edges` holds the same.
+    by_type: dict[str, DataFrame] | None = None
 
     def linked(self, types: tuple[str, ...] | str, src: str, dst: str, to: DataFrame | None = None) -> DataFrame:
         """The distinct edges of these types as (src, dst) under other names; with `to`, a table of dst, only those that lead there."""
         types = (types,) if isinstance(types, str) else types
-        found = self.edges.where(F.col("rel_type").isin(*types)).select(F.col("src").alias(src), F.col("dst").alias(dst))
+        if self.by_type is not None and any(t in self.by_type for t in types):
+            types = tuple(t for t in types if t in self.by_type)
+            found = reduce(DataFrame.unionByName, [self.by_type[t] for t in types]).select(F.col("src").alias(src), F.col("dst").alias(dst))
+        else:
+            found = self.edges.where(F.col("rel_type").isin(*types)).select(F.col("src").alias(src), F.col("dst").alias(dst))
         if to is not None:
             found = found.join(to, dst, "left_semi")
         return found if self.once and len(types) == 1 else found.distinct()
 
-    def described(self, claims: DataFrame, levels: list[str]) -> DataFrame:
+    def described(self, claims: DataFrame, levels: list[str], few: bool = False) -> DataFrame:
         """claims (claim_id, ...) with span_id and document_id: a row for each span that describes one, in documents of these access levels.
 
-        The joins begin with the claims, which are few, and not with all that any document describes."""
+        `few` says that the claims are a small part of all: each step is then written, so that its size is known and the large side of the next join isn't shuffled."""
+        step = (lambda df: written(df, "step")) if few else (lambda df: df)
         documents = self.documents.where(F.col("access_level").isin(*levels)).select("document_id")
-        spans = claims.join(self.linked("DESCRIBED_IN", "claim_id", "span_id"), "claim_id")
-        return spans.join(self.linked("PART_OF", "span_id", "document_id"), "span_id").join(documents, "document_id", "left_semi")
+        spans = step(step(claims).join(self.linked("DESCRIBED_IN", "claim_id", "span_id"), "claim_id"))
+        placed = step(spans.join(self.linked("PART_OF", "span_id", "document_id"), "span_id"))
+        if few:
+            documents = documents.join(placed.select("document_id").distinct(), "document_id", "left_semi")
+        return placed.join(documents, "document_id", "left_semi")
 
-    def measured(self) -> DataFrame:
-        """(claim_id, measurement_id, unit, value) of claims that are quantified."""
-        return self.linked("QUANTIFIED_BY", "claim_id", "measurement_id").join(self.measurements, "measurement_id")
+    def measured(self, claims: DataFrame | None = None) -> DataFrame:
+        """(claim_id, measurement_id, unit, value) of claims that are quantified; with `claims`, a written table of claim_id, of those only."""
+        edges = self.linked("QUANTIFIED_BY", "claim_id", "measurement_id")
+        if claims is not None:
+            edges = written(edges.join(claims.select("claim_id"), "claim_id", "left_semi"), "quantified")
+        return edges.join(self.measurements, "measurement_id")
 
 
 TABLES = ("claims", "spans", "documents", "entities", "measurements", "geographies", "observations")
@@ -99,7 +112,7 @@ def seeds(g: Graph, spec: Spec, domain: str | None = None) -> DataFrame:
     hints = [h.lower() for h in spec.hints]
     found = F.col("entity_id").isin(*spec.entity_ids) if spec.entity_ids else F.lit(False)
     found = found | (F.lower("canonical_name").isin(*hints) if hints else F.lit(False))
-    return g.entities.where(found & (F.col("domain_type") == domain if domain else F.lit(True))).select("entity_id")
+    return written(g.entities.where(found & (F.col("domain_type") == domain if domain else F.lit(True))).select("entity_id"), "seeds")
 
 
 def every(conditions: list[Column]) -> Column:
@@ -119,13 +132,13 @@ def in_place(g: Graph, claims: DataFrame, place: str | None) -> DataFrame:
 
 
 def with_measures(g: Graph, claims: DataFrame, low: float | None, high: float | None) -> DataFrame:
-    """Claims with some measurement from low on and some up to high: each bound by itself, as an existence. The joins begin with the claims."""
+    """Claims with some measurement from low on and some up to high: each bound by itself, as an existence."""
     bounds = [F.bool_or(F.col("_value") >= low)] * (low is not None) + [F.bool_or(F.col("_value") <= high)] * (high is not None)
     if not bounds:
         return claims
-    values = g.measurements.select("measurement_id", F.col("value").alias("_value"))
-    measured = claims.join(g.linked("QUANTIFIED_BY", "claim_id", "measurement_id"), "claim_id").join(values, "measurement_id")
-    return measured.groupBy(*claims.columns).agg(every(bounds).alias("_holds")).where("_holds").select(*claims.columns)
+    claims = written(claims, "claims")
+    held = g.measured(claims).select("claim_id", F.col("value").alias("_value")).groupBy("claim_id").agg(every(bounds).alias("_holds")).where("_holds")
+    return claims.join(held.select("claim_id"), "claim_id", "left_semi").distinct()
 
 
 def dated(claims: DataFrame, spec: Spec) -> DataFrame:
@@ -139,19 +152,24 @@ def cut(df: DataFrame, spec: Spec, *first: Column) -> DataFrame:
 def subgraph_by_entity(g: Graph, spec: Spec) -> DataFrame:
     """(entity_id, claim_id, span_id, document_id) of claims on the entities named."""
     about = g.linked(ABOUT, "claim_id", "entity_id", seeds(g, spec))
-    return cut(g.described(about, spec.levels).select("entity_id", "claim_id", "span_id", "document_id").distinct(), spec)
+    return cut(g.described(about, spec.levels, few=True).select("entity_id", "claim_id", "span_id", "document_id").distinct(), spec)
 
 
 def subgraph_by_evidence(g: Graph, claim_ids: DataFrame, span_ids: DataFrame, levels: list[str]) -> DataFrame:
     """claim_ids (claim_id), span_ids (span_id) -> (claim_id, span_id, document_id, entity_id, measurement_id, geo_id, observation_id) around either."""
-    documents = g.documents.where(F.col("access_level").isin(*levels)).select("document_id")
-    spans = g.linked("PART_OF", "span_id", "document_id").join(documents, "document_id", "left_semi")
     described = g.linked("DESCRIBED_IN", "claim_id", "span_id")
-    by_claim = described.join(claim_ids, "claim_id", "left_semi").join(spans, "span_id")
-    by_span = spans.join(span_ids, "span_id", "left_semi").join(described, "span_id", "left")
-    seeded = by_claim.select("claim_id", "span_id", "document_id").union(by_span.select("claim_id", "span_id", "document_id")).distinct()
+    by_claim = written(described.join(written(claim_ids.select("claim_id"), "ids"), "claim_id", "left_semi"), "by_claim")
+    span_ids = written(span_ids.select("span_id").distinct(), "ids")
+    asked = written(by_claim.select("span_id").union(span_ids).distinct(), "asked")
+    spans = written(g.linked("PART_OF", "span_id", "document_id").join(asked, "span_id", "left_semi"), "spans")
+    documents = g.documents.where(F.col("access_level").isin(*levels)).select("document_id").join(spans.select("document_id").distinct(), "document_id", "left_semi")
+    spans = written(spans.join(documents, "document_id", "left_semi"), "spans")
+    by_span = spans.join(span_ids, "span_id", "left_semi").join(described.join(span_ids, "span_id", "left_semi"), "span_id", "left")
+    seeded = by_claim.join(spans, "span_id").select("claim_id", "span_id", "document_id").union(by_span.select("claim_id", "span_id", "document_id")).distinct()
+    seeded = written(seeded, "seeded")
+    ids = seeded.select("claim_id").distinct()
     for types, name in ((EVERY, "entity_id"), ("QUANTIFIED_BY", "measurement_id"), ("APPLIED_IN_GEOGRAPHY", "geo_id"), ("DEGRADED_TO", "observation_id")):
-        seeded = seeded.join(g.linked(types, "claim_id", name), "claim_id", "left")
+        seeded = seeded.join(g.linked(types, "claim_id", name).join(ids, "claim_id", "left_semi"), "claim_id", "left")
     return seeded.distinct()
 
 
@@ -159,7 +177,7 @@ def filtered_claims(g: Graph, spec: Spec) -> DataFrame:
     """(claim_id, span_id, document_id) by confidence, status, place, measure and date; what is None filters nothing."""
     claims = g.claims.where(every([F.col("confidence") >= spec.min_confidence] * (spec.min_confidence is not None) + [F.col("status") == spec.status] * (spec.status is not None)))
     claims = with_measures(g, in_place(g, dated(claims, spec), spec.place), spec.low, spec.high)
-    return cut(g.described(claims.select("claim_id").distinct(), spec.levels).select("claim_id", "span_id", "document_id").distinct(), spec)
+    return cut(g.described(claims.select("claim_id").distinct(), spec.levels, few=True).select("claim_id", "span_id", "document_id").distinct(), spec)
 
 
 def evidence(g: Graph, spec: Spec) -> DataFrame:
@@ -168,7 +186,7 @@ def evidence(g: Graph, spec: Spec) -> DataFrame:
     if spec.entity_ids or spec.hints:
         claims = claims.join(g.linked(ABOUT, "claim_id", "entity_id", seeds(g, spec)), "claim_id", "left_semi")
     claims = with_measures(g, in_place(g, dated(claims, spec), spec.place), spec.low, spec.high)
-    rows = g.described(claims, spec.levels).select("claim_id", "span_id", "document_id", "confidence", "updated")
+    rows = g.described(claims, spec.levels, few=True).select("claim_id", "span_id", "document_id", "confidence", "updated")
     return cut(rows, spec, F.desc_nulls_first("confidence"), F.desc_nulls_first("updated"))
 
 
@@ -176,24 +194,24 @@ def entity_property(g: Graph, spec: Spec) -> DataFrame:
     about = g.linked((*ABOUT, "EXPERT_IN"), "claim_id", "entity_id", seeds(g, spec))
     claims = g.claims.select("claim_id", "confidence", "published").join(about.select("claim_id").distinct(), "claim_id", "left_semi")
     claims = with_measures(g, in_place(g, dated(claims, spec), spec.place), spec.low, spec.high)
-    return found(g, claims, spec, about, g.measured())
+    return found(g, claims, spec, about, few=True)
 
 
 def entity_process_measurement(g: Graph, spec: Spec) -> DataFrame:
     about = g.linked(PROCESS, "claim_id", "entity_id", seeds(g, spec, "Process"))
     claims = g.claims.select("claim_id", "confidence").join(about.select("claim_id").distinct(), "claim_id", "left_semi")
-    return found(g, claims, spec, about, g.measured().where(within("value", spec.low, spec.high)))
+    return found(g, claims, spec, about, within("value", spec.low, spec.high), few=True)
 
 
 def geo_indicator(g: Graph, spec: Spec) -> DataFrame:
     placed = g.linked("APPLIED_IN_GEOGRAPHY", "claim_id", "geo_id").join(g.geographies.where(F.lower("name").contains((spec.place or "").lower())).select("geo_id"), "geo_id", "left_semi")
     claims = g.claims.select("claim_id", "confidence").join(placed, "claim_id", "left_semi")
-    return found(g, claims, spec, g.linked(ABOUT, "claim_id", "entity_id"), g.measured())
+    return found(g, claims, spec, g.linked(ABOUT, "claim_id", "entity_id"))
 
 
 def period_observation(g: Graph, spec: Spec) -> DataFrame:
     claims = dated(g.claims.select("claim_id", "confidence", "published"), spec)
-    return found(g, claims, spec, g.linked(ABOUT, "claim_id", "entity_id"), g.measured(), F.desc_nulls_first("published"), extra=["published"])
+    return found(g, claims, spec, g.linked(ABOUT, "claim_id", "entity_id"), first=[F.desc_nulls_first("published")], extra=["published"])
 
 
 def group_key(g: Graph) -> Column:
@@ -202,19 +220,21 @@ def group_key(g: Graph) -> Column:
 
 
 def comparison(g: Graph, spec: Spec) -> DataFrame:
-    measured = g.measured().where(group_key(g).isin(*(spec.groups or ())))
-    claims = g.claims.select("claim_id", "confidence").join(measured, "claim_id", "left_semi")
-    return found(g, claims, spec, g.linked(ABOUT, "claim_id", "entity_id"), measured)
+    asked = group_key(g).isin(*(spec.groups or ()))
+    claims = g.claims.select("claim_id", "confidence").join(g.measured().where(asked), "claim_id", "left_semi")
+    return found(g, claims, spec, g.linked(ABOUT, "claim_id", "entity_id"), asked)
 
 
-def found(g: Graph, claims: DataFrame, spec: Spec, about: DataFrame, measured: DataFrame, *first: Column, extra: list[str] | None = None) -> DataFrame:
-    """claims with their spans and documents, and with entities and measurements where there are any; the surest first.
+def found(g: Graph, claims: DataFrame, spec: Spec, about: DataFrame, asked: Column | None = None, first: list[Column] | None = None, extra: list[str] | None = None, few: bool = False) -> DataFrame:
+    """claims with their spans and documents, and with entities and those measurements that are asked for, where there are any; the surest first.
 
-    Claims are cut to the limit before they meet their optional parts: each keeps at least one row."""
-    rows = g.described(claims.select("claim_id", "confidence", *(extra or [])).distinct(), spec.levels)
-    order = (*first, F.desc_nulls_first("confidence"))
-    rows = cut(rows.select("claim_id", "span_id", "document_id", "confidence", *(extra or [])), spec, *order)
-    rows = rows.join(about.select("claim_id", "entity_id"), "claim_id", "left").join(measured.select("claim_id", "measurement_id", "unit", "value"), "claim_id", "left")
+    Claims are cut to the limit before they meet their optional parts: each keeps at least one row. What is left is written, and the parts are of these claims only."""
+    rows = g.described(claims.select("claim_id", "confidence", *(extra or [])).distinct(), spec.levels, few)
+    order = (*(first or []), F.desc_nulls_first("confidence"))
+    rows = written(cut(rows.select("claim_id", "span_id", "document_id", "confidence", *(extra or [])), spec, *order), "first")
+    ids = rows.select("claim_id").distinct()
+    measured = g.measured(ids) if asked is None else g.measured(ids).where(asked)
+    rows = rows.join(about.select("claim_id", "entity_id").join(ids, "claim_id", "left_semi"), "claim_id", "left").join(measured.select("claim_id", "measurement_id", "unit", "value"), "claim_id", "left")
     return cut(rows.select("claim_id", "span_id", "document_id", "entity_id", "measurement_id", "confidence", *(extra or [])).distinct(), spec, *order)
 
 
@@ -223,8 +243,9 @@ def conflicts(g: Graph, spec: Spec) -> DataFrame:
 
     At most `limit` pairs are asked for, so only the first `limit` claims that have a partner at all are joined with their group:
     a hot entity costs its claims so many times, not their pairs."""
-    about = g.described(g.linked(CONFLICTING, "claim_id", "entity_id", seeds(g, spec)), spec.levels).select("entity_id", "claim_id").distinct()
-    values = about.join(g.measured().where("unit <> '' and value is not null"), "claim_id").select("entity_id", "claim_id", "unit", "value").distinct()
+    about = g.described(g.linked(CONFLICTING, "claim_id", "entity_id", seeds(g, spec)), spec.levels, few=True).select("entity_id", "claim_id").distinct()
+    about = written(about, "about")
+    values = about.join(g.measured(about).where("unit <> '' and value is not null"), "claim_id").select("entity_id", "claim_id", "unit", "value").distinct()
     values = written(values, "values")  # read four times
     latest = values.groupBy("entity_id", "unit", "value").agg(F.max("claim_id").alias("latest"))
     best = latest.groupBy("entity_id", "unit").agg(F.max(F.struct("latest", "value")).alias("a")).select("entity_id", "unit", F.col("a.latest").alias("best"), F.col("a.value").alias("best_value"))
@@ -249,6 +270,8 @@ def missing_data(g: Graph, spec: Spec) -> DataFrame:
     every_material = F.broadcast(materials.agg(F.count("*").alias("_every")))  # one row
     counts = processes.join(used.groupBy("process_id").agg(F.count("*").alias("_used")), "process_id", "left").crossJoin(every_material)
     lacking = counts.where(F.coalesce("_used", F.lit(0)) < F.col("_every")).select("process_id").orderBy("process_id").limit(spec.limit)
+    lacking = written(lacking, "lacking")
+    used = written(used.join(lacking, "process_id", "left_semi"), "used")
     pairs_of = materials.crossJoin(F.broadcast(lacking)).select("process_id", "material_id")  # at most `limit` processes
     return cut(pairs_of.join(used, ["process_id", "material_id"], "left_anti"), spec)
 
@@ -286,15 +309,16 @@ def fact_versions(g: Graph, ids: DataFrame) -> DataFrame:
 
 def subgraph(g: Graph, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows with columns of node ids -> (nodes (id, label, node_type), edges (id, source, target, edge_type)): distinct, without loops, labels of 200 characters."""
+    rows = written(rows, "rows")
     kinds = {"entity_id": (g.entities, "canonical_name", "Entity"), "claim_id": (g.claims, "statement", "Claim"), "span_id": (g.spans, "text", "SourceSpan"), "document_id": (g.documents, "title", "Document"), "measurement_id": (g.measurements, "raw_text", "Measurement")}
     nodes = []
     for key, (table, label, kind) in kinds.items():
         if key in rows.columns:
             ids = rows.select(F.col(key).alias("id")).where("id is not null").distinct()
             text = F.col(label) if label in table.columns else F.lit(None).cast("string")
-            named = table.select(F.col(key).alias("id"), F.substring(F.coalesce(text, F.lit(kind)), 1, 200).alias("label"))
+            named = table.join(ids.select(F.col("id").alias(key)), key, "left_semi").select(F.col(key).alias("id"), F.substring(F.coalesce(text, F.lit(kind)), 1, 200).alias("label"))
             nodes.append(ids.join(named, "id", "left").select("id", F.coalesce("label", F.lit(kind)).alias("label"), F.lit(kind).alias("node_type")))
-    ends = reduce(DataFrame.union, nodes).dropDuplicates(["id"])
+    ends = written(reduce(DataFrame.union, nodes).dropDuplicates(["id"]), "nodes")
     inside = g.edges.join(ends.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").distinct()
     return ends, inside.select(F.concat_ws(":", "src", "rel_type", "dst").alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel_type").alias("edge_type"))
 

@@ -191,3 +191,16 @@ def test_joined_texts(spark):
     rows = spark.createDataFrame([("q", i, f"t{i}") for i in range(150)] + [("q", 150, None)], "q string, rank int, t string")
     assert catalog.joined_texts(rows, "q", "rank", "t").first().text == " ".join([*(f"t{i}" for i in range(150)), ""])
     assert catalog.joined_texts(rows, "q", "rank", "t", 2).first().text == "t0 t1"
+
+
+def test_queries_of_the_graph_read_what_they_follow(spark):
+    """Names are looked up without any line, claims without edges, and edges are narrow projections: no query writes the whole graph first."""
+    from corvane.plans import graphs
+    from corvane.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    read = lambda df: {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+    assert read(QUERIES["j14_resolve_alias"](spark, sf)) == {"supplier.parquet", "part.parquet"}
+    assert read(QUERIES["j15_claims_by_id"](spark, sf)) == {"lineitem.parquet", "orders.parquet"}
+    plan = graphs.graph(spark, sf).linked(("VALIDATED_BY", "RELATED_TO"), "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
