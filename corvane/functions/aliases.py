@@ -1,7 +1,9 @@
 """Aliases: short forms in brackets, known and transliterated names, and names that are nearly spelt alike."""
 
+import hashlib
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,8 @@ BRACKETED = r"([A-Za-zА-Яа-яЁё0-9][A-Za-zА-Яа-яЁё0-9\s-]{2,80}?)\s*\
 #: Everything before a short form that its long name may be part of, read in one pass: the pattern above is then tried on this piece alone.
 LETTERS = r"A-Za-zА-Яа-яЁё0-9\s-"
 BEFORE = rf"(?<![{LETTERS}])[{LETTERS}]{{3,}}+\([A-Za-zА-Яа-яЁё0-9-]{{2,16}}\)"
+#: Tokens whose names a task remembers, before it forgets them all.
+REMEMBERED = 1 << 18
 CODES = {**terms.SEED_ALIASES, **terms.TRANSLATED_ALIASES}
 
 
@@ -74,28 +78,36 @@ def tokens_of(text: Column, least: int, most: int = 80) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(found, alias_form))), 1, most)
 
 
-def best_match(token: str, names: list[str]) -> tuple[str | None, int]:
-    """The first name of the highest similarity, in hundredths of the share of matching characters."""
-    best, score = None, 0
-    matcher = SequenceMatcher(None, "", "")
-    matcher.set_seq1(token)
-    for name in names:
-        matcher.set_seq2(name)
-        if round(matcher.real_quick_ratio() * 100) > score and round(matcher.quick_ratio() * 100) > score and (own := round(matcher.ratio() * 100)) > score:
+def matchers(names: list[str]) -> list[tuple[str, SequenceMatcher]]:
+    """Each name with a matcher that has read it."""
+    return [(name, SequenceMatcher(None, "", name)) for name in names]
+
+
+def best_match(token: str, tried: list[tuple[str, SequenceMatcher]], least: int = 1) -> tuple[str | None, int]:
+    """The first name of the highest similarity, in hundredths of the share of matching characters, from `least` on. Names too long or short for it aren't compared."""
+    best, score = None, least - 1
+    for name, matcher in tried:
+        both = len(token) + len(name)
+        if not both or round(2.0 * min(len(token), len(name)) / both * 100) <= score:
+            continue
+        matcher.set_seq1(token)
+        if round(matcher.quick_ratio() * 100) > score and (own := round(matcher.ratio() * 100)) > score:
             best, score = name, own
     return best, score
 
 
 def fuzzy(tokens: Column, threshold: int = 88) -> Column:
-    """tokens -> array<struct<value, confidence>>: names of which a token is a slip of spelling. Distinct tokens of a batch are compared once."""
+    """tokens -> array<struct<value, confidence>>: names of which a token is a slip of spelling. Distinct tokens are compared once, and remembered over batches."""
     names = choices()
 
     @F.pandas_udf("array<struct<value: string, confidence: double>>")
     def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tried, found = matchers(names), {}
         for batch in batches:
-            found: dict[str, dict | None] = {}
-            for token in {t for own in batch if own is not None for t in own}:
-                name, score = best_match(token, names)
+            if len(found) > REMEMBERED:
+                found = {}
+            for token in {t for own in batch if own is not None for t in own}.difference(found):
+                name, score = best_match(token, tried, threshold)
                 found[token] = {"value": f"{token} -> {CODES.get(name, name)}", "confidence": round(score / 100, 2)} if name and score >= threshold and token != name else None
             yield batch.map(lambda own: [found[t] for t in (own if own is not None else []) if found[t]])  # noqa: B023
 
@@ -130,16 +142,19 @@ def hash_vector(text: Column, dimensions: int) -> Column:
     return unit(values, lambda x: F.round(x, 6))
 
 
+@lru_cache(1 << 16)
+def hashed(gram: str) -> int:
+    return int(hashlib.sha1(gram.encode()).hexdigest()[:8], 16)
+
+
 def spelling_vectors(names: list[str], dimensions: int = 64) -> np.ndarray:
     """`vector` of constants, as rows."""
-    import hashlib
-
     out = np.zeros((len(names), dimensions))
     for row, name in zip(out, names, strict=True):
         padded = f"  {name}  "
         for n in (2, 3):
             for i in range(len(padded) - n + 1):
-                row[int(hashlib.sha1(padded[i : i + n].encode()).hexdigest()[:8], 16) % dimensions] += 1
+                row[hashed(padded[i : i + n]) % dimensions] += 1
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -150,9 +165,11 @@ def alike(tokens: Column, threshold: float = 0.72) -> Column:
 
     @F.pandas_udf("array<struct<value: string, confidence: double>>")
     def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found: dict[str, dict | None] = {}
         for batch in batches:
-            every = sorted({t for own in batch if own is not None for t in own})
-            found: dict[str, dict | None] = {}
+            if len(found) > REMEMBERED:
+                found = {}
+            every = sorted({t for own in batch if own is not None for t in own}.difference(found))
             for at in range(0, len(every), 4096):
                 part = every[at : at + 4096]
                 cosines = spelling_vectors(part) @ matrix.T

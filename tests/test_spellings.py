@@ -65,3 +65,18 @@ def test_query(spark):
             ties = [n for n, s in scores.items() if s == best]
             assert found[token].score == best and docs[found[token].name] == max(docs[n] for n in ties)
     assert rows and len(rows) == len(found)
+
+
+def test_slips_are_found_as_by_comparing_every_name():
+    """best_match leaves out what can't reach the threshold, and finds what a plain loop finds."""
+    from corvane.functions import aliases
+
+    rng, names = random.Random(3), aliases.choices()
+    tokens = [n[:k] + rng.choice("aeix") + n[k + 1 :] for n in names for k in (0, len(n) // 2)] + names + ["", "zzzzzzzz"]
+    tried = aliases.matchers(names)
+    for token in tokens:
+        want, score = None, 87
+        for name in names:
+            if (own := round(SequenceMatcher(None, token, name).ratio() * 100)) > score:
+                want, score = name, own
+        assert aliases.best_match(token, tried, 88) == (want, score)
