@@ -297,7 +297,7 @@ def x43_json_objects(spark, sf_dir):
 
 @query(f"""WITH {NOTES} SELECT doc_id, len({among(terms.MATERIALS)}) AS materials, round(CAST(least(1.0, 0.35 + 0.1 * len({among(list(terms.PLACES))})) AS DOUBLE), 6) AS geography FROM notes WHERE len({among(terms.MATERIALS)}) > 0 AND len({among(list(terms.PLACES))}) > 0""")
 def x45_interests(spark, sf_dir):
-    found = notes(spark, sf_dir).select("doc_id", entities.interests(F.col("note")).alias("i"))
+    found = text.once(notes(spark, sf_dir), "i", entities.interests(F.col("note")))
     one = lambda label: F.get(F.filter("i", lambda x: x["label"] == label), F.lit(0))
     both = found.where(one("materials").isNotNull() & one("geography").isNotNull())
     return both.select("doc_id", F.size(one("materials")["source_terms"]).cast("long").alias("materials"), F.round(one("geography")["weight"], 6).alias("geography"))

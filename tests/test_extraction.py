@@ -39,3 +39,13 @@ def test_every_alias_is_extracted_once(spark):
 def test_nothing_to_extract(spark):
     spans = spark.createDataFrame([], "document string, span string, text string")
     assert planning.extracted(spans, "span", "text", "document", nearly_spelt=True).count() == 0
+
+
+def test_texts_are_read_once(spark):
+    """The rerank makes no index of all tokens for five of them, and interests are computed once a row, whatever reads them."""
+    from corvane.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert {f.rsplit("/", 1)[1] for f in QUERIES["t03_rerank"](spark, sf).inputFiles()} == {"documents.parquet"}
+    plan = QUERIES["x45_interests"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substance:") == 1
