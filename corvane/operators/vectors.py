@@ -19,6 +19,8 @@ from corvane.operators import ranking
 
 #: Bounds of the sample that the centroids are made from, of the rounds over it, and of the centroids themselves.
 SAMPLE, ROUNDS, MOST_CELLS = 50_000, 8, 4096
+#: Rows that a task makes at once of vectors and their cells.
+PIECE = 1 << 14
 #: How many points the recall is measured with, and how many neighbours of each.
 TRIALS, NEIGHBOURS = 200, 50
 
@@ -63,15 +65,21 @@ def recalls(points: np.ndarray, centroids: np.ndarray) -> list[float]:
     return (found.cumsum() / total).tolist() if total else [1.0] * len(centroids)
 
 
+def placed(batch: pd.DataFrame, centroids: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
+    """(key, unit) -> rows with their `probes` nearest cells, at most PIECE rows at a time (or one vector's): what is in memory doesn't grow with the probes."""
+    step = max(1, min(1024, PIECE // probes))
+    for at in range(0, len(batch), step):
+        part = batch.iloc[at : at + step]
+        order = np.argsort(-(np.stack(part["unit"].to_numpy()) @ centroids.T), axis=1, kind="stable")[:, :probes]
+        yield part.assign(cell=list(order.astype(np.int32))).explode("cell").astype({"cell": "int32"})
+
+
 def cells_of(units: DataFrame, key: str, centroids: np.ndarray, probes: int) -> DataFrame:
     """(key, unit, cell): each vector with its `probes` nearest cells, a row each; ties by the smaller cell."""
 
     def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                order = np.argsort(-(np.stack(part["unit"].to_numpy()) @ centroids.T), axis=1, kind="stable")[:, :probes]
-                yield part.assign(cell=list(order.astype(np.int32))).explode("cell").astype({"cell": "int32"})
+            yield from placed(batch, centroids, probes)
 
     kind = dict(units.dtypes)[key]
     return units.mapInPandas(near, f"`{key}` {kind}, unit array<double>, cell int")

@@ -1,6 +1,7 @@
 """The index of cells against brute force: recall, pruned reads, exact results with all cells, odd vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from corvane.operators import ranking, storage, vectors
@@ -78,3 +79,12 @@ def test_queries_recall(spark):
 def test_nothing_to_index(spark):
     with pytest.raises(ValueError):
         vectors.stored(spark.createDataFrame([(1, None)], "id long, v array<double>"), "id", "v", storage.new_path(spark, "cells"))
+
+
+def test_vectors_meet_their_cells_in_small_pieces():
+    """A vector in each of many cells makes many rows, of which a task holds a bounded number at once."""
+    rng = np.random.default_rng(1)
+    batch, centroids = pd.DataFrame({"id": range(100), "unit": list(rng.standard_normal((100, 4)))}), rng.standard_normal((4000, 4))
+    parts = list(vectors.placed(batch, centroids, 3000))
+    assert max(map(len, parts)) <= vectors.PIECE and sum(map(len, parts)) == 300_000
+    assert pd.concat(parts).groupby("id").cell.nunique().eq(3000).all()
