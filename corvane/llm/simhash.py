@@ -39,11 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, dropped, written
+from corvane.llm.common import bucketed, connected_components, dropped, written
 
 CHUNK = 1 << 15
 #: Bits of the fingerprints that weak-bit shards compare.
 WIDE = 384
+#: Documents whose shingle sets are in one bucket, some 30 MB at five hundred words each.
+BUCKET = 8192
 
 
 def shingles(text: str, words: int) -> Iterator[list[bytes]]:
@@ -267,7 +269,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
     A row for each row. Texts of equal shingle sets are one class. Most links are candidates by wide SimHash, found with the planned recall, and verified
     on the shingle sets; `unmet` finds every other link between the groups that these make. Texts without words are alike. A null doc_id is linked, but names no group: one of nulls only has id null."""
-    width, weak, radius = plan(docs.count(), similarity, recall)
+    rows = docs.count()
+    width, weak, radius = plan(rows, similarity, recall)
 
     @F.pandas_udf("struct<fp: binary, own: binary, blocks: array<long>, weak: array<int>, shingles: binary>")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -280,7 +283,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
             yield pd.DataFrame(rows, columns=["fp", "own", "blocks", "weak", "shingles"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
-    found = written(texts.select("uid", "doc_id", marked("text").alias("m")).select("uid", "doc_id", "m.*"), "fingerprints")
+    buckets = max(1, math.ceil(rows / BUCKET), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt_out = texts.repartition(buckets, "uid")  # texts, which are packed, and not the sets of their shingles, which can't be
+    found = bucketed(dealt_out.select("uid", "doc_id", marked("text").alias("m")).select("uid", "doc_id", "m.*"), "fingerprints", "uid", buckets)
     named = found.groupBy("own").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
     classes = written(named.join(found.select(F.col("uid").alias("rep"), "fp", "blocks", "weak").hint("merge"), "rep"), "classes")
     met = written(shared_keys(classes, weak, width), "keys")
@@ -291,19 +296,21 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     others = candidates.select("u", "v").join(closest.hint("merge"), ["u", "v"], "left_anti")
     for end in ("u", "v"):
         others = others.join(roots.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")).hint("merge"), end, "left")
-    others = others.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    second = written(verified(written(others, "others"), found, similarity), "verified")
-    dropped(met)
+    others = written(others.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "others")
+    second = written(verified(others, found, similarity), "verified")
+    for table in (met, candidates, others, roots):
+        dropped(table)
     roots = connected_components(first.unionByName(second))
     placed = written(classes.select("rep").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "placed")
-    third = written(verified(unmet(placed, found, similarity), found, similarity), "verified")
+    left_over = unmet(placed, found, similarity)
+    third = written(verified(left_over, found, similarity), "verified")
     roots = connected_components(first.unionByName(second).unionByName(third))
     grouped = classes.select("own", "rep", "least").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("own", "least", F.coalesce("component", "rep").alias("group"))
     grouped = written(grouped, "named")
     least = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
     named = grouped.join(least.hint("merge"), "group").select("own", "group_id")
     groups = written(found.select("doc_id", "own").join(named.hint("merge"), "own").select("doc_id", "group_id"), "groups")
-    for table in (found, classes, candidates, first, second, placed, third, grouped):
+    for table in (found, classes, first, second, placed, left_over, third, grouped):
         dropped(table)
     return groups
 
@@ -358,14 +365,17 @@ def unmet(placed: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     left = lambda end: F.col(f"{end}_n") - F.col(f"{end}_place")
     enough = F.least(left("u"), left("v")) >= (F.col("u_n") + F.col("v_n")) * similarity / (1 + similarity) - 1e-6
     both = side("u").hint("merge").join(side("v"), "key").where((F.col("u_rep") > F.col("v_rep")) & (F.col("u_component") != F.col("v_component")) & enough)
-    return written(both.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).distinct(), "unmet")
+    pairs = written(both.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).distinct(), "unmet")
+    dropped(met)
+    return pairs
 
 
 def verified(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """links (u, v) of found (uid, shingles: sorted 64-bit hashes as bytes) -> those whose sets have at least this Jaccard similarity."""
-    ends = links.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-    sets = written(found.select("uid", "shingles").join(ends.hint("merge"), "uid", "left_semi"), "sets")
-    both = links.join(sets.select(F.col("uid").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(sets.select(F.col("uid").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
+    """links (u, v) of found (uid, shingles: sorted 64-bit hashes as bytes; in buckets by uid) -> those whose sets have at least this Jaccard similarity.
+
+    Links go to the sets: only those of a link's first end are moved, to the buckets of its second."""
+    sets = lambda end, name: found.select(F.col("uid").alias(end), F.col("shingles").alias(name)).hint("merge")
+    both = links.join(sets("u", "a"), "u").join(sets("v", "b"), "v")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

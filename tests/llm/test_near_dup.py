@@ -129,3 +129,21 @@ def test_no_link_is_lost(spark):
     assert len(links) > 50
     found = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[i] for i in range(len(texts))] == want
+
+
+def test_sets_stay_in_their_buckets(spark):
+    """Verifying moves links, and the sets of a link's first end: no whole table of sets is shuffled."""
+    import numpy as np
+
+    from corvane.llm.common import bucketed
+
+    sets = [np.arange(i // 2 * 100, i // 2 * 100 + 50 + i % 2, dtype=np.int64).tobytes() for i in range(40)]
+    found = bucketed(spark.createDataFrame(list(enumerate(sets)), "uid long, shingles binary").repartition(4, "uid"), "sets", "uid", 4)
+    links = spark.createDataFrame([(i + 1, i) for i in range(39)], "u long, v long")
+    good = simhash.verified(links, found, 0.8)
+    assert {tuple(r) for r in good.collect()} == {(i + 1, i) for i in range(0, 39, 2)}
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    initial = plan[plan.find("Initial Plan") :]
+    assert len(scans) >= 2 and all("Bucketed: true" in line for line in scans)
+    assert initial.count("Exchange hashpartitioning") == 2
