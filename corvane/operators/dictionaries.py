@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cache
+from itertools import combinations
 
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of names that one automaton holds: a broadcast of at most this size. Larger dictionaries are split by the names' hash.
 MOST_BYTES = 64 << 20
+#: Keys that a word or name has at most for each length that it is compared with, unless it can be cut no finer.
+MOST_KEYS = 256
 _BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -73,34 +79,93 @@ def most_edits(a: Column, b: Column, score: int) -> Column:
     return most - F.pmod(most - a - b, F.lit(2))
 
 
+@cache
+def cuts(la: int, lb: int, score: int, most: int = MOST_KEYS) -> tuple[list, list]:
+    """How words of la and names of lb characters are keyed: for either a list of (part, from, characters, how many of them are left out); empty if the lengths are too far apart.
+
+    Similar enough, they have at most d characters left over: x of the word, y of the name. Whole words then have something in common with x and y characters left
+    out; of k parts of a name one has at most d / k left over. Taken is the smallest k that gives neither side more than `most` keys: the fewer parts, the fewer
+    pairs that aren't near; with d + 1 parts, one is found in the word as it is."""
+    d = math.floor((la + lb) * (1 - (score - 0.5) / 100) + 1e-9)
+    d -= (d - la - lb) % 2
+    x, y = (d + la - lb) // 2, (d + lb - la) // 2
+    if x < 0 or y < 0:
+        return [], []
+    for k in range(1, d + 2):
+        words, names, q = set(), set(), d // k
+        for part in range(k):
+            at, size = lb * part // k, lb * (part + 1) // k - lb * part // k
+            for y1 in range(min(q, y, size) + 1):
+                for x1 in range(min(q - y1, x) + 1):
+                    if x1 + y1 + 2 <= q and x1 < x and y1 < y and y1 < size:
+                        continue  # with one more left out of both they still have the rest in common
+                    own = size - y1 + x1
+                    first, last = (0, 0) if part == 0 else (max(0, at - y + y1), min(la - own, at + x - x1))
+                    if part == k - 1:
+                        first = last = la - own
+                    words |= {(part, start, own, x1) for start in range(first, last + 1) if 0 <= start <= la - own}
+                    names.add((part, at, size, y1))
+        if k == d + 1 or max(sum(math.comb(c[2], c[3]) for c in side) for side in (words, names)) <= most:
+            return sorted(words), sorted(names)
+
+
+@cache
+def kept(n: int, out: int) -> list[tuple[int, ...]]:
+    """The places of n of which `out` are left out, in every way."""
+    return list(combinations(range(n), n - out))
+
+
+def keyed(words: DataFrame, side: int, score: int) -> DataFrame:
+    """words (word, ...) -> key with their columns: the words' keys (side 0) or the names' (side 1), by `cuts`. Words are near only if they have a key in common."""
+    share, columns = 1 - (score - 0.5) / 100, words.columns  # lengths differ by at most this share of their sum
+
+    def keys(word: str) -> Iterator[int]:
+        n = len(word)
+        for m in range(max(1, math.ceil(n * (1 - share) / (1 + share) - 1e-9)), math.floor(n * (1 + share) / (1 - share) + 1e-9) + 1):
+            la, lb = (m, n) if side else (n, m)
+            own = set()
+            for part, start, size, out in cuts(la, lb, score)[side]:
+                piece, prefix = word[start : start + size], f"{la} {lb} {part} "
+                own |= {prefix + "".join([piece[i] for i in places]) for places in kept(size, out)} if out else {prefix + piece}
+            for key in own:
+                yield xxhash.xxh3_64_intdigest(key.encode()) - (1 << 63)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            found: list[int] = []
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *[c.take(pa.array(rows, pa.int64())) for c in batch.columns]], names=["key", *columns])  # noqa: B023, E731
+            for i, word in enumerate(batch.column(0)):
+                before = len(found)
+                found.extend(keys(word.as_py()))
+                rows += [i] * (len(found) - before)
+                if len(rows) > 1 << 16:
+                    yield made()
+                    rows, found = [], []
+            yield made()
+
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in words.dtypes)
+    return words.mapInArrow(each, f"key long, {kinds}")
+
+
 def nearly(tokens: DataFrame, token: str, names: DataFrame, name: str, place: str, score: int = 88) -> DataFrame:
     """(token, name, score): for each distinct token the name of highest spelling ratio (difflib's, in percent, rounded), ties by the smaller place;
     tokens whose best name is below `score`, or is the token itself, have no row. Dictionaries of any size; null and empty words are near nothing.
 
-    Two words with at most d characters left over share one of d + 1 pieces that either is cut into; how far apart follows from d and the lengths. Names are joined
-    by length and piece with the tokens' substrings at those places, pairs are tried by their edit distance, and what is left by the ratio itself."""
-    own = tokens.select(F.col(token).alias("token")).where("token <> ''").distinct().withColumn("la", F.length("token"))
-    held = names.select(F.col(name).alias("name"), F.col(place).alias("place")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place")).withColumn("lb", F.length("name"))
-    share = 1 - (score - 0.5) / 100  # lengths differ by at most this share of their sum
-    least, most = lambda n: F.ceil(n * (1 - share) / (1 + share) - 1e-9).cast("int"), lambda n: F.floor(n * (1 + share) / (1 - share) + 1e-9).cast("int")
-    every = lambda n: F.explode(F.sequence(F.greatest(least(n), F.lit(1)), most(n)))
-    cut = lambda n, i, parts: F.floor(n * i / parts).cast("int")
-    pieces = held.withColumn("la", every(F.col("lb"))).withColumn("d", most_edits(F.col("la"), F.col("lb"), score))
-    pieces = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", cut(F.col("lb"), F.col("i"), F.col("d") + 1)).withColumn("size", cut(F.col("lb"), F.col("i") + 1, F.col("d") + 1) - F.col("at"))
-    pieces = pieces.select("la", "lb", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece"), "name", "place", "d")
-    asked = own.withColumn("lb", every(F.col("la"))).withColumn("d", most_edits(F.col("la"), F.col("lb"), score))
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", cut(F.col("lb"), F.col("i"), F.col("d") + 1)).withColumn("size", cut(F.col("lb"), F.col("i") + 1, F.col("d") + 1) - F.col("at"))
-    left_out, put_in = [F.floor((F.col("d") + more) / 2).cast("int") for more in (F.col("lb") - F.col("la"), F.col("la") - F.col("lb"))]
-    first = F.greatest(F.lit(0), F.col("at") - left_out)
-    shifted = first, F.greatest(first, F.least(F.col("la") - F.col("size"), F.col("at") + put_in))
-    asked = asked.withColumn("from", F.explode(F.sequence(*shifted)))
-    asked = asked.select("la", "lb", "i", F.substring("token", F.col("from") + 1, F.col("size")).alias("piece"), "token").distinct()
-    pairs = asked.join(pieces, ["la", "lb", "i", "piece"]).where(F.expr("levenshtein(token, name, d) >= 0")).select("token", "name", "place").distinct()
+    Two words with at most d characters left over, which follows from their lengths, share what is left of them, or of a part, with some left out (`cuts`): both are
+    joined on these keys. Up to some twenty characters a pair that meets is one with no more than d left over; pairs are tried by their edit distance, and what is left by the ratio itself."""
+    own = tokens.select(F.col(token).alias("token")).where("token <> ''").distinct()
+    held = names.select(F.col(name).alias("name"), F.col(place).alias("place")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place"))
+    spread = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = keyed(own.repartition(spread, "token"), 0, score)
+    known = keyed(held.select("name").repartition(spread, "name"), 1, score)
+    edits = most_edits(F.length("token"), F.length("name"), score)
+    near = asked.join(known, "key").withColumn("d", edits).where(F.expr("levenshtein(token, name, d) >= 0")).select("token", "name").distinct()
 
     @F.pandas_udf("int")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([round(SequenceMatcher(None, x, y).ratio() * 100) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    scored = pairs.withColumn("score", ratio("token", "name")).where(F.col("score") >= score)
+    scored = near.withColumn("score", ratio("token", "name")).where(F.col("score") >= score).join(held, "name")
     best = scored.groupBy("token").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), "place")).alias("best"))
     return best.select("token", "best.*").where("token <> name")

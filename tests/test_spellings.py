@@ -80,3 +80,27 @@ def test_slips_are_found_as_by_comparing_every_name():
             if (own := round(SequenceMatcher(None, token, name).ratio() * 100)) > score:
                 want, score = name, own
         assert aliases.best_match(token, tried, 88) == (want, score)
+
+
+def test_words_meet_only_names_that_they_have_enough_in_common_with(spark):
+    """Words of few syllables share pieces with most names, and keys with those alone that are near enough."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = step(row, x, b)
+        return row[-1]
+
+    def step(row, x, b):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        return new
+
+    chance = random.Random(8)
+    words = sorted({"".join(chance.choices(["ba", "ko", "li", "na", "ter", "s"], k=chance.randint(4, 6))) for _ in range(150)})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    met = dictionaries.keyed(df, 0, 88).join(dictionaries.keyed(df.withColumnRenamed("w", "name"), 1, 88), "key").select("w", "name").distinct().collect()
+    assert {(r.w, r.name) for r in met} == {(a, b) for a in words for b in words if 200 * common(a, b) >= 87.5 * (len(a) + len(b))}
+    share = lambda n: max(len(dictionaries.kept(c[2], c[3])) for c in dictionaries.cuts(n, n, 88)[0])
+    assert all(share(n) <= dictionaries.MOST_KEYS for n in range(1, 60))
