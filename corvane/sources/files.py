@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corvane.functions.extract import safe_filename
 from corvane.operators import snapshots, storage
@@ -19,8 +21,8 @@ TABLE = "struct<id: string, page: int, headers: array<string>, rows: array<array
 DOCUMENT = f"struct<document_id: string, source_type: string, title: string, content: string, spans: array<{SPAN}>, tables: array<{TABLE}>, parser: string>"
 #: Limits of an archive: fixed values of a deployment, here as defaults.
 MOST_ENTRIES, MOST_BYTES = 1000, 500_000_000
-#: Texts that are handed on together.
-BATCH_CHARACTERS = 8_000_000
+#: Characters of contents, spans and tables that are handed on together.
+BATCH_CHARACTERS = 2_000_000
 
 
 def listed(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (".tmp", ".part"), content: bool = True) -> DataFrame:
@@ -109,6 +111,12 @@ def intact(files: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(own, "path", "left").select("path", F.coalesce((F.col("own") == F.col("sha256")) & (F.col("size") == F.col("length")), F.lit(False)).alias("intact"))
 
 
+def characters(document: dict) -> int:
+    """Of content, spans and tables: a document given with its spans may have no content."""
+    cells = [c for t in document["tables"] for r in [t["headers"], *t["rows"]] for c in r]
+    return len(document["content"]) + sum(len(s["text"]) for s in document["spans"]) + sum(map(len, cells))
+
+
 def normalised(files: DataFrame, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """files (path, content) -> path, document (null on a row of warnings), warnings. A file is a row, an archive as many as it has documents.
 
@@ -124,20 +132,24 @@ def normalised(files: DataFrame, most_entries: int = MOST_ENTRIES, most_bytes: i
         except formats.Unreadable as error:
             yield [], [f"{error.code}:{name}"]
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "document", "warnings"]
+    kinds = f"path string, document {DOCUMENT}, warnings array<string>"
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for documents, warnings in parts_of(path.rsplit("/", 1)[-1], bytes(content) if content is not None else b""):
-                    rows += [(path, d, []) for d in documents] + ([(path, None, warnings)] if warnings else [])
-                    size += sum(len(d["content"]) for d in documents)
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):  # one file at a time as an object of Python
+                path = path.as_py()
+                for documents, warnings in parts_of(path.rsplit("/", 1)[-1], content.as_py() or b""):
+                    rows += [{"path": path, "document": d, "warnings": []} for d in documents]
+                    rows += [{"path": path, "document": None, "warnings": warnings}] if warnings else []
+                    size += sum(map(characters, documents))
                     if size > BATCH_CHARACTERS:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInPandas(parsed, f"path string, document {DOCUMENT}, warnings array<string>")
+    return files.select("path", "content").mapInArrow(parsed, kinds)
 
 
 def documents(normal: DataFrame) -> DataFrame:

@@ -163,3 +163,11 @@ def test_foreach_sink(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new: its place is in the checkpoint
         feeds.published(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "at"), lambda batch, no: seen.append((no, batch.count()))).awaitTermination(120)
     assert seen == [(0, 2)]
+
+
+def test_what_is_handed_on_counts_spans_and_tables():
+    """A document that is given with its spans has no content of its own: its spans fill a batch all the same."""
+    data = {"id": "d", "source_spans": [{"text": "x" * 1000}], "table_blocks": [{"headers": ["ab"], "rows": [["c", "de"]]}]}
+    (given,), _ = formats.normalised("c", "a.json", json.dumps(data).encode())
+    (plain,), _ = formats.normalised("c", "a.txt", b"words")
+    assert given["content"] == "" and files.characters(given) == 1005 and files.characters(plain) == 10
