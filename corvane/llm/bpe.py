@@ -175,14 +175,14 @@ class Transducer:
 class Memo(dict):
     """Pieces' ids; those of a piece that is asked for first are found then. A full memo becomes the older one, so pieces in use stay."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]]):
+    def __init__(self, encode: Callable[[bytes], list[int]], most: int = MEMO):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.most, self.older = encode, most, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.older.get(piece) or self.encode(piece.encode("utf-8"))
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece) or tuple(self.encode(piece.encode("utf-8")))  # a list keeps room for more
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -195,7 +195,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str, most_states: int = STATES):
         self.transducer = Transducer(read_ranks(path), most_states)
         self.pieces = regex.compile(pattern.replace(r"\p{L}+", r"\p{L}++").replace(r"\p{N}+", r"\p{N}++").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]++")).findall
-        self.ids_of = Memo(self.transducer.encode).__getitem__
+        self.ids_of = Memo(self.transducer.encode, min(MEMO, 2 * most_states)).__getitem__
         self.names = [str(i) for i in range(max(self.transducer.bytes_of) + 1)]
 
     def encode(self, text: str) -> list[int]:
@@ -277,7 +277,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids: a row for each row.
 
     path: of the rank file on each machine. Null and empty texts have no ids. Ids are decoded again in the same task; the
-    digests are of the decimal ids joined by spaces and of the decoded bytes. most_states bounds the transducer's memory, not its results. Other columns are not looked at."""
+    digests are of the decimal ids joined by spaces and of the decoded bytes. most_states bounds the memory of transducer and memo, not their results. Other columns are not looked at."""
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kind = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>>" * with_ids + ">" * (not with_ids)
 

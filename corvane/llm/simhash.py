@@ -20,6 +20,7 @@ is a shard. No pair is lost and no shard is larger than about two blocks, but th
 block as many rows. Links are then verified on the documents' whole shingle sets (`verified`): first the closest link of each class, then those
 links whose ends are not connected yet, so that a large group costs a few sets a class and not its pairs. What keys or radius miss is found
 by an exact pass (`unmet`) over the rarest shingles of each set, whose pairs are only those of classes in different groups: no link is lost.
+Its pairs meet on parity sketches first (`possible`), a bit or two a shingle, which prove most of them too different: only what is left moves sets.
 
 Tables that grow with the documents are merged, never broadcast, whatever their size.
 """
@@ -46,6 +47,8 @@ CHUNK = 1 << 15
 WIDE = 384
 #: Documents whose shingle sets are in one bucket, some 30 MB at five hundred words each.
 BUCKET = 8192
+#: Bytes of shingle sets that a task's Python holds before it hands them on.
+HELD = 1 << 21
 
 
 def shingles(text: str, words: int) -> Iterator[list[bytes]]:
@@ -94,6 +97,15 @@ def wide_votes(text: str, words: int) -> tuple[np.ndarray, int, np.ndarray]:
     return votes, n, np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.int64)
 
 
+def parities(seen: np.ndarray) -> list[int]:
+    """A set's parity sketch as 64-bit words: of each value of the hashes' lowest bits, whether an odd number has it; a power of two of bits, one a shingle at least.
+
+    A shingle that only one of two sets has flips one bit, so sketches differ in no more bits than the sets in shingles. Halves that are combined by XOR make the sketch of half the bits."""
+    bits = max(64, 1 << max(0, len(seen) - 1).bit_length())
+    odd = np.bincount(seen & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def fingerprint(votes: np.ndarray, n: int) -> int:
     """The 64-bit fingerprint as a signed number, most significant bit first; a bit is set if over half the shingles set it."""
     return int(np.packbits(2 * votes > n).view(">i8")[0])
@@ -272,15 +284,21 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     rows = docs.count()
     width, weak, radius = plan(rows, similarity, recall)
 
-    @F.pandas_udf("struct<fp: binary, own: binary, blocks: array<long>, weak: array<int>, shingles: binary>")
+    columns = ["fp", "own", "blocks", "weak", "size", "sketch", "shingles"]
+
+    @F.pandas_udf("struct<fp: binary, own: binary, blocks: array<long>, weak: array<int>, size: int, sketch: array<long>, shingles: binary>")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for text in batch:
+                if size >= HELD:  # sets go back to the JVM in parts
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
                 votes, n, seen = wide_votes(text, words)
                 held = seen.tobytes()
-                rows.append((np.packbits(2 * votes > n).tobytes(), xxhash.xxh3_128_digest(held), blocks_of(votes, n, width), weak_bits(votes, n, width, weak), held))
-            yield pd.DataFrame(rows, columns=["fp", "own", "blocks", "weak", "shingles"])
+                size += len(held)
+                rows.append((np.packbits(2 * votes > n).tobytes(), xxhash.xxh3_128_digest(held), blocks_of(votes, n, width), weak_bits(votes, n, width, weak), len(seen), parities(seen), held))
+            yield pd.DataFrame(rows, columns=columns)
 
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"))
     buckets = max(1, math.ceil(rows / BUCKET), docs.sparkSession.sparkContext.defaultParallelism)
@@ -302,7 +320,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         dropped(table)
     roots = connected_components(first.unionByName(second))
     placed = written(classes.select("rep").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "placed")
-    left_over = unmet(placed, found, similarity)
+    pairs = unmet(placed, found, similarity)
+    left_over = written(possible(pairs, found, similarity), "possible")
+    dropped(pairs)
     third = written(verified(left_over, found, similarity), "verified")
     roots = connected_components(first.unionByName(second).unionByName(third))
     grouped = classes.select("own", "rep", "least").join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("own", "least", F.coalesce("component", "rep").alias("group"))
@@ -339,7 +359,7 @@ def unmet(placed: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     known = listed[order]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):  # what is handed on takes as much again
             keys, sizes = [], []
             for held in batch.column(2):
                 own = np.frombuffer(held.as_buffer(), dtype=np.int64)
@@ -370,6 +390,22 @@ def unmet(placed: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     return pairs
 
 
+def possible(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """links (u, v) of found (uid, size, sketch: `parities`; in buckets by uid) -> those whose sets may have this Jaccard similarity: none that has it goes.
+
+    Sets of a and b shingles are similar enough only if no more than (a + b) (1 - s) / (1 + s) shingles are in one of them only."""
+    sketches = lambda end: found.select(F.col("uid").alias(end), F.col("size").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_s")).hint("merge")
+    both = links.join(sketches("u"), "u").join(sketches("v"), "v")
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), xor)
+    fit = lambda x, y: F.when(F.size(x) > F.size(y), folded(x)).otherwise(x)
+    u, v = F.col("u_s"), F.col("v_s")
+    differ = F.aggregate(F.zip_with(fit(u, v), fit(v, u), xor), F.lit(0), lambda n, x: n + F.bit_count(x))  # null if one is over twice as long
+    most = (F.col("u_n") + F.col("v_n")) * (1 - similarity) / (1 + similarity) + 1e-6
+    return both.where(F.coalesce(differ <= most, F.lit(True))).select("u", "v")
+
+
 def verified(links: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """links (u, v) of found (uid, shingles: sorted 64-bit hashes as bytes; in buckets by uid) -> those whose sets have at least this Jaccard similarity.
 

@@ -349,3 +349,15 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in seen[0].collect()} == kept and all(s.columns == docs.columns for s in seen[:3])
     assert {r.doc_id for r in seen[2].collect()} <= {r.doc_id for r in seen[1].collect()} <= kept
     assert corpus_pipeline.run(spark, SF).count() == seen[2].count()
+
+
+def test_memo_is_bounded_with_the_states():
+    """A transducer of few states has a small memo, and the same ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    small, usual = (bpe.Encoder(path, public_tokenizers.PATTERN, *most) for most in ((50,), ()))
+    text = " ".join(f"word{i * 7919 % 1000}x" for i in range(2000))
+    assert small.encode(text) == usual.encode(text)
+    memo = small.ids_of.__self__
+    assert len(memo) <= 100 and len(memo.older) <= 100 < len(usual.ids_of.__self__)

@@ -147,3 +147,56 @@ def test_sets_stay_in_their_buckets(spark):
     initial = plan[plan.find("Initial Plan") :]
     assert len(scans) >= 2 and all("Bucketed: true" in line for line in scans)
     assert initial.count("Exchange hashpartitioning") == 2
+
+
+def test_parity_sketches_never_differ_in_more_than_the_sets(spark):
+    """Pairs around the threshold, of sizes on both sides of a power of two and far apart: what is similar enough stays, what is unrelated goes."""
+    import numpy as np
+
+    from corvane.llm.common import bucketed
+
+    rng = np.random.default_rng(3)
+    sets, links, similar, unrelated = [], [], set(), set()
+    for n in (1, 2, 7, 60, 64, 65, 120, 130, 500, 1024, 1100, 5000):
+        base = np.unique(rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64))
+        for common in (1.0, 0.95, 0.889, 0.85, 0.5, 0.0):
+            kept = base[: round(common * len(base))]
+            other = np.unique(np.concatenate([kept, rng.integers(-(2**63), 2**63 - 1, len(base) - len(kept), dtype=np.int64)]))
+            for b in (other, kept[: max(1, len(kept) - len(kept) // 50)] if len(kept) else other):
+                pair = (len(sets), len(sets) + 1)
+                sets += [base, b]
+                links.append(pair)
+                shared = len(np.intersect1d(base, b))
+                if shared >= 0.8 * (len(base) + len(b) - shared) - 1e-9:
+                    similar.add(pair)
+                if n >= 60 and common <= 0.5 and len(b) > 0.8 * len(base):
+                    unrelated.add(pair)
+    rows = [(i, len(s), simhash.parities(s)) for i, s in enumerate(sets)]
+    found = bucketed(spark.createDataFrame(rows, "uid long, size int, sketch array<long>").repartition(4, "uid"), "sets", "uid", 4)
+    kept = {tuple(r) for r in simhash.possible(spark.createDataFrame(links, "u long, v long"), found, 0.8).collect()}
+    assert len(similar) > 40 and similar <= kept
+    assert len(unrelated) > 15 and not unrelated & kept
+
+
+def test_texts_with_a_common_passage_move_no_sets(spark, monkeypatch):
+    """Texts that share rare shingles only meet in the exact pass, but go before their sets are moved."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(40):
+        passage = [word() for _ in range(20)]
+        texts += [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)]) for _ in range(2)]
+    moved, own = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda links, *rest: moved.append(links.count()) or own(links, *rest))
+    groups = simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.group_id for r in groups)
+    assert len(moved) == 3 and moved[-1] == 0
+
+
+def test_sets_are_handed_on_in_parts(spark, monkeypatch):
+    """Results are the same however few bytes of sets a task's Python holds."""
+    rows = [(i, f"a{i // 2} b c d e f{i // 2} g h") for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(simhash, "HELD", 1)
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs).collect()}
+    assert found == {i: i // 2 * 2 for i in range(41)}
