@@ -153,19 +153,20 @@ def nearly(tokens: DataFrame, token: str, names: DataFrame, name: str, place: st
     tokens whose best name is below `score`, or is the token itself, have no row. Dictionaries of any size; null and empty words are near nothing.
 
     Two words with at most d characters left over, which follows from their lengths, share what is left of them, or of a part, with some left out (`cuts`): both are
-    joined on these keys. Up to some twenty characters a pair that meets is one with no more than d left over; pairs are tried by their edit distance, and what is left by the ratio itself."""
+    joined on these keys. Up to some twenty characters a pair that meets is one with no more than d left over; pairs are tried by their edit distance, and what is left by the ratio itself.
+    Spark takes keys for as small as the names they are made of: the joins are merges at every size, so that the driver gets no keys and no names."""
     own = tokens.select(F.col(token).alias("token")).where("token <> ''").distinct()
     held = names.select(F.col(name).alias("name"), F.col(place).alias("place")).where("name <> ''").groupBy("name").agg(F.min("place").alias("place"))
     spread = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = keyed(own.repartition(spread, "token"), 0, score)
     known = keyed(held.select("name").repartition(spread, "name"), 1, score)
     edits = most_edits(F.length("token"), F.length("name"), score)
-    near = asked.join(known, "key").withColumn("d", edits).where(F.expr("levenshtein(token, name, d) >= 0")).select("token", "name").distinct()
+    near = asked.join(known.hint("merge"), "key").withColumn("d", edits).where(F.expr("levenshtein(token, name, d) >= 0")).select("token", "name").distinct()
 
     @F.pandas_udf("int")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([round(SequenceMatcher(None, x, y).ratio() * 100) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    scored = near.withColumn("score", ratio("token", "name")).where(F.col("score") >= score).join(held, "name")
+    scored = near.withColumn("score", ratio("token", "name")).join(held.hint("merge"), "name")
     best = scored.groupBy("token").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), "place")).alias("best"))
-    return best.select("token", "best.*").where("token <> name")
+    return best.select("token", "best.*").where((F.col("score") >= score) & (F.col("token") != F.col("name")))  # not before: the ratio would be had once a key

@@ -105,3 +105,13 @@ def test_words_meet_only_names_that_they_have_enough_in_common_with(spark):
     assert {(r.w, r.name) for r in met} == {(a, b) for a in words for b in words if 200 * common(a, b) >= 87.5 * (len(a) + len(b))}
     share = lambda n: max(len(dictionaries.kept(c[2], c[3])) for c in dictionaries.cuts(n, n, 88)[0])
     assert len(words) > 50 and all(share(n) <= dictionaries.MOST_KEYS for n in range(1, 60))
+
+
+def test_the_driver_gets_no_keys_and_no_names(spark):
+    """Keys are many times the names that Spark sizes them by: joins of them are merges, however few the names."""
+    df = spark.createDataFrame([(w,) for w in ("leaching", "leachin", "flotatoin", "zzz")], "t string")
+    known = spark.createDataFrame([("leaching", 0), ("flotation", 1)], "n string, p int")
+    found = dictionaries.nearly(df, "t", known, "n", "p")
+    assert {(r.token, r.name) for r in found.collect()} == {("leachin", "leaching"), ("flotatoin", "flotation")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") and "Broadcast" not in plan
