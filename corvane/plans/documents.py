@@ -169,13 +169,16 @@ def as_cyrillic(letters: str):
 
 @query(f"SELECT doc_id, content FROM (SELECT doc_id, regexp_replace(regexp_replace({CYRILLIC_SQL}, '^\\s+', ''), '\\s+$', '') AS content FROM documents) WHERE content <> ''")
 def sc10_encodings(spark, sf_dir):
-    """Whole texts in UTF-8, with a mark before them, and in Windows-1251, whose bytes are written as those of the Latin letters that share them."""
+    """Whole texts in UTF-8, with a mark before them, and in Windows-1251, whose bytes are written as those of the Latin letters that share them.
+
+    A file of white space alone is a document without content, and no row here; white space is what the twin's pattern takes for it."""
     d = F.col("doc_id") % 3
     plain = F.encode(as_cyrillic(CYRILLIC), "UTF-8")
     narrow = F.encode(as_cyrillic(CYRILLIC.encode("cp1251").decode("latin-1")), "ISO-8859-1")
     content = F.when(d == 0, plain).when(d == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).otherwise(narrow)
     rows = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
-    return files.documents(files.normalised(rows)).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content")
+    docs = files.documents(files.normalised(rows, blanks=" \t\n\f\r")).where("content <> ''")
+    return docs.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "content")
 
 
 @query(f"SELECT doc_id, {CYRILLIC_SQL} AS text FROM documents")

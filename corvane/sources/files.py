@@ -117,18 +117,18 @@ def characters(document: dict) -> int:
     return len(document["content"]) + sum(len(s["text"]) for s in document["spans"]) + sum(map(len, cells))
 
 
-def normalised(files: DataFrame, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES) -> DataFrame:
+def normalised(files: DataFrame, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES, blanks: str | None = None) -> DataFrame:
     """files (path, content) -> path, document (null on a row of warnings), warnings. A file is a row, an archive as many as it has documents.
 
-    Each file is parsed where it is; batches hold a few files at a time, whose size the reader bounds. An archive's files leave one by one."""
+    blanks: what is taken off the ends of a text; without it all white space. Each file is parsed where it is; batches hold a few files at a time, whose size the reader bounds. An archive's files leave one by one."""
 
     def parts_of(name: str, data: bytes) -> Iterator[tuple[list[dict], list[str]]]:
         checksum = hashlib.sha256(data).hexdigest()
         try:
             if formats.suffix(name) == ".zip":
-                yield from formats.unpacked(checksum, data, most_entries, most_bytes)
+                yield from formats.unpacked(checksum, data, most_entries, most_bytes, blanks)
             else:
-                yield formats.normalised(checksum, name, data)
+                yield formats.normalised(checksum, name, data, blanks=blanks)
         except formats.Unreadable as error:
             yield [], [f"{error.code}:{name}"]
 

@@ -171,3 +171,20 @@ def test_what_is_handed_on_counts_spans_and_tables():
     (given,), _ = formats.normalised("c", "a.json", json.dumps(data).encode())
     (plain,), _ = formats.normalised("c", "a.txt", b"words")
     assert given["content"] == "" and files.characters(given) == 1005 and files.characters(plain) == 10
+
+
+ODD_TEXTS = [None, "", "  \n\t", "\x0b", "\x0bword\x1c", "\x1d \x1fa b\x1e\n", " nbsp　", "\x85next ", "😀 smile", "﻿mark", "\r\nline\r\nend\r\n", "п»ї", "Upper Abc", "\x7f", "q" * 5, "\x0c", "a\x00b"]
+
+
+def test_encodings_of_odd_texts_equal_their_sql(spark, tmp_path):
+    """Texts that are empty, or blank, or have rare white space at their ends, in each of the three codings."""
+    import duckdb
+
+    from corvane.plans.queries import ORACLES, QUERIES
+
+    rows = [(3 * i + k, t) for i, t in enumerate(ODD_TEXTS) for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = sorted(map(tuple, QUERIES["sc10_encodings"](spark, str(tmp_path)).select("doc_id", "content").collect()))
+    assert found == sorted(db.execute(ORACLES["sc10_encodings"]).fetchall())
