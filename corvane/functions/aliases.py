@@ -6,7 +6,8 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ LETTERS = r"A-Za-zА-Яа-яЁё0-9\s-"
 BEFORE = rf"(?<![{LETTERS}])[{LETTERS}]{{3,}}+\([A-Za-zА-Яа-яЁё0-9-]{{2,16}}\)"
 #: Tokens whose names a task remembers, before it forgets them all.
 REMEMBERED = 1 << 18
+#: Tokens that are compared with the names at once.
+AT_ONCE = 4096
 CODES = {**terms.SEED_ALIASES, **terms.TRANSLATED_ALIASES}
 
 
@@ -72,10 +75,10 @@ def choices() -> list[str]:
     return list(dict.fromkeys([*CODES, *CODES.values()]))
 
 
-def tokens_of(text: Column, least: int, most: int = 80) -> Column:
-    """array<string>: the first `most` distinct tokens of at least so many characters, in order: the tokens that are compared with names."""
+def tokens_of(text: Column, least: int) -> Column:
+    """array<string>: the distinct tokens of at least so many characters, in order: the tokens that are compared with names. They have neither blanks nor other dashes: in lower case they are in `alias_form`."""
     found = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUERY_TOKEN)), lambda t: F.length(t) >= least)
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, alias_form))), 1, most)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.lower(t))))
 
 
 def matchers(names: list[str]) -> list[tuple[str, SequenceMatcher]]:
@@ -96,24 +99,65 @@ def best_match(token: str, tried: list[tuple[str, SequenceMatcher]], least: int
     return best, score
 
 
-def fuzzy(tokens: Column, threshold: int = 88) -> Column:
-    """tokens -> array<struct<value, confidence>>: names of which a token is a slip of spelling. Distinct tokens are compared once, and remembered over batches."""
-    names = choices()
+def in_reach(tokens: list[str], names: list[str], least: int) -> np.ndarray:
+    """Whether any name has so many characters in common with a token, in any order, that their ratio may reach `least`: the bound of `quick_ratio`, for many tokens at once."""
+    letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(names))))}
+    width = len(letters) + 1
+
+    def counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        places = np.array([letters.get(c, 0) for w in words for c in w], dtype=np.int64)
+        own = np.bincount(np.repeat(np.arange(len(words)) * width, sizes) + places, minlength=len(words) * width)
+        return own.reshape(len(words), width)[:, 1:].clip(0, 255).astype(np.uint8), sizes
+
+    (own, sizes), (known, lengths) = counts(tokens), counts(names)
+    reached = np.zeros(len(tokens), dtype=bool)
+    for i in range(len(names)):
+        common = np.minimum(own, known[i]).sum(axis=1, dtype=np.int64)
+        reached |= 200 * common >= (least - 0.5 - 1e-6) * (sizes + lengths[i])
+    return reached
+
 
-    @F.pandas_udf("array<struct<value: string, confidence: double>>")
-    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tried, found = matchers(names), {}
+def named(tokens: Column, find: Callable[[list[str]], Iterator[dict | None]]) -> Column:
+    """tokens -> array<struct<value, confidence>>: what find gives for a text's tokens, in their order, without those that it gives nothing for.
+
+    Distinct tokens are found once, and remembered over batches; of the others, which are most, no object is made for each text."""
+    kind = pa.struct([("value", pa.string()), ("confidence", pa.float64())])
+
+    @F.arrow_udf("array<struct<value: string, confidence: double>>")
+    def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found: dict[str, dict | None] = {}
         for batch in batches:
             if len(found) > REMEMBERED:
                 found = {}
-            for token in {t for own in batch if own is not None for t in own}.difference(found):
-                name, score = best_match(token, tried, threshold)
-                found[token] = {"value": f"{token} -> {CODES.get(name, name)}", "confidence": round(score / 100, 2)} if name and score >= threshold and token != name else None
-            yield batch.map(lambda own: [found[t] for t in (own if own is not None else []) if found[t]])  # noqa: B023
+            coded = pc.list_flatten(batch).dictionary_encode()
+            every = coded.dictionary.to_pylist()
+            new = [t for t in every if t not in found]
+            for at in range(0, len(new), AT_ONCE):
+                part = new[at : at + AT_ONCE]
+                found.update(zip(part, find(part), strict=True))
+            codes = coded.indices.to_numpy()
+            hit = np.array([found[t] is not None for t in every], dtype=bool)[codes]
+            sizes = np.bincount(pc.list_parent_indices(batch).to_numpy()[hit], minlength=len(batch))
+            values = pa.array([found[t] for t in every], kind).take(pa.array(codes[hit]))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
     return near(tokens)
 
 
+def fuzzy(tokens: Column, threshold: int = 88) -> Column:
+    """tokens -> array<struct<value, confidence>>: names of which a token is a slip of spelling."""
+    names = choices()
+
+    def find(part: list[str]) -> Iterator[dict | None]:
+        tried = matchers(names)
+        for token, reached in zip(part, in_reach(part, names, threshold), strict=True):
+            name, score = best_match(token, tried, threshold) if reached else (None, 0)
+            yield {"value": f"{token} -> {CODES.get(name, name)}", "confidence": round(score / 100, 2)} if name and score >= threshold and token != name else None
+
+    return named(tokens, find)
+
+
 def vector(text: Column, dimensions: int = 64) -> Column:
     """array<double> of length 1: counts of the text's two- and three-letter parts, between two blanks at each end, by their hash."""
     grams = lambda padded, n: F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
@@ -149,12 +193,10 @@ def hashed(gram: str) -> int:
 
 def spelling_vectors(names: list[str], dimensions: int = 64) -> np.ndarray:
     """`vector` of constants, as rows."""
-    out = np.zeros((len(names), dimensions))
-    for row, name in zip(out, names, strict=True):
-        padded = f"  {name}  "
-        for n in (2, 3):
-            for i in range(len(padded) - n + 1):
-                row[hashed(padded[i : i + n]) % dimensions] += 1
+    padded = [f"  {name}  " for name in names]
+    places = np.array([hashed(p[i : i + n]) % dimensions for p in padded for n in (2, 3) for i in range(len(p) - n + 1)], dtype=np.int64)
+    rows = np.repeat(np.arange(len(names)) * dimensions, [2 * len(p) - 3 for p in padded])
+    out = np.bincount(rows + places, minlength=len(names) * dimensions).reshape(len(names), dimensions).astype(float)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -163,22 +205,13 @@ def alike(tokens: Column, threshold: float = 0.72) -> Column:
     names = choices()
     matrix = spelling_vectors(names)
 
-    @F.pandas_udf("array<struct<value: string, confidence: double>>")
-    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        found: dict[str, dict | None] = {}
-        for batch in batches:
-            if len(found) > REMEMBERED:
-                found = {}
-            every = sorted({t for own in batch if own is not None for t in own}.difference(found))
-            for at in range(0, len(every), 4096):
-                part = every[at : at + 4096]
-                cosines = spelling_vectors(part) @ matrix.T
-                for token, i, score in zip(part, cosines.argmax(axis=1), cosines.max(axis=1), strict=True):
-                    own = names[i]
-                    found[token] = {"value": f"{token} -> {CODES.get(own, own)}", "confidence": round(float(score), 2)} if score >= threshold and token != own else None
-            yield batch.map(lambda own: [found[t] for t in (own if own is not None else []) if found[t]])  # noqa: B023
+    def find(part: list[str]) -> Iterator[dict | None]:
+        cosines = spelling_vectors(part) @ matrix.T
+        for token, i, score in zip(part, cosines.argmax(axis=1), cosines.max(axis=1), strict=True):
+            own = names[i]
+            yield {"value": f"{token} -> {CODES.get(own, own)}", "confidence": round(float(score), 2)} if score >= threshold and token != own else None
 
-    return near(tokens)
+    return named(tokens, find)
 
 
 def known(text: Column) -> Column:

@@ -140,10 +140,10 @@ ENTITY_TYPES = {"entity": "Entity", "material": "Material", "substance": "Materi
 ENTITY_EDGES = {"material": "USES_MATERIAL", "substance": "USES_MATERIAL", "process": "OPERATES_AT_CONDITION", "equipment": "USES_EQUIPMENT", "property": "PRODUCES_OUTPUT", "expert": "EXPERT_IN"}
 
 
-def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: float = 0.0, most: int = 120, nearly_spelt: bool = False) -> DataFrame:
+def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: float = 0.0, most: int | None = 120, nearly_spelt: bool = False) -> DataFrame:
     """spans -> artifacts (document, span, pos, kind, value, status, confidence, reason_codes) by rules, each (kind, value without case, status) once a document.
 
-    Artifacts of a document are ranked by span and place, and cut at `most` for each status as the reports are. nearly_spelt: aliases are also
+    Artifacts of a document are ranked by span and place, and cut at `most` for each status as the reports are, as are a span's values of a kind; with None nothing is cut. nearly_spelt: aliases are also
     transliterated names and those that a word nearly spells or is alike to (`aliases.every_alias`), each value once a span, the first of them."""
     from pyspark.sql import Window as W
 
@@ -152,7 +152,7 @@ def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: f
     t, none = F.col(text), F.array().cast(NONE)
 
     def rows(kind: str, values: Column, confidence: float, cap: int | None = None) -> Column:
-        kept = F.slice(values, 1, cap) if cap else values
+        kept = F.slice(values, 1, cap) if cap and most is not None else values
         return F.transform(kept, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit("confirmed").alias("status"), F.lit(confidence).alias("confidence"), none.alias("reason_codes")))
 
     def alias_row(a: Column) -> Column:
@@ -184,8 +184,10 @@ def extracted(spans: DataFrame, key: str, text: str, document: str, threshold: f
     low = (F.col("status") == "confirmed") & (F.col("confidence") < limit)
     each = each.withColumn("reason_codes", F.when(low, F.array(F.lit("low_confidence"))).otherwise(F.col("reason_codes"))).withColumn("status", F.when(low, "candidate").otherwise(F.col("status")))
     first = each.groupBy("document", "kind", F.lower("value").alias("_low"), "status").agg(F.min_by(F.struct("span", "pos", "value", "confidence", "reason_codes"), F.struct("span", "pos")).alias("a"))
-    rank = F.row_number().over(W.partitionBy("document", "status").orderBy("a.span", "a.pos"))
-    return first.withColumn("_rank", rank).where(F.col("_rank") <= most).select("document", "a.span", "a.pos", "kind", "a.value", "status", "a.confidence", "a.reason_codes")
+    if most is not None:
+        rank = F.row_number().over(W.partitionBy("document", "status").orderBy("a.span", "a.pos"))
+        first = first.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return first.select("document", "a.span", "a.pos", "kind", "a.value", "status", "a.confidence", "a.reason_codes")
 
 
 def unsourced(documents: DataFrame, key: str, text: str, most: int = 30) -> DataFrame:

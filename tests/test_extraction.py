@@ -49,3 +49,45 @@ def test_texts_are_read_once(spark):
     assert {f.rsplit("/", 1)[1] for f in QUERIES["t03_rerank"](spark, sf).inputFiles()} == {"documents.parquet"}
     plan = QUERIES["x45_interests"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("substance:") == 1
+
+
+def long_texts(spark, folder):
+    """Two texts of more than 80 tokens that come before the slips in order, one text of many short forms, one of a sentence, one empty, one null."""
+    many = " ".join(f"a{i:03}x" for i in range(200))
+    forms = " ".join(f"Long name number {i} (LN{i})." for i in range(150))
+    rows = [(0, f"{many} nikel coppr and flotatsiya with slagg too"), (1, f"вода {many} обессоливанне выщелачиванье zolotoo"), (2, forms), (3, "Nikel flotattion."), (4, ""), (5, None)]
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def compared(spark, folder):
+    """(doc_id, value) of every slip and of every alike name, by loops over all tokens and names."""
+    import re
+    from difflib import SequenceMatcher
+
+    from corvane.functions.text import QUERY_TOKEN
+    from corvane.plans.extraction import notes
+
+    names, slips, alike = aliases.choices(), set(), set()
+    vectors = aliases.spelling_vectors(names)
+    for row in notes(spark, folder).collect():
+        for token in {t.lower() for t in re.findall(QUERY_TOKEN, row.note)}:
+            scores = [round(SequenceMatcher(None, token, n).ratio() * 100) for n in names]
+            best = names[scores.index(max(scores))]
+            if len(token) >= 4 and max(scores) >= 88 and best != token:
+                slips.add((row.doc_id, f"{token} -> {aliases.CODES.get(best, best)}"))
+            cosines = (vectors @ aliases.spelling_vectors([token])[0]).tolist()
+            best = names[cosines.index(max(cosines))]
+            if len(token) >= 3 and max(cosines) >= 0.72 and best != token:
+                alike.add((row.doc_id, f"{token} -> {aliases.CODES.get(best, best)}"))
+    return slips, alike
+
+
+def test_v17_compares_every_token_and_cuts_nothing(spark, tmp_path):
+    from corvane.plans.queries import QUERIES
+
+    folder = long_texts(spark, tmp_path)
+    found = {(r.document, r.value) for r in QUERIES["v17_every_alias"](spark, folder).where("kind = 'alias'").collect()}
+    slips, alike = compared(spark, folder)
+    assert slips | alike <= found and {(0, "slagg -> шлак"), (1, "обессоливанне -> обессоливание")} <= slips
+    assert {(2, f"LN{i} -> Long name number {i}") for i in range(150)} <= found
