@@ -91,3 +91,13 @@ def test_v17_compares_every_token_and_cuts_nothing(spark, tmp_path):
     slips, alike = compared(spark, folder)
     assert slips | alike <= found and {(0, "slagg -> шлак"), (1, "обессоливанне -> обессоливание")} <= slips
     assert {(2, f"LN{i} -> Long name number {i}") for i in range(150)} <= found
+
+
+def test_x14_compares_every_token(spark, tmp_path):
+    from corvane.plans.queries import QUERIES
+
+    folder = long_texts(spark, tmp_path)
+    rows = QUERIES["x14_all_aliases"](spark, folder).collect()
+    slips, alike = compared(spark, folder)
+    found = {(r.doc_id, r.value) for r in rows}
+    assert slips | alike <= found and len(found) == len(rows) and (1, "обессоливанне -> обессоливание") in slips and {(2, f"LN{i} -> Long name number {i}") for i in range(150)} <= found
