@@ -101,3 +101,27 @@ def test_x14_compares_every_token(spark, tmp_path):
     slips, alike = compared(spark, folder)
     found = {(r.doc_id, r.value) for r in rows}
     assert slips | alike <= found and len(found) == len(rows) and (1, "обессоливанне -> обессоливание") in slips and {(2, f"LN{i} -> Long name number {i}") for i in range(150)} <= found
+
+
+def test_x17_compares_every_token(spark, tmp_path):
+    from corvane.plans.queries import QUERIES
+
+    folder = long_texts(spark, tmp_path)
+    found = [(r.doc_id, r.value) for r in QUERIES["x17_fuzzy_aliases"](spark, folder).collect()]
+    slips, _ = compared(spark, folder)
+    assert sorted(found) == sorted(slips) and (1, "обессоливанне -> обессоливание") in slips
+
+
+def test_slips_out_of_reach_are_none():
+    """The bound that many tokens are held against at once leaves out no token that a name is near to, and most others."""
+    import random
+
+    rng, names = random.Random(6), aliases.choices()
+    tokens = [n[:k] + rng.choice(["", "a", "ё", "q", "%"]) + n[k + rng.randint(0, 1) :] for n in names for k in range(len(n) + 1)] + names
+    tokens += ["".join(rng.choices("abdeilnorstавинот-%", k=rng.randint(1, 12))) for _ in range(2000)] + ["", "n" * 700]
+    tried = aliases.matchers(names)
+    for least in (60, 88):
+        near = [aliases.best_match(t, tried, least)[0] is not None for t in tokens]
+        reached = aliases.in_reach(tokens, names, least)
+        assert all(r for n, r in zip(near, reached, strict=True) if n) and sum(near) <= sum(reached)
+    assert sum(reached) < len(tokens) / 2
